@@ -6,10 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_dedup
+from . import line_dedup, minhash_dedup, mixing, packing
 from .common import table
 
 
+def tokenizer_path(name: str) -> str:
+    """A public vocabulary file; imported here, as the files are only needed where texts are tokenised."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), size=1024, end_id=2)
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedupe_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines_dropped", "text")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -19,4 +39,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_source_mixing": mixing.SQL}
