@@ -63,11 +63,19 @@ def _boundary(hist: DataFrame, at: str) -> DataFrame:
     return run.where("upto > budget").groupBy("key").agg(F.min_by(F.struct(F.col(at).alias("at"), (F.col("upto") - F.col("words")).alias("before")), at).alias("b"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row per row of docs; source too."""
-    scratch = Scratch(spark, "mixing")
-    every = scratch.save(docs.select("doc_id", F.col("source").cast("string").alias("source"), size(F.col("text")).alias("size"), number(F.col("doc_id")).alias("h")))
-    every = every.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))  # null apart from ""
+def _key(source: Column) -> Column:
+    """A source's name that tells null from the empty string."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit(""))
+
+
+def sized(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, h, key of every document, written once: texts aren't read again."""
+    every = docs.select("doc_id", F.col("source").cast("string").alias("source"), size(F.col("text")).alias("size"), number(F.col("doc_id")).alias("h"))
+    return scratch.save(every.withColumn("key", _key(F.col("source"))))
+
+
+def thresholds(scratch: Scratch, every: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, int]:
+    """key, source_size, target, times, budget, limit of each source, and how many sources there are."""
     level1 = scratch.save(every.groupBy("key", F.shiftright("h", BITS - LEVEL).alias("r")).agg(F.sum("size").alias("words"), F.first("source").alias("source")))
     sources = level1.groupBy("key").agg(F.sum("words").alias("source_size"), F.first("source").alias("source"))
     aimed = targets(sources.select("source", "source_size"), weights, share, most)
@@ -99,10 +107,35 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SH
     start = second.select("key", F.shiftleft("b.at", shift).alias("lo"), (F.shiftleft(F.col("b.at") + 1, shift)).alias("hi"))
     # without a number beyond the middle rule, all of the boundary range is within the budget
     limits = scratch.save(start.join(beyond, "key", "left").select("key", F.coalesce("h0", "hi").alias("limit")))
-    joined = every.join(sized_broadcast(aimed, n), "key").join(sized_broadcast(limits, n), "key", "left")
-    extra = (F.col("h") < F.col("limit")).cast("long")
-    taken = F.col("size") * (F.col("times") + F.when(F.col("budget") <= 0, 0).otherwise(F.coalesce(extra, F.lit(1))))
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return scratch.save(aimed.join(limits, "key", "left")), n
+
+
+def _copies() -> Column:
+    """How often a document is taken: in full times, and once more below the limit of what is left of the budget."""
+    extra = F.coalesce((F.col("h") < F.col("limit")).cast("long"), F.lit(1))
+    return (F.col("times") + F.when(F.col("budget") <= 0, 0).otherwise(extra)).cast("long")
+
+
+def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """doc_id, size, source_size, target, taken: one row per row of docs; source too."""
+    scratch = Scratch(spark, "mixing")
+    every = sized(scratch, docs)
+    limits, n = thresholds(scratch, every, weights, share, most)
+    joined = every.join(sized_broadcast(limits, n), "key")
+    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The documents of the mix, each as often as it is taken; all columns of docs. Texts without a word aren't taken."""
+    scratch = Scratch(spark, "mixed")
+    limits, n = thresholds(scratch, sized(scratch, docs), weights, share, most)
+    limits = limits.select([F.col(k).alias(f"__{k}") for k in ("key", "times", "budget", "limit")])
+    joined = docs.join(sized_broadcast(limits, n), _key(docs["source"]) == F.col("__key"))
+    extra = F.coalesce((number(docs["doc_id"]) < F.col("__limit")).cast("int"), F.lit(1))
+    copies = F.col("__times").cast("int") + F.when(F.col("__budget") <= 0, 0).otherwise(extra)
+    copies = F.when(docs["text"].rlike(WORD), copies).otherwise(0)
+    taken = joined.withColumn("__copies", copies).where("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The same rows in SQL, by sorting.
