@@ -29,9 +29,9 @@ RULES: tuple[tuple[str, Callable[[dict], np.ndarray]], ...] = (
     ("short_mean_word", lambda m: m["word_chars"] < 2 * m["n_words"]),
     ("long_mean_word", lambda m: m["word_chars"] > 20 * m["n_words"]),
     ("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"]),
-    ("letterless_words", lambda m: 5 * m["n_letterless_words"] > m["n_words"]),
+    ("letterless_words", lambda m: 2 * m["n_letterless_words"] > m["n_words"]),
     ("duplicate_lines", lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"]),
-    ("adjacent_repeats", lambda m: 10 * m["n_adjacent_repeats"] > m["n_words"]),
+    ("adjacent_repeats", lambda m: 10 * m["n_adjacent_repeats"] > m["n_words"] + 30),
     ("bullets", lambda m: 10 * m["n_bullets"] > 9 * m["n_lines"]),
 )
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
@@ -100,7 +100,7 @@ m AS (
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_symbols > n_words
-            OR 5 * letterless > n_words OR 10 * adjacent > n_words OR 10 * bullets > 9 * n_lines) AS kept
+            OR 2 * letterless > n_words OR 10 * adjacent > n_words + 30 OR 10 * bullets > 9 * n_lines) AS kept
 FROM b
 """
 
