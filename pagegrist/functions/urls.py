@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import fixed
 from .text import blank
@@ -148,7 +149,7 @@ def idna(h: str | None) -> str | None:
     return ".".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _idna(hosts: pd.Series) -> pd.Series:
     return hosts.map(idna)
 
