@@ -98,7 +98,7 @@ def decode(encoded: str | None) -> str | None:
     return next((a for a in found if not _amp(a)), found[0] if found else None)
 
 
-_decode = F.udf(decode, StringType())
+_decode = F.udf(lambda x: decode(x), StringType())
 
 
 def decoded(u: Column) -> Column:
