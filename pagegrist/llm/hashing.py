@@ -49,23 +49,21 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     at, end = 0, len(data)
     while at < end:
         stop = min(end, at + CHUNK)
-        if stop < end:  # cut where a word ends; a word longer than a chunk is hashed in parts by its own loop
-            gap = np.flatnonzero(_space(data[at:stop]) | edge[at:stop])
-            if len(gap) and gap[-1] > 0:
-                stop = at + int(gap[-1])
+        if stop < end:  # cut where a word ends; a word longer than a chunk is hashed in parts
+            gap = np.flatnonzero(_space(data[at + 1 : stop]) | edge[at + 1 : stop])
+            if len(gap):
+                stop = at + 1 + int(gap[-1])
+            elif _space(data[at : at + 1])[0]:
+                stop = at + 1
             else:
-                stop = _long_word(data, edge, at, end)
-                h = 0
+                stop, h = _long_word(data, edge, at, end), 0
                 for x in range(at, stop, CHUNK):
                     part = table[data[x : min(stop, x + CHUNK)]]
-                    with np.errstate(over="ignore"):
-                        s = int((part * power[: len(part)]).sum(dtype=np.uint64))
-                    h = (h + s * pow(_BASE, x - at, 2**64)) % 2**64
-                if not _space(data[at : at + 1])[0]:
-                    found.append(np.array([h], np.uint64))
-                    starts_at.append(np.array([at], np.int64))
-                    at = stop
-                    continue
+                    h = (h + int((part * power[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, x - at, 2**64)) % 2**64
+                found.append(np.array([h], np.uint64))
+                starts_at.append(np.array([at], np.int64))
+                at = stop
+                continue
         part = data[at:stop]
         word = ~_space(part)
         begin = word.copy()

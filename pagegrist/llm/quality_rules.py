@@ -86,8 +86,8 @@ SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT k, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
-p AS (SELECT k, words, unnest(range(1, greatest(len(words) - 3, 1))) AS i FROM w),
-g AS (SELECT k, i, count(*) OVER (PARTITION BY k, words[i:i + 4]) AS n FROM p),
+p AS (SELECT k, unnest(list_transform(range(1, greatest(len(words) - 3, 1)), lambda i: array_to_string(words[i:i + 4], ' '))) AS win, unnest(range(1, greatest(len(words) - 3, 1))) AS i FROM w),
+g AS (SELECT k, i, count(*) OVER (PARTITION BY k, win) AS n FROM p),
 c AS (SELECT k, count(DISTINCT i + o)::BIGINT AS n_repeat_words FROM g, range(5) AS r(o) WHERE n > 1 GROUP BY k),
 m AS (
   SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
