@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, fixed_binary, lists, sized_broadcast, utf8
 from .hashing import mix, shingle_hashes, short_hash, text_shingle_set, word_hashes
-from .neardup import band_keys, documents_payload, link
+from .neardup import band_keys, documents_payload, link, minis
 
 K, BANDS, SLOTS = 128, 32, 1 << 20
 _STATE: dict[str, np.ndarray] = {}
@@ -47,7 +47,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sig", pa.binary()), ("mini", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def sketches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,21 +62,21 @@ def sketches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(s):
                 n[r], c1[r], c2[r], sigs[r] = len(s), mix(s, 20).sum(dtype=np.uint64), mix(s, 21).sum(dtype=np.uint64), signature(s)
         keys = band_keys(sigs, BANDS)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), fixed_binary(sigs.astype(np.uint8)), lists(keys.ravel(), BANDS)], schema=SKETCH)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), fixed_binary(sigs.astype(np.uint8)), pa.array(minis(sigs)), lists(keys.ravel(), BANDS)], schema=SKETCH)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, one row per row of docs."""
     scratch = Scratch(spark, "minhash")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = scratch.save(slim.mapInArrow(sketches, "doc_id long, n long, c1 long, c2 long, sig binary, bands array<long>"))
+    every = scratch.save(slim.mapInArrow(sketches, "doc_id long, n long, c1 long, c2 long, sig binary, mini long, bands array<long>"))
     ids = every.select("doc_id", "n", "c1", "c2")
     classes = ids.where("n > 0 and doc_id is not null").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("node"))
     classes = scratch.save(classes)
     count = classes.count()
     heads = every.where("n > 0").join(classes.select("c1", "c2", "n", F.col("node").alias("doc_id")), ["c1", "c2", "n", "doc_id"], "left_semi")
-    sketch = scratch.save(heads.select(F.col("doc_id").alias("node"), "n", "sig", "bands").dropDuplicates(["node"]))
-    labels = link(scratch, sketch, count * BANDS, documents_payload(slim), text_shingle_set, percent)
+    sketch = scratch.save(heads.select(F.col("doc_id").alias("node"), "n", "sig", "mini", "bands"))
+    labels = link(scratch, sketch, count * BANDS, documents_payload(slim), text_shingle_set, percent, unique=True)
     named = classes.join(labels, "node", "left").select("c1", "c2", "n", F.coalesce("component", "node").alias("component"))
     out = ids.join(named, ["c1", "c2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))

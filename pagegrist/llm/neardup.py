@@ -2,12 +2,16 @@
 
 A *sketch* table has one row per item and the columns
 ``node long`` (its identity), ``n long`` (size of its set), ``sig binary`` (low bytes of its MinHash
-coordinates) and ``bands array<long>`` (one key per band, salted by the band's number).
-
-Candidates come from stars, not from all pairs: within an Arrow batch the members of a bucket meet the
-batch's smallest member, and the smallest members of all batches meet the bucket's smallest. A bucket whose
-stars all hold is one component. Where a star fails, the bucket's members are compared across components in
-tiles of bounded size, so no pair of a bucket stays unexamined unless both ends are linked already.
+coordinates), ``mini long`` (one bit each of 64 coordinates) and ``bands array<long>`` (one key per band, salted by the
+band's number). Equal rows may repeat.
+
+Candidates come from stars, not from all pairs. A bucket's smallest member is a center; members whose mini bits
+agree with it as the similarity asks are its star, the smallest of the others is the next center, and so on; this is done
+within an Arrow batch and then among the centers of all batches, so a hot bucket shrinks before it is shuffled. First every member is
+held against one other only: the smallest that its buckets lead to within the batch, or the one that most of its
+buckets name. Then what the stars still have in different components is tested, and last, where a star failed, the
+bucket's members are compared across components in tiles of bounded size. So no pair of a bucket stays
+unexamined unless both ends are linked already.
 """
 
 from __future__ import annotations
@@ -21,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, gathered, sized_broadcast, texts
 
-PAIR = pa.schema([("key", pa.int64()), ("center", pa.int64()), ("member", pa.int64())])
-HEAD = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+PAIR = pa.schema([("key", pa.int64()), ("center", pa.int64()), ("member", pa.int64()), ("root", pa.int64())])
+HEAD = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("mini", pa.int64())])
+#: Mini bits that must agree: 3.4 standard deviations below what a similarity of 0.75 gives on average.
+AGREEING = 47
 #: Members of a bucket in one tile of the comparison across components.
 TILE = 512
 #: Keys that one task of the bucket stage sorts.
@@ -47,62 +53,104 @@ def band_keys(signatures: np.ndarray, n_bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _flat(t) -> tuple[np.ndarray, np.ndarray]:
+def minis(signatures: np.ndarray) -> np.ndarray:
+    """The lowest bits of the first 64 coordinates of each row, mixed, in one integer."""
+    bits = ((signatures[:, :64].astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.int64).ravel()
+
+
+def _flat(t) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bands = t.column("bands")
     bands = bands.combine_chunks() if isinstance(bands, pa.ChunkedArray) else bands
-    node = t.column("node").to_numpy(zero_copy_only=False)
     counts = bands.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return bands.flatten().to_numpy(zero_copy_only=False), np.repeat(node, counts)
+    node, mini = (np.repeat(t.column(c).to_numpy(zero_copy_only=False), counts) for c in ("node", "mini"))
+    return bands.flatten().to_numpy(zero_copy_only=False), node, mini
 
 
-def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and nodes sorted by both, and for each row the first node of its key."""
+def _stars(key: np.ndarray, node: np.ndarray, mini: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, node) in order, with mini, and the center of each: rounds over what has none yet."""
     order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    center = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))] if len(key) else node
-    return key, node, center
+    key, node, mini = key[order], node[order], mini[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    key, node, mini = key[fresh], node[fresh], mini[fresh]
+    center, rest = np.arange(len(key)), np.arange(len(key))
+    shared = np.zeros(len(key), bool)
+    shared[1:] = key[1:] == key[:-1]
+    shared[:-1] |= shared[1:]
+    rest = rest[shared]
+    while len(rest):
+        k = key[rest]
+        first = np.ones(len(rest), bool)
+        first[1:] = k[1:] != k[:-1]
+        head = rest[np.maximum.accumulate(np.where(first, np.arange(len(rest)), 0))]
+        near = 64 - np.bitwise_count((mini[rest] ^ mini[head]).view(np.uint64)).astype(np.int64) >= AGREEING
+        center[rest[near]] = head[near]
+        rest = rest[~near]
+    return key, node, mini, node[center]
 
 
 def _heads(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in gathered(it, 20_000):
-        key, node, center = _stars(*_flat(t))
-        keep = np.ones(len(key), bool)
-        keep[1:] = key[1:] != key[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], schema=HEAD)
+        key, node, mini, center = _stars(*_flat(t))
+        keep = node == center
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, node, mini)], schema=HEAD)
 
 
-def _edges(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-    key, node, center = _stars(key, node)
+def _edges(key: np.ndarray, node: np.ndarray, mini: np.ndarray, rooted: bool) -> pa.RecordBatch:
+    key, node, _, center = _stars(key, node, mini)
     keep = node != center
-    if len(keep):
-        keep[1:] &= (node[1:] != node[:-1]) | (key[1:] != key[:-1])
-    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, center, node)], schema=PAIR)
+    key, center, node = key[keep], center[keep], node[keep]
+    root = pa.array(_roots(center, node)) if rooted else pa.nulls(len(key), pa.int64())
+    return pa.RecordBatch.from_arrays([*map(pa.array, (key, center, node)), root], schema=PAIR)
+
+
+def _roots(center: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """Of each pair the smallest node that the batch's pairs lead to; of a root itself, its pair's center."""
+    ids, flat = np.unique(np.concatenate([center, member]), return_inverse=True)
+    a, b = flat[: len(center)], flat[len(center) :]
+    parent = np.arange(len(ids))
+    while True:  # hook to the smallest neighbour, then jump: rounds grow with the logarithm of a path
+        low = np.minimum(parent[a], parent[b])
+        new = parent.copy()
+        np.minimum.at(new, parent[a], low)
+        np.minimum.at(new, parent[b], low)
+        new = new[new]
+        if (new == parent).all():
+            return ids[parent[b]]
+        parent = new
 
 
 def _local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in gathered(it, 20_000):
-        yield _edges(*_flat(t))
+        yield _edges(*_flat(t), True)
 
 
 def _global(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = list(it)
     if held:
         t = pa.Table.from_batches(held)
-        yield _edges(t.column("key").to_numpy(), t.column("node").to_numpy())
+        yield _edges(*(t.column(c).to_numpy() for c in HEAD.names), False)
 
 
 def stars(scratch: Scratch, sketch: DataFrame, n_keys: int) -> DataFrame:
-    """(key, center, member) of every bucket with two nodes or more; each member once per bucket and level."""
+    """(key, center, member, root) of every bucket with two nodes or more; each member once per bucket and level."""
     spark = scratch.spark
-    slim = sketch.select("node", "bands").where("bands is not null")
+    slim = sketch.select("node", "mini", "bands").where("bands is not null")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_keys // KEYS_PER_TASK + 1)
-    heads = slim.mapInArrow(_heads, "key long, node long").repartition(parts, "key")
-    every = "key long, center long, member long"
+    heads = slim.mapInArrow(_heads, "key long, node long, mini long").repartition(parts, "key")
+    every = "key long, center long, member long, root long"
     return scratch.save(heads.mapInArrow(_global, every).unionByName(slim.mapInArrow(_local, every)))
 
 
+def first_pairs(multi: DataFrame) -> DataFrame:
+    """(a, b): every member b with one candidate a at each level."""
+    local = multi.where("root is not null").selectExpr("root as a", "member as b")
+    votes = multi.where("root is null").groupBy("center", "member").agg(F.count("*").alias("votes"))
+    named = votes.groupBy(F.col("member").alias("b")).agg(F.max_by("center", F.struct("votes", -F.col("center"))).alias("a"))
+    return local.unionByName(named.select("a", "b")).distinct()
+
+
 def _verifier(make_set: Callable[[str], np.ndarray], percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -134,10 +182,10 @@ def _verifier(make_set: Callable[[str], np.ndarray], percent: int):
 
 def verified(scratch: Scratch, pairs: DataFrame, payload: Callable[[DataFrame, int], DataFrame], make_set, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets reach the similarity. payload gives (node, payload) of wanted nodes."""
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    ends = pairs.selectExpr("a", "b", "a as node").unionByName(pairs.selectExpr("a", "b", "b as node"))
     wanted = scratch.save(ends.select("node").distinct())
     rows = payload(wanted, wanted.count())
-    both = ends.join(rows, "node").select("a", "b", "node", "payload")
+    both = rows.join(sized_broadcast(ends, 2 * pairs.count()), "node").select("a", "b", "node", "payload")
     dealt = both.repartition("a", "b").sortWithinPartitions("a", "b", "node")
     return dealt.mapInArrow(_verifier(make_set, percent), "a long, b long")
 
@@ -157,9 +205,9 @@ def _estimates(threshold: float):
     return estimate
 
 
-def plausible(pairs: DataFrame, sketch: DataFrame, percent: int, threshold: float) -> DataFrame:
+def plausible(pairs: DataFrame, sketch: DataFrame, n: int, percent: int, threshold: float) -> DataFrame:
     """Drops pairs that their sizes rule out or whose signatures agree far less than the similarity asks."""
-    side = lambda c: sketch.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
+    side = lambda c: sized_broadcast(sketch.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")), 8 * n)
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     sized = both.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
     return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_estimates(threshold), "a long, b long")
@@ -171,44 +219,65 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     Rounds of hooking every label to its smallest neighbour, two pointer jumps and contraction; a round
     shrinks every path by a constant factor, and nothing is gathered on the driver.
     """
-    edges = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    edges = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")))
     labels = None
     while edges.take(1):
-        hooks = edges.groupBy("hi").agg(F.min("lo").alias("to"))
+        hooks = scratch.save(edges.groupBy("hi").agg(F.min("lo").alias("to")))
+        m = hooks.count()
         for _ in range(2):
             ahead = hooks.select(F.col("hi").alias("to"), F.col("to").alias("then"))
-            hooks = hooks.join(ahead, "to", "left").select("hi", F.coalesce("then", "to").alias("to"))
+            hooks = hooks.join(sized_broadcast(ahead, m), "to", "left").select("hi", F.coalesce("then", "to").alias("to"))
         hooks = scratch.save(hooks)
         own = hooks.select(F.col("hi").alias("node"), F.col("to").alias("component"))
         if labels is None:
             labels = own
         else:
-            moved = labels.join(hooks, F.col("component") == F.col("hi"), "left").select("node", F.coalesce("to", "component").alias("component"))
+            moved = labels.join(sized_broadcast(hooks, m), F.col("component") == F.col("hi"), "left").select("node", F.coalesce("to", "component").alias("component"))
             labels = scratch.save(moved.unionByName(own))
-        left = hooks.select("hi", F.col("to").alias("x"))
-        right = hooks.select(F.col("hi").alias("lo"), F.col("to").alias("y"))
+        left = sized_broadcast(hooks.select("hi", F.col("to").alias("x")), m)
+        right = sized_broadcast(hooks.select(F.col("hi").alias("lo"), F.col("to").alias("y")), m)
         contracted = edges.join(left, "hi").join(right, "lo", "left").select("x", F.coalesce("y", "lo").alias("y")).where("x <> y")
-        edges = scratch.save(contracted.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct())
+        edges = scratch.save(contracted.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")))
     if labels is None:
         return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return labels
 
 
-def _tiles(threshold: float, percent: int):
+def _tiles(threshold: float, percent: int, best: bool, make_set=None):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def compare(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    def compare(rows: list) -> tuple[list, list]:
         node, comp, n, side = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2, 4))
         sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
         left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
-        a, b = [], []
+        a, b, sets = [], [], {}
+
+        def holds(i: int, j: int) -> bool:
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = make_set(rows[k][5] or "")
+            x, y = sets[i], sets[j]
+            shared = len(x) + len(y) - len(np.union1d(x, y))
+            return bool(shared) and 100 * shared >= percent * (len(x) + len(y) - shared)
+
         for i in left:
             j = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (side[right] == 2))]
             j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
-            j = j[(sig[j] == sig[i]).mean(axis=1) >= threshold] if len(j) else j
-            a.append(np.minimum(node[j], node[i]))
-            b.append(np.maximum(node[j], node[i]))
-        return np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])
+            if not len(j):
+                continue
+            near = (sig[j] == sig[i]).mean(axis=1)
+            j, near = j[near >= threshold], near[near >= threshold]
+            j = j[np.lexsort((node[j], -near, comp[j]))]  # of each other component first the member that looks nearest
+            if best:
+                j = j[np.append(True, comp[j][1:] != comp[j][:-1])] if len(j) else j
+            for k in j.tolist():
+                if make_set:
+                    if comp[k] == comp[i] or not holds(int(i), k):
+                        continue
+                    comp[comp == comp[k]] = comp[i]  # what this link joins needs no other here
+                a.append(int(min(node[k], node[i])))
+                b.append(int(max(node[k], node[i])))
+        return a, b
 
     def tiles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
@@ -217,8 +286,9 @@ def _tiles(threshold: float, percent: int):
             a, b = compare(held)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
+        names = ["key", "i", "j", "node", "comp", "n", "sig", "side", *(["payload"] if make_set else [])]
         for batch in it:
-            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "comp", "n", "sig", "side"))):
+            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in names)):
                 if (key, i, j) != last:
                     if held:
                         yield out()
@@ -230,12 +300,26 @@ def _tiles(threshold: float, percent: int):
     return tiles
 
 
-def across(scratch: Scratch, multi: DataFrame, failed: DataFrame, labels: DataFrame, sketch: DataFrame, percent: int, threshold: float) -> DataFrame:
-    """Plausible pairs (a, b) of different components within the buckets where a star failed."""
-    keys = multi.join(failed, ["center", "member"], "left_semi").select("key").distinct()
-    rows = multi.join(keys, "key", "left_semi").select("key", F.explode(F.array("center", "member")).alias("node")).distinct()
-    rows = rows.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+def apart(multi: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of multi whose two nodes are in different components."""
+    n = labels.count()
+    side = lambda c: sized_broadcast(labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")), n)
+    both = multi.select("key", "center", "member").join(side("center"), "center", "left").join(side("member"), "member", "left")
+    return both.where(F.coalesce("c_center", "center") != F.coalesce("c_member", "member")).select("key", "center", "member")
+
+
+def across(scratch: Scratch, keys: DataFrame, multi: DataFrame, labels: DataFrame, sketch: DataFrame, percent: int, threshold: float, payload=None, make_set=None) -> DataFrame:
+    """Pairs (a, b) of different components within the buckets of these keys, where stars failed.
+
+    Without a payload: of a node and another component the plausible pair that looks nearest, tile by tile. With
+    one, every plausible pair is held against its full sets inside the tile, and those that link what isn't linked
+    yet come out: as many as members, not as pairs.
+    """
+    rows = multi.join(sized_broadcast(keys, keys.count()), "key", "left_semi")
+    rows = rows.selectExpr("key", "center as node").unionByName(rows.selectExpr("key", "member as node")).distinct()
+    rows = rows.join(sized_broadcast(labels, labels.count()), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     rows = scratch.save(rows)
+    best = payload is None
     several = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("m > 2 and c0 <> c1")
     blocks = F.ceil(F.col("m") / TILE).cast("int")
     dealt = rows.join(several.select("key", "m"), "key").join(sketch.select("node", "n", "sig"), "node")
@@ -244,26 +328,52 @@ def across(scratch: Scratch, multi: DataFrame, failed: DataFrame, labels: DataFr
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp", "n", "sig",
         F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2).alias("side"),
     )
+    if not best:
+        wanted = scratch.save(rows.select("node").distinct())
+        dealt = dealt.join(payload(wanted, wanted.count()), "node")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    return dealt.mapInArrow(_tiles(threshold, percent), "a long, b long").distinct()
+    return dealt.mapInArrow(_tiles(threshold, percent, best, make_set), "a long, b long").distinct()
 
 
-def link(scratch: Scratch, sketch: DataFrame, n_keys: int, payload, make_set, percent: int = 75, slack: float = 0.19) -> DataFrame:
-    """(node, component) for every node linked to a smaller one; component is the smallest node reachable."""
+def link(scratch: Scratch, sketch: DataFrame, n_keys: int, payload, make_set, percent: int = 75, slack: float = 0.16, unique: bool = False) -> DataFrame:
+    """(node, component) for every node linked to a smaller one; component is the smallest node reachable.
+
+    unique: no node has several rows in the sketch.
+    """
     threshold = percent / 100 - slack
     multi = stars(scratch, sketch, n_keys)
-    pairs = scratch.save(multi.select(F.col("center").alias("a"), F.col("member").alias("b")).distinct())
-    likely = scratch.save(plausible(pairs, sketch, percent, threshold))
-    edges = scratch.save(verified(scratch, likely, payload, make_set, percent))
+    ends = scratch.save(multi.selectExpr("center as node").unionByName(multi.selectExpr("member as node")).distinct())
+    near = sketch.select("node", "n", "sig").join(sized_broadcast(ends, ends.count()), "node", "left_semi")
+    sketch = scratch.save(near if unique else near.dropDuplicates(["node"]))
+    n = sketch.count()
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        return scratch.save(verified(scratch, scratch.save(plausible(pairs, sketch, n, percent, threshold)), payload, make_set, percent))
+
+    tried = scratch.save(first_pairs(multi))
+    edges = tested(tried)
     labels = scratch.save(components(scratch, edges))
-    failed = pairs.join(edges, ["a", "b"], "left_anti").select(F.col("a").alias("center"), F.col("b").alias("member"))
-    more = scratch.save(across(scratch, multi, failed, labels, sketch, percent, threshold).join(pairs, ["a", "b"], "left_anti"))
-    if not more.take(1):
-        return labels
-    found = scratch.save(verified(scratch, more, payload, make_set, percent))
-    if not found.take(1):
-        return labels
-    return scratch.save(components(scratch, edges.unionByName(found)))
+    second = apart(multi, labels).selectExpr("center as a", "member as b").distinct()
+    second = scratch.save(second.join(tried, ["a", "b"], "left_anti"))
+    if second.take(1):
+        edges = edges.unionByName(tested(second))
+        tried = tried.unionByName(second)
+        labels = scratch.save(components(scratch, edges))
+    for best in (True, False):  # what merges by the nearest pairs needs no other; the last round leaves nothing out
+        crowded = multi.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        keys = scratch.save(apart(multi, labels).select("key").distinct().join(crowded, "key", "left_semi"))
+        if not keys.take(1):
+            break
+        if best:
+            third = across(scratch, keys, multi, labels, sketch, percent, threshold)
+            third = scratch.save(third.join(tried, ["a", "b"], "left_anti"))
+            found = scratch.save(verified(scratch, third, payload, make_set, percent)) if third.take(1) else third
+        else:
+            found = scratch.save(across(scratch, keys, multi, labels, sketch, percent, threshold, payload, make_set))
+        if found.take(1):
+            edges = edges.unionByName(found)
+            labels = scratch.save(components(scratch, edges))
+    return labels
 
 
 def documents_payload(docs: DataFrame, node: str = "doc_id", text: str = "text"):
