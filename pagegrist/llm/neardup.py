@@ -267,9 +267,9 @@ def _tiles(threshold: float, percent: int, best: bool, make_set=None):
                 continue
             near = (sig[j] == sig[i]).mean(axis=1)
             j, near = j[near >= threshold], near[near >= threshold]
-            j = j[np.lexsort((node[j], -near, comp[j]))]  # of each other component first the member that looks nearest
+            j = j[np.lexsort((node[j], -near))]  # the nearest first
             if best:
-                j = j[np.append(True, comp[j][1:] != comp[j][:-1])] if len(j) else j
+                j = j[:1]
             for k in j.tolist():
                 if make_set:
                     if comp[k] == comp[i] or not holds(int(i), k):
@@ -311,7 +311,7 @@ def apart(multi: DataFrame, labels: DataFrame) -> DataFrame:
 def across(scratch: Scratch, keys: DataFrame, multi: DataFrame, labels: DataFrame, sketch: DataFrame, percent: int, threshold: float, payload=None, make_set=None) -> DataFrame:
     """Pairs (a, b) of different components within the buckets of these keys, where stars failed.
 
-    Without a payload: of a node and another component the plausible pair that looks nearest, tile by tile. With
+    Without a payload: of a node the plausible pair that looks nearest, tile by tile. With
     one, every plausible pair is held against its full sets inside the tile, and those that link what isn't linked
     yet come out: as many as members, not as pairs.
     """
