@@ -91,13 +91,14 @@ def set_changes(baseline: DataFrame, current: DataFrame, column: str) -> DataFra
     return c.subtract(b).withColumn("change", F.lit("added")).unionByName(b.subtract(c).withColumn("change", F.lit("removed")))
 
 
-def syndicated(originals: DataFrame, candidates: DataFrame, days: int = 2) -> DataFrame:
+def syndicated(originals: DataFrame, candidates: DataFrame, days: int = 2, one_table: bool = False) -> DataFrame:
     """Candidates of an original: equal normal title, published within days of it; the first by seq.
 
     Hashing the title makes it an equality join; the time bound filters within it. originals: orig_id, title_key,
-    published; candidates: cand_id, title_key, published, seq.
+    published; candidates: cand_id, title_key, published, seq. one_table: both have the same ids, and none is its own candidate.
     """
     c = candidates.select("cand_id", "title_key", F.col("published").alias("c_published"), "seq")
     near = F.abs(F.unix_micros("published") - F.unix_micros("c_published")) <= days * 86_400_000_000
     hits = originals.where("title_key <> '' and published is not null").join(c, "title_key").where(near)
+    hits = hits.where("orig_id <> cand_id") if one_table else hits
     return hits.groupBy("orig_id").agg(F.min_by("cand_id", F.struct("seq", "cand_id")).alias("cand_id"), F.count("*").alias("n_candidates"))

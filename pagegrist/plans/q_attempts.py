@@ -169,6 +169,16 @@ def syndication_match(spark, sf):
     return A.syndicated(originals, candidates)
 
 
+@query("syndication_match_whole", "SELECT o.o_orderkey AS orig_id, min(c.o_orderkey) AS cand_id, count(*)::BIGINT AS n_candidates FROM orders o JOIN orders c ON o.o_custkey = c.o_custkey AND o.o_orderkey <> c.o_orderkey WHERE abs(epoch_us(o.o_orderdate::TIMESTAMP) - epoch_us(c.o_orderdate::TIMESTAMP)) <= 172800000000 GROUP BY 1")
+def syndication_match_whole(spark, sf):
+    """All orders against all others, a title for each customer."""
+    title = T.normalize_title(F.concat(F.lit("Title: No. "), F.col("o_custkey").cast("string"), F.lit("!")))
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", title.alias("title_key"), F.col("o_orderdate").cast("timestamp").alias("published"))
+    originals = o.select(F.col("o_orderkey").alias("orig_id"), "title_key", "published")
+    candidates = o.select(F.col("o_orderkey").alias("cand_id"), "title_key", "published", F.col("o_orderkey").alias("seq"))
+    return A.syndicated(originals, candidates, one_table=True)
+
+
 @query("batch_summary", "SELECT conv_id, count(*)::BIGINT AS n_items, count(*) FILTER (length(text) >= 100)::BIGINT AS success, count(*) FILTER (length(text) < 100)::BIGINT AS failed FROM conversations GROUP BY conv_id")
 def batch_summary(spark, sf):
     c = spark.read.parquet(f"{sf}/conversations.parquet")
