@@ -127,6 +127,22 @@ def yaml_and_clips(spark, sf):
     return documents(spark, sf).select("doc_id", T.escape_yaml(x).alias("escaped"), T.clipped(x, 180).alias("clipped"))
 
 
+@query("slugs_whole", f"WITH n AS (SELECT item_id, text, text AS x FROM benchmark), s AS (SELECT *, coalesce(nullif({_SLUG}, ''), 'article') AS slug FROM n) SELECT item_id, slug, left(slug, 71) || '-' || left(sha256(text), 8) AS batch_slug FROM s")
+def slugs_whole(spark, sf):
+    b = spark.read.parquet(f"{sf}/benchmark.parquet")
+    return b.select("item_id", T.slug(F.col("text")).alias("slug"), T.batch_slug(F.col("text"), F.col("text")).alias("batch_slug"))
+
+
+@query("title_norm_whole", rf"SELECT doc_id, md5({D.norm(D.fold('regexp_replace(text, ' + D.lit('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_' + chr(92) + 's' + chr(92) + 'p{Z}]') + ', ' + D.lit(' ') + ', ' + D.lit('g') + ')'))}) AS digest FROM documents")
+def title_norm_whole(spark, sf):
+    return documents(spark, sf).select("doc_id", F.md5(T.normalize_title(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("yaml_and_clips_whole", "SELECT doc_id, md5(replace(replace(text, '\"', '\\\"'), chr(10), ' ')) AS escaped_digest, left(trim(replace(text, chr(10), ' ')), 180) AS clipped FROM documents")
+def yaml_and_clips_whole(spark, sf):
+    return documents(spark, sf).select("doc_id", F.md5(T.escape_yaml(F.col("text")).cast("binary")).alias("escaped_digest"), T.clipped(F.col("text"), 180).alias("clipped"))
+
+
 @query("newsflash_signals", rf"SELECT doc_id, round(length(regexp_replace(text, '[^\p{{Nd}}]', '', 'g')) / greatest(length(regexp_replace(text, '[\p{{Z}}\p{{C}}]', '', 'g')), 1)::DOUBLE, 6) AS numeric_density, {D.signal('text')} AS signal FROM documents")
 def newsflash_signals(spark, sf):
     return documents(spark, sf).select("doc_id", F.round(T.numeric_density(F.col("text")), 6).alias("numeric_density"), T.time_or_market_signal(F.col("text")).alias("signal"))
