@@ -100,7 +100,7 @@ def identify(spark: SparkSession, pages: DataFrame, docs: DataFrame) -> DataFram
     langs, table = learn(docs)
     url, page = F.lower(F.col("url").cast("string")), F.col("html").cast("string")
     host = F.coalesce(F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)", 1), F.lit(""))
-    opening = F.lower(F.regexp_extract(F.left(page, F.lit(4096)), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
+    opening = F.lower(F.regexp_extract(page, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
     declared = F.when(opening.isin(langs), opening).otherwise("other") if langs else F.lit("other")
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.coalesce(declared, F.lit("other")).alias("declared"), page.alias("html"))
     slim = slim.withColumn("suffix", F.regexp_extract("host", r"\.([^.]+)$", 1))
