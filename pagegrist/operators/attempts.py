@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import blank
+from ..functions import urls as U
+from ..functions.text import blank, fold
 
 
 def normalized(df: DataFrame) -> DataFrame:
@@ -91,14 +92,19 @@ def set_changes(baseline: DataFrame, current: DataFrame, column: str) -> DataFra
     return c.subtract(b).withColumn("change", F.lit("added")).unionByName(b.subtract(c).withColumn("change", F.lit("removed")))
 
 
-def syndicated(originals: DataFrame, candidates: DataFrame, days: int = 2, one_table: bool = False) -> DataFrame:
-    """Candidates of an original: equal normal title, published within days of it; the first by seq.
+def syndicated(originals: DataFrame, candidates: DataFrame, host: str, attribution: str, days: int = 2, one_table: bool = False) -> DataFrame:
+    """Candidates of an original: on the host or below it, attributed within the first 4000 folded characters, equal normal
+    title, published within days of it; the first by seq.
 
-    Hashing the title makes it an equality join; the time bound filters within it. originals: orig_id, title_key,
-    published; candidates: cand_id, title_key, published, seq. one_table: both have the same ids, and none is its own candidate.
+    Hashing the title makes it an equality join; the time bound filters within it. originals: orig_id, url, title_key,
+    published; candidates: cand_id, url, title_key, published, attribution_text, seq. one_table: both have the same ids, and
+    none is its own candidate.
     """
-    c = candidates.select("cand_id", "title_key", F.col("published").alias("c_published"), "seq")
+    at = F.regexp_replace(U.hostname(F.col("url")), r"\.+$", "")
+    credited = F.contains(F.left(fold(F.col("attribution_text")), F.lit(4000)), fold(F.lit(attribution)))
+    allowed = candidates.where(U.under(at, F.lit(host.lower())) & credited)
+    c = allowed.select("cand_id", "title_key", F.col("published").alias("c_published"), "seq")
     near = F.abs(F.unix_micros("published") - F.unix_micros("c_published")) <= days * 86_400_000_000
-    hits = originals.where("title_key <> '' and published is not null").join(c, "title_key").where(near)
+    hits = originals.where((blank(F.col("url")) != "") & (F.col("title_key") != "") & F.col("published").isNotNull()).join(c, "title_key").where(near)
     hits = hits.where("orig_id <> cand_id") if one_table else hits
     return hits.groupBy("orig_id").agg(F.min_by("cand_id", F.struct("seq", "cand_id")).alias("cand_id"), F.count("*").alias("n_candidates"))

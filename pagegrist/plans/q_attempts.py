@@ -161,22 +161,27 @@ def hourly_windows(spark, sf):
     return e.groupBy("event_type", F.window("ts", "6 hours")).agg(F.count("*").alias("n")).select("event_type", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "n")
 
 
+def _wired():
+    """The orders have neither address nor attribution; every one gets those that pass."""
+    return F.lit("https://news.wire.example/a").alias("url"), F.lit("By a reporter (Agency)").alias("attribution_text")
+
+
 @query("syndication_match", "WITH o AS (SELECT o_orderkey AS orig_id, o_custkey % 40 AS k, o_orderdate AS published FROM orders WHERE o_orderkey % 7 = 0), c AS (SELECT o_orderkey AS cand_id, o_custkey % 40 AS k, o_orderdate AS published FROM orders WHERE o_orderkey % 7 = 1) SELECT orig_id, min(cand_id) AS cand_id, count(*)::BIGINT AS n_candidates FROM o JOIN c USING (k) WHERE abs(epoch_us(o.published) - epoch_us(c.published)) <= 172800000000 GROUP BY orig_id")
 def syndication_match(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", T.normalize_title(F.concat(F.lit("Title: No. "), (F.col("o_custkey") % 40).cast("string"), F.lit("!"))).alias("title_key"), F.col("o_orderdate").cast("timestamp").alias("published"))
-    originals = o.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("orig_id"), "title_key", "published")
-    candidates = o.where("o_orderkey % 7 = 1").select(F.col("o_orderkey").alias("cand_id"), "title_key", "published", F.col("o_orderkey").alias("seq"))
-    return A.syndicated(originals, candidates)
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", T.normalize_title(F.concat(F.lit("Title: No. "), (F.col("o_custkey") % 40).cast("string"), F.lit("!"))).alias("title_key"), F.col("o_orderdate").cast("timestamp").alias("published"), *_wired())
+    originals = o.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("orig_id"), "url", "title_key", "published")
+    candidates = o.where("o_orderkey % 7 = 1").select(F.col("o_orderkey").alias("cand_id"), "url", "title_key", "published", "attribution_text", F.col("o_orderkey").alias("seq"))
+    return A.syndicated(originals, candidates, "wire.example", "(agency)")
 
 
 @query("syndication_match_whole", "SELECT o.o_orderkey AS orig_id, min(c.o_orderkey) AS cand_id, count(*)::BIGINT AS n_candidates FROM orders o JOIN orders c ON o.o_custkey = c.o_custkey AND o.o_orderkey <> c.o_orderkey WHERE abs(epoch_us(o.o_orderdate::TIMESTAMP) - epoch_us(c.o_orderdate::TIMESTAMP)) <= 172800000000 GROUP BY 1")
 def syndication_match_whole(spark, sf):
     """All orders against all others, a title for each customer."""
     title = T.normalize_title(F.concat(F.lit("Title: No. "), F.col("o_custkey").cast("string"), F.lit("!")))
-    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", title.alias("title_key"), F.col("o_orderdate").cast("timestamp").alias("published"))
-    originals = o.select(F.col("o_orderkey").alias("orig_id"), "title_key", "published")
-    candidates = o.select(F.col("o_orderkey").alias("cand_id"), "title_key", "published", F.col("o_orderkey").alias("seq"))
-    return A.syndicated(originals, candidates, one_table=True)
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", title.alias("title_key"), F.col("o_orderdate").cast("timestamp").alias("published"), *_wired())
+    originals = o.select(F.col("o_orderkey").alias("orig_id"), "url", "title_key", "published")
+    candidates = o.select(F.col("o_orderkey").alias("cand_id"), "url", "title_key", "published", "attribution_text", F.col("o_orderkey").alias("seq"))
+    return A.syndicated(originals, candidates, "wire.example", "(agency)", one_table=True)
 
 
 @query("batch_summary", "SELECT conv_id, count(*)::BIGINT AS n_items, count(*) FILTER (length(text) >= 100)::BIGINT AS success, count(*) FILTER (length(text) < 100)::BIGINT AS failed FROM conversations GROUP BY conv_id")
