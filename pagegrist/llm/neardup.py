@@ -10,8 +10,11 @@ agree with it as the similarity asks are its star, the smallest of the others is
 within an Arrow batch and then among the centers of all batches, so a hot bucket shrinks before it is shuffled. First every member is
 held against one other only: the smallest that its buckets lead to within the batch, or the one that most of its
 buckets name. Then what the stars still have in different components is tested, and last, where a star failed, the
-bucket's members are compared across components in tiles of bounded size. So no pair of a bucket stays
-unexamined unless both ends are linked already.
+bucket's members are compared across components in tiles of bounded size. The other centers of a bucket are held
+against its first one in the same way, so a bucket counts as failed as long as any two of its members are in
+different components. So no pair of a bucket stays unexamined unless both ends are linked already; the mini bits only
+say which pairs are tested first. What is missed are pairs without a common bucket, and pairs whose signatures agree
+on ``slack`` less than the similarity.
 """
 
 from __future__ import annotations
@@ -25,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, gathered, sized_broadcast, texts
 
-PAIR = pa.schema([("key", pa.int64()), ("center", pa.int64()), ("member", pa.int64()), ("root", pa.int64())])
+PAIR = pa.schema([("key", pa.int64()), ("center", pa.int64()), ("member", pa.int64()), ("root", pa.int64()), ("far", pa.bool_())])
 HEAD = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("mini", pa.int64())])
-#: Mini bits that must agree: 3.4 standard deviations below what a similarity of 0.75 gives on average.
+#: Mini bits that agree within a star: 3.4 standard deviations below what a similarity of 0.75 gives on average.
 AGREEING = 47
 #: Members of a bucket in one tile of the comparison across components.
 TILE = 512
@@ -99,10 +102,17 @@ def _heads(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _edges(key: np.ndarray, node: np.ndarray, mini: np.ndarray, rooted: bool) -> pa.RecordBatch:
     key, node, _, center = _stars(key, node, mini)
+    far = np.zeros(len(key), bool)
+    if not rooted and len(key):  # the other centers of a bucket, by its first one
+        start = np.ones(len(key), bool)
+        start[1:] = key[1:] != key[:-1]
+        first = node[np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))]
+        far = (node == center) & ~start
+        center = np.where(far, first, center)
     keep = node != center
-    key, center, node = key[keep], center[keep], node[keep]
+    key, center, node, far = key[keep], center[keep], node[keep], far[keep]
     root = pa.array(_roots(center, node)) if rooted else pa.nulls(len(key), pa.int64())
-    return pa.RecordBatch.from_arrays([*map(pa.array, (key, center, node)), root], schema=PAIR)
+    return pa.RecordBatch.from_arrays([*map(pa.array, (key, center, node)), root, pa.array(far)], schema=PAIR)
 
 
 def _roots(center: np.ndarray, member: np.ndarray) -> np.ndarray:
@@ -134,19 +144,19 @@ def _global(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def stars(scratch: Scratch, sketch: DataFrame, n_keys: int) -> DataFrame:
-    """(key, center, member, root) of every bucket with two nodes or more; each member once per bucket and level."""
+    """(key, center, member, root, far) of every bucket with two nodes or more; each member once per bucket and level."""
     spark = scratch.spark
     slim = sketch.select("node", "mini", "bands").where("bands is not null")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_keys // KEYS_PER_TASK + 1)
     heads = slim.mapInArrow(_heads, "key long, node long, mini long").repartition(parts, "key")
-    every = "key long, center long, member long, root long"
+    every = "key long, center long, member long, root long, far boolean"
     return scratch.save(heads.mapInArrow(_global, every).unionByName(slim.mapInArrow(_local, every)))
 
 
 def first_pairs(multi: DataFrame) -> DataFrame:
     """(a, b): every member b with one candidate a at each level."""
     local = multi.where("root is not null").selectExpr("root as a", "member as b")
-    votes = multi.where("root is null").groupBy("center", "member").agg(F.count("*").alias("votes"))
+    votes = multi.where("root is null and not far").groupBy("center", "member").agg(F.count("*").alias("votes"))
     named = votes.groupBy(F.col("member").alias("b")).agg(F.max_by("center", F.struct("votes", -F.col("center"))).alias("a"))
     return local.unionByName(named.select("a", "b")).distinct()
 
@@ -335,7 +345,7 @@ def across(scratch: Scratch, keys: DataFrame, multi: DataFrame, labels: DataFram
     return dealt.mapInArrow(_tiles(threshold, percent, best, make_set), "a long, b long").distinct()
 
 
-def link(scratch: Scratch, sketch: DataFrame, n_keys: int, payload, make_set, percent: int = 75, slack: float = 0.16, unique: bool = False) -> DataFrame:
+def link(scratch: Scratch, sketch: DataFrame, n_keys: int, payload, make_set, percent: int = 75, slack: float = 0.2, unique: bool = False) -> DataFrame:
     """(node, component) for every node linked to a smaller one; component is the smallest node reachable.
 
     unique: no node has several rows in the sketch.

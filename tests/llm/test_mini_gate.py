@@ -1,0 +1,29 @@
+"""A pair whose mini bits disagree, and a pair across two stars that hold: both are tested."""
+
+import numpy as np
+
+from pagegrist.llm import neardup
+from pagegrist.llm.common import Scratch
+
+TEXTS = {1: range(0, 100), 2: range(0, 84), 3: [*range(0, 74), *range(200, 210)], 4: [*range(0, 62), *range(200, 210)], 11: range(500, 600), 12: range(500, 590)}
+
+
+def linked(spark, minis, bands):
+    sig = bytes(64)
+    rows = [(n, len(TEXTS[n]), sig, minis[n], bands[n]) for n in minis]
+    sketch = spark.createDataFrame(rows, "node long, n long, sig binary, mini long, bands array<long>").repartition(2)
+    payload = lambda wanted, n: spark.createDataFrame([(k, " ".join(map(str, v))) for k, v in TEXTS.items()], "node long, payload string").join(wanted, "node")
+    make = lambda text: np.array(sorted(map(int, text.split())), np.int64)
+    return {r.node: r.component for r in neardup.link(Scratch(spark, "gate"), sketch, 10, payload, make).collect()}
+
+
+def test_isolated_pair(spark):
+    assert linked(spark, {11: 0, 12: 2**20 - 1}, {11: [7], 12: [7]}) == {12: 11}
+
+
+def test_between_stars(spark):
+    """1-2 and 3-4 are stars that hold; 2 and 3 are linked, 1 and 3 are not."""
+    jaccard = lambda a, b: len(set(TEXTS[a]) & set(TEXTS[b])) / len(set(TEXTS[a]) | set(TEXTS[b]))
+    assert jaccard(1, 2) >= 0.75 > jaccard(1, 3) and jaccard(3, 4) >= 0.75 and jaccard(2, 3) >= 0.75 > jaccard(1, 4)
+    far = 2**20 - 1
+    assert linked(spark, {1: 0, 2: 0, 3: far, 4: far}, {n: [7] for n in (1, 2, 3, 4)}) == {2: 1, 3: 1, 4: 1}
