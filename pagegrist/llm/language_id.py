@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, sized_broadcast
 
-#: Labelled documents learnt from at most, and languages told apart at most (the most frequent).
-SAMPLE, LANGUAGES = 10_000, 64
+#: Labelled documents learnt from at most; all their languages are told apart.
+SAMPLE = 10_000
 SLOTS, WEIGHT, PSEUDO = 1 << 14, 40, 20.0
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
@@ -56,16 +56,16 @@ def learn(docs: DataFrame, rows: int = SAMPLE) -> tuple[list[str], np.ndarray]:
         held: dict[str, np.ndarray] = {}
         for batch in it:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                if lang in held or len(held) < 4 * LANGUAGES:
-                    held.setdefault(lang, np.zeros(SLOTS, np.int64))
-                    held[lang] += np.bincount(triplets(text), minlength=SLOTS)
+                if lang not in held:
+                    held[lang] = np.zeros(SLOTS, np.int64)
+                held[lang] += np.bincount(triplets(text), minlength=SLOTS)
         if held:
             yield pa.RecordBatch.from_pydict({"lang": list(held), "counts": [v.tobytes() for v in held.values()]})
 
     sums: dict[str, np.ndarray] = {}
     for r in few.select("lang", "text").coalesce(16).mapInArrow(counted, "lang string, counts binary").toLocalIterator():
         sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(bytes(r["counts"]), np.int64)
-    langs = sorted(sorted(sums, key=lambda x: (-sums[x].sum(), x))[:LANGUAGES])
+    langs = sorted(sums)
     if not langs:
         return [], np.zeros((0, SLOTS), np.float32)
     grid = np.array([sums[x] for x in langs], float) + 0.1
