@@ -44,8 +44,8 @@ TEMPLATES = (
     ("cc-by", "licensed under cc by 4 0", "cc by 4"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
 )
-#: Weighted share of a template that must stand in place; how many of its rarest words propose starts.
-SHARE, ANCHORS = 0.7, 2
+#: Weighted share of a template that must stand in place; its rarest words propose starts, as many as no such place lacks.
+SHARE = 0.7
 
 
 class Template(NamedTuple):
@@ -87,8 +87,11 @@ def index(weights: dict[bytes, float]) -> dict[bytes, list[tuple[int, int]]]:
     """Anchor word -> (template, position there): the rarest words of each template, one of a base phrase."""
     out: dict[bytes, list[tuple[int, int]]] = {}
     for k, t in enumerate(ALL):
-        rarest = sorted(set(t.words), key=lambda w: (-weights[w], w))[: 1 if t.base else ANCHORS]
-        for w in rarest:
+        left = total = sum(weights[w] for w in t.words)
+        for w in sorted(set(t.words), key=lambda w: (-weights[w], w)):
+            if left < (SHARE - 1e-9) * total:  # without the words so far the share is out of reach
+                break
+            left = 0.0 if t.base else left - weights[w] * t.words.count(w)
             out.setdefault(w, []).extend((k, i) for i, x in enumerate(t.words) if x == w)
     return out
 
