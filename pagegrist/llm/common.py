@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,10 +43,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = ship(spark), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, by: str | None = None) -> DataFrame:
         self.n += 1
         path = f"{self.root}/t{self.n}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -55,6 +57,21 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Hand free memory of a Python worker back to the system, before its next stage."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def fresh(name: str, *taken: list[str]) -> str:
+    """A column name that none of the taken ones equals, whatever their case."""
+    used = {x.lower() for names in taken for x in names}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a side of a counted size; unhinted beyond the bound, where the join shuffles."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

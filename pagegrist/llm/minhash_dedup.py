@@ -4,10 +4,15 @@ Circulant MinHash: one permutation scatters the shingle slots, a second one, cir
 0, 1, ... K - 1, gives all K coordinates. The shifts of one slot lie side by side in memory, so a shingle
 costs one contiguous read instead of K hashes.
 
+Equal sets are one class, named by a 64-bit hash of its own, from the start: only classes are banded and compared, so
+copies make no pairs.
+
 Defined results: a null or empty text has an empty set, is linked with nothing and is its own component;
-fewer than five words are one shingle; equal sets are one class from the start (no pairs); rows that repeat
-a doc_id are returned as often as given; a null doc_id keeps its row, unlinked (component null, kept true);
-columns besides doc_id and text are ignored.
+fewer than five words are one shingle; rows that repeat a doc_id are returned as often as given, each by its own text, and
+rows of one doc_id with different texts are
+told apart, their components being those of their texts; a null doc_id keeps its row, unlinked (component null, kept
+true); an empty table gives no row; columns besides doc_id and text are ignored. ``dedupe`` keeps the rows of the smallest
+doc_id of a component, equal rows of it as often as given, with all their columns.
 """
 
 from __future__ import annotations
@@ -19,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fixed_binary, lists, sized_broadcast, utf8
-from .hashing import mix, shingle_hashes, short_hash, text_shingle_set, word_hashes
-from .neardup import band_keys, documents_payload, link, minis
+from . import docstats
+from .common import Scratch, sized_broadcast, utf8
+from .hashing import mix, shingle_set, text_shingle_set, word_hashes
+from .neardup import Flush, banded, link
 
 K, BANDS, SLOTS = 128, 32, 1 << 20
 _STATE: dict[str, np.ndarray] = {}
@@ -47,47 +53,77 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sig", pa.binary()), ("mini", pa.int64()), ("bands", pa.list_(pa.int64()))])
+#: Rows and characters of a flush; bytes of a document for scaling a table's size to documents: only the number of partitions depends on it.
+ROWS, CHARS, TYPICAL = 5_000, 8 << 20, 1_000
+#: Classes that a task remembers, so that a repeated set gets its signature once.
+REMEMBERED = 200_000
+
+
+def class_id(shingles: np.ndarray) -> int:
+    """A 64-bit name of a set that doesn't depend on the order."""
+    pair = np.array([mix(shingles, 20).sum(dtype=np.uint64), mix(shingles, 21).sum(dtype=np.uint64) ^ np.uint64(len(shingles))], np.uint64)
+    return int(mix(mix(pair[:1], 22) ^ pair[1:], 23).view(np.int64)[0])
 
 
-def sketches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _flushes(it: Iterator[pa.RecordBatch]) -> Iterator[Flush]:
+    """Places are (doc_id, hash of the text, class, size of the set; -1 less the size where doc_id is null)."""
+    seen: set[int] = set()
+    places, nodes, sigs, n = [], [], [], 0
     for batch in it:
-        words, at = word_hashes(*utf8(batch.column("text")))
-        rows = batch.num_rows
-        n, c1, c2 = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
-        sigs = np.zeros((rows, K), np.uint32)
-        for r in range(rows):
-            w = words[at[r] : at[r + 1]]
-            s = np.unique(shingle_hashes(w)) if len(w) >= 5 else short_hash(w)
-            if len(s):
-                n[r], c1[r], c2[r], sigs[r] = len(s), mix(s, 20).sum(dtype=np.uint64), mix(s, 21).sum(dtype=np.uint64), signature(s)
-        keys = band_keys(sigs, BANDS)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), fixed_binary(sigs.astype(np.uint8)), pa.array(minis(sigs)), lists(keys.ravel(), BANDS)], schema=SKETCH)
+        for part in docstats.slices(batch):
+            data, at_byte = utf8(part.column("text"))
+            words, at = word_hashes(data, at_byte)
+            n += len(data)
+            for r, (doc, th) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("th").to_pylist())):
+                s = shingle_set(words[at[r] : at[r + 1]])
+                node = class_id(s) if len(s) else 0
+                places.append((doc or 0, th, node, len(s) if doc is not None else -1 - len(s)))
+                if len(s) and doc is not None and node not in seen:
+                    if len(seen) < REMEMBERED:
+                        seen.add(node)
+                    nodes.append(node)
+                    sigs.append(signature(s))
+            if n > CHARS or len(places) >= ROWS:
+                yield _flush(nodes, sigs, places)
+                places, nodes, sigs, n = [], [], [], 0
+    if places:
+        yield _flush(nodes, sigs, places)
+
+
+def _flush(nodes: list, sigs: list, places: list) -> Flush:
+    ids, first = np.unique(np.array(nodes, np.int64), return_index=True)  # twice where the task can't remember more
+    return Flush(ids, np.array([sigs[i] for i in first], np.uint32).reshape(-1, K), np.array(places, np.int64).reshape(-1, 4))
+
+
+def _named(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles, component_id: one row per row of docs."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    chars = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    places, pairs, crowd = banded(scratch, slim, _flushes, BANDS, chars / TYPICAL, percent)
+    rows = places.select(F.when(F.col("w") >= 0, F.col("x")).alias("doc_id"), F.col("y").alias("th"), F.when(F.col("w") > 0, F.col("z")).alias("node"), F.when(F.col("w") >= 0, F.col("w")).otherwise(-1 - F.col("w")).alias("n"))
+
+    def payload(wanted: DataFrame, m: int) -> DataFrame:
+        first = rows.join(sized_broadcast(wanted.select("node"), m), "node").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("at"))
+        by_doc = scratch.save(first.select("at.doc_id", "at.th", "node"))
+        return slim.join(sized_broadcast(by_doc, m), ["doc_id", "th"]).select("node", F.col("text").alias("payload"))
+
+    labels = link(scratch, pairs, crowd, payload, text_shingle_set, percent)
+    own = rows.join(sized_broadcast(labels, labels.count()), "node", "left").select("doc_id", "th", "n", F.coalesce("component", "node").alias("component"))
+    least = own.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).where("m > 1").select("component", "least")
+    least = scratch.save(least)
+    joined = own.join(sized_broadcast(least, least.count()), "component", "left")
+    return joined.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, one row per row of docs."""
-    scratch = Scratch(spark, "minhash")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = scratch.save(slim.mapInArrow(sketches, "doc_id long, n long, c1 long, c2 long, sig binary, mini long, bands array<long>"))
-    ids = every.select("doc_id", "n", "c1", "c2")
-    classes = ids.where("n > 0 and doc_id is not null").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("node"))
-    classes = scratch.save(classes)
-    count = classes.count()
-    heads = every.where("n > 0").join(classes.select("c1", "c2", "n", F.col("node").alias("doc_id")), ["c1", "c2", "n", "doc_id"], "left_semi")
-    sketch = scratch.save(heads.select(F.col("doc_id").alias("node"), "n", "sig", "mini", "bands"))
-    labels = link(scratch, sketch, count * BANDS, documents_payload(slim), text_shingle_set, percent, unique=True)
-    named = classes.join(labels, "node", "left").select("c1", "c2", "n", F.coalesce("component", "node").alias("component"))
-    out = ids.join(named, ["c1", "c2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
+    out = _named(spark, docs, Scratch(spark, "minhash"), percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def dedupe(spark: SparkSession, docs: DataFrame, percent: int = 75) -> DataFrame:
     """The documents of which one of each group stays; all columns of docs."""
-    out = near_duplicates(spark, docs, percent).where("not kept").select("doc_id").distinct()
-    scratch = Scratch(spark, "minhash-dropped")
-    dropped = scratch.save(out)
-    return docs.join(sized_broadcast(dropped, dropped.count()), docs["doc_id"] == dropped["doc_id"], "left_anti")
+    scratch = Scratch(spark, "minhash")
+    gone = scratch.save(_named(spark, docs, scratch, percent).where("doc_id <> component_id").select("doc_id", "th").distinct())
+    own = (docs["doc_id"].cast("long") == gone["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["th"])
+    return docs.join(sized_broadcast(gone, gone.count()), own, "left_anti")

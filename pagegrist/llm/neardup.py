@@ -1,41 +1,72 @@
-"""Linking of near-duplicates: banded signatures, exact Jaccard verification, distributed union-find.
-
-A *sketch* table has one row per item and the columns
-``node long`` (its identity), ``n long`` (size of its set), ``sig binary`` (low bytes of its MinHash
-coordinates), ``mini long`` (one bit each of 64 coordinates) and ``bands array<long>`` (one key per band, salted by the
-band's number). Equal rows may repeat.
-
-Candidates come from stars, not from all pairs. A bucket's smallest member is a center; members whose mini bits
-agree with it as the similarity asks are its star, the smallest of the others is the next center, and so on; this is done
-within an Arrow batch and then among the centers of all batches, so a hot bucket shrinks before it is shuffled. First every member is
-held against one other only: the smallest that its buckets lead to within the batch, or the one that most of its
-buckets name. Then what the stars still have in different components is tested, and last, where a star failed, the
-bucket's members are compared across components in tiles of bounded size. The other centers of a bucket are held
-against its first one in the same way, so a bucket counts as failed as long as any two of its members are in
-different components. So no pair of a bucket stays unexamined unless both ends are linked already; the mini bits only
-say which pairs are tested first. What is missed are pairs without a common bucket, and pairs whose signatures agree
-on ``slack`` less than the similarity.
+"""Linking of near-duplicates: banded signatures, candidate clusters, exact Jaccard on whole sets, distributed union-find.
+
+A source of ``Flush``es names each distinct item of a task by a 64-bit ``node`` with its MinHash coordinates, and the
+*places* where nodes stand. The steps:
+
+1. Bands. Each item gives one entry (band key, node, one bit each of 64 coordinates) a band. Entries leave a task as
+   packed arrays, one for each partition of keys, so that no row is made for each of them. Within a flush, members of a crowded
+   key that look alike are held against its first one only, and only that one goes on: a group of copies of any size reaches a
+   partition as a few rows a task.
+2. Buckets. Within a key all pairs are looked at by their bits, in small buckets one by one; large buckets are split by slices of
+   the bits first, and what is still large is held against centers. A pair is a candidate where the bits agree as
+   the similarity asks, less 5 standard deviations, and where it shares two bands, or agrees within 1.5 deviations.
+3. Clusters. Components of the candidate pairs. A cluster of bounded size goes, each text once, to one task, which finds the
+   exact similarity of all its pairs. A larger one is verified pair by pair; its nodes from crowded buckets are held against each other
+   in random blocks of bounded size, and what is then outside the cluster's largest component against all blocks.
+
+What can be missed are pairs without a common bucket (``collisions``), and pairs whose bits agree on 5 standard
+deviations less than their similarity gives on average. Nothing is gathered on the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, gathered, sized_broadcast, texts
+from .common import Scratch, release, sized_broadcast, texts
+from .hashing import mix
 
-PAIR = pa.schema([("key", pa.int64()), ("center", pa.int64()), ("member", pa.int64()), ("root", pa.int64()), ("far", pa.bool_())])
-HEAD = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("mini", pa.int64())])
-#: Mini bits that agree within a star: 3.4 standard deviations below what a similarity of 0.75 gives on average.
-AGREEING = 47
-#: Members of a bucket in one tile of the comparison across components.
-TILE = 512
-#: Keys that one task of the bucket stage sorts.
-KEYS_PER_TASK = 1_500_000
+#: Members of a bucket of which all pairs are looked at; of a key in a flush from which it is crowded.
+SMALL, CROWDED = 32, 16
+#: Nodes and characters of a cluster that one task compares; larger ones go in blocks of this size.
+CLUSTER, CLUSTER_CHARS = 512, 4 << 20
+#: Entries that one task of the bucket step sorts.
+ENTRIES = 1_500_000
+#: Edges up to which one task joins them (16 MB); beyond, rounds of joins do.
+EDGES = 1_000_000
+#: Distinct shingles multiplied at a time when a cluster is compared.
+COLUMNS = 4096
+
+ENTRY, PLACE, PAIR, CROWD = 0, 1, 2, 3
+BLOBS = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
+ROWS = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64()), ("w", pa.int64()), ("kind", pa.int8())])
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+class Flush(NamedTuple):
+    """Distinct items: node and coordinates; and places: four longs each, the third being the node."""
+
+    nodes: np.ndarray
+    signatures: np.ndarray
+    places: np.ndarray
+
+
+class Bits(NamedTuple):
+    """Agreeing bits of 64 from which a pair of shared bands is a candidate, and from which one band is enough."""
+
+    least: int
+    alone: int
+
+    @classmethod
+    def of(cls, percent: int) -> Bits:
+        p = (1 + percent / 100) / 2
+        dev = (64 * p * (1 - p)) ** 0.5
+        return cls(int(64 * p - 5 * dev), int(64 * p - 1.5 * dev))
 
 
 def collisions(n_bands: int, rows: int, similarity: float) -> float:
@@ -45,80 +76,206 @@ def collisions(n_bands: int, rows: int, similarity: float) -> float:
 
 def band_keys(signatures: np.ndarray, n_bands: int) -> np.ndarray:
     """One 64-bit key for each band of each row of a signature matrix."""
-    from .hashing import mix
-
     n, width = signatures.shape
     rows = width // n_bands
-    grid = signatures[:, : n_bands * rows].astype(np.uint64).reshape(n, n_bands, rows)
-    key = np.broadcast_to(mix(np.arange(n_bands, dtype=np.uint64), 9), (n, n_bands)).copy()
-    for k in range(rows):
-        key = mix(key ^ grid[:, :, k], 10 + k)
-    return key.view(np.int64)
+    out = np.empty((n, n_bands), np.uint64)
+    for b in range(n_bands):
+        key = np.full(n, mix(np.array([b], np.uint64), 9)[0])
+        for k in range(rows):
+            key = mix(key ^ signatures[:, b * rows + k].astype(np.uint64), 10 + k)
+        out[:, b] = key
+    return out
 
 
 def minis(signatures: np.ndarray) -> np.ndarray:
-    """The lowest bits of the first 64 coordinates of each row, mixed, in one integer."""
+    """One bit of each of the first 64 coordinates of each row, mixed, in one integer."""
     bits = ((signatures[:, :64].astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(np.int64).ravel()
-
-
-def _flat(t) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    bands = t.column("bands")
-    bands = bands.combine_chunks() if isinstance(bands, pa.ChunkedArray) else bands
-    counts = bands.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    node, mini = (np.repeat(t.column(c).to_numpy(zero_copy_only=False), counts) for c in ("node", "mini"))
-    return bands.flatten().to_numpy(zero_copy_only=False), node, mini
-
-
-def _stars(key: np.ndarray, node: np.ndarray, mini: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, node) in order, with mini, and the center of each: rounds over what has none yet."""
-    order = np.lexsort((node, key))
-    key, node, mini = key[order], node[order], mini[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    key, node, mini = key[fresh], node[fresh], mini[fresh]
-    center, rest = np.arange(len(key)), np.arange(len(key))
-    shared = np.zeros(len(key), bool)
-    shared[1:] = key[1:] == key[:-1]
-    shared[:-1] |= shared[1:]
-    rest = rest[shared]
-    while len(rest):
-        k = key[rest]
-        first = np.ones(len(rest), bool)
-        first[1:] = k[1:] != k[:-1]
-        head = rest[np.maximum.accumulate(np.where(first, np.arange(len(rest)), 0))]
-        near = 64 - np.bitwise_count((mini[rest] ^ mini[head]).view(np.uint64)).astype(np.int64) >= AGREEING
-        center[rest[near]] = head[near]
-        rest = rest[~near]
-    return key, node, mini, node[center]
-
-
-def _heads(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in gathered(it, 20_000):
-        key, node, mini, center = _stars(*_flat(t))
-        keep = node == center
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, node, mini)], schema=HEAD)
-
-
-def _edges(key: np.ndarray, node: np.ndarray, mini: np.ndarray, rooted: bool) -> pa.RecordBatch:
-    key, node, _, center = _stars(key, node, mini)
-    far = np.zeros(len(key), bool)
-    if not rooted and len(key):  # the other centers of a bucket, by its first one
-        start = np.ones(len(key), bool)
-        start[1:] = key[1:] != key[:-1]
-        first = node[np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))]
-        far = (node == center) & ~start
-        center = np.where(far, first, center)
-    keep = node != center
-    key, center, node, far = key[keep], center[keep], node[keep], far[keep]
-    root = pa.array(_roots(center, node)) if rooted else pa.nulls(len(key), pa.int64())
-    return pa.RecordBatch.from_arrays([*map(pa.array, (key, center, node)), root, pa.array(far)], schema=PAIR)
-
-
-def _roots(center: np.ndarray, member: np.ndarray) -> np.ndarray:
-    """Of each pair the smallest node that the batch's pairs lead to; of a root itself, its pair's center."""
-    ids, flat = np.unique(np.concatenate([center, member]), return_inverse=True)
-    a, b = flat[: len(center)], flat[len(center) :]
+    return np.packbits(bits, axis=1).view(np.uint64).ravel()
+
+
+def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return 64 - np.bitwise_count(x ^ y).astype(np.int64)
+
+
+def _blob(kind: int, part: int, *columns: np.ndarray) -> tuple[int, int, bytes]:
+    return part, kind, b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+
+
+def emitted(flushes: Iterator[Flush], n_bands: int, parts: int, percent: int, task: int) -> Iterator[pa.RecordBatch]:
+    """The blobs of a task's flushes."""
+    bits = Bits.of(percent)
+    for turn, (nodes, signatures, places) in enumerate(flushes):
+        away = (task + turn) % parts
+        rows = [_blob(PLACE, away, places)] if len(places) else []
+        if len(nodes):
+            key, bit = band_keys(signatures, n_bands).ravel(), minis(signatures)
+            at = np.repeat(np.arange(len(nodes)), n_bands)
+            key, at, pairs, crowd = _combined(key, at, nodes, bit, bits)
+            if len(crowd):
+                rows += [_blob(PAIR, away, *pairs), _blob(CROWD, away, crowd)]
+            part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+            order = np.argsort(part, kind="stable")
+            key, at, part = key[order].astype(np.uint32), at[order], part[order]
+            cuts = np.searchsorted(part, np.arange(parts + 1))
+            node, bit = nodes[at], bit[at]
+            rows += [_blob(ENTRY, p, key[i:j], node[i:j], bit[i:j]) for p, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), BLOBS)], schema=BLOBS)
+    release()
+
+
+def _combined(key: np.ndarray, at: np.ndarray, nodes: np.ndarray, bit: np.ndarray, bits: Bits):
+    """Without the members of crowded keys that look like their first one: those become pairs with it, and crowd."""
+    none = np.zeros(0, np.int64)
+    slots = (key >> np.uint64(46)).astype(np.int64)
+    few = np.flatnonzero(np.bincount(slots, minlength=1 << 18)[slots] >= CROWDED)
+    if not len(few):
+        return key, at, (none, none, none), none
+    few = few[np.lexsort((at[few], key[few]))]
+    k = key[few]
+    starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    size = np.diff(np.append(starts, len(k)))
+    head = np.repeat(few[starts], size)
+    alike = agreeing(bit[at[few]], bit[at[head]])
+    gone = (np.repeat(size, size) >= CROWDED) & (few != head) & (alike >= bits.alone)
+    a, b, n = nodes[at[head[gone]]], nodes[at[few[gone]]], alike[gone]
+    keep = np.ones(len(key), bool)
+    keep[few[gone]] = False
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((hi, lo))
+    lo, hi, n = lo[order], hi[order], n[order]
+    fresh = np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))[: len(lo)]
+    return key[keep], at[keep], (lo[fresh], hi[fresh], n[fresh]), np.unique(np.concatenate([a, b]))
+
+
+def _grouped(order_by: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by the last of the arrays, then the others; starts and sizes of the groups of the last one."""
+    order = np.lexsort(order_by)
+    k = order_by[-1][order]
+    starts = np.flatnonzero(np.append(True, k[1:] != k[:-1])[: len(k)])
+    return order, starts, np.diff(np.append(starts, len(k)))
+
+
+def _all_pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all pairs within groups of rows that lie together, by their distance."""
+    end = np.repeat(starts + sizes, sizes)
+    at = np.arange(len(end)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
+    d = 1
+    while len(at):
+        left = at + d < end
+        at, end = at[left], end[left]
+        if len(at):
+            yield at, at + d
+        d += 1
+
+
+def bucket_pairs(key: np.ndarray, node: np.ndarray, bit: np.ndarray, bits: Bits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows that share a key and whose bits agree, each once; and rows of groups that are held against centers only."""
+    pairs, crowd = [], []
+
+    def look(order: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        for i, j in _all_pairs(starts, sizes):
+            i, j = order[i], order[j]
+            near = agreeing(bit[i], bit[j]) >= bits.least
+            pairs.append((i[near], j[near]))
+
+    def held(rows: np.ndarray) -> None:
+        crowd.append(rows)
+        while len(rows):
+            alike = agreeing(bit[rows], bit[rows[:1]])
+            near = rows[alike >= bits.least]
+            pairs.append((np.full(len(near) - 1, rows[0]), near[1:]))
+            rows = rows[1:][alike[1:] < bits.alone]
+
+    order, starts, sizes = _grouped((node, key))
+    small = sizes <= SMALL
+    look(order, starts[small], sizes[small])
+    for s, m in zip(starts[~small], sizes[~small]):
+        rows = order[s : s + m]
+        for shift in range(0, 64, 8):
+            piece = (bit[rows] >> np.uint64(shift)) & np.uint64(255)
+            inner, first, many = _grouped((node[rows], piece))
+            inner = rows[inner]
+            fit = many <= SMALL
+            look(inner, first[fit], many[fit])
+            for x, n in zip(first[~fit], many[~fit]):
+                held(inner[x : x + n])
+    i, j = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+    i, j = np.minimum(i, j), np.maximum(i, j)
+    if not small.all():  # several slices find the same pair
+        i, j = np.divmod(np.unique(i * len(key) + j), max(1, len(key)))
+    return i, j, np.concatenate(crowd) if crowd else np.zeros(0, np.int64)
+
+
+def _rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    n = len(columns[0])
+    filled = [pa.array(c, pa.int64()) for c in columns] + [pa.array(np.zeros(n, np.int64))] * (4 - len(columns))
+    return pa.RecordBatch.from_arrays([*filled, pa.array(np.full(n, kind, np.int8))], schema=ROWS)
+
+
+def _bucketed(percent: int):
+    bits = Bits.of(percent)
+
+    def bucketed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node, bit = [], [], []
+        for batch in it:
+            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob")):
+                raw = np.frombuffer(blob.as_buffer(), np.uint8)
+                if kind == ENTRY:
+                    n = len(raw) // 20
+                    key.append(raw[: 4 * n].view(np.uint32).copy())
+                    node.append(np.frombuffer(raw[4 * n : 12 * n].tobytes(), np.int64))
+                    bit.append(np.frombuffer(raw[12 * n :].tobytes(), np.uint64))
+                elif kind == PLACE:
+                    yield _rows(PLACE, *np.frombuffer(raw.tobytes(), np.int64).reshape(-1, 4).T)
+                elif kind == PAIR:
+                    yield _rows(PAIR, *np.frombuffer(raw.tobytes(), np.int64).reshape(3, -1))
+                else:
+                    yield _rows(CROWD, np.frombuffer(raw.tobytes(), np.int64))
+        if key:
+            key, node, bit = np.concatenate(key), np.concatenate(node), np.concatenate(bit)
+            order = (np.sort(key.astype(np.uint64) << np.uint64(32) | np.arange(len(key), dtype=np.uint64)) & np.uint64(2**32 - 1)).astype(np.int64)
+            k = key[order]
+            same = np.append(k[1:] == k[:-1], False)
+            same[1:] |= same[:-1].copy()
+            order = order[same]
+            order = order[np.lexsort((node[order], key[order]))]
+            fresh = np.append(True, (key[order][1:] != key[order][:-1]) | (node[order][1:] != node[order][:-1]))[: len(order)]
+            order = order[fresh]  # a node that several tasks have counts once
+            key, node, bit = key[order], node[order], bit[order]
+            i, j, crowd = bucket_pairs(key, node, bit, bits)
+            lo, hi, alike = np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), agreeing(bit[i], bit[j])
+            for s in range(0, len(lo), 100_000):
+                yield _rows(PAIR, *(c[s : s + 100_000] for c in (lo, hi, alike)))
+            if len(crowd):
+                yield _rows(CROWD, np.unique(node[crowd]))
+        release()
+
+    return bucketed
+
+
+def banded(scratch: Scratch, items: DataFrame, source: Callable, n_bands: int, size: float, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Places (x, y, z, w), candidate pairs (a, b) and crowd nodes (node). size: about how many items there are."""
+    parts = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), int(size * n_bands) // ENTRIES + 1)
+
+    def leave(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        yield from emitted(source(it), n_bands, parts, percent, TaskContext.get().partitionId())
+
+    blobs = items.mapInArrow(leave, "part int, kind tinyint, blob binary").repartitionById(parts, "part")
+    rows = scratch.save(blobs.select("kind", "blob").mapInArrow(_bucketed(percent), "x long, y long, z long, w long, kind tinyint"), by="kind")
+    alone = Bits.of(percent).alone
+    found = rows.where(F.col("kind") == PAIR).groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("n"), F.max("z").alias("alike"))
+    pairs = scratch.save(found.where((F.col("n") > 1) | (F.col("alike") >= alone)).select("a", "b"))
+    crowd = rows.where(F.col("kind") == CROWD).select(F.col("x").alias("node")).distinct()
+    return rows.where(F.col("kind") == PLACE).select("x", "y", "z", "w"), pairs, crowd
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes of the edges, and the smallest node that each leads to."""
+    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = flat[: len(a)], flat[len(a) :]
     parent = np.arange(len(ids))
     while True:  # hook to the smallest neighbour, then jump: rounds grow with the logarithm of a path
         low = np.minimum(parent[a], parent[b])
@@ -127,269 +284,222 @@ def _roots(center: np.ndarray, member: np.ndarray) -> np.ndarray:
         np.minimum.at(new, parent[b], low)
         new = new[new]
         if (new == parent).all():
-            return ids[parent[b]]
+            return ids, ids[parent]
         parent = new
 
 
-def _local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in gathered(it, 20_000):
-        yield _edges(*_flat(t), True)
-
-
-def _global(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = list(it)
+def _joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in it]
     if held:
-        t = pa.Table.from_batches(held)
-        yield _edges(*(t.column(c).to_numpy() for c in HEAD.names), False)
-
-
-def stars(scratch: Scratch, sketch: DataFrame, n_keys: int) -> DataFrame:
-    """(key, center, member, root, far) of every bucket with two nodes or more; each member once per bucket and level."""
-    spark = scratch.spark
-    slim = sketch.select("node", "mini", "bands").where("bands is not null")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_keys // KEYS_PER_TASK + 1)
-    heads = slim.mapInArrow(_heads, "key long, node long, mini long").repartition(parts, "key")
-    every = "key long, center long, member long, root long, far boolean"
-    return scratch.save(heads.mapInArrow(_global, every).unionByName(slim.mapInArrow(_local, every)))
-
-
-def first_pairs(multi: DataFrame) -> DataFrame:
-    """(a, b): every member b with one candidate a at each level."""
-    local = multi.where("root is not null").selectExpr("root as a", "member as b")
-    votes = multi.where("root is null and not far").groupBy("center", "member").agg(F.count("*").alias("votes"))
-    named = votes.groupBy(F.col("member").alias("b")).agg(F.max_by("center", F.struct("votes", -F.col("center"))).alias("a"))
-    return local.unionByName(named.select("a", "b")).distinct()
-
-
-def _verifier(make_set: Callable[[str], np.ndarray], percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order of (a, b): two texts a pair, the pairs of one a together."""
-        last, first, kept_id, kept = None, None, None, None
-        for batch in it:
-            out_a, out_b = [], []
-            for a, b, node, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "node")), texts(batch.column("payload"))):
-                if (a, b) != last:
-                    last, first = (a, b), (node, text)
-                    continue
-                if first is None or first[0] == node:
-                    continue
-                mine, other = (first[1], text) if first[0] == a else (text, first[1])
-                if kept_id != a:
-                    kept_id, kept = a, make_set(mine)
-                theirs = make_set(other)
-                if len(kept) and len(theirs):
-                    shared = len(kept) + len(theirs) - len(np.union1d(kept, theirs))
-                    if 100 * shared >= percent * (len(kept) + len(theirs) - shared):
-                        out_a.append(a)
-                        out_b.append(b)
-                first = None
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=schema)
+        ids, root = roots(*(np.concatenate(x) for x in zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root)], names=["node", "component"])
 
-    return verify
-
-
-def verified(scratch: Scratch, pairs: DataFrame, payload: Callable[[DataFrame, int], DataFrame], make_set, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets reach the similarity. payload gives (node, payload) of wanted nodes."""
-    ends = pairs.selectExpr("a", "b", "a as node").unionByName(pairs.selectExpr("a", "b", "b as node"))
-    wanted = scratch.save(ends.select("node").distinct())
-    rows = payload(wanted, wanted.count())
-    both = rows.join(sized_broadcast(ends, 2 * pairs.count()), "node").select("a", "b", "node", "payload")
-    dealt = both.repartition("a", "b").sortWithinPartitions("a", "b", "node")
-    return dealt.mapInArrow(_verifier(make_set, percent), "a long, b long")
 
+def _forest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task as a forest: each node with its root."""
+    a, b, n = [], [], 0
 
-def _estimates(threshold: float):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    def out():
+        ids, root = roots(np.concatenate(a), np.concatenate(b))
+        return pa.RecordBatch.from_arrays([pa.array(root[ids != root]), pa.array(ids[ids != root])], schema=LINKS)
 
-    def estimate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in it:
-            n = t.num_rows
-            if not n:
-                continue
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(n, -1) for c in ("sig_a", "sig_b"))
-            keep = (x == y).mean(axis=1) >= threshold
-            yield pa.RecordBatch.from_arrays([t.column(c).filter(pa.array(keep)) for c in ("a", "b")], schema=schema)
-
-    return estimate
-
-
-def plausible(pairs: DataFrame, sketch: DataFrame, n: int, percent: int, threshold: float) -> DataFrame:
-    """Drops pairs that their sizes rule out or whose signatures agree far less than the similarity asks."""
-    side = lambda c: sized_broadcast(sketch.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")), 8 * n)
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    sized = both.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
-    return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_estimates(threshold), "a long, b long")
+    for batch in it:
+        a.append(batch.column("a").to_numpy())
+        b.append(batch.column("b").to_numpy())
+        n += batch.num_rows
+        if n >= EDGES:
+            yield out()
+            a, b, n = [], [], 0
+    if n:
+        yield out()
 
 
-def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of the edges (a, b) that is not its component's smallest node.
+def components(scratch: Scratch, edges: DataFrame, bound: int | None = None) -> DataFrame:
+    """(node, component) of every node of the edges (a, b); component is the smallest node reachable.
 
-    Rounds of hooking every label to its smallest neighbour, two pointer jumps and contraction; a round
-    shrinks every path by a constant factor, and nothing is gathered on the driver.
+    Each task joins its own edges first. What is left is joined by one task up to a counted bound, beyond it in rounds of hooking every
+    label to its smallest neighbour, two pointer jumps and contraction; a round shrinks every path by a constant
+    factor, and nothing is gathered on the driver.
     """
-    edges = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")))
+    left = scratch.save(edges.where("a <> b").mapInArrow(_forest, "a long, b long"))
+    m = left.count()
+    if m <= (EDGES if bound is None else bound):
+        return scratch.save(left.coalesce(1).mapInArrow(_joined, "node long, component long"))
+    left = left.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
     labels = None
-    while edges.take(1):
-        hooks = scratch.save(edges.groupBy("hi").agg(F.min("lo").alias("to")))
-        m = hooks.count()
+    while m:
+        hooks = scratch.save(left.groupBy("hi").agg(F.min("lo").alias("to")))
+        k = hooks.count()
         for _ in range(2):
             ahead = hooks.select(F.col("hi").alias("to"), F.col("to").alias("then"))
-            hooks = hooks.join(sized_broadcast(ahead, m), "to", "left").select("hi", F.coalesce("then", "to").alias("to"))
+            hooks = hooks.join(sized_broadcast(ahead, k), "to", "left").select("hi", F.coalesce("then", "to").alias("to"))
         hooks = scratch.save(hooks)
         own = hooks.select(F.col("hi").alias("node"), F.col("to").alias("component"))
         if labels is None:
             labels = own
         else:
-            moved = labels.join(sized_broadcast(hooks, m), F.col("component") == F.col("hi"), "left").select("node", F.coalesce("to", "component").alias("component"))
+            moved = labels.join(sized_broadcast(hooks, k), F.col("component") == F.col("hi"), "left").select("node", F.coalesce("to", "component").alias("component"))
             labels = scratch.save(moved.unionByName(own))
-        left = sized_broadcast(hooks.select("hi", F.col("to").alias("x")), m)
-        right = sized_broadcast(hooks.select(F.col("hi").alias("lo"), F.col("to").alias("y")), m)
-        contracted = edges.join(left, "hi").join(right, "lo", "left").select("x", F.coalesce("y", "lo").alias("y")).where("x <> y")
-        edges = scratch.save(contracted.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")))
-    if labels is None:
-        return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
-    return labels
-
-
-def _tiles(threshold: float, percent: int, best: bool, make_set=None):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def compare(rows: list) -> tuple[list, list]:
-        node, comp, n, side = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2, 4))
-        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-        left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
-        a, b, sets = [], [], {}
-
-        def holds(i: int, j: int) -> bool:
-            for k in (i, j):
-                if k not in sets:
-                    sets[k] = make_set(rows[k][5] or "")
-            x, y = sets[i], sets[j]
-            shared = len(x) + len(y) - len(np.union1d(x, y))
-            return bool(shared) and 100 * shared >= percent * (len(x) + len(y) - shared)
-
-        for i in left:
-            j = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (side[right] == 2))]
-            j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
-            if not len(j):
-                continue
-            near = (sig[j] == sig[i]).mean(axis=1)
-            j, near = j[near >= threshold], near[near >= threshold]
-            j = j[np.lexsort((node[j], -near))]  # the nearest first
-            if best:
-                j = j[:1]
-            for k in j.tolist():
-                if make_set:
-                    if comp[k] == comp[i] or not holds(int(i), k):
-                        continue
-                    comp[comp == comp[k]] = comp[i]  # what this link joins needs no other here
-                a.append(int(min(node[k], node[i])))
-                b.append(int(max(node[k], node[i])))
-        return a, b
-
-    def tiles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
-
-        def out():
-            a, b = compare(held)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
-
-        names = ["key", "i", "j", "node", "comp", "n", "sig", "side", *(["payload"] if make_set else [])]
+        one = sized_broadcast(hooks.select("hi", F.col("to").alias("p")), k)
+        two = sized_broadcast(hooks.select(F.col("hi").alias("lo"), F.col("to").alias("q")), k)
+        contracted = left.join(one, "hi").join(two, "lo", "left").select("p", F.coalesce("q", "lo").alias("q")).where("p <> q")
+        left = scratch.save(contracted.select(F.greatest("p", "q").alias("hi"), F.least("p", "q").alias("lo")).distinct())
+        m = left.count()
+    own = labels.select(F.col("component").alias("node"), "component").distinct()
+    return scratch.save(labels.unionByName(own))
+
+
+def linked(sets: list[np.ndarray], percent: int, other: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the sets whose exact similarity reaches the percentage: i < j among one list, or i of the one and j of the other."""
+    both = sets if other is None else sets + other
+    n, sizes = len(sets), np.array([len(x) for x in both], np.int64)
+    if len(both) < 2 or not sizes.sum():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, column = np.unique(np.concatenate(both), return_inverse=True)
+    row = np.repeat(np.arange(len(both)), sizes)
+    shared = np.bincount(column)[column] > 1  # a shingle of one set only is in no intersection
+    row, column = row[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    rights = both if other is None else other
+    common = np.zeros((n, len(rights)), np.float64)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, width, COLUMNS):
+        i, j = np.searchsorted(column, (at, at + COLUMNS))
+        grid = np.zeros((len(both), min(COLUMNS, width - at)), np.float32)
+        grid[row[i:j], column[i:j] - at] = 1
+        common += grid[:n] @ (grid if other is None else grid[n:]).T
+    size = sizes.astype(float)
+    union = size[:n, None] + (size if other is None else size[n:])[None, :] - common
+    hit = (common > 0) & (100 * common >= percent * union)
+    i, j = np.nonzero(hit)
+    return (i[i < j], j[i < j]) if other is None else (i, j)
+
+
+def _edges(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=LINKS)
+
+
+def _clusters(make_set: Callable[[str], np.ndarray], percent: int, keys: tuple[str, ...]):
+    """Rows come by group (keys); what links the texts of a group comes out, as a forest."""
+
+    def compare(node: list, sets: list, side: list) -> pa.RecordBatch:
+        node, side = np.array(node, np.int64), np.array(side)
+        left, right = np.flatnonzero(side <= 1), np.flatnonzero(side == 2)
+        if len(right):
+            i, j = linked([sets[x] for x in left], percent, [sets[x] for x in right])
+            a, b = node[left[i]], node[right[j]]
+        else:
+            i, j = linked(sets, percent)
+            a, b = node[i], node[j]
+        if not len(a):
+            return _edges([], [])
+        ids, root = roots(a, b)
+        return _edges(root[ids != root], ids[ids != root])
+
+    def clusters(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, node, sets, side = None, [], [], []
         for batch in it:
-            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in names)):
-                if (key, i, j) != last:
-                    if held:
-                        yield out()
-                    last, held = (key, i, j), []
-                held.append(row)
-        if held:
-            yield out()
+            grown = []
+            for key, n, s, text in zip(zip(*(batch.column(k).to_pylist() for k in keys)), batch.column("node").to_pylist(), batch.column("side").to_pylist(), batch.column("payload")):
+                if key != last:
+                    if len(node) > 1:
+                        grown.append(compare(node, sets, side))
+                    last, node, sets, side = key, [], [], []
+                if node and node[-1] == n and side[-1] == s:  # the same text of equal rows
+                    continue
+                node.append(n)
+                side.append(s)
+                sets.append(make_set(text.as_py() or ""))
+            yield from grown
+        if len(node) > 1:
+            yield compare(node, sets, side)
+        release()
 
-    return tiles
+    return clusters
 
 
-def apart(multi: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of multi whose two nodes are in different components."""
-    n = labels.count()
-    side = lambda c: sized_broadcast(labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")), n)
-    both = multi.select("key", "center", "member").join(side("center"), "center", "left").join(side("member"), "member", "left")
-    return both.where(F.coalesce("c_center", "center") != F.coalesce("c_member", "member")).select("key", "center", "member")
+def _verifier(make_set: Callable[[str], np.ndarray], percent: int):
+    def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of (a, b): two texts a pair, the pairs of one a together."""
+        last, first, kept_id, kept = None, None, None, None
+        for batch in it:
+            out = []
+            for a, b, node, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "node")), batch.column("payload")):
+                if (a, b) != last:
+                    last, first = (a, b), (node, text)
+                    continue
+                if first is None or first[0] == node:
+                    continue
+                mine, theirs = (first[1], text) if first[0] == a else (text, first[1])
+                if kept_id != a:
+                    kept_id, kept = a, make_set(mine.as_py() or "")
+                if len(linked([kept, make_set(theirs.as_py() or "")], percent)[0]):
+                    out.append((a, b))
+                first = None
+            if out:
+                yield _edges(*zip(*out))
+        release()
 
+    return verify
 
-def across(scratch: Scratch, keys: DataFrame, multi: DataFrame, labels: DataFrame, sketch: DataFrame, percent: int, threshold: float, payload=None, make_set=None) -> DataFrame:
-    """Pairs (a, b) of different components within the buckets of these keys, where stars failed.
 
-    Without a payload: of a node the plausible pair that looks nearest, tile by tile. With
-    one, every plausible pair is held against its full sets inside the tile, and those that link what isn't linked
-    yet come out: as many as members, not as pairs.
-    """
-    rows = multi.join(sized_broadcast(keys, keys.count()), "key", "left_semi")
-    rows = rows.selectExpr("key", "center as node").unionByName(rows.selectExpr("key", "member as node")).distinct()
-    rows = rows.join(sized_broadcast(labels, labels.count()), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    rows = scratch.save(rows)
-    best = payload is None
-    several = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("m > 2 and c0 <> c1")
-    blocks = F.ceil(F.col("m") / TILE).cast("int")
-    dealt = rows.join(several.select("key", "m"), "key").join(sketch.select("node", "n", "sig"), "node")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp", "n", "sig",
-        F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2).alias("side"),
-    )
-    if not best:
-        wanted = scratch.save(rows.select("node").distinct())
-        dealt = dealt.join(payload(wanted, wanted.count()), "node")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    return dealt.mapInArrow(_tiles(threshold, percent, best, make_set), "a long, b long").distinct()
-
-
-def link(scratch: Scratch, sketch: DataFrame, n_keys: int, payload, make_set, percent: int = 75, slack: float = 0.2, unique: bool = False) -> DataFrame:
-    """(node, component) for every node linked to a smaller one; component is the smallest node reachable.
-
-    unique: no node has several rows in the sketch.
+def verified(pairs: DataFrame, n: int, got: DataFrame, make_set, percent: int) -> DataFrame:
+    """Those of the pairs (a, b), n of them, whose full sets reach the similarity. got: (node, payload)."""
+    ends = pairs.selectExpr("a", "b", "a as node").unionByName(pairs.selectExpr("a", "b", "b as node"))
+    both = got.join(sized_broadcast(ends, 2 * n), "node").select("a", "b", "node", "payload")
+    return both.repartition("a", "b").sortWithinPartitions("a", "b", "node").mapInArrow(_verifier(make_set, percent), "a long, b long")
+
+
+def _large(scratch: Scratch, pairs: DataFrame, crowd: DataFrame, got: DataFrame, large: DataFrame, make_set, percent: int) -> DataFrame:
+    """The links within clusters beyond the bounds. got: (node, cluster, payload); large: (cluster, blocks)."""
+    few = large.count()
+    own = scratch.save(got.join(sized_broadcast(large, few), "cluster").select("node", "cluster", "blocks", "payload").dropDuplicates(["node"]))
+    ids = own.select("node")
+    some = scratch.save(pairs.join(ids.select(F.col("node").alias("a")), "a", "left_semi"))
+    edges = scratch.save(verified(some, some.count(), own, make_set, percent))
+    own = own.join(crowd, "node", "left_semi")
+    own = own.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), "blocks")).withColumn("chars", F.length("payload"))
+    own = scratch.save(own.withColumn("side", F.lit(1)))
+    if not own.take(1):
+        return edges
+    keys = ("cluster", "block")
+    inner = own.select(*keys, "node", "side", "payload").repartition(*keys).sortWithinPartitions(*keys, "node")
+    edges = scratch.save(edges.unionByName(inner.mapInArrow(_clusters(make_set, percent, keys), "a long, b long")))
+    labels = components(scratch, edges)
+    placed = scratch.save(own.select("node", "cluster", "chars").join(labels, "node", "left").select("node", "cluster", "chars", F.coalesce("component", "node").alias("component")))
+    sizes = placed.groupBy("cluster", "component").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
+    apart = scratch.save(placed.join(sized_broadcast(main, few), "cluster").where("component <> main").select("node", "cluster", "chars"))
+    if not apart.take(1):
+        return edges
+    # each text that is outside goes to all blocks of its cluster, each block that has one of them or more to as many places as there are blocks of them
+    groups = scratch.save(apart.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / CLUSTER, F.sum("chars") / CLUSTER_CHARS)).cast("long").alias("groups")))
+    g = sized_broadcast(groups, groups.count())
+    left = own.join(apart.select("node"), "node", "left_semi").join(g, "cluster")
+    left = left.select("cluster", F.pmod(F.xxhash64("node", F.lit(6)), "groups").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), "node", F.lit(1).alias("side"), "payload")
+    right = own.join(g, "cluster").select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("i"), F.col("block").alias("j"), "node", F.lit(2).alias("side"), "payload")
+    keys = ("cluster", "i", "j")
+    dealt = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "side", "node")
+    return scratch.save(edges.unionByName(dealt.mapInArrow(_clusters(make_set, percent, keys), "a long, b long").where("a <> b")))
+
+
+def link(scratch: Scratch, pairs: DataFrame, crowd: DataFrame, payload, make_set, percent: int = 75) -> DataFrame:
+    """(node, component) for every node that is linked; component is the smallest node reachable.
+
+    payload gives (node, payload) of wanted nodes, a row or more each, their texts equal as sets.
     """
-    threshold = percent / 100 - slack
-    multi = stars(scratch, sketch, n_keys)
-    ends = scratch.save(multi.selectExpr("center as node").unionByName(multi.selectExpr("member as node")).distinct())
-    near = sketch.select("node", "n", "sig").join(sized_broadcast(ends, ends.count()), "node", "left_semi")
-    sketch = scratch.save(near if unique else near.dropDuplicates(["node"]))
-    n = sketch.count()
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        return scratch.save(verified(scratch, scratch.save(plausible(pairs, sketch, n, percent, threshold)), payload, make_set, percent))
-
-    tried = scratch.save(first_pairs(multi))
-    edges = tested(tried)
-    labels = scratch.save(components(scratch, edges))
-    second = apart(multi, labels).selectExpr("center as a", "member as b").distinct()
-    second = scratch.save(second.join(tried, ["a", "b"], "left_anti"))
-    if second.take(1):
-        edges = edges.unionByName(tested(second))
-        tried = tried.unionByName(second)
-        labels = scratch.save(components(scratch, edges))
-    for best in (True, False):  # what merges by the nearest pairs needs no other; the last round leaves nothing out
-        crowded = multi.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        keys = scratch.save(apart(multi, labels).select("key").distinct().join(crowded, "key", "left_semi"))
-        if not keys.take(1):
-            break
-        if best:
-            third = across(scratch, keys, multi, labels, sketch, percent, threshold)
-            third = scratch.save(third.join(tried, ["a", "b"], "left_anti"))
-            found = scratch.save(verified(scratch, third, payload, make_set, percent)) if third.take(1) else third
-        else:
-            found = scratch.save(across(scratch, keys, multi, labels, sketch, percent, threshold, payload, make_set))
-        if found.take(1):
-            edges = edges.unionByName(found)
-            labels = scratch.save(components(scratch, edges))
-    return labels
-
-
-def documents_payload(docs: DataFrame, node: str = "doc_id", text: str = "text"):
-    """Payload of document nodes: a semi join first, so that only wanted texts move."""
-
-    def payload(wanted: DataFrame, rows: int) -> DataFrame:
-        return docs.select(F.col(node).alias("node"), F.col(text).alias("payload")).join(sized_broadcast(wanted, rows), "node")
-
-    return payload
+    cluster = components(scratch, pairs).withColumnRenamed("component", "cluster")
+    m = cluster.count()
+    got = scratch.save(payload(cluster, m).join(sized_broadcast(cluster, m), "node").select("node", "cluster", "payload"))
+    sizes = got.groupBy("cluster").agg(F.count("*").alias("m"), F.sum(F.length("payload")).alias("chars"))
+    blocks = F.ceil(F.greatest(F.col("m") / CLUSTER, F.col("chars") / CLUSTER_CHARS)).cast("long")
+    large = scratch.save(sizes.select("cluster", blocks.alias("blocks")).where("blocks > 1"))
+    few = large.count()
+    fit = got.join(sized_broadcast(large, few), "cluster", "left_anti") if few else got
+    fit = fit.select("cluster", "node", F.lit(1).alias("side"), "payload").repartition("cluster").sortWithinPartitions("cluster", "node")
+    edges = fit.mapInArrow(_clusters(make_set, percent, ("cluster",)), "a long, b long")
+    if few:
+        edges = edges.unionByName(_large(scratch, pairs, crowd, got, large, make_set, percent))
+    return components(scratch, edges)

@@ -9,9 +9,11 @@ from pagegrist.llm import minhash_dedup, neardup
 from pagegrist.llm.hashing import text_shingle_set
 
 
-@pytest.mark.parametrize("tile", [512, 40])
-def test_group(spark, monkeypatch, tile):
-    monkeypatch.setattr(neardup, "TILE", tile)
+@pytest.mark.parametrize("cluster, small, crowded", [(512, 32, 16), (512, 4, 3), (40, 4, 3), (40, 32, 1000)])
+def test_group(spark, monkeypatch, cluster, small, crowded):
+    monkeypatch.setattr(neardup, "CLUSTER", cluster)
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "CROWDED", crowded)
     rng = random.Random(21)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
     base = [word() for _ in range(140)]

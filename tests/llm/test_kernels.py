@@ -60,27 +60,74 @@ def test_signatures_estimate():
 
 def test_line_signatures():
     lines = ["the quick brown fox jumps over the lazy dog today", "the quick brown fox jumps over the lazy dog todax", "short", "entirely different words stand in this line of text", "x" * 200_000]
-    sig, count = line_dedup.signatures(lines)
-    assert count.tolist() == [len(x) - 4 for x in lines]
+    sig = line_dedup.signatures(lines)
+    hashes, start = line_dedup._hashes(lines)
+    assert np.diff(np.append(start, len(hashes))).tolist() == [len(x) - 4 for x in lines]
     agree = lambda i, j: (sig[i] == sig[j]).mean()
-    assert agree(0, 1) > 0.7 and agree(0, 3) < 0.3 and (line_dedup.signatures(lines[:1])[0] == sig[:1]).all()
+    assert agree(0, 1) > 0.7 and agree(0, 3) < 0.3 and (line_dedup.signatures(lines[:1]) == sig[:1]).all() and line_dedup.signatures([]).shape == (0, line_dedup.K)
 
 
-def test_stars_cover_buckets():
+def brute_pairs(key, node, bit, least):
+    rows = sorted({(k, n, b) for k, n, b in zip(key.tolist(), node.tolist(), bit.tolist())})
+    return {(m, n) for k, m, b in rows for j, n, c in rows if k == j and m < n and 64 - (b ^ c).bit_count() >= least}
+
+
+@pytest.mark.parametrize("small", [1000, 8])
+def test_bucket_pairs(monkeypatch, small):
+    """Small buckets give all pairs that agree; large ones at least join all that agree well, and no other pair."""
+    monkeypatch.setattr(neardup, "SMALL", small)
     rng = np.random.default_rng(3)
-    key, node = rng.integers(0, 20, 400), rng.integers(0, 60, 400)
-    mini = np.where(node % 2 == 0, 0, -1)  # two camps that don't agree
-    k, n, _, c = neardup._stars(key, node, mini)
-    assert {(a, b) for a, b in zip(k.tolist(), n.tolist())} == {(a, b) for a, b in zip(key.tolist(), node.tolist())}
-    for a in set(k.tolist()):
-        for camp in (0, 1):
-            inside = n[(k == a) & (n % 2 == camp)]
-            assert set(c[(k == a) & (n % 2 == camp)].tolist()) <= {inside.min()} if len(inside) else True
+    base = rng.integers(0, 2**63, 6, dtype=np.uint64)
+    node = np.arange(240)
+    key = rng.integers(0, 6, 240).astype(np.uint32)
+    bit = base[rng.integers(0, 6, 240)] ^ (np.uint64(1) << rng.integers(0, 64, 240).astype(np.uint64))
+    bits = neardup.Bits.of(75)
+    assert (bits.least, bits.alone) == (42, 52)
+    i, j, crowd = neardup.bucket_pairs(key, node, bit, bits)
+    got, want = set(zip(node[i].tolist(), node[j].tolist())), brute_pairs(key, node, bit, bits.least)
+    assert len(got) == len(i) and got <= want
+    if small == 1000:
+        assert got == want and not len(crowd)
+    for k in set(key.tolist()):
+        root = grouped_by(set(node[key == k].tolist()), [(a, b) for a, b in got if key[a] == k])
+        assert all(root[a] == root[b] for a, b in brute_pairs(key, node, bit, bits.alone) if key[a] == k)
+
+
+def grouped_by(nodes, pairs):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {n: find(n) for n in nodes}
+
+
+def test_crowded_keys_shrink():
+    bits = neardup.Bits.of(75)
+    nodes = np.arange(100, 150)
+    key, at = np.repeat(np.array([7, 9], np.uint64) << np.uint64(50), (40, 10)), np.arange(50)
+    bit = np.zeros(50, np.uint64)
+    bit[5] = 2**40 - 1  # in the crowd but unlike its first one
+    left, place, (a, b, n), crowd = neardup._combined(key, at, nodes, bit, bits)
+    assert place.tolist() == [0, 5, *range(40, 50)] and set(a.tolist()) == {100} and b.tolist() == [x for x in range(101, 140) if x != 105] and set(crowd.tolist()) == {100, *b.tolist()}
 
 
 def test_roots():
-    center, member = np.array([1, 2, 5, 7]), np.array([2, 3, 6, 8])
-    assert neardup._roots(center, member).tolist() == [1, 1, 5, 7]
+    ids, root = neardup.roots(np.array([1, 2, 5, 8]), np.array([2, 3, 6, 7]))
+    assert dict(zip(ids.tolist(), root.tolist())) == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 7, 8: 7}
+
+
+def test_linked():
+    rng = random.Random(9)
+    sets = [np.array(sorted(rng.sample(range(30), rng.randint(0, 25))), np.uint64) for _ in range(40)]
+    near = lambda x, y: len(x & y) and 100 * len(x & y) >= 60 * len(x | y)
+    plain = [set(x.tolist()) for x in sets]
+    assert set(zip(*map(np.ndarray.tolist, neardup.linked(sets, 60)))) == {(i, j) for j in range(40) for i in range(j) if near(plain[i], plain[j])}
+    assert set(zip(*map(np.ndarray.tolist, neardup.linked(sets[:10], 60, sets[10:])))) == {(i, j) for i in range(10) for j in range(30) if near(plain[i], plain[j + 10])}
 
 
 def test_fullest_is_best():
@@ -93,6 +140,18 @@ def test_fullest_is_best():
         assert sum(k * n for k, n in got.items()) == best and all(n <= counts[k] for k, n in got.items())
 
 
+def least_bins(counts, size):
+    """The bound of Martello and Toth: of each cut, the pieces over half, and what the middle ones need beyond the room that those leave."""
+    best = 0
+    for cut in range(size // 2 + 1):
+        big = sum(v for k, v in counts.items() if k > size - cut)
+        half = {k: v for k, v in counts.items() if size / 2 < k <= size - cut}
+        rest = sum(k * v for k, v in counts.items() if cut <= k <= size / 2)
+        room = sum((size - k) * v for k, v in half.items())
+        best = max(best, big + sum(half.values()) + max(0, -(-(rest - room) // size)))
+    return best
+
+
 def test_patterns_place_all():
     rng = random.Random(4)
     counts = {k: rng.randint(0, 50) for k in range(1, 129)}
@@ -103,8 +162,7 @@ def test_patterns_place_all():
         for k, n in p.items():
             placed[k] += bins * n
     assert dict(placed) == {k: v for k, v in counts.items() if v}
-    least = max(-(-sum(k * v for k, v in counts.items()) // 128), sum(v for k, v in counts.items() if k > 64))
-    assert sum(b for b, _ in plan) <= least * 1.02 + 1
+    assert sum(b for b, _ in plan) <= least_bins(counts, 128) * 1.02 + 1
 
 
 def test_pieces():
