@@ -99,7 +99,7 @@ def _named(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int)
     """doc_id, th (hash of the text), n_shingles, component_id: one row per row of docs."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     chars = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    places, pairs, crowd = banded(scratch, slim, _flushes, BANDS, chars / TYPICAL, percent)
+    places, pairs = banded(scratch, slim, _flushes, BANDS, chars / TYPICAL, percent)
     rows = places.select(F.when(F.col("w") >= 0, F.col("x")).alias("doc_id"), F.col("y").alias("th"), F.when(F.col("w") > 0, F.col("z")).alias("node"), F.when(F.col("w") >= 0, F.col("w")).otherwise(-1 - F.col("w")).alias("n"))
 
     def payload(wanted: DataFrame, m: int) -> DataFrame:
@@ -107,7 +107,7 @@ def _named(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int)
         by_doc = scratch.save(first.select("at.doc_id", "at.th", "node"))
         return slim.join(sized_broadcast(by_doc, m), ["doc_id", "th"]).select("node", F.col("text").alias("payload"))
 
-    labels = link(scratch, pairs, crowd, payload, text_shingle_set, percent)
+    labels = link(scratch, pairs, payload, text_shingle_set, percent)
     own = rows.join(sized_broadcast(labels, labels.count()), "node", "left").select("doc_id", "th", "n", F.coalesce("component", "node").alias("component"))
     least = own.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).where("m > 1").select("component", "least")
     least = scratch.save(least)

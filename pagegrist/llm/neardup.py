@@ -9,13 +9,15 @@ A source of ``Flush``es names each distinct item of a task by a 64-bit ``node``
    partition as a few rows a task.
 2. Buckets. Within a key all pairs are looked at by their bits, in small buckets one by one; large buckets are split by slices of
    the bits first, and what is still large is held against centers. A pair is a candidate where the bits agree as
-   the similarity asks, less 5 standard deviations, and where it shares two bands, or agrees within 1.5 deviations.
+   the similarity asks, less 4.5 standard deviations, and where it shares two bands, or agrees within 1.5 deviations. Of the latter a
+   bucket gives a forest only: what is joined by it is compared anyway.
 3. Clusters. Components of the candidate pairs. A cluster of bounded size goes, each text once, to one task, which finds the
-   exact similarity of all its pairs. A larger one is verified pair by pair; its nodes from crowded buckets are held against each other
-   in random blocks of bounded size, and what is then outside the cluster's largest component against all blocks.
+   exact similarity of all its pairs. In a larger one the candidates are measured first and those below ``LOOSE`` go, which takes
+   apart what chance has joined; what is still large is compared in random blocks of bounded size, and what is then outside
+   the cluster's largest component with all blocks.
 
-What can be missed are pairs without a common bucket (``collisions``), and pairs whose bits agree on 5 standard
-deviations less than their similarity gives on average. Nothing is gathered on the driver.
+What can be missed are pairs without a common bucket (``collisions``), and pairs whose bits agree on 4.5 standard
+deviations less than their similarity gives on average: 2 in 100,000 of those at exactly 0.75. Nothing is gathered on the driver.
 """
 
 from __future__ import annotations
@@ -42,7 +44,10 @@ EDGES = 1_000_000
 #: Distinct shingles multiplied at a time when a cluster is compared.
 COLUMNS = 4096
 
-ENTRY, PLACE, PAIR, CROWD = 0, 1, 2, 3
+#: Percentage of similarity below which a candidate doesn't hold a large cluster together.
+LOOSE = 30
+
+ENTRY, PLACE, PAIR = 0, 1, 2
 BLOBS = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
 ROWS = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64()), ("w", pa.int64()), ("kind", pa.int8())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -66,7 +71,7 @@ class Bits(NamedTuple):
     def of(cls, percent: int) -> Bits:
         p = (1 + percent / 100) / 2
         dev = (64 * p * (1 - p)) ** 0.5
-        return cls(int(64 * p - 5 * dev), int(64 * p - 1.5 * dev))
+        return cls(int(64 * p - 4.5 * dev), int(64 * p - 1.5 * dev))
 
 
 def collisions(n_bands: int, rows: int, similarity: float) -> float:
@@ -110,9 +115,9 @@ def emitted(flushes: Iterator[Flush], n_bands: int, parts: int, percent: int, ta
         if len(nodes):
             key, bit = band_keys(signatures, n_bands).ravel(), minis(signatures)
             at = np.repeat(np.arange(len(nodes)), n_bands)
-            key, at, pairs, crowd = _combined(key, at, nodes, bit, bits)
-            if len(crowd):
-                rows += [_blob(PAIR, away, *pairs), _blob(CROWD, away, crowd)]
+            key, at, pairs = _combined(key, at, nodes, bit, bits)
+            if len(pairs[0]):
+                rows.append(_blob(PAIR, away, *pairs))
             part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
             order = np.argsort(part, kind="stable")
             key, at, part = key[order].astype(np.uint32), at[order], part[order]
@@ -125,12 +130,12 @@ def emitted(flushes: Iterator[Flush], n_bands: int, parts: int, percent: int, ta
 
 
 def _combined(key: np.ndarray, at: np.ndarray, nodes: np.ndarray, bit: np.ndarray, bits: Bits):
-    """Without the members of crowded keys that look like their first one: those become pairs with it, and crowd."""
+    """Without the members of crowded keys that look like their first one: those become pairs with it."""
     none = np.zeros(0, np.int64)
     slots = (key >> np.uint64(46)).astype(np.int64)
     few = np.flatnonzero(np.bincount(slots, minlength=1 << 18)[slots] >= CROWDED)
     if not len(few):
-        return key, at, (none, none, none), none
+        return key, at, (none, none, none)
     few = few[np.lexsort((at[few], key[few]))]
     k = key[few]
     starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
@@ -145,7 +150,7 @@ def _combined(key: np.ndarray, at: np.ndarray, nodes: np.ndarray, bit: np.ndarra
     order = np.lexsort((hi, lo))
     lo, hi, n = lo[order], hi[order], n[order]
     fresh = np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))[: len(lo)]
-    return key[keep], at[keep], (lo[fresh], hi[fresh], n[fresh]), np.unique(np.concatenate([a, b]))
+    return key[keep], at[keep], (lo[fresh], hi[fresh], n[fresh])
 
 
 def _grouped(order_by: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,23 +174,41 @@ def _all_pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarr
         d += 1
 
 
-def bucket_pairs(key: np.ndarray, node: np.ndarray, bit: np.ndarray, bits: Bits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows that share a key and whose bits agree, each once; and rows of groups that are held against centers only."""
-    pairs, crowd = [], []
+def forest(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Places of those of the edges (i, j) that join all that they all join: for each j its smallest i, then what is still apart."""
+    kept = []
+    left = np.arange(len(i))
+    a, b = i, j
+    while len(left):
+        order = np.lexsort((a[left], b[left]))
+        first = left[order][np.append(True, b[left][order][1:] != b[left][order][:-1])]
+        kept.append(first)
+        ids, root = roots(i[np.concatenate(kept)], j[np.concatenate(kept)])
+        of = np.arange(max(i.max(), j.max()) + 1)
+        of[ids] = root
+        a, b = np.minimum(of[i], of[j]), np.maximum(of[i], of[j])
+        left = left[a[left] != b[left]]
+    return np.concatenate(kept) if kept else left
+
+
+def bucket_pairs(key: np.ndarray, node: np.ndarray, bit: np.ndarray, bits: Bits) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows that share a key and whose bits agree, each once; of those that agree well, a forest."""
+    strong, weak = [], []
+
+    def sort(i: np.ndarray, j: np.ndarray) -> None:
+        alike = agreeing(bit[i], bit[j])
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        for out, mine in ((strong, alike >= bits.alone), (weak, (alike >= bits.least) & (alike < bits.alone))):
+            out.append((i[mine], j[mine]))
 
     def look(order: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         for i, j in _all_pairs(starts, sizes):
-            i, j = order[i], order[j]
-            near = agreeing(bit[i], bit[j]) >= bits.least
-            pairs.append((i[near], j[near]))
+            sort(order[i], order[j])
 
     def held(rows: np.ndarray) -> None:
-        crowd.append(rows)
-        while len(rows):
-            alike = agreeing(bit[rows], bit[rows[:1]])
-            near = rows[alike >= bits.least]
-            pairs.append((np.full(len(near) - 1, rows[0]), near[1:]))
-            rows = rows[1:][alike[1:] < bits.alone]
+        while len(rows) > 1:
+            sort(np.full(len(rows) - 1, rows[0]), rows[1:])
+            rows = rows[1:][agreeing(bit[rows[1:]], bit[rows[:1]]) < bits.alone]
 
     order, starts, sizes = _grouped((node, key))
     small = sizes <= SMALL
@@ -200,11 +223,19 @@ def bucket_pairs(key: np.ndarray, node: np.ndarray, bit: np.ndarray, bits: Bits)
             look(inner, first[fit], many[fit])
             for x, n in zip(first[~fit], many[~fit]):
                 held(inner[x : x + n])
-    i, j = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
-    i, j = np.minimum(i, j), np.maximum(i, j)
-    if not small.all():  # several slices find the same pair
-        i, j = np.divmod(np.unique(i * len(key) + j), max(1, len(key)))
-    return i, j, np.concatenate(crowd) if crowd else np.zeros(0, np.int64)
+    none = np.zeros(0, np.int64)
+    i, j = (np.concatenate(x) for x in zip(*strong)) if strong else (none, none)
+    tree = forest(i, j)
+    i, j = i[tree], j[tree]
+    p, q = (np.concatenate(x) for x in zip(*weak)) if weak else (none, none)
+    if len(p):
+        p, q = np.divmod(np.unique(p * len(key) + q), len(key))  # several slices find the same pair
+        ids, root = roots(i, j)
+        of = np.arange(len(key))
+        of[ids] = root
+        apart = of[p] != of[q]
+        p, q = p[apart], q[apart]
+    return np.concatenate([i, p]), np.concatenate([j, q])
 
 
 def _rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
@@ -228,10 +259,8 @@ def _bucketed(percent: int):
                     bit.append(np.frombuffer(raw[12 * n :].tobytes(), np.uint64))
                 elif kind == PLACE:
                     yield _rows(PLACE, *np.frombuffer(raw.tobytes(), np.int64).reshape(-1, 4).T)
-                elif kind == PAIR:
-                    yield _rows(PAIR, *np.frombuffer(raw.tobytes(), np.int64).reshape(3, -1))
                 else:
-                    yield _rows(CROWD, np.frombuffer(raw.tobytes(), np.int64))
+                    yield _rows(PAIR, *np.frombuffer(raw.tobytes(), np.int64).reshape(3, -1))
         if key:
             key, node, bit = np.concatenate(key), np.concatenate(node), np.concatenate(bit)
             order = (np.sort(key.astype(np.uint64) << np.uint64(32) | np.arange(len(key), dtype=np.uint64)) & np.uint64(2**32 - 1)).astype(np.int64)
@@ -243,19 +272,17 @@ def _bucketed(percent: int):
             fresh = np.append(True, (key[order][1:] != key[order][:-1]) | (node[order][1:] != node[order][:-1]))[: len(order)]
             order = order[fresh]  # a node that several tasks have counts once
             key, node, bit = key[order], node[order], bit[order]
-            i, j, crowd = bucket_pairs(key, node, bit, bits)
+            i, j = bucket_pairs(key, node, bit, bits)
             lo, hi, alike = np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), agreeing(bit[i], bit[j])
             for s in range(0, len(lo), 100_000):
                 yield _rows(PAIR, *(c[s : s + 100_000] for c in (lo, hi, alike)))
-            if len(crowd):
-                yield _rows(CROWD, np.unique(node[crowd]))
         release()
 
     return bucketed
 
 
-def banded(scratch: Scratch, items: DataFrame, source: Callable, n_bands: int, size: float, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Places (x, y, z, w), candidate pairs (a, b) and crowd nodes (node). size: about how many items there are."""
+def banded(scratch: Scratch, items: DataFrame, source: Callable, n_bands: int, size: float, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Places (x, y, z, w) and candidate pairs (a, b). size: about how many items there are."""
     parts = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), int(size * n_bands) // ENTRIES + 1)
 
     def leave(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +295,7 @@ def banded(scratch: Scratch, items: DataFrame, source: Callable, n_bands: int, s
     alone = Bits.of(percent).alone
     found = rows.where(F.col("kind") == PAIR).groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("n"), F.max("z").alias("alike"))
     pairs = scratch.save(found.where((F.col("n") > 1) | (F.col("alike") >= alone)).select("a", "b"))
-    crowd = rows.where(F.col("kind") == CROWD).select(F.col("x").alias("node")).distinct()
-    return rows.where(F.col("kind") == PLACE).select("x", "y", "z", "w"), pairs, crowd
+    return rows.where(F.col("kind") == PLACE).select("x", "y", "z", "w"), pairs
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -353,8 +379,12 @@ def linked(sets: list[np.ndarray], percent: int, other: list[np.ndarray] | None
     """Places (i, j) of the sets whose exact similarity reaches the percentage: i < j among one list, or i of the one and j of the other."""
     both = sets if other is None else sets + other
     n, sizes = len(sets), np.array([len(x) for x in both], np.int64)
+    none = np.zeros(0, np.int64)
     if len(both) < 2 or not sizes.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none
+    if n == 2 and other is None:
+        common = len(np.intersect1d(*sets, assume_unique=True))
+        return (none, none) if not common or 100 * common < percent * (sizes.sum() - common) else (np.array([0]), np.array([1]))
     _, column = np.unique(np.concatenate(both), return_inverse=True)
     row = np.repeat(np.arange(len(both)), sizes)
     shared = np.bincount(column)[column] > 1  # a shingle of one set only is in no intersection
@@ -420,8 +450,10 @@ def _clusters(make_set: Callable[[str], np.ndarray], percent: int, keys: tuple[s
     return clusters
 
 
-def _verifier(make_set: Callable[[str], np.ndarray], percent: int):
-    def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measurer(make_set: Callable[[str], np.ndarray], percent: int):
+    schema = pa.schema([*LINKS, ("linked", pa.bool_())])
+
+    def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in order of (a, b): two texts a pair, the pairs of one a together."""
         last, first, kept_id, kept = None, None, None, None
         for batch in it:
@@ -435,57 +467,76 @@ def _verifier(make_set: Callable[[str], np.ndarray], percent: int):
                 mine, theirs = (first[1], text) if first[0] == a else (text, first[1])
                 if kept_id != a:
                     kept_id, kept = a, make_set(mine.as_py() or "")
-                if len(linked([kept, make_set(theirs.as_py() or "")], percent)[0]):
-                    out.append((a, b))
+                other = make_set(theirs.as_py() or "")
+                common = len(np.intersect1d(kept, other, assume_unique=True))
+                union = len(kept) + len(other) - common
+                if common and 100 * common >= LOOSE * union:
+                    out.append((a, b, 100 * common >= percent * union))
                 first = None
             if out:
-                yield _edges(*zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
         release()
 
-    return verify
+    return measure
 
 
-def verified(pairs: DataFrame, n: int, got: DataFrame, make_set, percent: int) -> DataFrame:
-    """Those of the pairs (a, b), n of them, whose full sets reach the similarity. got: (node, payload)."""
+def measured(pairs: DataFrame, n: int, got: DataFrame, make_set, percent: int) -> DataFrame:
+    """Those of the pairs (a, b), n of them, whose similarity is loose at least; linked where it is the percentage. got: (node, payload)."""
     ends = pairs.selectExpr("a", "b", "a as node").unionByName(pairs.selectExpr("a", "b", "b as node"))
     both = got.join(sized_broadcast(ends, 2 * n), "node").select("a", "b", "node", "payload")
-    return both.repartition("a", "b").sortWithinPartitions("a", "b", "node").mapInArrow(_verifier(make_set, percent), "a long, b long")
+    return both.repartition("a", "b").sortWithinPartitions("a", "b", "node").mapInArrow(_measurer(make_set, percent), "a long, b long, linked boolean")
 
 
-def _large(scratch: Scratch, pairs: DataFrame, crowd: DataFrame, got: DataFrame, large: DataFrame, make_set, percent: int) -> DataFrame:
-    """The links within clusters beyond the bounds. got: (node, cluster, payload); large: (cluster, blocks)."""
-    few = large.count()
-    own = scratch.save(got.join(sized_broadcast(large, few), "cluster").select("node", "cluster", "blocks", "payload").dropDuplicates(["node"]))
-    ids = own.select("node")
-    some = scratch.save(pairs.join(ids.select(F.col("node").alias("a")), "a", "left_semi"))
-    edges = scratch.save(verified(some, some.count(), own, make_set, percent))
-    own = own.join(crowd, "node", "left_semi")
-    own = own.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), "blocks")).withColumn("chars", F.length("payload"))
-    own = scratch.save(own.withColumn("side", F.lit(1)))
-    if not own.take(1):
-        return edges
-    keys = ("cluster", "block")
-    inner = own.select(*keys, "node", "side", "payload").repartition(*keys).sortWithinPartitions(*keys, "node")
-    edges = scratch.save(edges.unionByName(inner.mapInArrow(_clusters(make_set, percent, keys), "a long, b long")))
+def _sizes(got: DataFrame) -> DataFrame:
+    """(cluster, blocks): in how many blocks of bounded size a cluster goes."""
+    sizes = got.groupBy("cluster").agg(F.count("*").alias("m"), F.sum(F.length("payload")).alias("chars"))
+    return sizes.select("cluster", F.ceil(F.greatest(F.col("m") / CLUSTER, F.col("chars") / CLUSTER_CHARS)).cast("long").alias("blocks"))
+
+
+def _whole(got: DataFrame, make_set, percent: int, *keys: str) -> DataFrame:
+    """The links within each group of the keys, compared by one task."""
+    dealt = got.select(*keys, "node", F.lit(1).alias("side"), "payload").repartition(*keys).sortWithinPartitions(*keys, "node")
+    return dealt.mapInArrow(_clusters(make_set, percent, keys), "a long, b long")
+
+
+def _blocks(scratch: Scratch, own: DataFrame, make_set, percent: int) -> DataFrame:
+    """The links within clusters of several blocks. own: (node, cluster, blocks, payload)."""
+    own = scratch.save(own.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), "blocks")))
+    edges = scratch.save(_whole(own, make_set, percent, "cluster", "block"))
     labels = components(scratch, edges)
-    placed = scratch.save(own.select("node", "cluster", "chars").join(labels, "node", "left").select("node", "cluster", "chars", F.coalesce("component", "node").alias("component")))
-    sizes = placed.groupBy("cluster", "component").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
-    apart = scratch.save(placed.join(sized_broadcast(main, few), "cluster").where("component <> main").select("node", "cluster", "chars"))
+    slim = own.select("node", "cluster", F.length("payload").alias("chars"))
+    placed = scratch.save(slim.join(labels, "node", "left").select("node", "cluster", "chars", F.coalesce("component", "node").alias("component")))
+    main = placed.groupBy("cluster", "component").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
+    main = scratch.save(main)
+    apart = scratch.save(placed.join(sized_broadcast(main, main.count()), "cluster").where("component <> main").select("node", "cluster", "chars"))
     if not apart.take(1):
         return edges
-    # each text that is outside goes to all blocks of its cluster, each block that has one of them or more to as many places as there are blocks of them
+    # what is apart goes, in groups of bounded size, to all blocks of its cluster
     groups = scratch.save(apart.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / CLUSTER, F.sum("chars") / CLUSTER_CHARS)).cast("long").alias("groups")))
     g = sized_broadcast(groups, groups.count())
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     left = own.join(apart.select("node"), "node", "left_semi").join(g, "cluster")
-    left = left.select("cluster", F.pmod(F.xxhash64("node", F.lit(6)), "groups").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), "node", F.lit(1).alias("side"), "payload")
-    right = own.join(g, "cluster").select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("i"), F.col("block").alias("j"), "node", F.lit(2).alias("side"), "payload")
+    left = left.select("cluster", F.pmod(F.xxhash64("node", F.lit(6)), "groups").alias("i"), upto("blocks").alias("j"), "node", F.lit(1).alias("side"), "payload")
+    right = own.join(g, "cluster").select("cluster", upto("groups").alias("i"), F.col("block").alias("j"), "node", F.lit(2).alias("side"), "payload")
     keys = ("cluster", "i", "j")
     dealt = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "side", "node")
     return scratch.save(edges.unionByName(dealt.mapInArrow(_clusters(make_set, percent, keys), "a long, b long").where("a <> b")))
 
 
-def link(scratch: Scratch, pairs: DataFrame, crowd: DataFrame, payload, make_set, percent: int = 75) -> DataFrame:
+def _large(scratch: Scratch, pairs: DataFrame, got: DataFrame, large: DataFrame, make_set, percent: int) -> DataFrame:
+    """The links within clusters beyond the bounds. got: (node, cluster, payload); large: (cluster, blocks)."""
+    own = scratch.save(got.join(sized_broadcast(large, large.count()), "cluster", "left_semi").select("node", "payload").dropDuplicates(["node"]))
+    some = scratch.save(pairs.join(own.select(F.col("node").alias("a")), "a", "left_semi"))
+    seen = scratch.save(measured(some, some.count(), own, make_set, percent))
+    cluster = components(scratch, seen.select("a", "b")).withColumnRenamed("component", "cluster")
+    own = scratch.save(own.join(sized_broadcast(cluster, cluster.count()), "node").select("node", "cluster", "payload"))
+    sizes = scratch.save(_sizes(own))
+    fit, rest = (own.join(sized_broadcast(sizes.where(c), sizes.count()), "cluster") for c in ("blocks = 1", "blocks > 1"))
+    edges = seen.where("linked").select("a", "b").unionByName(_whole(fit, make_set, percent, "cluster"))
+    return edges.unionByName(_blocks(scratch, rest, make_set, percent))
+
+
+def link(scratch: Scratch, pairs: DataFrame, payload, make_set, percent: int = 75) -> DataFrame:
     """(node, component) for every node that is linked; component is the smallest node reachable.
 
     payload gives (node, payload) of wanted nodes, a row or more each, their texts equal as sets.
@@ -493,13 +544,10 @@ def link(scratch: Scratch, pairs: DataFrame, crowd: DataFrame, payload, make_set
     cluster = components(scratch, pairs).withColumnRenamed("component", "cluster")
     m = cluster.count()
     got = scratch.save(payload(cluster, m).join(sized_broadcast(cluster, m), "node").select("node", "cluster", "payload"))
-    sizes = got.groupBy("cluster").agg(F.count("*").alias("m"), F.sum(F.length("payload")).alias("chars"))
-    blocks = F.ceil(F.greatest(F.col("m") / CLUSTER, F.col("chars") / CLUSTER_CHARS)).cast("long")
-    large = scratch.save(sizes.select("cluster", blocks.alias("blocks")).where("blocks > 1"))
+    large = scratch.save(_sizes(got).where("blocks > 1"))
     few = large.count()
     fit = got.join(sized_broadcast(large, few), "cluster", "left_anti") if few else got
-    fit = fit.select("cluster", "node", F.lit(1).alias("side"), "payload").repartition("cluster").sortWithinPartitions("cluster", "node")
-    edges = fit.mapInArrow(_clusters(make_set, percent, ("cluster",)), "a long, b long")
+    edges = _whole(fit, make_set, percent, "cluster")
     if few:
-        edges = edges.unionByName(_large(scratch, pairs, crowd, got, large, make_set, percent))
+        edges = edges.unionByName(_large(scratch, pairs, got, large, make_set, percent))
     return components(scratch, edges)
