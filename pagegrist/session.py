@@ -23,8 +23,14 @@ def session(app: str = "pagegrist", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, where the session doesn't say: long texts don't come by thousands.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, also where it isn't installed; once per Spark context."""
+    """Let Python workers import this package, also where it isn't installed; once per Spark context. Bounds Arrow batches by bytes."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_pagegrist_shipped", False):
         return spark
