@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, sized_broadcast
+from .common import WORD, Scratch, fresh, sized_broadcast
 
 BITS, LEVEL = 60, 12
 RANGES = 1 << LEVEL
@@ -117,25 +117,26 @@ def _copies() -> Column:
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row per row of docs; source too."""
+    """doc_id, size, source_size, target, taken, source: one row per row of docs."""
     scratch = Scratch(spark, "mixing")
     every = sized(scratch, docs)
     limits, n = thresholds(scratch, every, weights, share, most)
     joined = every.join(sized_broadcast(limits, n), "key")
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"), "source")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """The documents of the mix, each as often as it is taken; all columns of docs. Texts without a word aren't taken."""
+    """The documents of the mix, each as often as it is taken; all columns of docs, whatever their names. Texts without a word aren't taken."""
     scratch = Scratch(spark, "mixed")
     limits, n = thresholds(scratch, sized(scratch, docs), weights, share, most)
-    limits = limits.select([F.col(k).alias(f"__{k}") for k in ("key", "times", "budget", "limit")])
-    joined = docs.join(sized_broadcast(limits, n), _key(docs["source"]) == F.col("__key"))
-    extra = F.coalesce((number(docs["doc_id"]) < F.col("__limit")).cast("int"), F.lit(1))
-    copies = F.col("__times").cast("int") + F.when(F.col("__budget") <= 0, 0).otherwise(extra)
+    name = {k: fresh(k, docs.columns) for k in ("key", "times", "budget", "limit", "copies", "copy")}
+    limits = limits.select([F.col(k).alias(name[k]) for k in ("key", "times", "budget", "limit")])
+    joined = docs.join(sized_broadcast(limits, n), _key(docs["source"]) == F.col(name["key"]))
+    extra = F.coalesce((number(docs["doc_id"]) < F.col(name["limit"])).cast("int"), F.lit(1))
+    copies = F.col(name["times"]).cast("int") + F.when(F.col(name["budget"]) <= 0, 0).otherwise(extra)
     copies = F.when(docs["text"].rlike(WORD), copies).otherwise(0)
-    taken = joined.withColumn("__copies", copies).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = joined.withColumn(name["copies"], copies).where(F.col(name["copies"]) > 0)
+    return taken.withColumn(name["copy"], F.explode(F.sequence(F.lit(1), F.col(name["copies"])))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The same rows in SQL, by sorting.
@@ -163,7 +164,7 @@ m AS (
          sum(d.size) OVER (PARTITION BY d.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto,
          sum(d.size) OVER (PARTITION BY d.source, h) AS words
   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, source, size, source_size, target,
-       (size * (times + CASE WHEN budget > 0 AND upto - words / 2.0 <= budget THEN 1 ELSE 0 END))::BIGINT AS taken
+SELECT doc_id, size, source_size, target,
+       (size * (times + CASE WHEN budget > 0 AND upto - words / 2.0 <= budget THEN 1 ELSE 0 END))::BIGINT AS taken, source
 FROM m
 """

@@ -291,7 +291,7 @@ def banded(scratch: Scratch, items: DataFrame, source: Callable, n_bands: int, s
         yield from emitted(source(it), n_bands, parts, percent, TaskContext.get().partitionId())
 
     blobs = items.mapInArrow(leave, "part int, kind tinyint, blob binary").repartitionById(parts, "part")
-    rows = scratch.save(blobs.select("kind", "blob").mapInArrow(_bucketed(percent), "x long, y long, z long, w long, kind tinyint"), by="kind")
+    rows = scratch.save(blobs.select("kind", "blob").mapInArrow(_bucketed(percent), "x long, y long, z long, w long, kind tinyint"))
     alone = Bits.of(percent).alone
     found = rows.where(F.col("kind") == PAIR).groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("n"), F.max("z").alias("alike"))
     pairs = scratch.save(found.where((F.col("n") > 1) | (F.col("alike") >= alone)).select("a", "b"))

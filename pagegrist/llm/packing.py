@@ -55,18 +55,15 @@ def _word_encoder(path: str):
 
 
 def tokenizer(path: str) -> tuple:
-    """The tokenizer of a file, its word encoder and cached words, one per worker.
-
-    Special strings in a text are ordinary text.
-    """
+    """The tokenizer of a file, its word encoder's cached words, and the strings that it takes for tokens of their own; one per worker."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         words = _word_encoder(path)
-        _TOKENIZERS[path] = (t, [_Words(words, {}, _STEM), _Words(words, {}, _PLAIN)] if words else [])
+        added = [x.content for x in t.get_added_tokens_decoder().values()]
+        _TOKENIZERS[path] = (t, [_Words(words, {}, _STEM), _Words(words, {}, _PLAIN)] if words else [], re.compile("|".join(map(re.escape, added))) if added else None)
     return _TOKENIZERS[path]
 
 
@@ -101,14 +98,15 @@ def encode(found: list[str], path: str) -> list[bytes]:
 
     A byte-level BPE never joins across the gap before a space that a non-space follows, nor between a letter and
     a punctuation mark, so a plain text is the sequence of its words, each with the space before it, and words
-    repeat: a worker tokenises each once. Texts of other characters or spacing are tokenised whole.
+    repeat: a worker tokenises each once. Texts of other characters or spacing, or with a string that the vocabulary
+    has as a special token, are tokenised whole.
     """
-    t, kept = tokenizer(path)
+    t, kept, special = tokenizer(path)
     out = []
     for text in found:
         kept[:] = [x.aged() for x in kept]
         ids = None
-        if kept and text:
+        if kept and text and not (special and special.search(text)):
             try:
                 if not any(x in text for x in _MEETING):
                     marked = text.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n")

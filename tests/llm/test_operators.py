@@ -35,6 +35,7 @@ def rows():
     out.append((len(out), "long " + " ".join(word() for _ in range(5_000))))
     out.append((len(out), "Released under the MIT License.\nlicensed under the apache license, version 2.0.\n" * 3))
     out.append((len(out), "x | y | z *** &&& " * 20))
+    out.append((len(out), "so it ends <|endoftext|> and begins <|endoftext|>"))
     out += [(len(out) + i, f"same line here and there for all\n{word()} {word()} {word()}\nsame line here and there for alx\n\n tail {i}") for i in range(8)]
     out.append(out[7])  # a repeated row
     return [(i, t, rng.choice(["en", "de"]) if i % 5 else None, [None, "", "s1", "s2"][i % 4], 7, 1, 2, "k", 3, 4, 5) for i, t in out]
@@ -81,7 +82,9 @@ def test_op1(spark, docs, nothing):
 def test_op2(spark, docs, nothing):
     path = queries.tokenizer_path("byte_bpe_50k.json")
     got = packing.pack(spark, docs, path, 256).collect()
-    t = packing.tokenizer(path)[0]
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
     want = Counter()
     for r in docs.collect():
         ids = t.encode(r.text or "", add_special_tokens=False).ids + [2]
@@ -116,8 +119,9 @@ def test_op3(spark):
 
 
 def test_op4(spark, docs, nothing):
-    columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    columns = ["doc_id", "size", "source_size", "target", "taken", "source"]
     got = mixing.mix(spark, docs)
+    assert got.columns == columns
     same(got, duck(spark, mixing.SQL, documents=docs), columns)
     assert got.where("taken > 2 * size").count() == 0
     taken = {r.doc_id: r.taken // r.size for r in got.collect() if r.size}
