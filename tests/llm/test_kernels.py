@@ -220,11 +220,10 @@ def test_digests():
 
 
 def test_license_places():
-    weights = {w: 1.0 / len(w) for w in licenses.VOCABULARY}
-    postings = licenses.index(weights)
-    text = "MIT License mit license the GNU General Public License, mit license general public x license Licensed under CC BY-NC 4.0."
+    index = licenses.Index({w: 1.0 / len(w) for w in licenses.VOCABULARY})
+    text = "MIT License mit license the GNU General Public License, mit license general public x license Licensed under CC BY-NC 4.0."
     found = licenses.words(text)
-    places, best = licenses.scan(found, postings, weights)
+    places, best = licenses.scan(found, index)
     want = [(i, label) for p, label in licenses.BASE for i in range(len(found)) if tuple(found[i : i + len(p.split())]) == tuple(p.encode().split())]
     assert sorted(places) == sorted(want) and best["cc-by-nc"] == pytest.approx(1.0) and "apache" not in best
 
