@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, texts
+from .common import Scratch, release, texts
 
-#: Words that a worker keeps with their ids, in each of two generations; bounds its memory.
-CACHED_WORDS = 200_000
+#: Words that a task keeps with their ids, in each of two generations; bounds its memory.
+CACHED_WORDS = 100_000
 _TOKENIZERS: dict[str, tuple] = {}
 #: A word with the space before it: printable characters of Latin scripts, single line ends between them.
 _PLAIN = re.compile(r" ?[\x21-\x7E\xA1-\xAC\xAE-\u024F]+(?:\n[\x21-\x7E\xA1-\xAC\xAE-\u024F]+)*\Z")
@@ -89,6 +89,9 @@ class _Words(dict):
         self[word] = found
         return found
 
+    def emptied(self) -> _Words:
+        return _Words(self.encoding, {}, self.plain)
+
     def aged(self) -> _Words:
         return self if len(self) < CACHED_WORDS else _Words(self.encoding, dict(self), self.plain)
 
@@ -148,6 +151,9 @@ def _cut(path: str, end_id: int, size: int):
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, PIECES)), pa.array(np.arange(serial, serial + len(rows)))], schema=PIECES)
             serial += len(rows)
+        kept = tokenizer(path)[1]
+        kept[:] = [x.emptied() for x in kept]  # an idle worker holds no words
+        release()
 
     return cut
 

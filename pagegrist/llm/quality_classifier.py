@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import docstats
+from .common import release
 
 #: Labelled rows learnt from at most; folds by crc32 of the id, of which fold 0 is held out; score from which a document is kept.
 SAMPLE, FOLDS, CUT = 20_000, 5, 0.3
@@ -161,5 +162,6 @@ def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, cut: float
         for batch in it:
             for part in docstats.slices(batch):
                 yield part.filter(pa.array(model.score(statistics(part)) >= cut))
+        release()
 
     return docs.mapInArrow(kept, schema)
