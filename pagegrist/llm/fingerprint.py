@@ -8,7 +8,7 @@ distance; likeness is one less that sum over what unrelated digests have, at lea
 For the next document, texts are dealt once, by ranges of doc_id from approximate quantiles; each range also
 gets the first document of the range below it. Ranges are sorted on their own and read in a stream.
 
-Defined results: a null text is empty; an empty text's digest has no codes but zeros; the order is doc_id
+Defined results: a null text is empty; an empty text's digest has no codes but zeros; a text too short for a triplet is read as if zeros followed; the order is doc_id
 descending, nulls last, then text; the last document's next is the first, so a single row is its own next;
 equal rows follow each other; an empty table gives no row; columns besides doc_id and text are ignored.
 """
@@ -16,11 +16,12 @@ equal rows follow each other; an empty table gives no row; columns besides doc_i
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -51,7 +52,7 @@ def _triplets(data: np.ndarray) -> np.ndarray:
 def digest(text: str) -> bytes:
     """Codes of all buckets, four to a byte, then the length code."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    counts = _triplets(data)
+    counts = _triplets(data if len(data) > STEPS[2] or not len(data) else np.append(data, np.zeros(STEPS[2], np.uint8)))
     cuts = np.partition(counts, (BUCKETS // 4, BUCKETS // 2, 3 * BUCKETS // 4))[[BUCKETS // 4, BUCKETS // 2, 3 * BUCKETS // 4]]
     codes = ((counts > cuts[0]).astype(np.uint8) + (counts > cuts[1]) + (counts > cuts[2])).reshape(-1, 4)
     packed = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
@@ -105,6 +106,18 @@ def _stream(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(OUT), OUT)], schema=OUT)
 
 
+def _ranked(x: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are not above x: first among every so many of them, then within one run, so twice the root of their number is read."""
+    if not bounds:
+        return F.lit(0)
+    width = math.isqrt(len(bounds)) + 1
+    runs = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    upto = lambda listed: F.size(F.filter(listed, lambda b: b <= x))
+    longs = lambda ids: F.array(*[F.lit(b).cast("long") for b in ids])
+    run = upto(longs([r[0] for r in runs]))  # runs that begin at or below x
+    return F.when(run == 0, 0).otherwise((run - 1) * width + upto(F.get(F.array(*map(longs, runs)), run - 1)))
+
+
 def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: one row per row of docs."""
     ship(spark)
@@ -113,7 +126,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
     cuts = [i / ranges for i in range(1, ranges)]
     bounds = sorted(set(slim.agg(F.percentile_approx("doc_id", cuts, max(10_000, 20 * ranges))).first()[0] or [])) if cuts else []
-    above = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
+    above = _ranked(F.col("doc_id"), bounds)
     placed = slim.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(above))
     heads = {r["bucket"]: r["head"] for r in placed.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}  # a row per range
     if not heads:
@@ -125,7 +138,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     back = F.array(*[F.lit(to.get(b, b)).cast("int") for b in full])[F.col("bucket") + 1]
     own = F.struct(F.col("bucket").cast("int").alias("bucket"), F.lit(0).alias("sentinel"))
     dealt = placed.select("doc_id", "text", F.explode(F.when(F.col("doc_id").eqNullSafe(head), F.array(own, F.struct(back.alias("bucket"), F.lit(1).alias("sentinel")))).otherwise(F.array(own))).alias("to"))
-    dealt = dealt.select("doc_id", "text", "to.bucket", "to.sentinel").repartition(max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket")
+    dealt = dealt.select("doc_id", "text", "to.bucket", "to.sentinel").repartitionById(max(order) + 2, F.col("bucket") + 1)
     return dealt.sortWithinPartitions("bucket", "sentinel", F.col("doc_id").desc_nulls_last(), "text").mapInArrow(_stream, _DDL)
 
 

@@ -38,7 +38,7 @@ SMALL, CROWDED = 32, 16
 #: Nodes and characters of a cluster that one task compares; larger ones go in blocks of this size.
 CLUSTER, CLUSTER_CHARS = 512, 4 << 20
 #: Entries that one task of the bucket step sorts.
-ENTRIES = 1_500_000
+ENTRIES = 2_500_000
 #: Edges up to which one task joins them (16 MB); beyond, rounds of joins do.
 EDGES = 1_000_000
 #: Distinct shingles multiplied at a time when a cluster is compared.
@@ -102,8 +102,44 @@ def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return 64 - np.bitwise_count(x ^ y).astype(np.int64)
 
 
-def _blob(kind: int, part: int, *columns: np.ndarray) -> tuple[int, int, bytes]:
-    return part, kind, b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+def _packed(*columns: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+
+
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal rows begin, and how long they are."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    starts = np.flatnonzero(new)
+    return starts, np.diff(np.append(starts, len(new)))
+
+
+def packed_places(places: np.ndarray) -> bytes:
+    """Places, of which many in a row are of one document: its two longs and the number of its places, then node and fourth value of each."""
+    starts, sizes = _runs(places[:, 0], places[:, 1])
+    return _packed(np.array([len(starts)], np.int64), places[starts, 0], places[starts, 1], sizes, places[:, 2], places[:, 3].astype(np.int32))
+
+
+def unpacked_places(raw: bytes) -> tuple[np.ndarray, ...]:
+    m = int(np.frombuffer(raw, np.int64, 1)[0])
+    x, y, sizes = np.frombuffer(raw, np.int64, 3 * m, 8).reshape(3, m)
+    n, at = int(sizes.sum()), 8 + 24 * m
+    return np.repeat(x, sizes), np.repeat(y, sizes), np.frombuffer(raw, np.int64, n, at), np.frombuffer(raw, np.int32, n, at + 8 * n).astype(np.int64)
+
+
+def packed_entries(key: np.ndarray, node: np.ndarray, bit: np.ndarray, sizes: np.ndarray) -> bytes:
+    """32 bits of each key; of each run of entries of one node the node, its bits and how many they are."""
+    return _packed(np.array([len(key)], np.uint32), key.astype(np.uint32), node, bit, sizes.astype(np.uint8))
+
+
+def unpacked_entries(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    at = 4 + 4 * n
+    m = (len(raw) - at) // 17
+    sizes = np.frombuffer(raw, np.uint8, m, at + 16 * m)
+    return np.frombuffer(raw, np.uint32, n, 4), np.repeat(np.frombuffer(raw, np.int64, m, at), sizes), np.repeat(np.frombuffer(raw, np.uint64, m, at + 8 * m), sizes)
 
 
 def emitted(flushes: Iterator[Flush], n_bands: int, parts: int, percent: int, task: int) -> Iterator[pa.RecordBatch]:
@@ -111,19 +147,20 @@ def emitted(flushes: Iterator[Flush], n_bands: int, parts: int, percent: int, ta
     bits = Bits.of(percent)
     for turn, (nodes, signatures, places) in enumerate(flushes):
         away = (task + turn) % parts
-        rows = [_blob(PLACE, away, places)] if len(places) else []
+        rows = [(away, PLACE, packed_places(places))] if len(places) else []
         if len(nodes):
             key, bit = band_keys(signatures, n_bands).ravel(), minis(signatures)
             at = np.repeat(np.arange(len(nodes)), n_bands)
             key, at, pairs = _combined(key, at, nodes, bit, bits)
             if len(pairs[0]):
-                rows.append(_blob(PAIR, away, *pairs))
+                rows.append((away, PAIR, _packed(*pairs)))
             part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
             order = np.argsort(part, kind="stable")
-            key, at, part = key[order].astype(np.uint32), at[order], part[order]
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            node, bit = nodes[at], bit[at]
-            rows += [_blob(ENTRY, p, key[i:j], node[i:j], bit[i:j]) for p, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+            key, at, part = key[order], at[order], part[order]
+            starts, sizes = _runs(part, at)
+            node, bit = nodes[at[starts]], bit[at[starts]]
+            cuts, inner = (np.searchsorted(x, np.arange(parts + 1)) for x in (part, part[starts]))
+            rows += [(p, ENTRY, packed_entries(key[i:j], node[r:s], bit[r:s], sizes[r:s])) for p, (i, j, r, s) in enumerate(zip(cuts, cuts[1:], inner, inner[1:])) if j > i]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), BLOBS)], schema=BLOBS)
     release()
@@ -248,21 +285,22 @@ def _bucketed(percent: int):
     bits = Bits.of(percent)
 
     def bucketed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, bit = [], [], []
+        held: list[tuple] = []
         for batch in it:
             for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob")):
-                raw = np.frombuffer(blob.as_buffer(), np.uint8)
+                raw = blob.as_buffer().to_pybytes()
                 if kind == ENTRY:
-                    n = len(raw) // 20
-                    key.append(raw[: 4 * n].view(np.uint32).copy())
-                    node.append(np.frombuffer(raw[4 * n : 12 * n].tobytes(), np.int64))
-                    bit.append(np.frombuffer(raw[12 * n :].tobytes(), np.uint64))
+                    held.append(unpacked_entries(raw))
                 elif kind == PLACE:
-                    yield _rows(PLACE, *np.frombuffer(raw.tobytes(), np.int64).reshape(-1, 4).T)
+                    yield _rows(PLACE, *unpacked_places(raw))
                 else:
-                    yield _rows(PAIR, *np.frombuffer(raw.tobytes(), np.int64).reshape(3, -1))
-        if key:
-            key, node, bit = np.concatenate(key), np.concatenate(node), np.concatenate(bit)
+                    yield _rows(PAIR, *np.frombuffer(raw, np.int64).reshape(3, -1))
+        if held:
+            key, node, bit = zip(*held)
+            held = []
+            key = np.concatenate(key)
+            node = np.concatenate(node)
+            bit = np.concatenate(bit)
             order = (np.sort(key.astype(np.uint64) << np.uint64(32) | np.arange(len(key), dtype=np.uint64)) & np.uint64(2**32 - 1)).astype(np.int64)
             k = key[order]
             same = np.append(k[1:] == k[:-1], False)
@@ -283,7 +321,7 @@ def _bucketed(percent: int):
 
 def banded(scratch: Scratch, items: DataFrame, source: Callable, n_bands: int, size: float, percent: int) -> tuple[DataFrame, DataFrame]:
     """Places (x, y, z, w) and candidate pairs (a, b). size: about how many items there are."""
-    parts = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), int(size * n_bands) // ENTRIES + 1)
+    parts = max(4 * scratch.spark.sparkContext.defaultParallelism, int(size * n_bands) // ENTRIES + 1)
 
     def leave(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -1,8 +1,9 @@
 """Quality rules as a bitmask ledger.
 
 Every rule is evaluated once per document: its failure is a bit of ``fail_bits`` and what it measured is kept
-beside it. A policy is a version name and a mask; applying or changing one, or asking what a rule costs, reads
-only the ledger. Ablations aggregate bitwise over the counts of distinct masks, at most 2 ** rules rows.
+beside it. The ledger is written; a policy is a version name and a mask, and applying or changing one, or asking what a rule
+costs, reads only the ledger. Ablations aggregate bitwise over the counts of distinct masks, at most 2 ** rules rows.
+Policy "1" leaves two rules to other operators: repeated lines to line dedup, and great length to packing, which cuts.
 
 Defined results: a null or empty text has no words and fails ``few_words``; equal rows are judged as often as
 given; a null doc_id is kept; an empty table gives no row; columns besides doc_id and text are ignored.
@@ -14,10 +15,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import docstats
+from .common import Scratch
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letterless_words", "n_adjacent_repeats", "n_bullets")
 
@@ -81,8 +83,8 @@ def ablations(ledger: DataFrame, policy: str = CURRENT) -> DataFrame:
     return each.groupBy("rule").agg(count(fails).alias("n_failing"), count(fails & (rest == 0)).alias("n_only"), count(rest == 0).alias("n_kept_without"))
 
 
-#: op1's rows in SQL.
-SQL = r"""
+#: The ledger in SQL.
+LEDGER_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT k, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
@@ -97,14 +99,25 @@ m AS (
          len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS adjacent,
          len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*[-*•]'))) AS bullets
   FROM w LEFT JOIN c USING (k)),
-b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_symbols > n_words
-            OR 2 * letterless > n_words OR 10 * adjacent > n_words + 30 OR 10 * bullets > 9 * n_lines) AS kept
-FROM b
+f AS (SELECT *, (n_words < 10)::BIGINT * 1 + (100 * n_repeat_words > 20 * n_words)::BIGINT * 2 + (n_words > 1000000)::BIGINT * 4 + (word_chars < 2 * n_words)::BIGINT * 8 + (word_chars > 20 * n_words)::BIGINT * 16
+    + (10 * n_symbols > n_words)::BIGINT * 32 + (2 * letterless > n_words)::BIGINT * 64 + (10 * n_dup_lines > 3 * n_lines)::BIGINT * 128 + (10 * adjacent > n_words + 30)::BIGINT * 256 + (10 * bullets > 9 * n_lines)::BIGINT * 512 AS fail_bits FROM m)
+"""
+#: op1's rows in SQL.
+SQL = LEDGER_SQL + """
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_symbols > n_words
+            OR 2 * letterless > n_words OR 10 * adjacent > n_words + 30 OR 10 * bullets > 9 * n_lines) AS kept,
+       fail_bits, '1' AS policy
+FROM f
+"""
+#: What each rule of the strictest policy costs, in SQL.
+ABLATIONS_SQL = LEDGER_SQL + f""", r(rule, bit) AS (VALUES {", ".join(f"('{k}', {b}::BIGINT)" for k, b in BIT.items())})
+SELECT rule, count(*) FILTER (fail_bits & bit <> 0)::BIGINT AS n_failing, count(*) FILTER (fail_bits = bit)::BIGINT AS n_only, count(*) FILTER (fail_bits & ~bit = 0)::BIGINT AS n_kept_without
+FROM r LEFT JOIN f ON true GROUP BY rule HAVING count(f.fail_bits) > 0
 """
 
 
-def verdicts(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
-    return judged(ledger(docs), policy).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+def verdicts(spark: SparkSession, docs: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, fail_bits, policy; the ledger is written once."""
+    written = Scratch(spark, "ledger").save(ledger(docs))
+    return judged(written, policy).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "policy")

@@ -18,7 +18,11 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+    return quality_rules.verdicts(spark, table(spark, sf_dir, "documents"))
+
+
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")), "2-strict")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +63,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op")}
+    return {k: v for k, v in globals().items() if k.startswith("op")} | {"quality_rule_ablations": quality_rule_ablations}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.SQL, "op3_chat_formatting": chat.SQL, "op4_source_mixing": mixing.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "quality_rule_ablations": quality_rules.ABLATIONS_SQL, "op3_chat_formatting": chat.SQL, "op4_source_mixing": mixing.SQL}

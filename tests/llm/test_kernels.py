@@ -216,6 +216,7 @@ def test_digests():
     other = " ".join("".join(rng.choice("klmnopqrst") for _ in range(6)) for _ in range(400))
     a, b, c = map(fingerprint.digest, (text, fingerprint.edited(text, other), other))
     assert fingerprint.likeness(a, a) == 1.0 and fingerprint.likeness(a, b) > 0.5 > fingerprint.likeness(a, c) >= 0.0 and fingerprint.likeness(a, b) == fingerprint.likeness(b, a)
+    assert len({fingerprint.digest(x) for x in ("", "a", "b", "abc", "xyz", "abcde", "abcdef")}) == 7
     assert fingerprint.digest("") == fingerprint.digest("") and 0 <= fingerprint.likeness(fingerprint.digest(""), a) <= 1
 
 
@@ -230,3 +231,14 @@ def test_license_places():
 
 def test_mixing_sql_names():
     assert mixing.WEIGHTS == (5, 2, 1) and mixing.BITS == 60
+
+
+def test_packing_of_entries_and_places():
+    rng = np.random.default_rng(5)
+    for m in (0, 1, 40):
+        sizes = rng.integers(1, 29, m)
+        node, bit, key = rng.integers(-(2**62), 2**62, m), rng.integers(0, 2**63, m, dtype=np.uint64), rng.integers(0, 2**63, int(sizes.sum()), dtype=np.uint64)
+        k, n, b = neardup.unpacked_entries(neardup.packed_entries(key, node, bit, sizes))
+        assert (k == key.astype(np.uint32)).all() and (n == np.repeat(node, sizes)).all() and (b == np.repeat(bit, sizes)).all()
+    places = np.array([(1, 5, 7, 0), (1, 5, 8, 1), (1, 6, 7, 0), (-3, 6, -9, -1), (1, 5, 7, 3)], np.int64)
+    assert (np.array(neardup.unpacked_places(neardup.packed_places(places))).T == places).all()

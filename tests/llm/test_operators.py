@@ -68,15 +68,17 @@ def same(df, sql_rows, columns):
 
 
 def test_op1(spark, docs, nothing):
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    same(quality_rules.verdicts(docs), duck(spark, quality_rules.SQL, documents=docs), columns)
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "policy"]
+    same(quality_rules.verdicts(spark, docs), duck(spark, quality_rules.SQL, documents=docs), columns)
+    assert quality_rules.verdicts(spark, docs).columns == columns
     ledger = quality_rules.ledger(docs).cache()
+    same(quality_rules.ablations(ledger, "2-strict"), duck(spark, quality_rules.ABLATIONS_SQL, documents=docs), ["rule", "n_failing", "n_only", "n_kept_without"])
     got = {r.rule: r for r in quality_rules.ablations(ledger, "2-strict").collect()}
     bits = [r.fail_bits for r in ledger.collect()]
     for rule, b in quality_rules.BIT.items():
         assert (got[rule].n_failing, got[rule].n_only, got[rule].n_kept_without) == (sum(x & b > 0 for x in bits), sum(x == b for x in bits), sum(x & ~b == 0 for x in bits))
     assert quality_rules.judged(ledger, "base").where("kept = base_failed").count() == 0
-    assert quality_rules.verdicts(nothing).count() == 0
+    assert quality_rules.verdicts(spark, nothing).count() == 0
 
 
 def test_op2(spark, docs, nothing):
