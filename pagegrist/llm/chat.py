@@ -3,10 +3,12 @@
 Chat logs often hold a conversation once per turn, each time whole. A rolling hash of its turns (exclusive-or of
 128 bits per turn, salted by its place) makes every prefix of every conversation a key. A conversation whose whole
 hash is a prefix of a longer one goes by an anti-join; of equal ones the smallest conv_id stays. What stays is rendered
-in segments of bounded length, so that no task gathers a conversation of any length.
+in segments of bounded length, so that no task gathers a conversation of any length. Up to there a turn's text is carried as its
+MD5: texts themselves move only to be rendered, those of conversations that stay.
 
-Defined results: turns are ordered by turn (nulls last), role and text (nulls first); turns equal in all four
-columns count once; a null role renders as "unknown", a null text as empty, and neither equals an empty string; a null
+Defined results: turns are ordered by turn (nulls last), role (nulls first) and MD5 of the text (nulls first); turns equal in all four
+columns count once; a null role renders as "unknown", a null text as empty, and neither equals an empty string; a mark's
+beginning ``<|`` inside a role or text is rendered as ``< |``, so that no text forges a turn; a null
 conv_id is one conversation; an empty table gives no row; columns besides the four are ignored.
 """
 
@@ -15,32 +17,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, sized_broadcast
 
 #: Turns to a rendered segment; turn numbers to a block of the two-level prefix sums.
 SEGMENT, BLOCK = 256, 4096
 
 
+def slim(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text and m, the MD5 of the text."""
+    columns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    return columns.withColumn("m", F.md5(F.col("text").cast("binary")))
+
+
 def ranked(turns: DataFrame) -> DataFrame:
-    """Adds k, the place of a turn in its conversation from 1: ranks within blocks of turn numbers, and what lies before the block."""
-    slim = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).distinct()
-    blocked = slim.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(2**62)).cast("long"))
-    sizes = blocked.groupBy("conv_id", "block").agg(F.count("*").alias("m"))
-    before = sizes.selectExpr("conv_id as c", "block as b", "sum(m) over (partition by conv_id order by block rows unbounded preceding) - m as before")
-    inner = blocked.selectExpr("*", "row_number() over (partition by conv_id, block order by turn nulls last, role, text) as r")
+    """conv_id, block, turn, role, m and k, the place of a turn in its conversation from 1: ranks within blocks of turn numbers, and what lies before the block."""
+    blocked = turns.select("conv_id", "turn", "role", "m").distinct().withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(2**62)).cast("long"))
+    sizes = blocked.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
+    before = sizes.selectExpr("conv_id as c", "block as b", "sum(n) over (partition by conv_id order by block rows unbounded preceding) - n as before")
+    inner = blocked.selectExpr("*", "row_number() over (partition by conv_id, block order by turn nulls last, role, m) as r")
     joined = inner.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
-    return joined.selectExpr("conv_id", "block", "turn", "role", "text", "r + before as k")
+    return joined.selectExpr("conv_id", "block", "turn", "role", "m", "r + before as k")
 
 
 def prefixes(ranks: DataFrame) -> DataFrame:
     """conv_id, k, h1, h2: the rolling hash of the first k turns of each conversation."""
-    part = lambda salt: F.xxhash64(F.lit(salt), "k", F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit("")))
-    slim = ranks.select("conv_id", F.floor((F.col("k") - 1) / BLOCK).alias("block"), "k", part(1).alias("x1"), part(2).alias("x2"))
-    sums = slim.groupBy("conv_id", "block").agg(F.bit_xor("x1").alias("s1"), F.bit_xor("x2").alias("s2"))
+    part = lambda salt: F.xxhash64(F.lit(salt), "k", F.col("role").isNull(), F.coalesce("role", F.lit("")), F.coalesce("m", F.lit("")))
+    keys = ranks.select("conv_id", F.floor((F.col("k") - 1) / BLOCK).alias("block"), "k", part(1).alias("x1"), part(2).alias("x2"))
+    sums = keys.groupBy("conv_id", "block").agg(F.bit_xor("x1").alias("s1"), F.bit_xor("x2").alias("s2"))
     upto = "over (partition by conv_id order by block rows between unbounded preceding and 1 preceding)"
     before = sums.selectExpr("conv_id as c", "block as b", f"coalesce(bit_xor(s1) {upto}, 0) as b1", f"coalesce(bit_xor(s2) {upto}, 0) as b2")
     roll = "over (partition by conv_id, block order by k rows unbounded preceding)"
-    inner = slim.selectExpr("conv_id", "block", "k", f"bit_xor(x1) {roll} as r1", f"bit_xor(x2) {roll} as r2")
+    inner = keys.selectExpr("conv_id", "block", "k", f"bit_xor(x1) {roll} as r1", f"bit_xor(x2) {roll} as r2")
     joined = inner.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
     return joined.selectExpr("conv_id", "k", "r1 ^ b1 as h1", "r2 ^ b2 as h2")
 
@@ -56,31 +63,38 @@ def maximal(ranks: DataFrame) -> DataFrame:
     return whole.join(inside, ["k", "h1", "h2"], "left_anti").select("conv_id", F.col("k").alias("n_turns"), "n_equal")
 
 
-def rendered(ranks: DataFrame, kept: DataFrame) -> DataFrame:
-    """conv_id, n_turns, n_equal, segment, text: the turns of kept conversations in order."""
-    open_, close = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n")), F.lit("<|end|>\n")
-    line = F.concat(open_, F.coalesce("text", F.lit("")), F.lit("\n"), close)
-    slim = ranks.select(F.col("conv_id").alias("c"), "k", line.alias("line"))
-    own = slim.join(kept, F.col("c").eqNullSafe(F.col("conv_id"))).drop("c")
-    parts = own.groupBy("conv_id", "n_turns", "n_equal", F.floor((F.col("k") - 1) / SEGMENT).cast("int").alias("segment")).agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("lines"))
+def rendered(turns: DataFrame, ranks: DataFrame, kept: DataFrame, n: int) -> DataFrame:
+    """conv_id, n_turns, n_equal, segment, text: the turns of kept conversations in order; n of them are kept.
+
+    One row of a turn is enough, however often it is logged: equal rows meet in the segment's set. The join is by turn, so a long
+    conversation spreads.
+    """
+    plain = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
+    line = F.concat(F.lit("<|"), plain(F.coalesce("role", F.lit("unknown"))), F.lit("|>\n"), plain(F.coalesce("text", F.lit(""))), F.lit("\n<|end|>\n"))
+    places = ranks.join(sized_broadcast(kept, n), ranks["conv_id"].eqNullSafe(kept["conv_id"])).select(ranks["conv_id"].alias("c"), F.col("turn").alias("t"), F.col("role").alias("r"), F.col("m").alias("d"), "k", "n_turns", "n_equal")
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")) & F.col("role").eqNullSafe(F.col("r")) & F.col("m").eqNullSafe(F.col("d"))
+    own = turns.join(places, same).select("conv_id", "n_turns", "n_equal", F.floor((F.col("k") - 1) / SEGMENT).cast("int").alias("segment"), F.struct("k", line.alias("line")).alias("part"))
+    parts = own.groupBy("conv_id", "n_turns", "n_equal", "segment").agg(F.array_sort(F.collect_set("part")).alias("lines"))
     return parts.select("conv_id", "n_turns", "n_equal", "segment", F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("text"))
 
 
 def format_chats(spark: SparkSession, turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_equal, segment, text: maximal conversations, rendered."""
     scratch = Scratch(spark, "chat")
+    turns = slim(turns)
     ranks = scratch.save(ranked(turns))
-    return rendered(ranks, scratch.save(maximal(ranks)))
+    kept = scratch.save(maximal(ranks))
+    return rendered(turns, ranks, kept, kept.count())
 
 
 #: The same rows in SQL.
 SQL = r"""
 WITH u AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS k FROM u),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, md5(text) NULLS FIRST) AS k FROM u),
 c AS (SELECT conv_id, count(*)::BIGINT AS n_turns, list({'r': role, 't': text} ORDER BY k) AS turns FROM r GROUP BY conv_id),
 e AS (SELECT min(conv_id) AS conv_id, n_turns, count(*)::BIGINT AS n_equal, turns FROM c GROUP BY n_turns, turns),
 m AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.n_turns > e.n_turns AND c.turns[1] = e.turns[1] AND c.turns[1:e.n_turns] = e.turns))
 SELECT m.conv_id, n_turns, n_equal, ((k - 1) // 256)::INT AS segment,
-       string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10), '' ORDER BY k) AS text
+       string_agg('<|' || replace(coalesce(role, 'unknown'), '<|', '< |') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || chr(10) || '<|end|>' || chr(10), '' ORDER BY k) AS text
 FROM m JOIN r USING (conv_id) GROUP BY ALL
 """

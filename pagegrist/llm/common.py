@@ -38,23 +38,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables that cut lineage: they outlive lost executors and are computed once."""
+    """Written tables that cut lineage: they outlive lost executors and are computed once.
+
+    What a result still reads stays; ``keep`` gives back the rest, ``sweep`` everything that was made since a ``mark``.
+    """
+
+    _roots: list[str] = []
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = ship(spark), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.paths = ship(spark), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
+        Scratch._roots.append(self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/t{self.n}"
+        path = f"{self.root}/t{len(self.paths) + 1}"
+        self.paths.append(path)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Give back the disk of a table that nothing later reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def keep(self, *tables: DataFrame) -> None:
+        """Give back the disk of all tables but these, once nothing else will read them."""
+        kept = {t._scratch_path for t in tables}
+        _delete(self.spark, [p for p in self.paths if p not in kept])
+
+    @classmethod
+    def mark(cls) -> int:
+        return len(cls._roots)
+
+    @classmethod
+    def sweep(cls, spark: SparkSession, since: int) -> None:
+        """Give back all tables of operators that were begun since the mark and whose results are written elsewhere."""
+        _delete(spark, cls._roots[since:])
+        del cls._roots[since:]
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release() -> None:

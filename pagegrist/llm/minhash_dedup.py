@@ -111,6 +111,7 @@ def _named(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int)
     own = rows.join(sized_broadcast(labels, labels.count()), "node", "left").select("doc_id", "th", "n", F.coalesce("component", "node").alias("component"))
     least = own.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).where("m > 1").select("component", "least")
     least = scratch.save(least)
+    scratch.keep(places, labels, least)
     joined = own.join(sized_broadcast(least, least.count()), "component", "left")
     return joined.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
@@ -125,5 +126,6 @@ def dedupe(spark: SparkSession, docs: DataFrame, percent: int = 75) -> DataFrame
     """The documents of which one of each group stays; all columns of docs."""
     scratch = Scratch(spark, "minhash")
     gone = scratch.save(_named(spark, docs, scratch, percent).where("doc_id <> component_id").select("doc_id", "th").distinct())
+    scratch.keep(gone)
     own = (docs["doc_id"].cast("long") == gone["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["th"])
     return docs.join(sized_broadcast(gone, gone.count()), own, "left_anti")

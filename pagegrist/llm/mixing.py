@@ -121,6 +121,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SH
     scratch = Scratch(spark, "mixing")
     every = sized(scratch, docs)
     limits, n = thresholds(scratch, every, weights, share, most)
+    scratch.keep(every, limits)
     joined = every.join(sized_broadcast(limits, n), "key")
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"), "source")
 
@@ -129,6 +130,7 @@ def mixed(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float =
     """The documents of the mix, each as often as it is taken; all columns of docs, whatever their names. Texts without a word aren't taken."""
     scratch = Scratch(spark, "mixed")
     limits, n = thresholds(scratch, sized(scratch, docs), weights, share, most)
+    scratch.keep(limits)
     name = {k: fresh(k, docs.columns) for k in ("key", "times", "budget", "limit", "copies", "copy")}
     limits = limits.select([F.col(k).alias(name[k]) for k in ("key", "times", "budget", "limit")])
     joined = docs.join(sized_broadcast(limits, n), _key(docs["source"]) == F.col(name["key"]))

@@ -333,7 +333,9 @@ def banded(scratch: Scratch, items: DataFrame, source: Callable, n_bands: int, s
     alone = Bits.of(percent).alone
     found = rows.where(F.col("kind") == PAIR).groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("n"), F.max("z").alias("alike"))
     pairs = scratch.save(found.where((F.col("n") > 1) | (F.col("alike") >= alone)).select("a", "b"))
-    return rows.where(F.col("kind") == PLACE).select("x", "y", "z", "w"), pairs
+    places = rows.where(F.col("kind") == PLACE).select("x", "y", "z", "w")
+    places._scratch_path = rows._scratch_path
+    return places, pairs
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

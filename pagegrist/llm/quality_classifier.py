@@ -153,7 +153,11 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, cut: float
 
 
 def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The documents that the classifier doesn't reject; all columns of docs."""
+    """The documents that the classifier doesn't reject; all columns of docs, as they are, whatever their names.
+
+    Judged by text alone: a null or empty text by the score that the trees give to it, equal texts alike, a null doc_id as any
+    other; without labels every score is 0.5, so all documents stay; an empty table stays empty.
+    """
     ship(spark)
     model = learn(*sample(docs, labels))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
