@@ -34,24 +34,42 @@ def normalize_space(x: Column) -> Column:
 
 def meaningful_length(x: Column) -> Column:
     """Characters that are neither white space nor control, format or unassigned ones."""
-    return F.length(F.regexp_replace(blank(x), r"[\p{Z}\p{C}]", ""))
+    return F.length(F.regexp_replace(blank(x), r"[\p{Z}\p{C}]+", ""))
 
 
 def letter_number_ratio(x: Column) -> Column:
     n = meaningful_length(x)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.length(F.regexp_replace(blank(x), r"[^\p{L}\p{N}]", "")) / n)
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.length(F.regexp_replace(blank(x), r"[^\p{L}\p{N}]+", "")) / n)
+
+
+def _line_ends(x: Column) -> Column:
+    return F.replace(F.replace(blank(x), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def paragraphs(x: Column) -> Column:
     """Blocks between blank lines, or lines where there is one block at most; stripped, without empty ones."""
-    raw = F.replace(F.replace(blank(x), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    raw = _line_ends(x)
     parts = lambda p: F.filter(F.transform(F.split(raw, p), strip), lambda s: s != "")
     blocks, lines = parts(rf"\n{SPACE}*\n+"), parts(r"\n")
     return F.when((F.size(blocks) <= 1) & (F.size(lines) > 1), lines).otherwise(blocks)
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is evaluated once, however often f uses it: expressions with lambdas aren't compiled, so nothing else shares them."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def paragraph_lengths(x: Column) -> Column:
-    return F.filter(F.transform(paragraphs(x), meaningful_length), lambda n: n > 0)
+    """Meaningful lengths of the paragraphs, without zeros.
+
+    White space goes from the whole text at once, so that blank lines meet and a piece's length is its number of characters. Texts
+    with other characters that don't count (format, control) are taken apart piece by piece.
+    """
+    lengths = lambda d, p: F.filter(F.transform(F.split(d, p), lambda s: F.length(F.replace(s, F.lit("\n"), F.lit("")))), lambda n: n > 0)
+    by_line = lambda d, blocks: once(lengths(d, r"\n"), lambda lines: F.when(F.size(lines) > 1, lines).otherwise(blocks))
+    plain = lambda d: once(lengths(d, r"\n{2,}"), lambda blocks: F.when(F.size(blocks) <= 1, by_line(d, blocks)).otherwise(blocks))
+    by_piece = F.filter(F.transform(paragraphs(x), meaningful_length), lambda n: n > 0)
+    return once(F.regexp_replace(_line_ends(x), rf"[{SPACE}&&[^\n]]+", ""), lambda d: F.when(d.rlike(r"[\p{C}&&[^\n]]"), by_piece).otherwise(plain(d)))
 
 
 def mean(lengths: Column) -> Column:
@@ -70,7 +88,7 @@ def count_if(lengths: Column, test) -> Column:
 
 
 def terminal_count(x: Column) -> Column:
-    return F.length(F.regexp_replace(blank(x), f"[^{fixed.TERMINAL}]", ""))
+    return F.regexp_count(blank(x), F.lit(f"[{fixed.TERMINAL}]"))
 
 
 def has_terminal_ending(x: Column) -> Column:
@@ -79,13 +97,23 @@ def has_terminal_ending(x: Column) -> Column:
 
 
 def repeated_line_ratio(x: Column) -> Column:
-    lines = F.split(F.replace(blank(x), F.lit("\r"), F.lit("\n")), "\n")
-    kept = F.transform(F.filter(lines, lambda s: meaningful_length(s) >= 3), lambda s: fold(normalize_space(s)))
-    return F.when(F.size(kept) < 4, F.lit(0.0)).otherwise(F.lit(1.0) - F.size(F.array_distinct(kept)) / F.size(kept))
+    """Share of lines of three meaningful characters or more that repeat an earlier one; 0 of fewer than four lines.
+
+    Spaces and characters that don't count are settled over the whole text, not line by line.
+    """
+
+    def ratio(raw: Column) -> Column:
+        shown = F.transform(F.split(fold(F.regexp_replace(raw, rf"[{SPACE}&&[^\n]]+", " ")), "\n"), lambda s: F.trim(s))
+        counted = F.split(F.regexp_replace(raw, r"[\p{Z}\p{C}&&[^\n]]+", ""), "\n")
+        long = F.filter(F.zip_with(shown, counted, lambda s, c: F.when(F.length(c) >= 3, s)), lambda s: s.isNotNull())
+        return once(long, lambda kept: F.when(F.size(kept) < 4, F.lit(0.0)).otherwise(F.lit(1.0) - F.size(F.array_distinct(kept)) / F.size(kept)))
+
+    few = lambda raw: F.length(raw) - F.length(F.replace(raw, F.lit("\n"), F.lit(""))) < 3
+    return once(F.replace(blank(x), F.lit("\r"), F.lit("\n")), lambda raw: F.when(few(raw), F.lit(0.0)).otherwise(ratio(raw)))
 
 
 def numeric_density(x: Column) -> Column:
-    return F.length(F.regexp_replace(blank(x), r"[^\p{Nd}]", "")) / F.greatest(meaningful_length(x), F.lit(1))
+    return F.regexp_count(blank(x), F.lit(r"\p{Nd}")) / F.greatest(meaningful_length(x), F.lit(1))
 
 
 def time_or_market_signal(x: Column) -> Column:

@@ -44,19 +44,33 @@ def query(u: Column) -> Column:
     return F.regexp_extract(blank(u), r"^[^?#]*\?([^#]*)", 1)
 
 
+def _decoded(x: Column) -> Column:
+    """Form decoding: + is a space, a percent sign that starts no byte is itself."""
+    return F.try_url_decode(F.regexp_replace(x, r"%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def _encoded(x: Column) -> Column:
+    """Form encoding, with the tilde as it is and the asterisk encoded."""
+    return F.replace(F.replace(F.url_encode(x), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+
+
 def canonical(u: Column) -> Column:
-    """Lower-case scheme and host, no final slash, no campaign parameters, no fragment; other parameters in order."""
-    name = lambda kv: F.lower(F.split_part(kv, F.lit("="), F.lit(1)))
+    """Lower-case scheme and host, no path parameters, final slash, campaign parameters or fragment; other parameters in order.
+
+    Query parameters are decoded and encoded again, so that spellings of one address meet.
+    """
+    pair = lambda kv: F.struct(_decoded(F.regexp_extract(kv, r"(?s)^([^=]*)", 1)).alias("k"), _decoded(F.regexp_extract(kv, r"(?s)^[^=]*=(.*)$", 1)).alias("v"))
 
     def kept(kv: Column) -> Column:
-        out = (kv != "") & ~name(kv).isin(*fixed.TRACKING_PARAMETERS)
+        name = F.lower(kv["k"])
+        out = ~name.isin(*fixed.TRACKING_PARAMETERS)
         for p in fixed.TRACKING_PREFIXES:
-            out = out & ~F.startswith(name(kv), F.lit(p))
+            out = out & ~F.startswith(name, F.lit(p))
         return out
 
-    whole = lambda kv: F.when(F.contains(kv, F.lit("=")), kv).otherwise(F.concat(kv, F.lit("=")))
-    pairs = F.array_join(F.transform(F.filter(F.split(query(u), "&"), kept), whole), "&")
-    trimmed = F.regexp_replace(path(u), "/+$", "")
+    given = F.transform(F.filter(F.split(query(u), "&"), lambda kv: kv != ""), pair)
+    pairs = F.array_join(F.transform(F.filter(given, kept), lambda kv: F.concat(_encoded(kv["k"]), F.lit("="), _encoded(kv["v"]))), "&")
+    trimmed = F.regexp_replace(F.regexp_replace(path(u), r";[^/]*$", ""), "/+$", "")
     return F.concat(scheme(u), F.lit("://"), authority(u), F.when(trimmed == "", "/").otherwise(trimmed), F.when(pairs == "", "").otherwise(F.concat(F.lit("?"), pairs)))
 
 
@@ -70,21 +84,41 @@ def looks_amp(u: Column) -> Column:
     return F.startswith(hostname(u), F.lit("amp.")) | low.rlike(r"(?:\.amp|/amp)$") | F.contains(low, F.lit("/amp/")) | F.contains(F.lower(query(u)), F.lit("output=amp"))
 
 
+def is_ipv4(h: Column) -> Column:
+    """Four numbers up to 255 without leading zeros."""
+    return h.rlike(r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.|$)){4}(?<!\.)$")
+
+
+def is_ipv6(h: Column) -> Column:
+    """Eight groups, or fewer around one gap; an IPv4 address can stand for the last two."""
+    groups = F.regexp_replace(h, r"(?<=:)[0-9]{1,3}(?:\.[0-9]{1,3}){3}$", "0:0")
+    n = F.regexp_count(groups, F.lit(r"[0-9a-f]+"))
+    shape = groups.rlike(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::)?(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?$")
+    return shape & F.when(F.contains(groups, F.lit("::")), n <= 7).otherwise((n == 8) & F.contains(groups, F.lit(":")))
+
+
+def _private_v6(h: Column) -> Column:
+    """What lies outside the globally assigned 2000::/3 (site-local addresses too), and the special blocks inside it."""
+    group = lambda i: F.conv(F.coalesce(F.nullif(F.get(F.split(h, ":"), F.lit(i)), F.lit("")), F.lit("0")), 16, 10).cast("int")
+    a, b, c = group(0), group(1), group(2)
+    assigned = (b == 0x3) | b.between(0x20, 0x3F) | ((b == 0x4) & (c == 0x112)) | h.isin("2001:1::1", "2001:1::2")
+    special = ((a == 0x2001) & (b < 0x200) & ~assigned) | ((a == 0x2001) & (b == 0xDB8)) | (a == 0x2002)
+    return F.startswith(h, F.lit("::")) | ~a.between(0x2000, 0x3FFF) | special
+
+
 def safety(u: Column) -> Column:
     """Why an address must not be followed; empty where nothing speaks against it. Names aren't resolved."""
     s, h = scheme(u), F.regexp_replace(hostname(u), r"\.+$", "")
     octet = [F.try_to_number(F.regexp_extract(h, r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$", i), F.lit("999")).cast("int") for i in (1, 2, 3, 4)]
-    v4 = h.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$") & (F.greatest(*octet) <= 255)
-    a, b, c = octet[:3]
+    a, b, c, d = octet
     private = (
-        a.isin(0, 10, 127) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 192) & (b == 0) & c.isin(0, 2))
+        a.isin(0, 10, 127) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 192) & (b == 0) & (c == 0) & ~d.isin(9, 10)) | ((a == 192) & (b == 0) & (c == 2))
         | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
     )
-    v6 = h.rlike(r"^(?:::1?|f[cd][0-9a-f]{0,2}:.*|fe[89ab][0-9a-f]?:.*|ff[0-9a-f]{0,2}:.*|2001:db8:.*)$")
     return (
         F.when(s.isin("file", "ftp", "data", "javascript"), F.concat(F.lit("blocked_scheme:"), s)).when(~s.isin("http", "https"), F.concat(F.lit("unsupported_scheme:"), F.when(s == "", "none").otherwise(s)))
         .when(h == "", "empty_host").when(h.isin("localhost", "localhost.localdomain") | F.endswith(h, F.lit(".localhost")), "localhost").when(h == "0.0.0.0", "unspecified")
-        .when(v4 & private, F.concat(F.lit("private_ip:"), h)).when(v6, F.concat(F.lit("private_ip:"), h)).otherwise("")
+        .when((is_ipv4(h) & private) | (is_ipv6(h) & _private_v6(h)), F.concat(F.lit("private_ip:"), h)).otherwise("")
     )
 
 
@@ -181,7 +215,7 @@ def registrable(df: DataFrame, host_column: str, rules: DataFrame, name: str = "
     """Adds the registrable domain of a host: the longest suffix rule and one label more.
 
     Distinct hosts only are looked up, each of their suffixes by an equality join with the small rule table. A host
-    that is a suffix, has an empty label or none gives null; an IPv4 address stays as it is.
+    that is a suffix, has an empty label or none gives null; an IP address stays as it is.
     """
     shown = presentation(F.col(host_column))
     hosts = df.select(F.col(host_column).alias("_host"), shown.alias("_shown")).distinct()
@@ -194,6 +228,6 @@ def registrable(df: DataFrame, host_column: str, rules: DataFrame, name: str = "
     n = F.greatest(F.lit(1), F.coalesce("_cut", "_long", F.lit(1)))
     found = hosts.join(best, "_host", "left").select(
         F.col("_host").alias("_key"),
-        F.when(F.col("_shown").rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), F.col("_shown")).when(F.array_contains(labels, "") | (F.size(labels) <= n), None).otherwise(F.array_join(F.slice(labels, F.size(labels) - n, n + 1), ".")).alias(name),
+        F.when(is_ipv4(F.col("_shown")) | is_ipv6(F.col("_shown")), F.col("_shown")).when(F.array_contains(labels, "") | (F.size(labels) <= n), None).otherwise(F.array_join(F.slice(labels, F.size(labels) - n, n + 1), ".")).alias(name),
     )
     return df.join(found, df[host_column].eqNullSafe(found["_key"]), "left").drop("_key")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from re import _parser as re_parser
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,18 +13,58 @@ from ..functions import text as T
 _END = r"(?:[^\p{L}\p{N}_]|\z)"
 
 
-def _found(x: Column, pattern: str) -> Column:
-    return x.rlike(f"(?is){pattern}")
+def required(pattern: str) -> frozenset[str]:
+    """Strings in lower case of which any match of the pattern holds at least one; empty where none can be told.
+
+    Of a sequence that is the literal run whose shortest string is longest (a mark counts for three letters, as it is rare in
+    prose), of alternatives the union of theirs.
+    """
+    worth = lambda found: min((len(x) + 2 * sum(not c.isalnum() and c != " " for c in x) for x in found), default=0)
+
+    def of(items) -> frozenset[str]:
+        best, run = frozenset(), ""
+        options: list[frozenset[str]] = []
+        for op, arg in [*items, (None, None)]:
+            if op is re_parser.LITERAL and arg < 128:
+                run += chr(arg).lower()
+                continue
+            options += [frozenset((run,))] if run else []
+            run = ""
+            if op is re_parser.SUBPATTERN:
+                options.append(of(arg[3]))
+            elif op is re_parser.BRANCH:
+                each = [of(x) for x in arg[1]]
+                options.append(frozenset().union(*each) if all(each) else frozenset())
+        for found in options:
+            if worth(found) > worth(best):
+                best = found
+        return best
+
+    return of(re_parser.parse(pattern))
 
 
 def access_columns(df: DataFrame, html: str, title: str, status: str | None = None) -> DataFrame:
     """Adds access_detected, access_challenge, access_provider, access_reason, access_score."""
     raw = F.left(T.blank(F.col(html)), F.lit(fixed.MAX_ACCESS_CHARS))
-    df = df.withColumn("_raw", raw).withColumn("_status", F.coalesce(F.col(status), F.lit(0)) if status else F.lit(0))
+    df = df.withColumn("_raw", raw).withColumn("_low", F.lower("_raw")).withColumn("_status", F.coalesce(F.col(status), F.lit(0)) if status else F.lit(0))
     inner = T.normalize_space(F.regexp_replace(F.regexp_extract("_raw", r"(?is)<title[^>]*>(.*?)</title>", 1), "<[^>]+>", " "))
     own = T.fold(T.normalize_space(F.col(title)))
     df = df.withColumn("_title", F.when(own == "", T.fold(inner)).otherwise(own))
     r = F.col("_raw")
+    # most texts hold none of the strings that the patterns need: one cheap search for these spares the patterns
+    every = (*(p for _, ps in fixed.PROVIDERS for p in ps), fixed.CAPTCHA, fixed.PLAIN_CAPTCHA, fixed.CHALLENGE_SCRIPT, fixed.DENIED_TEXT, fixed.DEFAULT_PAGES, fixed.CHALLENGE_BODY)
+    needed = frozenset().union(*map(required, every)) if all(map(required, every)) else frozenset()
+    short = sorted(x for x in needed if not any(y != x and y in x for y in needed))
+    maybe = F.lit(not short)
+    for x in short:
+        maybe = maybe | F.contains("_low", F.lit(x))
+    df = df.withColumn("_maybe", maybe).withColumn("_tags", F.contains("_raw", F.lit("<")))
+
+    def _found(x: Column, pattern: str) -> Column:
+        if pattern.startswith("<"):
+            return F.col("_tags") & x.rlike(f"(?is){pattern}")
+        return (F.col("_maybe") & x.rlike(f"(?is){pattern}")) if pattern in every else x.rlike(f"(?is){pattern}")
+
     hits = {name: sum((_found(r, p).cast("int") for p in patterns), F.lit(0)) for name, patterns in fixed.PROVIDERS}
     df = df.withColumns({f"_hit_{i}": h for i, h in enumerate(hits.values())})
     most = F.greatest(*[F.col(f"_hit_{i}") for i in range(len(hits))])
@@ -30,12 +72,13 @@ def access_columns(df: DataFrame, html: str, title: str, status: str | None = No
     provider = F.lit("")
     for i, name in reversed(list(enumerate(hits))):
         provider = F.when((F.col(f"_hit_{i}") == F.col("_hits")) & (F.col("_hits") > 0), F.lit(name)).otherwise(provider)
-    visible = T.meaningful_length(T.normalize_space(F.regexp_replace("_raw", "<[^>]+>", " ")))
+    df = df.withColumn("_visible", T.meaningful_length(F.regexp_replace("_raw", "<[^>]+>", "")))
+    visible = F.col("_visible")
     df = df.withColumns({
-        "_provider": provider, "_markup": _found(r, fixed.MARKUP), "_visible": visible,
+        "_provider": provider, "_markup": _found(r, fixed.MARKUP),
         "_t_challenge": F.col("_title").rlike(f"(?i){fixed.CHALLENGE_TITLES}{_END}"), "_t_denied": F.col("_title").rlike(f"(?i){fixed.DENIED_TITLES}{_END}"),
         "_form": _found(r, fixed.CHALLENGE_FORM), "_script": _found(r, fixed.CHALLENGE_SCRIPT), "_denied": _found(r, fixed.DENIED_TEXT), "_default": _found(r, fixed.DEFAULT_PAGES),
-        "_thin": (F.regexp_count("_raw", F.lit(r"(?i)<script\b")) >= 2) & (F.regexp_count("_raw", F.lit(r"(?i)<p\b")) <= 2) & (visible < 900),
+        "_thin": F.col("_tags") & (F.regexp_count("_raw", F.lit(r"(?i)<script\b")) >= 2) & (F.regexp_count("_raw", F.lit(r"(?i)<p\b")) <= 2) & (visible < 900),
         "_refresh": _found(r, fixed.META_REFRESH), "_body": _found(r, fixed.CHALLENGE_BODY),
     })
     plain = (T.meaningful_length(r) < 1800) & _found(r, fixed.PLAIN_CAPTCHA)
@@ -64,7 +107,7 @@ def access_columns(df: DataFrame, html: str, title: str, status: str | None = No
     return df.drop(*[x for x in df.columns if x.startswith("_") and (x[1:] in _OWN or x.startswith("_hit"))])
 
 
-_OWN = {"raw", "status", "title", "provider", "markup", "visible", "t_challenge", "t_denied", "form", "script", "denied", "default", "thin", "refresh", "body", "captcha"}
+_OWN = {"raw", "low", "maybe", "tags", "status", "title", "provider", "markup", "visible", "t_challenge", "t_denied", "form", "script", "denied", "default", "thin", "refresh", "body", "captcha"}
 
 
 def challenge_shell(title: Column, text: Column, detected: Column) -> Column:

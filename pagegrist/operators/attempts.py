@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -62,6 +62,28 @@ def rolled_up(children: DataFrame, key: str) -> DataFrame:
     return each.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("engine", "ms")))).alias("engine_timings_ms"))
 
 
+def batch_attempts(attempts: DataFrame, items: DataFrame, key: str, order: str) -> DataFrame:
+    """key, place, scope, request_id and the normal form of every attempt of a batch's items, in the items' order.
+
+    One row an attempt instead of one list a batch. items: key, request_id, scope and their order; attempts: request_id, seq and
+    the fields of ``normalized``.
+    """
+    own = items.select(key, F.col(order).alias("place"), F.col("request_id").alias("_r"), F.col("scope"))
+    return normalized(attempts).join(own, F.col("request_id") == F.col("_r")).drop("_r")
+
+
+def batch_quality(children: DataFrame, key: str) -> DataFrame:
+    """Whether any item of a batch was judged, how many were, and how many of these passed. children: evaluated, ok."""
+    return children.groupBy(key).agg(F.coalesce(F.bool_or("evaluated"), F.lit(False)).alias("evaluated"), F.count_if("evaluated").alias("n_evaluated"), F.count_if(F.col("evaluated") & F.col("ok")).alias("n_ok"))
+
+
+def batch_scope(items: DataFrame, key: str, order: str, domain: str, most: int) -> DataFrame:
+    """The first items of each batch up to a cap; in_scope tells whether they are all of one domain."""
+    w = Window.partitionBy(key).orderBy(order)
+    kept = items.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
+    return kept.withColumn("in_scope", F.min(domain).over(Window.partitionBy(key)).eqNullSafe(F.max(domain).over(Window.partitionBy(key))))
+
+
 def rate(ok: Column, total: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(F.round(ok / total, 4))
 

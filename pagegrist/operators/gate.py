@@ -75,9 +75,10 @@ def quality_score(title: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
 
 
-def teaser_reason(text: Column, title: Column) -> Column:
-    """Why a text is a teaser; empty where it isn't."""
+def teaser_reason(text: Column, title: Column, seen: Column | None = None) -> Column:
+    """Why a text is a teaser; empty where it isn't. seen: the folded window of title and text, where a column has it."""
     c = F.col
+    seen = T.window(title, text) if seen is None else seen
     chars = c("content_chars")
     count = F.when(c("paragraph_count_dom") > 0, c("paragraph_count_dom")).otherwise(c("paragraph_count"))
     mismatch = (c("jsonld_article_body_chars") >= 800) & (chars < 1600) & (c("jsonld_article_body_chars") >= F.greatest(chars * F.lit(2.2), (chars + 500).cast("double")))
@@ -86,7 +87,7 @@ def teaser_reason(text: Column, title: Column) -> Column:
     sparse = (chars < 1200) & (count <= 3)
     abrupt = (chars < 1200) & (T.rstrip(text).rlike(r"(?:…|\.{3})\z") | (~c("terminal_ending") & (chars >= 180)))
     return (
-        F.when(T.has_any(T.window(title, text), fixed.TEASER_MARKERS), "teaser_markers")
+        F.when(T.has_any(seen, fixed.TEASER_MARKERS), "teaser_markers")
         .when(mismatch & (access_ui | hidden | abrupt), "teaser_schema_mismatch")
         .when(sparse & access_ui & ((c("cta_count") >= 1) | (c("link_density") >= 0.2)), "teaser_access_shell")
         .when(sparse & gated & hidden, "teaser_clipped_content")
@@ -95,8 +96,9 @@ def teaser_reason(text: Column, title: Column) -> Column:
     )
 
 
-def navigation_shell(text: Column, title: Column) -> Column:
-    c, seen = F.col, T.window(title, text)
+def navigation_shell(text: Column, title: Column, seen: Column | None = None) -> Column:
+    c = F.col
+    seen = T.window(title, text) if seen is None else seen
     signals = sum((F.contains(seen, F.lit(m)).cast("int") for m in fixed.NAVIGATION_SIGNALS), F.lit(0))
     marked = F.contains(T.fold(title), F.lit("do not delete")) & (signals >= 3)
     listed = (c("paragraph_count") >= 8) & (c("shorter_paragraph_ratio") >= 0.75) & (c("repeated_line_ratio") >= 0.2)
@@ -134,8 +136,8 @@ def quality_gate(df: DataFrame, text: str, title: str | None = None, html: str |
         df = df.withColumn("_source", F.when(T.blank(F.col(html)) == "", F.col("_text")).otherwise(F.col(html)))
     df = access_columns(df, "_source" if html else "_text", "_name", status)
     t, name, c = F.col("_text"), F.col("_name"), F.col
-    df = df.withColumn("score", quality_score(name))
-    df = df.withColumns({"_teaser": teaser_reason(t, name), "_navigation": navigation_shell(t, name), "_newsflash": short_newsflash(t, name)})
+    df = df.withColumn("score", quality_score(name)).withColumn("_seen", T.window(name, t))
+    df = df.withColumns({"_teaser": teaser_reason(t, name, c("_seen")), "_navigation": navigation_shell(t, name, c("_seen")), "_newsflash": short_newsflash(t, name)})
     short, teaser = c("content_chars") < fixed.MIN_CONTENT_CHARS, c("_teaser") != ""
     partial = F.lit(allow_partial)
     way = (
@@ -149,7 +151,7 @@ def quality_gate(df: DataFrame, text: str, title: str | None = None, html: str |
         .when(w == 5, "teaser_allowed_partial").when(w == 6, "pass").otherwise(F.concat(F.lit("structural_score="), F.format_string("%.3f", "score"), F.lit(f" < {fixed.PASS_SCORE:.3f}")))
     )
     out = {"ok": w.isin(5, 6), "paywall_suspected": w.isin(3, 5), "reason": reason, "error_code": F.when(w.isin(5, 6), "").when(w == 3, "PAYWALL_REMAINING").otherwise("EXTRACT_FAILED"), "score": F.when(w.isin(1, 2, 3), F.lit(0.0)).otherwise(c("score"))}
-    return df.withColumns(out).drop("_text", "_name", "_source", "_teaser", "_navigation", "_newsflash", "_way")
+    return df.withColumns(out).drop("_text", "_name", "_source", "_seen", "_teaser", "_navigation", "_newsflash", "_way")
 
 
 def merge_dom_metrics(df: DataFrame, aliases: dict[str, str]) -> DataFrame:

@@ -44,10 +44,10 @@ def meaningful(text: str) -> int:
 class Node:
     """An element: its tag, attributes and children, which are elements and strings."""
 
-    __slots__ = ("attrs", "children", "parent", "tag")
+    __slots__ = ("attrs", "chars", "children", "parent", "tag")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.tag, self.attrs, self.parent, self.children, self.chars = tag, attrs, parent, [], 0
 
     def walk(self) -> Iterator[Node]:
         """Elements below, in document order."""
@@ -126,6 +126,16 @@ def without_hidden(root: Node) -> Node:
     return root
 
 
+def count_chars(root: Node) -> Node:
+    """Sets chars of every element: the meaningful characters below it. These add up, so each string is counted once."""
+    below = [root, *root.walk()]
+    for x in below:
+        x.chars = sum(meaningful(c) for c in x.children if isinstance(c, str))
+    for x in reversed(below[1:]):
+        x.parent.chars += x.chars
+    return root
+
+
 def _bodies(value) -> Iterator[str]:
     stack = [value]
     while stack:
@@ -167,9 +177,9 @@ def _is_container(x: Node) -> bool:
 
 
 def container(root: Node) -> Node | None:
-    """The longest of the article containers, else main, else body."""
+    """The longest of the article containers, else main, else body; characters must have been counted."""
     found = [x for x in root.walk() if _is_container(x)] or root.all("main")[:1] or root.all("body")[:1]
-    return max(found, key=lambda x: meaningful(x.text()), default=None)
+    return max(found, key=lambda x: x.chars, default=None)
 
 
 def depth(root: Node, most: int = 80) -> int:
@@ -210,24 +220,25 @@ def analyze(html: str) -> tuple[dict, Node]:
     m["meta_refresh_count"] = count(lambda x: x.tag == "meta" and x.attrs.get("http-equiv", "").casefold() == "refresh")
     m["paywall_attribute_count"] = count(lambda x: bool(_GATE.search(_blob(x))))
     m["modal_count"] = count(lambda x: x.attrs.get("role", "").casefold() in ("dialog", "alertdialog"))
+    count_chars(root)
     clipped = lambda x: any(p in x.attrs.get("style", "").casefold().replace(" ", "") for p in ("overflow:hidden", "max-height:", "clip-path:"))
-    m["hidden_prose_count"] = count(lambda x: clipped(x) and meaningful(x.text()) >= 200)
+    m["hidden_prose_count"] = count(lambda x: clipped(x) and x.chars >= 200)
     m["challenge_form_count"] = count(lambda x: x.tag == "form" and bool(_FORM.search(f"{x.attrs.get('action', '')} {_blob(x)}")))
-    without_hidden(root)
+    count_chars(without_hidden(root))
     main = container(root)
-    visible, inner = meaningful(root.text()), meaningful(main.text()) if main else 0
+    visible, inner = root.chars, main.chars if main else 0
     below = list(main.walk()) if main else []
-    links = [meaningful(x.text()) for x in below if x.tag == "a"]
-    lengths = [n for n in (meaningful(x.text()) for x in below if x.tag == "p") if n]
+    links = [x.chars for x in below if x.tag == "a"]
+    lengths = [x.chars for x in below if x.tag == "p" and x.chars]
     mean = math.fsum(lengths) / len(lengths) if lengths else 0.0
     variance = math.fsum((n - mean) ** 2 for n in lengths) / len(lengths) if len(lengths) > 1 else 0.0
-    navigation = sum(meaningful(x.text()) for x in root.all("nav", "aside", "header", "footer"))
+    navigation = sum(x.chars for x in root.all("nav", "aside", "header", "footer"))
     m |= {
         "container_tag_count": len(below), "dom_depth": depth(root), "visible_text_chars": visible, "container_text_chars": inner, "text_to_html_ratio": visible / max(1, len(sample)),
         "article_text_ratio": inner / visible if visible else 0.0, "link_text_chars": sum(links), "link_density": sum(links) / inner if inner else 0.0, "link_count": len(links),
         "paragraph_count_dom": len(lengths), "paragraph_mean_dom": mean, "paragraph_variance_dom": variance, "paragraph_cv_dom": math.sqrt(variance) / mean if mean else 0.0,
         "long_paragraph_count_dom": sum(n >= 80 for n in lengths), "list_item_count": sum(x.tag == "li" for x in below), "heading_count": sum(x.tag in ("h1", "h2", "h3", "h4", "h5", "h6") for x in below),
-        "cta_count": sum(0 < n <= 80 for n in [*links, *(meaningful(x.text()) for x in root.all("button"))]), "navigation_text_ratio": navigation / visible if visible else 0.0,
+        "cta_count": sum(0 < n <= 80 for n in [*links, *(x.chars for x in root.all("button"))]), "navigation_text_ratio": navigation / visible if visible else 0.0,
         "article_container_present": main is not None and main.tag != "body", "interactive_density": (len(links) + m["button_count"] + m["input_count"]) / max(1, len(tags)),
     }
     return m, root
@@ -275,23 +286,31 @@ def prose(root: Node) -> str:
     return "\n\n".join(x for x in lines if x)
 
 
+#: Pages whose records are held at a time.
+PAGES = 64
 _DDL = ", ".join(f"{k} {v}" for k, v in METRICS.items())
 _KINDS = {"int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 
 
-def page_records(spark: SparkSession, df: DataFrame, key: str, html: str = "html", url: str = "url") -> DataFrame:
-    """key, all structure metrics, images, article_text: one parse per page. A null page has an empty tree."""
+def page_records(spark: SparkSession, df: DataFrame, key: str, html: str = "html", url: str = "url", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, all structure metrics, images, article_text: one parse per page. A null page has an empty tree.
+
+    keep: columns that pass through, so that nobody has to join for them.
+    """
     ship(spark)
-    slim = df.select(F.col(key).alias("key"), F.coalesce(F.col(html), F.lit("")).alias("html"), F.coalesce(F.col(url), F.lit("")).alias("url"))
+    slim = df.select(F.col(key).alias("key"), F.coalesce(F.col(html), F.lit("")).alias("html"), F.coalesce(F.col(url), F.lit("")).alias("url"), *[F.col(c).alias(f"kept{i}") for i, c in enumerate(keep)])
     kind = df.schema[key].dataType.simpleString()
+    kept = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def records(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            rows = []
-            for page, address in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist()):
-                m, root = analyze(page)
-                rows.append(m | {"images": images(root, address), "article_text": prose(root)})
-            columns = [batch.column("key"), *(pa.array([r[k] for r in rows], _KINDS[t]) for k, t in METRICS.items()), pa.array([r["images"] for r in rows], pa.list_(pa.string())), pa.array([r["article_text"] for r in rows], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, *METRICS, "images", "article_text"])
-
-    return slim.mapInArrow(records, f"`{key}` {kind}, {_DDL}, images array<string>, article_text string")
+        for whole in it:
+            for i in range(0, whole.num_rows, PAGES):
+                batch, rows = whole.slice(i, PAGES), []
+                for page, address in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist()):
+                    m, root = analyze(page)
+                    rows.append(m | {"images": images(root, address), "article_text": prose(root)})
+                columns = [batch.column("key"), *(pa.array([r[k] for r in rows], _KINDS[t]) for k, t in METRICS.items()), pa.array([r["images"] for r in rows], pa.list_(pa.string())), pa.array([r["article_text"] for r in rows], pa.string())]
+                columns += [batch.column(f"kept{k}") for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, *METRICS, "images", "article_text", *keep])
+
+    return slim.mapInArrow(records, f"`{key}` {kind}, {_DDL}, images array<string>, article_text string{kept}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import attempts as A
 from ..operators import state as S
+from ..sources import registries as R
 from .registry import query
 
 # What stands in for outcomes: error codes by event number.
@@ -49,6 +50,40 @@ def batch_timings(spark, sf):
     return A.rolled_up(children, "batch").select("batch", F.array_join(shown, ",").alias("timings"))
 
 
+_BATCH = f"""{_LOG}, i AS (SELECT request_id, request_id % 10 AS batch, row_number() OVER (PARTITION BY request_id % 10 ORDER BY request_id) AS place, min(engine) AS domain FROM log GROUP BY request_id)"""
+
+
+def _batches(spark, sf):
+    requests = log(spark, sf).groupBy("request_id").agg(F.min("engine").alias("domain")).withColumn("batch", F.col("request_id") % 10)
+    return A.batch_scope(requests, "batch", "request_id", "domain", 20)
+
+
+@query("batch_scopes", f"WITH {_BATCH}, k AS (SELECT * FROM i WHERE place <= 20) SELECT batch, count(*)::BIGINT AS n, count(DISTINCT domain) = 1 AS in_scope FROM k GROUP BY batch")
+def batch_scopes(spark, sf):
+    """Batches capped at their first 20 requests."""
+    return _batches(spark, sf).groupBy("batch").agg(F.count("*").alias("n"), F.bool_and("in_scope").alias("in_scope"))
+
+
+@query("batch_attempts", f"WITH {_BATCH} SELECT i.batch, i.request_id AS place, 'item' || i.request_id AS scope, l.seq, l.engine, greatest(elapsed_ms, 0)::BIGINT AS elapsed_ms, l.error_code FROM log l JOIN i ON l.request_id = i.request_id AND i.place <= 20")
+def batch_attempts(spark, sf):
+    items = _batches(spark, sf).withColumn("scope", F.concat(F.lit("item"), F.col("request_id").cast("string")))
+    return A.batch_attempts(log(spark, sf), items.withColumn("at", F.col("request_id")), "batch", "at").select("batch", "place", "scope", "seq", "engine", "elapsed_ms", "error_code")
+
+
+@query("batch_quality", f"WITH {_LOG} SELECT request_id % 10 AS batch, bool_or(error_code <> 'SSRF_BLOCKED') AS evaluated, count(*) FILTER (error_code <> 'SSRF_BLOCKED')::BIGINT AS n_evaluated, count(*) FILTER (error_code = '')::BIGINT AS n_ok FROM log GROUP BY 1")
+def batch_quality(spark, sf):
+    children = log(spark, sf).select((F.col("request_id") % 10).alias("batch"), (F.col("error_code") != "SSRF_BLOCKED").alias("evaluated"), (F.col("error_code") == "").alias("ok"))
+    return A.batch_quality(children, "batch")
+
+
+@query("syndication_eligible", f"WITH {_LOG}, f AS (SELECT *, {_KNOWN} AS code FROM log WHERE error_code <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {_PRIORITY} DESC, seq DESC) AS k FROM f) SELECT request_id, request_id % 2 = 0 AND code IN ('PAYWALL_REMAINING', 'BOT_CHALLENGE', 'HTTP_BLOCKED') AS eligible FROM r WHERE k = 1")
+def syndication_eligible(spark, sf):
+    """Requests whose best failure may be answered by a syndicated article; every second one is for the outlet that has a policy for it."""
+    failed = A.best_failure(log(spark, sf), "request_id", "seq").withColumn("domain", F.when(F.col("request_id") % 2 == 0, "bloomberg.com").otherwise("ft.com"))
+    p = R.derived_policies(failed)
+    return p.select("request_id", R.may_syndicate(F.col("domain"), F.col("error_code"), F.col("representation_mode")).alias("eligible"))
+
+
 @query("best_failure", f"WITH {_LOG}, f AS (SELECT *, {_KNOWN} AS code FROM log WHERE error_code <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {_PRIORITY} DESC, seq DESC) AS k FROM f) SELECT request_id, code AS error_code, {_CLASS} AS failure_class, seq FROM r WHERE k = 1")
 def best_failure(spark, sf):
     return A.best_failure(log(spark, sf), "request_id", "seq")
@@ -166,16 +201,8 @@ def _wired():
     return F.lit("https://news.wire.example/a").alias("url"), F.lit("By a reporter (Agency)").alias("attribution_text")
 
 
-@query("syndication_match", "WITH o AS (SELECT o_orderkey AS orig_id, o_custkey % 40 AS k, o_orderdate AS published FROM orders WHERE o_orderkey % 7 = 0), c AS (SELECT o_orderkey AS cand_id, o_custkey % 40 AS k, o_orderdate AS published FROM orders WHERE o_orderkey % 7 = 1) SELECT orig_id, min(cand_id) AS cand_id, count(*)::BIGINT AS n_candidates FROM o JOIN c USING (k) WHERE abs(epoch_us(o.published) - epoch_us(c.published)) <= 172800000000 GROUP BY orig_id")
+@query("syndication_match", "SELECT o.o_orderkey AS orig_id, min(c.o_orderkey) AS cand_id, count(*)::BIGINT AS n_candidates FROM orders o JOIN orders c ON o.o_custkey = c.o_custkey AND o.o_orderkey <> c.o_orderkey WHERE abs(epoch_us(o.o_orderdate::TIMESTAMP) - epoch_us(c.o_orderdate::TIMESTAMP)) <= 172800000000 GROUP BY 1")
 def syndication_match(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", T.normalize_title(F.concat(F.lit("Title: No. "), (F.col("o_custkey") % 40).cast("string"), F.lit("!"))).alias("title_key"), F.col("o_orderdate").cast("timestamp").alias("published"), *_wired())
-    originals = o.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("orig_id"), "url", "title_key", "published")
-    candidates = o.where("o_orderkey % 7 = 1").select(F.col("o_orderkey").alias("cand_id"), "url", "title_key", "published", "attribution_text", F.col("o_orderkey").alias("seq"))
-    return A.syndicated(originals, candidates, "wire.example", "(agency)")
-
-
-@query("syndication_match_whole", "SELECT o.o_orderkey AS orig_id, min(c.o_orderkey) AS cand_id, count(*)::BIGINT AS n_candidates FROM orders o JOIN orders c ON o.o_custkey = c.o_custkey AND o.o_orderkey <> c.o_orderkey WHERE abs(epoch_us(o.o_orderdate::TIMESTAMP) - epoch_us(c.o_orderdate::TIMESTAMP)) <= 172800000000 GROUP BY 1")
-def syndication_match_whole(spark, sf):
     """All orders against all others, a title for each customer."""
     title = T.normalize_title(F.concat(F.lit("Title: No. "), F.col("o_custkey").cast("string"), F.lit("!")))
     o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", title.alias("title_key"), F.col("o_orderdate").cast("timestamp").alias("published"), *_wired())

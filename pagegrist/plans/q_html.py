@@ -11,8 +11,8 @@ from .q_url import pages
 from .registry import query
 
 
-def records(spark, sf):
-    return html.page_records(spark, pages(spark, sf), "page_id")
+def records(spark, sf, *keep):
+    return html.page_records(spark, pages(spark, sf), "page_id", keep=keep)
 
 
 @query("page_html_metrics")
@@ -38,7 +38,7 @@ def page_article(spark, sf):
 
 @query("page_markdown")
 def page_markdown(spark, sf):
-    r = records(spark, sf).join(pages(spark, sf).select("page_id", "url"), "page_id")
+    r = records(spark, sf, "url")
     out = markdown(F.col("raw_title"), F.lit(""), F.lit(""), T.clean_text(F.col("article_text")), F.col("images"), F.col("url"))
     kept, cut = T.truncated(out)
     return r.select("page_id", T.batch_slug(F.col("raw_title"), F.col("url")).alias("slug"), kept.alias("markdown"), cut.alias("truncated"))
@@ -46,7 +46,7 @@ def page_markdown(spark, sf):
 
 @query("page_gate")
 def page_gate(spark, sf):
-    r = records(spark, sf).join(pages(spark, sf), "page_id")
+    r = records(spark, sf, "html")
     g = gate.quality_gate(r, "article_text", "raw_title", "html")
     return g.select("page_id", "content_chars", F.round("score", 6).alias("score"), "ok", "paywall_suspected", "reason", "error_code")
 

@@ -50,15 +50,6 @@ def feed_report_totals(spark, sf):
     return feeds.feed_health(spark, _responses(spark, sf)).agg(F.count("*").alias("n_feeds"), F.count_if(F.col("kind") == "valid_feed").alias("n_valid"), F.sum("entry_count").alias("entries"), F.sum("publisher_url_count").alias("publisher_urls"))
 
 
-@query("derived_policies", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'required' ELSE 'never' END AS browser_mode, CASE WHEN page_id % 3 = 1 THEN 'on_failure' ELSE 'never' END AS service_mode, page_id % 3 = 1 AS may_use FROM pages")
-def derived_policies(spark, sf):
-    k = F.col("page_id") % 3
-    mode = F.when(k == 1, "on_failure").otherwise("never")
-    from ..sources.registries import may_use
-
-    return pages(spark, sf).select("page_id", F.when(k == 0, "required").otherwise("never").alias("browser_mode"), mode.alias("service_mode"), may_use(mode, F.array(F.lit("NETWORK")), F.lit("NETWORK")).alias("may_use"))
-
-
 @query("response_failures", f"WITH {access_sql(_STATUS)} SELECT page_id, CASE WHEN detected AND challenge THEN 'BOT_CHALLENGE' WHEN detected OR status IN (401, 403, 407, 429, 451) THEN 'HTTP_BLOCKED' WHEN status = 0 OR status >= 500 THEN 'NETWORK' WHEN status BETWEEN 200 AND 299 THEN 'EXTRACT_FAILED' ELSE 'HTTP_BLOCKED' END AS error_code FROM x")
 def response_failures(spark, sf):
     p = access.access_columns(pages(spark, sf).select("page_id", "html", _status().alias("status"), F.lit("").alias("title")), "html", "title", "status")
@@ -86,9 +77,9 @@ def structural_metrics_merged(spark, sf):
 @query("pages_look_gated")
 def pages_look_gated(spark, sf):
     """Short pages and those whose structure is a teaser's."""
-    r = html.page_records(spark, pages(spark, sf), "page_id").join(pages(spark, sf).select("page_id", "html"), "page_id")
+    r = html.page_records(spark, pages(spark, sf).withColumn("n", F.length("html")), "page_id", keep=("n",))
     m = gate.with_structure(gate.text_metrics(r.withColumn("t", T.strip(F.col("article_text"))), "t"))
-    return m.select("page_id", ((F.length("html") < 200) | (gate.teaser_reason(F.col("t"), F.col("raw_title")) != "")).alias("gated"))
+    return m.select("page_id", ((F.col("n") < 200) | (gate.teaser_reason(F.col("t"), F.col("raw_title")) != "")).alias("gated"))
 
 
 @query("page_content_prefilter")

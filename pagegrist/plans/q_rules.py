@@ -63,20 +63,24 @@ def rule_field_usage(spark, sf):
     return rules.field_usage(entries(spark))
 
 
-_TABLE = [("example.com", "Com"), ("www.example.org", "Org"), ("net", "All of net"), ("m.example.net", "Mobile")]
-_ROWS = ", ".join(f"('{d}', '{n}')" for d, n in _TABLE)
+# net is above hosts that have rules of their own; the last ones lie below hosts of pages, in an order that isn't theirs by length.
+_TABLE = [("net", "All of net"), ("example.com", "Com"), ("www.example.org", "Org"), ("m.example.net", "Mobile"), ("deep.a.shop.example", "Deep"), ("b.shop.example", "Near"), ("shop.test", "Exact")]
+_ROWS = ", ".join(f"({i}, '{d}', '{n}')" for i, (d, n) in enumerate(_TABLE))
+#: Hosts that pages don't have, for the rules below them and the exact one.
+_ASKED = ("shop.example", "a.shop.example", "www.shop.test", "shop.test", "x.m.example.net", "M.example.net.", "nothing.invalid")
 
 
-@query("rule_lookup", rf"WITH {_PARTS}, r(domain, name) AS (VALUES {_ROWS}), k AS (SELECT domain, name, regexp_replace(domain, '^www\.', '') AS d FROM r), m AS (SELECT page_id, domain, name, row_number() OVER (PARTITION BY page_id ORDER BY length(d) DESC) AS i FROM u JOIN k ON host = d OR suffix(host, '.' || d)) SELECT u.page_id, m.domain AS rule_domain, m.name AS rule_name, m.domain IS NULL AS rule_missing FROM u LEFT JOIN m ON u.page_id = m.page_id AND i = 1")
+@query("rule_lookup", rf"WITH {_PARTS}, h AS (SELECT page_id, host FROM u UNION ALL SELECT -page_id - 1, [{', '.join(repr(x) for x in _ASKED)}][(page_id % {len(_ASKED)} + 1)::INT] FROM u), r(seq, domain, name) AS (VALUES {_ROWS}), k AS (SELECT *, regexp_replace(domain, '^www\.', '') AS d FROM r), b AS (SELECT page_id, host, rtrim(regexp_replace(lower(host), '^www\.', ''), '.') AS t FROM h), m AS (SELECT page_id, domain, name, row_number() OVER (PARTITION BY page_id ORDER BY host <> domain, seq) AS i FROM b JOIN k ON t = d OR suffix(t, '.' || d) OR suffix(d, '.' || t)) SELECT b.page_id, m.domain AS rule_domain, m.name AS rule_name, m.domain IS NULL AS rule_missing FROM b LEFT JOIN m ON b.page_id = m.page_id AND i = 1")
 def rule_lookup(spark, sf):
     p = pages(spark, sf).select("page_id", U.host(F.col("url")).alias("host"))
-    return rules.lookup(p, "host", spark.createDataFrame(_TABLE, "domain string, name string")).drop("host")
+    asked = p.select((-F.col("page_id") - 1).alias("page_id"), F.element_at(F.array(*map(F.lit, _ASKED)), (F.col("page_id") % len(_ASKED) + 1).cast("int")).alias("host"))
+    return rules.lookup(p.unionByName(asked), "host", spark.createDataFrame([(i, d, n) for i, (d, n) in enumerate(_TABLE)], "seq int, domain string, name string")).drop("host")
 
 
 @query("policy_join", rf"WITH {_PARTS}, r(domain, mode) AS (VALUES ('com', 'feed'), ('org', 'sitemap')) SELECT page_id, coalesce(mode, 'none') AS mode FROM u LEFT JOIN r ON regexp_extract(host, '([^.]+)$', 1) = domain")
 def policy_join(spark, sf):
     p = pages(spark, sf).select("page_id", F.regexp_extract(U.host(F.col("url")), r"([^.]+)$", 1).alias("tld"))
-    policies = spark.createDataFrame([("com", "feed"), ("org", "sitemap")], "domain string, mode string")
+    policies = spark.createDataFrame([(2, "com", "later"), (0, "com", "feed"), (1, "org", "sitemap"), (3, "org", "later")], "seq int, domain string, mode string").repartition(3)
     return R.with_policy(p, "tld", policies, "mode").select("page_id", F.coalesce("mode", F.lit("none")).alias("mode"))
 
 
@@ -102,7 +106,7 @@ def feed_scopes(spark, sf):
 
 @query("retrieval_rules", "SELECT * FROM (VALUES ('a.example', 'NETWORK', false), ('a.example', 'HTTP_BLOCKED', true), ('b.example', 'NETWORK', false), ('b.example', 'HTTP_BLOCKED', false)) AS t(domain, code, allowed)")
 def retrieval_rules(spark, sf):
-    policies = spark.createDataFrame([("a.example", "on_failure", ["HTTP_BLOCKED"]), ("b.example", "never", ["HTTP_BLOCKED"])], "domain string, mode string, codes array<string>")
+    policies = spark.createDataFrame([(0, "a.example", "on_failure", ["HTTP_BLOCKED"]), (1, "b.example", "never", ["HTTP_BLOCKED"])], "seq int, domain string, mode string, codes array<string>")
     codes = policies.select("domain").withColumn("code", F.explode(F.array(F.lit("NETWORK"), F.lit("HTTP_BLOCKED"))))
     return R.with_policy(codes, "domain", policies, "mode", "codes").select("domain", "code", R.may_use(F.col("mode"), F.col("codes"), F.col("code")).alias("allowed"))
 
@@ -126,3 +130,51 @@ def mirror_changes(spark, sf):
 def eval_items(spark, sf):
     p = pages(spark, sf).select("page_id", "url", F.when(F.col("page_id") % 2 == 0, "given.example").alias("domain"), F.when(F.col("page_id") % 3 == 0, True).alias("canary"))
     return R.eval_items(p).select("page_id", "domain", "canary")
+
+
+_OUTLETS = ("ft.com", "bloomberg.com", "economist.com", "theinformation.com", "example.com")
+_OUTLET = f"[{', '.join(repr(x) for x in _OUTLETS)}][(page_id % {len(_OUTLETS)} + 1)::INT]"
+
+
+def _outlet():
+    return F.element_at(F.array(*map(F.lit, _OUTLETS)), (F.col("page_id") % len(_OUTLETS) + 1).cast("int"))
+
+
+@query("derived_policies", f"SELECT page_id, domain, 'render_only' AS browser_mode, CASE WHEN domain = 'theinformation.com' THEN 'vault_required_for_fulltext' ELSE 'vault_optional' END AS credential_mode, CASE domain WHEN 'ft.com' THEN 'never' WHEN 'bloomberg.com' THEN 'never' WHEN 'theinformation.com' THEN 'never' ELSE 'on_bot_or_http_block' END AS service_mode, 'BOT_CHALLENGE,HTTP_BLOCKED' AS service_failure_codes, CASE WHEN domain = 'bloomberg.com' THEN 'syndicated_candidate' ELSE 'publisher_page' END AS representation_mode, CASE WHEN domain = 'example.com' THEN 'honest_failure' ELSE 'paywall_remaining' END AS failure_mode FROM (SELECT page_id, {_OUTLET} AS domain FROM pages)")
+def derived_policies(spark, sf):
+    """A policy for the outlet that each page is given."""
+    d = R.derived_policies(pages(spark, sf).select("page_id", _outlet().alias("domain")))
+    return d.withColumn("service_failure_codes", F.array_join("service_failure_codes", ","))
+
+
+_SITES = [
+    {"domain": " FT.com ", "name": "FT", "rss_urls": ["https://www.ft.com/markets?format=rss", " https://www.ft.com/markets?format=rss "], "rss_url": "https://www.ft.com/world"},
+    {"domain": "example.com", "name": None, "rss_urls": ["https://example.com/tag/AI/feed", "https://example.com/fintech-security", "", "https://example.com/tech"], "rss_url": "https://example.com/all"},
+    {"domain": "", "name": "none", "rss_urls": ["https://x.example/a"], "rss_url": None},
+]
+
+
+@query("imported_registry", "SELECT * FROM (VALUES ('ft.com', 'FT', 0, 'https://www.ft.com/markets?format=rss', 'finance', 'verified'), ('ft.com', 'FT', 1, 'https://www.ft.com/world', 'world', 'disabled'), ('ft.com', 'FT', 2, 'https://www.ft.com/artificial-intelligence?format=rss', 'artificial-intelligence', 'verified'), ('example.com', 'example.com', 0, 'https://example.com/tag/AI/feed', 'artificial-intelligence', 'candidate'), ('example.com', 'example.com', 1, 'https://example.com/fintech-security', 'fintech', 'candidate'), ('example.com', 'example.com', 2, 'https://example.com/tech', 'technology', 'candidate'), ('example.com', 'example.com', 3, 'https://example.com/all', 'general', 'candidate')) AS t(domain, name, place, url, scope, status)")
+def imported_registry(spark, sf):
+    sites = spark.createDataFrame([(json.dumps(x),) for x in _SITES], "value string").select(F.from_json("value", R.SITES).alias("s")).select("s.*")
+    health = spark.createDataFrame([("https://www.ft.com/markets?format=rss", True), ("https://www.ft.com/world", False)], "feed_url string, valid boolean")
+    return R.imported(sites, health)
+
+
+@query("rule_texts_usable", "SELECT * FROM (VALUES (0, 4, 8, true), (1, 0, 0, false), (2, 1, 0, false)) AS t(text_id, n_entries, n_domains, valid)")
+def rule_texts_usable(spark, sf):
+    """A rule text, one without entries, and one whose only entry names no domain."""
+    texts = (LITERAL, "var defaultSites = {};", 'var defaultSites = {"A": {useragent: "x"}};')
+    each = [rules.usable(rules.read_rules(spark, spark.createDataFrame([(t,)], "value string"))).select(F.lit(i).alias("text_id"), F.col("n_entries").cast("int"), F.col("n_domains").cast("int"), "valid") for i, t in enumerate(texts)]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query("archive_snapshots", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'http://archive.example/' || url WHEN 1 THEN 'http://archive.example/' || url ELSE '' END AS snapshot FROM pages")
+def archive_snapshots(spark, sf):
+    """Answers of an archive's availability service: good ones, one not available, one of another status, one without address, one that is no JSON."""
+    k = F.col("page_id") % 6
+    to = F.concat(F.lit(" http://archive.example/"), "url", F.lit(" "))
+    closest = lambda available, status: F.to_json(F.struct(F.struct(F.struct(available.alias("available"), status.alias("status"), to.alias("url")).alias("closest")).alias("archived_snapshots")))
+    yes, no = F.lit(True), F.lit(False)
+    answer = F.when(k == 0, closest(yes, F.lit("200"))).when(k == 1, closest(F.lit(None).cast("boolean"), F.lit("200"))).when(k == 2, closest(no, F.lit("200"))).when(k == 3, closest(yes, F.lit("404"))).when(k == 4, '{"archived_snapshots": {"closest": {"available": true, "status": "200"}}}').otherwise("<html>")
+    return pages(spark, sf).select("page_id", R.snapshot_url(answer).alias("snapshot"))

@@ -66,25 +66,33 @@ def teaser_flags(spark, sf):
     return documents(spark, sf).select("doc_id", T.has_any(T.window(F.lit(""), F.col("text")), fixed.TEASER_MARKERS).alias("teaser"))
 
 
-# Marks of credentials.
-CREDENTIALS = (
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("bearer", r"(?i)\bbearer\s+[A-Za-z0-9._~+/-]{20,}"), ("access_key", r"\bAKIA[0-9A-Z]{16}\b"),
-    ("host_token", r"\bgh[pousr]_[A-Za-z0-9]{20,}\b"), ("chat_token", r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b"), ("assignment", r"(?i)\b(?:token|secret|password|api_key)\s*=\s*[\"'][A-Za-z0-9+/_-]{16,}[\"']"),
+# Every text gets a made-up line, as documents hold few credentials; by its id, with what a rule must find or leave.
+_PLANTED = (
+    ("-----BEGIN RSA PRIVATE KEY-----", "private_key"), ("-----begin private key-----", "private_key"), ("-----BEGIN PUBLIC KEY-----", ""), ("'authorization' : \"bearer abc\"", "bearer"), ("Bearer abcdefghijklmnop", ""),
+    ("ASIA0123456789ABCDEF", "token"), ("AKIA012345", ""), ("ghp_abcdefghij12", "token"), ("github_pat_abcdef_12345", "token"), ("glpat-abc-def_1234", "token"), ("npm_abcdefghij12", "token"), ("rk_test_abcdefghij12", "token"),
+    ("xoxb-12345678-abc", "token"), ("xapp-1-A0123456789", "token"), ("sk-proj-abcdefghij_12", "token"), ("sk-short", ""), ("X-Access-Token: 1", "access_token"),
 )
+_MADE = "text || chr(10) || [" + ", ".join(D.lit(x) for x, _ in _PLANTED) + f"][(doc_id % {len(_PLANTED)} + 1)::INT]"
 
 
-@query("secret_flags", "SELECT doc_id, " + ", ".join(f"regexp_matches(text, {D.lit(p)}) AS has_{n}" for n, p in CREDENTIALS) + " FROM documents")
+def _made():
+    return F.concat("text", F.lit("\n"), F.element_at(F.array(*[F.lit(x) for x, _ in _PLANTED]), (F.col("doc_id") % len(_PLANTED) + 1).cast("int")))
+
+
+@query("secret_flags", "SELECT doc_id, " + ", ".join(f"regexp_matches({_MADE}, {D.lit(p)}) AS has_{n}" for n, p in fixed.CREDENTIALS) + ", " + ", ".join(f"list_contains([{', '.join(str(i) for i, (_, k) in enumerate(_PLANTED) if k == n)}], doc_id % {len(_PLANTED)}) AS planted_{n}" for n, _ in fixed.CREDENTIALS) + " FROM documents")
 def secret_flags(spark, sf):
-    return documents(spark, sf).select("doc_id", *[F.col("text").rlike(p).alias(f"has_{n}") for n, p in CREDENTIALS])
+    """Which marks a text has, and which were planted in the line that it got."""
+    planted = F.element_at(F.array(*[F.lit(k) for _, k in _PLANTED]), (F.col("doc_id") % len(_PLANTED) + 1).cast("int"))
+    return documents(spark, sf).select("doc_id", *[_made().rlike(p).alias(f"has_{n}") for n, p in fixed.CREDENTIALS], *[(planted == n).alias(f"planted_{n}") for n, _ in fixed.CREDENTIALS])
 
 
-@query("secret_lines_dropped", "SELECT doc_id, len(l)::INT AS n_lines, len(list_filter(l, lambda x: " + " OR ".join(f"regexp_matches(x, {D.lit(p)})" for _, p in CREDENTIALS) + "))::INT AS n_dropped FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+@query("secret_lines_dropped", f"SELECT doc_id, len(l)::INT AS n_lines, len(list_filter(l, lambda x: " + " OR ".join(f"regexp_matches(x, {D.lit(p)})" for _, p in fixed.CREDENTIALS) + f"))::INT AS n_dropped FROM (SELECT doc_id, string_split({_MADE}, chr(10)) AS l FROM documents)")
 def secret_lines_dropped(spark, sf):
-    lines = F.split("text", "\n")
+    lines = F.split(_made(), "\n")
 
     def marked(x):
         out = F.lit(False)
-        for _, p in CREDENTIALS:
+        for _, p in fixed.CREDENTIALS:
             out = out | x.rlike(p)
         return out
 
@@ -110,36 +118,19 @@ def truncate_text(spark, sf):
 _SLUG = r"left(regexp_replace(regexp_replace(regexp_replace(lower(x), '[^\p{L}\p{N}_\s\p{Z}-]', '', 'g'), '[-\s\p{Z}]+', '-', 'g'), '^-+|-+$', '', 'g'), 80)"
 
 
-@query("slugs", f"WITH n AS (SELECT item_id, text, substr(text, 1, 120) AS x FROM benchmark), s AS (SELECT *, coalesce(nullif({_SLUG}, ''), 'article') AS slug FROM n) SELECT item_id, slug, left(slug, 71) || '-' || left(sha256(text), 8) AS batch_slug FROM s")
+@query("slugs", f"WITH n AS (SELECT item_id, text, text AS x FROM benchmark), s AS (SELECT *, coalesce(nullif({_SLUG}, ''), 'article') AS slug FROM n) SELECT item_id, slug, left(slug, 71) || '-' || left(sha256(text), 8) AS batch_slug FROM s")
 def slugs(spark, sf):
-    b = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text", F.left("text", F.lit(120)).alias("x"))
-    return b.select("item_id", T.slug(F.col("x")).alias("slug"), T.batch_slug(F.col("x"), F.col("text")).alias("batch_slug"))
-
-
-@query("title_norm", rf"SELECT doc_id, {D.norm(D.fold(chr(114) + 'egexp_replace(left(text, 100), ' + D.lit('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_' + chr(92) + 's' + chr(92) + 'p{Z}]') + ', ' + D.lit(' ') + ', ' + D.lit('g') + ')'))} AS title FROM documents")
-def title_norm(spark, sf):
-    return documents(spark, sf).select("doc_id", T.normalize_title(F.left("text", F.lit(100))).alias("title"))
-
-
-@query("yaml_and_clips", "SELECT doc_id, replace(replace(left(text, 300), '\"', '\\\"'), chr(10), ' ') AS escaped, left(trim(replace(left(text, 300), chr(10), ' ')), 180) AS clipped FROM documents")
-def yaml_and_clips(spark, sf):
-    x = F.left("text", F.lit(300))
-    return documents(spark, sf).select("doc_id", T.escape_yaml(x).alias("escaped"), T.clipped(x, 180).alias("clipped"))
-
-
-@query("slugs_whole", f"WITH n AS (SELECT item_id, text, text AS x FROM benchmark), s AS (SELECT *, coalesce(nullif({_SLUG}, ''), 'article') AS slug FROM n) SELECT item_id, slug, left(slug, 71) || '-' || left(sha256(text), 8) AS batch_slug FROM s")
-def slugs_whole(spark, sf):
     b = spark.read.parquet(f"{sf}/benchmark.parquet")
     return b.select("item_id", T.slug(F.col("text")).alias("slug"), T.batch_slug(F.col("text"), F.col("text")).alias("batch_slug"))
 
 
-@query("title_norm_whole", rf"SELECT doc_id, md5({D.norm(D.fold('regexp_replace(text, ' + D.lit('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_' + chr(92) + 's' + chr(92) + 'p{Z}]') + ', ' + D.lit(' ') + ', ' + D.lit('g') + ')'))}) AS digest FROM documents")
-def title_norm_whole(spark, sf):
+@query("title_norm", rf"SELECT doc_id, md5({D.norm(D.fold('regexp_replace(text, ' + D.lit('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_' + chr(92) + 's' + chr(92) + 'p{Z}]') + ', ' + D.lit(' ') + ', ' + D.lit('g') + ')'))}) AS digest FROM documents")
+def title_norm(spark, sf):
     return documents(spark, sf).select("doc_id", F.md5(T.normalize_title(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query("yaml_and_clips_whole", "SELECT doc_id, md5(replace(replace(text, '\"', '\\\"'), chr(10), ' ')) AS escaped_digest, left(trim(replace(text, chr(10), ' ')), 180) AS clipped FROM documents")
-def yaml_and_clips_whole(spark, sf):
+@query("yaml_and_clips", "SELECT doc_id, md5(replace(replace(text, '\"', '\\\"'), chr(10), ' ')) AS escaped_digest, left(trim(replace(text, chr(10), ' ')), 180) AS clipped FROM documents")
+def yaml_and_clips(spark, sf):
     return documents(spark, sf).select("doc_id", F.md5(T.escape_yaml(F.col("text")).cast("binary")).alias("escaped_digest"), T.clipped(F.col("text"), 180).alias("clipped"))
 
 
@@ -162,9 +153,20 @@ def envelope_json(spark, sf):
     return documents(spark, sf).select("doc_id", F.to_json(F.struct(ok.alias("ok"), F.col("n_chars").alias("chars"), F.when(ok, "").otherwise("EXTRACT_FAILED").alias("error_code"))).alias("envelope"))
 
 
-@query("content_hashes", "SELECT lang, count(*)::BIGINT AS n, sha256(string_agg(doc_id || ':' || md5(text), chr(10) ORDER BY doc_id)) AS content_hash FROM documents GROUP BY lang")
+@query("content_hashes", "WITH p AS (SELECT lang, doc_id // 1000 AS block, count(*)::BIGINT AS n, sha256(string_agg(doc_id || ':' || md5(text), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY ALL) SELECT lang, sum(n)::BIGINT AS n, sha256(string_agg(block || ':' || h, chr(10) ORDER BY block)) AS content_hash FROM p GROUP BY lang")
 def content_hashes(spark, sf):
-    """One hash of a set of records, whatever order they come in."""
-    lines = documents(spark, sf).select("lang", F.struct("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.md5(F.col("text").cast("binary"))).alias("line")).alias("x"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n")
-    return lines.groupBy("lang").agg(F.count("*").alias("n"), F.sha2(joined, 256).alias("content_hash"))
+    """One hash of a set of records, whatever order they come in: of blocks of ids, then of the blocks."""
+    from ..sources.sinks import content_hash
+
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.md5(F.col("text").cast("binary")))
+    blocks = documents(spark, sf).groupBy("lang", F.floor(F.col("doc_id") / 1000).alias("block")).agg(F.count("*").alias("n"), content_hash(F.col("doc_id"), line).alias("h"))
+    return blocks.groupBy("lang").agg(F.sum("n").alias("n"), content_hash(F.col("block"), F.concat(F.col("block").cast("string"), F.lit(":"), "h")).alias("content_hash"))
+
+
+@query("documents_as_envelopes", "SELECT doc_id, md5('{\"doc_id\":' || doc_id || ',\"lang\":' || coalesce('\"' || lang || '\"', 'null') || ',\"n_chars\":' || n_chars || '}') AS digest FROM documents")
+def documents_as_envelopes(spark, sf):
+    """Rows as the JSON sink writes them, nulls kept."""
+    from ..sources.sinks import envelopes
+
+    rows = envelopes(documents(spark, sf).select("doc_id", "lang", "n_chars"))
+    return rows.select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), F.md5(F.col("value").cast("binary")).alias("digest"))

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import access
 from ..session import ship
+from ..sources import feeds, tokens
 from . import duck as D
 from .registry import query
 
@@ -24,8 +25,13 @@ _BARE = rf"regexp_replace(regexp_replace({_HOST}, '^www\.', ''), '\.+$', '')"
 _PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 _QUERY = r"regexp_extract(url, '^[^?#]*\?([^#]*)', 1)"
 _SCHEME = "lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1))"
-_KEPT = "list_filter(string_split(q, '&'), lambda kv: kv <> '' AND lower(split_part(kv, '=', 1)) NOT IN (" + ", ".join(map(D.lit, fixed.TRACKING_PARAMETERS)) + ") AND NOT starts_with(lower(kv), 'utm_') AND NOT starts_with(lower(kv), 'syn-'))"
-_CANON = f"s || '://' || a || coalesce(nullif(rtrim(p, '/'), ''), '/') || CASE WHEN len({_KEPT}) = 0 THEN '' ELSE '?' || array_to_string(list_transform({_KEPT}, lambda kv: CASE WHEN contains(kv, '=') THEN kv ELSE kv || '=' END), '&') END"
+_DEC = lambda x: f"url_decode(regexp_replace(replace({x}, '+', ' '), '%([^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f]|[0-9A-Fa-f]?$)', '%25\\1', 'g'))"
+_ENC = lambda x: f"replace(url_encode({x}), '%20', '+')"
+_KEPT = (
+    f"list_filter(list_transform(list_filter(string_split(q, '&'), lambda kv: kv <> ''), lambda kv: {{'k': {_DEC("split_part(kv, '=', 1)")}, 'v': {_DEC("regexp_extract(kv, '^[^=]*=(.*)$', 1)")}}}), lambda z: lower(z.k) NOT IN ("
+    + ", ".join(map(D.lit, fixed.TRACKING_PARAMETERS)) + ") AND NOT starts_with(lower(z.k), 'utm_') AND NOT starts_with(lower(z.k), 'syn-'))"
+)
+_CANON = f"s || '://' || a || coalesce(nullif(rtrim(regexp_replace(p, ';[^/]*$', ''), '/'), ''), '/') || CASE WHEN len({_KEPT}) = 0 THEN '' ELSE '?' || array_to_string(list_transform({_KEPT}, lambda z: {_ENC('z.k')} || '=' || {_ENC('z.v')}), '&') END"
 _PARTS = f"u AS (SELECT page_id, url, {_SCHEME} AS s, {_AUTH} AS a, {_PATH} AS p, {_QUERY} AS q, {_HOST} AS hostname, {_BARE} AS host FROM pages)"
 
 
@@ -35,9 +41,18 @@ def url_parts(spark, sf):
     return pages(spark, sf).select("page_id", U.scheme(u).alias("scheme"), U.hostname(u).alias("hostname"), U.host(u).alias("host"), U.path(u).alias("path"), U.query(u).alias("query"))
 
 
-@query("url_canonical", f"WITH {_PARTS} SELECT page_id, {_CANON} AS canonical FROM u")
+#: What is put behind an address to tell spellings apart: parameters of the path, encoded names and values, campaign parameters.
+_TAILS = (";v=1/x;p=2?q=a%20b&utm%5Fsource=x", "?q=a+b&Ref=1&r=%C3%A9~*", "?b&a=%2B%26=c&%67clid=1", "?p=100%&&x=%zz&SYN-1=2#f", "")
+_ODD = f"u AS (SELECT page_id, {_SCHEME} AS s, {_AUTH} AS a, {_PATH} AS p, {_QUERY} AS q FROM (SELECT page_id, url FROM pages UNION ALL SELECT -page_id - 1, regexp_replace(url, '[?#].*$', '') || [{', '.join(map(D.lit, _TAILS))}][(page_id % {len(_TAILS)} + 1)::INT] FROM pages))"
+
+
+@query("url_canonical", f"WITH {_ODD} SELECT page_id, {_CANON} AS canonical FROM u")
 def url_canonical(spark, sf):
-    return pages(spark, sf).select("page_id", U.canonical(F.col("url")).alias("canonical"))
+    """The pages' own addresses, and each with another tail."""
+    p = pages(spark, sf).select("page_id", "url")
+    tail = F.element_at(F.array(*map(F.lit, _TAILS)), (F.col("page_id") % len(_TAILS) + 1).cast("int"))
+    odd = p.select((-F.col("page_id") - 1).alias("page_id"), F.concat(F.regexp_replace("url", r"[?#].*$", ""), tail).alias("url"))
+    return p.unionByName(odd).select("page_id", U.canonical(F.col("url")).alias("canonical"))
 
 
 @query("url_dedupe_first", f"WITH {_PARTS}, k AS (SELECT page_id, url, s || '://' || a || p AS dedupe_key FROM u) SELECT min(page_id) AS page_id, dedupe_key, count(*)::BIGINT AS n FROM k GROUP BY dedupe_key")
@@ -96,17 +111,22 @@ def amp_flags(spark, sf):
     return pages(spark, sf).select("page_id", U.looks_amp(F.col("url")).alias("amp"))
 
 
-_SAFE = """CASE WHEN s IN ('file', 'ftp', 'data', 'javascript') THEN 'blocked_scheme:' || s WHEN s NOT IN ('http', 'https') THEN 'unsupported_scheme:' || coalesce(nullif(s, ''), 'none')
- WHEN h = '' THEN 'empty_host' WHEN h IN ('localhost', 'localhost.localdomain') OR suffix(h, '.localhost') THEN 'localhost'
- WHEN regexp_matches(h, '^(10|127|0)[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}$') OR regexp_matches(h, '^192[.]168[.][0-9]{1,3}[.][0-9]{1,3}$') OR regexp_matches(h, '^169[.]254[.][0-9]{1,3}[.][0-9]{1,3}$') THEN 'private_ip:' || h ELSE '' END"""
+#: Made-up authorities, as pages have none with an IP, and why they must not be followed.
+_HOSTS_MADE = (
+    ("10.1.2.3", "private_ip:10.1.2.3"), ("localhost", "localhost"), ("192.168.0.7:8080", "private_ip:192.168.0.7"), ("93.184.216.34", ""), ("www.example.org", ""), ("0.0.0.0", "unspecified"), ("a.localhost.", "localhost"),
+    ("172.16.0.1", "private_ip:172.16.0.1"), ("172.32.0.1", ""), ("169.254.1.1", "private_ip:169.254.1.1"), ("224.0.0.1", "private_ip:224.0.0.1"), ("198.18.0.1", "private_ip:198.18.0.1"), ("192.0.0.9", ""), ("999.1.1.1", ""),
+    ("[::1]", "private_ip:::1"), ("[::]:80", "private_ip:::"), ("[::ffff:127.0.0.1]", "private_ip:::ffff:127.0.0.1"), ("[64:ff9b::1]", "private_ip:64:ff9b::1"), ("[100::1]", "private_ip:100::1"), ("[fe80::1]", "private_ip:fe80::1"),
+    ("[fd00:1::2]", "private_ip:fd00:1::2"), ("[ff02::1]", "private_ip:ff02::1"), ("[2001:db8::1]", "private_ip:2001:db8::1"), ("[2002:a00:1::1]", "private_ip:2002:a00:1::1"), ("[2001:0:1::1]", "private_ip:2001:0:1::1"), ("[2606:2800:220:1::1]", ""), ("u:p@[2a00:1450::5]:443", ""),
+)
+_SAFE = "CASE WHEN s IN ('file', 'ftp', 'data', 'javascript') THEN 'blocked_scheme:' || s WHEN s NOT IN ('http', 'https') THEN 'unsupported_scheme:' || coalesce(nullif(s, ''), 'none') WHEN hostname = '' THEN 'empty_host' ELSE {} END"
+_MADE_SAFE = f"[{', '.join(D.lit(x) for _, x in _HOSTS_MADE)}][(page_id % {len(_HOSTS_MADE)} + 1)::INT]"
 
 
-@query("url_safety", rf"WITH {_PARTS}, x AS (SELECT page_id, s, rtrim(hostname, '.') AS h FROM u UNION ALL SELECT -page_id - 1, s, CASE page_id % 5 WHEN 0 THEN '10.1.2.' || (page_id % 250) WHEN 1 THEN 'localhost' WHEN 2 THEN '192.168.0.7' WHEN 3 THEN '93.184.216.34' ELSE 'www.example.org' END FROM u) SELECT page_id, {_SAFE} AS unsafe FROM x")
+@query("url_safety", f"WITH {_PARTS} SELECT page_id, {_SAFE.format(chr(39) * 2)} AS unsafe FROM u UNION ALL SELECT -page_id - 1, CASE WHEN s IN ('http', 'https') THEN {_MADE_SAFE} ELSE {_SAFE.format(chr(39) * 2)} END FROM u")
 def url_safety(spark, sf):
-    """The pages' own addresses, and made-up ones, as pages have none with an IP."""
+    """The pages' own addresses, whose hosts are public names, and made-up ones."""
     p = pages(spark, sf).select("page_id", "url")
-    k = F.col("page_id") % 5
-    made = F.when(k == 0, F.concat(F.lit("10.1.2."), (F.col("page_id") % 250).cast("string"))).when(k == 1, "localhost").when(k == 2, "192.168.0.7").when(k == 3, "93.184.216.34").otherwise("www.example.org")
+    made = F.element_at(F.array(*[F.lit(h) for h, _ in _HOSTS_MADE]), (F.col("page_id") % len(_HOSTS_MADE) + 1).cast("int"))
     both = p.unionByName(p.select((-F.col("page_id") - 1).alias("page_id"), F.concat(U.scheme(F.col("url")), F.lit("://"), made, F.lit("/x")).alias("url")))
     return both.select("page_id", U.safety(F.col("url")).alias("unsafe"))
 
@@ -118,9 +138,12 @@ def search_redirects(spark, sf):
     return pages(spark, sf).select("page_id", U.unwrapped(wrapped).alias("target"))
 
 
-@query("article_path_flags", r"SELECT page_id, regexp_matches(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '(?i)^/(?:technology|business|markets|legal)/.+-20[0-9]{2}-[0-9]{2}-[0-9]{2}/?$') AS dated FROM pages")
+@query("article_path_flags", f"WITH {_PARTS} SELECT page_id, regexp_matches(CASE WHEN page_id % 2 = 0 THEN '/Markets/a' || p || '-2024-01-0' || page_id % 10 || '/' ELSE p END, {D.lit(fixed.DATED_PATH)}) AS dated FROM u")
 def article_path_flags(spark, sf):
-    return pages(spark, sf).select("page_id", U.path(F.col("url")).rlike(r"(?i)^/(?:technology|business|markets|legal)/.+-20[0-9]{2}-[0-9]{2}-[0-9]{2}/?$").alias("dated"))
+    """Every second page gets the path of a dated article."""
+    p = U.path(F.col("url"))
+    path = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/Markets/a"), p, F.lit("-2024-01-0"), (F.col("page_id") % 10).cast("string"), F.lit("/"))).otherwise(p)
+    return pages(spark, sf).select("page_id", path.rlike(fixed.DATED_PATH).alias("dated"))
 
 
 @query("publisher_filter", f"WITH {_PARTS} SELECT page_id, {_CANON} AS url, 'official_feed' AS discovery_source FROM u WHERE host = 'example.com' OR suffix(host, '.example.com')")
@@ -210,13 +233,25 @@ def html_prefilter(spark, sf):
     return p.select("page_id", ((F.length("html") >= 300) & ~F.col("access_detected") & (marked | prose)).alias("has_content"))
 
 
-_FEED_TYPE = r"(?i)type\s*=\s*[\"']?application/(?:rss|atom)\+xml"
-
-
-@query("feed_link_tags", f"SELECT page_id, len(list_filter(regexp_extract_all(html, {D.lit('(?is)<link' + chr(92) + 'b[^>]*>')}), lambda t: regexp_matches(t, {D.lit(_FEED_TYPE)})))::INT AS n_feeds FROM pages")
-def feed_link_tags(spark, sf):
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)(<link\b[^>]*>)"))
-    return pages(spark, sf).select("page_id", F.size(F.filter(tags, lambda t: t.rlike(_FEED_TYPE))).alias("n_feeds"))
+@query("feed_links", r"SELECT page_id, CASE page_id % 4 WHEN 0 THEN o || '/rss?a=1&b' WHEN 1 THEN 'https://feeds.example/x' WHEN 2 THEN o || regexp_replace(p, '[^/]*$', '') || 'atom.xml' END AS link FROM (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') AS o, coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/') AS p FROM pages) WHERE page_id % 4 < 3")
+def feed_links(spark, sf):
+    """Resolved addresses of a page's feeds; pages have none, so three in four get a link, and all one that is no feed's."""
+    k = F.col("page_id") % 4
+    tag = F.when(k == 0, '<LINK rel=alternate type="application/rss+xml" title="a > b" href="/rss?a=1&amp;b">').when(k == 1, "<link href='https://feeds.example/x' type=' application/ATOM+xml '/>").when(k == 2, '<link type="application/atom+xml" href=" atom.xml ">').otherwise("")
+    page = F.concat(F.lit('<link rel="stylesheet" type="text/css" href="s.css">'), tag, "html")
+    return feeds.feed_links(spark, pages(spark, sf).select("page_id", "url", page.alias("html")), "page_id").select("page_id", "link")
+
+
+@query("wrapped_links", "SELECT page_id, url AS target FROM pages")
+def wrapped_links(spark, sf):
+    """Addresses inside aggregator tokens: written as length-delimited fields, every third with an AMP address before, and read again."""
+    field = lambda x, tag: F.concat(F.unhex(F.lit(tag)), F.unhex(F.lpad(F.hex((F.octet_length(x) % 128 + 128).cast("long")), 2, "0")), F.unhex(F.lpad(F.hex(F.floor(F.octet_length(x) / 128).cast("long")), 2, "0")), x.cast("binary"))
+    amp = F.when(F.col("page_id") % 3 == 0, field(F.lit("https://amp.other.example/a"), "22")).otherwise(F.lit(b""))
+    data = F.concat(F.unhex(F.lit("0813")), amp, field(F.col("url"), "22"), F.unhex(F.lit("d20100")))
+    token = F.replace(F.translate(F.base64(data), "+/", "-_"), F.lit("="), F.lit(""))
+    token = F.regexp_replace(token, r"\s", "")
+    link = F.concat(F.lit("https://news.google.com/rss/articles/"), token, F.lit("?oc=5"))
+    return tokens.decoded(pages(ship(spark), sf).select("page_id", link.alias("link")), "link", "target").select("page_id", "target")
 
 
 @query("first_pages_per_domain", f"WITH {_PSL}, k AS (SELECT page_id, coalesce(registrable, hostname) AS domain, row_number() OVER (PARTITION BY coalesce(registrable, hostname) ORDER BY page_id) AS place FROM u JOIN d ON u.hostname = d.h) SELECT domain, page_id, place FROM k WHERE place <= 3")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -14,16 +16,60 @@ from ..functions import urls as U
 from ..functions.text import blank
 from ..session import ship
 
-# Elements that date an entry.
+# Media types of feeds; elements that date an entry.
+FEED_TYPES = frozenset(("application/rss+xml", "application/atom+xml"))
 DATES = frozenset(("pubdate", "published", "updated", "date", "lastmod"))
 
 
 def local(e) -> str:
-    return str(e.tag).rsplit("}", 1)[-1].casefold()
+    """The name of an element in lower case, whatever its namespace."""
+    return str(e.tag).rpartition("}")[2].lower()
 
 
 def _child(e, *names: str) -> str:
-    return next(((c.text or "").strip() for c in e if local(c) in names), "")
+    """The text of the first child of one of these names."""
+    for c in e:
+        if local(c) in names:
+            return (c.text or "").strip()
+    return ""
+
+
+class _FeedLinks(HTMLParser):
+    """Addresses of link elements whose type is a feed's."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        given = dict(attrs)
+        href = (given.get("href") or "").strip()
+        if tag == "link" and href and (given.get("type") or "").strip().lower() in FEED_TYPES:
+            self.found.append(href)
+
+
+def feed_links(spark: SparkSession, pages: DataFrame, key: str, html: str = "html", url: str = "url") -> DataFrame:
+    """key, place, link: the resolved feed addresses that a page names; only pages with a link element go through Python."""
+    ship(spark)
+    kind = pages.schema[key].dataType.simpleString()
+    slim = pages.select(F.col(key).alias("key"), F.left(blank(F.col(html)), F.lit(fixed.MAX_FEED_CHARS)).alias("html"), blank(F.col(url)).alias("url"))
+
+    def links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = []
+            for i, (page, base) in enumerate(zip(b.column("html").to_pylist(), b.column("url").to_pylist())):
+                p = _FeedLinks()
+                p.feed(page)
+                p.close()
+                for place, href in enumerate(p.found):
+                    try:
+                        rows.append((i, place, urljoin(base, href)))
+                    except ValueError:  # an address that can't be taken apart
+                        continue
+            at, place, link = list(zip(*rows)) or ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at, pa.int64())), pa.array(place, pa.int32()), pa.array(link, pa.string())], names=[key, "place", "link"])
+
+    return slim.where(F.contains(F.lower("html"), F.lit("<link"))).mapInArrow(links, f"`{key}` {kind}, place int, link string")
 
 
 def _atom_link(e) -> str:

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import urls as U
-from ..functions.text import fold
+from ..functions.text import blank, fold
+from ..session import ship
 
 SOURCES = "sources array<struct<domain:string,name:string,focus:array<string>,feeds:array<struct<url:string,scope:string,status:string>>>>"
 DISCOVERY = "policies array<struct<domain:string,discovery_mode:string,feed_urls:array<string>,focus_feed_urls:array<string>,fallbacks:array<string>,date_quality:string,coverage:string,reason:string>>"
@@ -17,14 +23,13 @@ RETRIEVAL = "policies array<struct<domain:string,browser_mode:string,credential_
 
 
 def read_registry(spark: SparkSession, path: str, schema: str, items: str) -> DataFrame:
-    """One row per item of a JSON registry; unreadable input gives no row."""
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    return raw.select(F.explode(items).alias("x")).select("x.*")
+    """seq and the fields of each item of a JSON registry; unreadable input gives no row."""
+    return from_text(spark.read.text(path, wholetext=True), "value", schema, items)
 
 
 def from_text(df: DataFrame, column: str, schema: str, items: str) -> DataFrame:
     """As read_registry, from registries that landed as text rows; corrupt text gives no row."""
-    return df.select(F.explode(F.from_json(column, schema)[items]).alias("x")).select("x.*")
+    return df.select(F.posexplode(F.from_json(column, schema)[items]).alias("seq", "x")).select("seq", "x.*")
 
 
 def feeds(sources: DataFrame, status: str | None = "verified") -> DataFrame:
@@ -40,10 +45,10 @@ def scope_matches(scope: Column, wanted: Column) -> Column:
     return F.when(F.coalesce(wanted, F.lit("")) == "", True).when(s == "general", False).when(s == "artificial intelligence", ai).otherwise(F.contains(q, s) | F.contains(s, q))
 
 
-def with_policy(df: DataFrame, domain: str, policies: DataFrame, *columns: str) -> DataFrame:
-    """Left join with the first policy of a domain."""
-    first = policies.groupBy(F.col("domain").alias("_d")).agg(*[F.first(c).alias(c) for c in columns])
-    return df.join(first, df[domain] == F.col("_d"), "left").drop("_d")
+def with_policy(df: DataFrame, domain: str, policies: DataFrame, *columns: str, order: str = "seq") -> DataFrame:
+    """Left join with the first policy of a domain, in the registry's order."""
+    first = policies.groupBy(F.col("domain").alias("_d")).agg(F.min_by(F.struct(*columns), order).alias("_p"))
+    return df.join(first, df[domain] == F.col("_d"), "left").select("*", *[F.col(f"_p.{c}").alias(c) for c in columns]).drop("_d", "_p")
 
 
 def may_use(mode: Column, codes: Column, code: Column) -> Column:
@@ -66,23 +71,80 @@ def eval_items(items: DataFrame) -> DataFrame:
 MAX_MEMBERS, MAX_BYTES, MAX_RATIO = 1000, 5_000_000, 200
 
 
-def zip_member(data: bytes, suffix: str) -> str | None:
-    """The text of the one member with this ending; null of an archive that is unsafe, broken or has none or several."""
+def zip_member(data: bytes, name: str) -> str | None:
+    """The text of the one member of this name, in whatever folder; null of an archive that is unsafe, broken or has none or several."""
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             infos = z.infolist()
-            found = [i for i in infos if i.filename.endswith(suffix) and not i.is_dir()]
-            if len(infos) > MAX_MEMBERS or len(found) != 1 or found[0].file_size > MAX_BYTES or found[0].file_size > MAX_RATIO * max(1, found[0].compress_size):
-                return None
-            return z.read(found[0]).decode("utf-8")
-    except (zipfile.BadZipFile, UnicodeDecodeError, RuntimeError, NotImplementedError):
+            found = [i for i in infos if i.filename.rpartition("/")[2] == name]
+            safe = len(infos) <= MAX_MEMBERS and len(found) == 1 and not found[0].flag_bits & 1 and found[0].file_size <= MAX_BYTES and found[0].file_size <= MAX_RATIO * found[0].compress_size
+            return z.read(found[0]).decode("utf-8") if safe else None
+    except (zipfile.BadZipFile, UnicodeDecodeError, RuntimeError, NotImplementedError, zlib.error, EOFError):
         return None
 
 
-def zip_texts(archives: DataFrame, suffix: str) -> DataFrame:
-    """path, text of the wanted member of archives read with the binaryFile source."""
-    read = F.udf(lambda data: zip_member(bytes(data), suffix) if data is not None else None, "string")
-    return archives.select("path", read("content").alias("text"))
+def zip_texts(spark: SparkSession, archives: DataFrame, name: str) -> DataFrame:
+    """path, text of the wanted member of archives read with the binaryFile source; in Arrow batches bounded by bytes."""
+    ship(spark)
+
+    def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            found = [zip_member(x.as_buffer().to_pybytes(), name) if x.is_valid else None for x in b.column("content")]
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(found, pa.string())], names=["path", "text"])
+
+    return archives.select("path", "content").mapInArrow(read, "path string, text string")
+
+
+#: Sites of a registry that is to be imported.
+SITES = "domain string, name string, rss_urls array<string>, rss_url string"
+
+
+def imported(sites: DataFrame, health: DataFrame) -> DataFrame:
+    """domain, name, place, url, scope, status of each distinct feed of the sites, in order.
+
+    The scope is told from the address; the status from a health report (feed_url, valid), which decides before
+    the feeds that count as verified.
+    """
+    domain = F.lower(F.trim(blank(F.col("domain"))))
+    extra = F.array().cast("array<string>")
+    for d, url in fixed.SUPPLEMENTAL_FEEDS:
+        extra = F.when(domain == d, F.array(F.lit(url))).otherwise(extra)
+    given = F.concat(F.coalesce("rss_urls", F.array().cast("array<string>")), F.array("rss_url"))
+    urls = F.array_distinct(F.concat(F.filter(F.transform(given, lambda x: F.trim(blank(x))), lambda x: x != ""), extra))
+    each = sites.select(domain.alias("domain"), F.coalesce(F.nullif(F.col("name"), F.lit("")), domain).alias("name"), F.posexplode(urls).alias("place", "url")).where("domain <> ''")
+    low = F.lower("url")
+    scope = F.lit("general")
+    for name, parts in reversed(fixed.FEED_SCOPES):
+        scope = F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in parts]), name).otherwise(scope)
+    said = health.groupBy(F.col("feed_url").alias("_f")).agg(F.max("valid").alias("_ok"))
+    known = reduce(lambda a, b: a | b, [(F.col("domain") == d) & (F.col("url") == u) for d, u in fixed.SUPPLEMENTAL_FEEDS])
+    status = F.when(F.col("_ok"), "verified").when(~F.col("_ok"), "disabled").when(known, "verified").otherwise("candidate")
+    return each.join(said, each["url"] == F.col("_f"), "left").select("domain", "name", "place", "url", scope.alias("scope"), status.alias("status"))
+
+
+def derived_policies(sources: DataFrame) -> DataFrame:
+    """Adds the retrieval policy of each source's domain: six columns that follow from the sets it is in."""
+    d = F.col("domain")
+    return sources.withColumns({
+        "browser_mode": F.lit("render_only"),
+        "credential_mode": F.when(d == "theinformation.com", "vault_required_for_fulltext").otherwise("vault_optional"),
+        "service_mode": F.when(d.isin(*fixed.SERVICE_NEVER), "never").otherwise("on_bot_or_http_block"),
+        "service_failure_codes": F.array(F.lit("BOT_CHALLENGE"), F.lit("HTTP_BLOCKED")),
+        "representation_mode": F.when(d == "bloomberg.com", "syndicated_candidate").otherwise("publisher_page"),
+        "failure_mode": F.when(d.isin(*fixed.PAYWALL_EXPECTED), "paywall_remaining").otherwise("honest_failure"),
+    })
+
+
+def may_syndicate(domain: Column, code: Column, representation: Column) -> Column:
+    """Whether a failed request may be answered by a syndicated article: an outlet that has one, a failure that calls for it, a policy that allows it."""
+    return F.coalesce((domain == "bloomberg.com") & code.isin(*fixed.SYNDICATED_FAILURES) & (representation == "syndicated_candidate"), F.lit(False))
+
+
+def snapshot_url(answer: Column) -> Column:
+    """The address of an available snapshot in an archive's JSON answer; empty where there is none."""
+    at = lambda k: F.get_json_object(answer, f"$.archived_snapshots.closest.{k}")
+    good = (F.coalesce(at("available"), F.lit("")) != "false") & (at("status") == "200")
+    return F.coalesce(F.when(good, F.trim(at("url"))), F.lit(""))
 
 
 def changed(existing: DataFrame, candidate: DataFrame) -> DataFrame:

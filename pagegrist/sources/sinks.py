@@ -20,5 +20,5 @@ def markdown_files(df: DataFrame, title: str, url: str, markdown: str, path: str
 
 
 def content_hash(key: Column, payload: Column) -> Column:
-    """A hash of a set of records in order of key: equal content gives equal versions."""
+    """A hash of a set of records in order of key: equal content gives equal versions. Of many records take it of blocks, then of these."""
     return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), payload.alias("v")))), lambda x: x["v"]), "\n"), 256)

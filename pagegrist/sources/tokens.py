@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import base64
+import binascii
 import re
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import urls as U
 
@@ -17,7 +18,10 @@ from ..functions import urls as U
 HOSTS = ("news.google.com", "www.news.google.com")
 MARKS = ("articles", "read")
 MAX_TOKEN, MAX_DEPTH = 64_000, 4
-_URL = re.compile(rb"https?://[!-~]+")
+
+_NUMBER = re.compile(rb"[\x80-\xff]{0,9}[\x00-\x7f]")
+_PLAIN_ADDRESS = re.compile(rb"https?://[!-~]+")
+_ADDRESS = re.compile(r"[\s\x00]*(https?://(?:[^/?#@]*@)?([^/?#:\s]+).*?)[\s\x00-\x03]*", re.I | re.S)
 
 
 def is_encoded(u: Column) -> Column:
@@ -29,78 +33,72 @@ def is_encoded(u: Column) -> Column:
 def token(u: Column) -> Column:
     """The token of an encoded link; empty of others."""
     parts = F.filter(F.split(U.path(u), "/"), lambda p: p != "")
-    return F.when(is_encoded(u), F.trim(F.try_url_decode(F.try_element_at(parts, F.lit(-1))))).otherwise("")
-
-
-def _varint(data: bytes, at: int) -> tuple[int, int] | None:
-    value = 0
-    for k in range(10):
-        if at + k >= len(data):
-            return None
-        value |= (data[at + k] & 0x7F) << (7 * k)
-        if data[at + k] < 0x80:
-            return value, at + k + 1
-    return None
-
-
-def fields(data: bytes, depth: int = 0) -> Iterator[bytes]:
-    """Length-delimited fields and those nested in them, outer before inner; ends where the wire format breaks."""
-    at = 0
-    skip = {1: 8, 5: 4}
-    while at < len(data) and (key := _varint(data, at)):
-        kind, at = key[0] & 7, key[1]
-        if key[0] >> 3 == 0:
-            return
-        if kind == 2:
-            size = _varint(data, at)
-            if size is None or size[1] + size[0] > len(data):
-                return
-            inner, at = data[size[1] : size[1] + size[0]], size[1] + size[0]
-            yield inner
-            if inner and depth < MAX_DEPTH:
-                yield from fields(inner, depth + 1)
-        elif kind in skip and at + skip[kind] <= len(data):
-            at += skip[kind]
-        elif kind == 0 and (value := _varint(data, at)):
-            at = value[1]
-        else:
-            return
-
-
-def _address(raw: bytes) -> str:
-    for encoding in ("utf-8", "latin-1"):
-        try:
-            text = raw.decode(encoding).strip().strip("\x00\r\n\t ").rstrip("\x00\x01\x02\x03")
-            parts = urlparse(text)
-            if parts.scheme.casefold() in ("http", "https") and parts.hostname and parts.hostname.casefold().rstrip(".") not in HOSTS:
-                return text
-        except ValueError:
+    return F.when(is_encoded(u), F.trim(F.try_url_decode(F.replace(F.try_element_at(parts, F.lit(-1)), F.lit("+"), F.lit("%2B"))))).otherwise("")
+
+
+def payloads(data: bytes) -> Iterator[bytes]:
+    """The length-delimited fields of a message, each followed by those inside it; a span ends where the wire format breaks.
+
+    Work is a stack of spans (from, to, nesting) that are still to be read.
+    """
+    work = [(0, len(data), 0)]
+    while work:
+        at, end, nesting = work.pop()
+        key = _NUMBER.match(data, at, end)
+        if not key:
             continue
-    return ""
+        number = sum((b & 0x7F) << 7 * k for k, b in enumerate(key.group()))
+        at, kind = key.end(), number & 7
+        size = {1: 8, 5: 4}.get(kind)
+        if number < 8 or kind in (3, 4, 6, 7):
+            continue
+        if size is None:
+            value = _NUMBER.match(data, at, end)
+            if not value:
+                continue
+            at = value.end()
+            size = sum((b & 0x7F) << 7 * k for k, b in enumerate(value.group())) if kind == 2 else 0
+        if at + size > end:
+            continue
+        work.append((at + size, end, nesting))
+        if kind == 2:
+            yield data[at : at + size]
+            if size and nesting < MAX_DEPTH:
+                work.append((at, at + size, nesting + 1))
 
 
-def _amp(url: str) -> bool:
-    p = urlparse(url)
-    path = p.path.casefold().rstrip("/")
-    return (p.hostname or "").casefold().startswith("amp.") or path.endswith((".amp", "/amp")) or "/amp/" in path or "output=amp" in p.query.casefold()
+def _text(raw: bytes) -> str:
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
 
 
-def decode(encoded: str | None) -> str | None:
-    """The address that a token carries, one that isn't AMP before others; null where there is none."""
-    value = unquote(encoded or "").strip()
+def addresses(encoded: str | None) -> list[str]:
+    """The publishers' addresses that a token carries: those of its fields in order, then those that stand in it openly."""
+    value = (encoded or "").strip()
     if not value or len(value) > MAX_TOKEN:
-        return None
+        return []
     try:
-        data = base64.urlsafe_b64decode((value + "=" * (-len(value) % 4)).encode("ascii"))
-    except (ValueError, UnicodeEncodeError):
-        return None
-    found = [a for a in map(_address, [*fields(data), *_URL.findall(data)]) if a]
-    return next((a for a in found if not _amp(a)), found[0] if found else None)
+        data = base64.urlsafe_b64decode(value.encode("ascii") + b"=" * (-len(value) % 4))
+    except (binascii.Error, UnicodeEncodeError):
+        return []
+    found = (_ADDRESS.fullmatch(_text(raw)) for raw in (*payloads(data), *_PLAIN_ADDRESS.findall(data)))
+    return [m[1] for m in found if m and m[2].lower().rstrip(".") not in HOSTS]
+
 
+@F.pandas_udf(ArrayType(StringType()))
+def _addresses(encoded: pd.Series) -> pd.Series:
+    return encoded.map(addresses)
 
-_decode = F.udf(lambda x: decode(x), StringType())
 
+def decoded(df: DataFrame, link: str, name: str) -> DataFrame:
+    """Adds the publisher's address of an encoded link, one that isn't AMP before others; other links as they are.
 
-def decoded(u: Column) -> Column:
-    """The publisher's address of an encoded link, others as they are; only encoded links go through Python."""
-    return F.when(is_encoded(u), F.coalesce(_decode(token(u)), u)).otherwise(u)
+    Only tokens go through Python, in Arrow batches.
+    """
+    u = F.col(link)
+    found = F.when(is_encoded(u), _addresses(token(u)))
+    out = df.withColumn("_found", found)
+    own = F.filter("_found", lambda x: ~U.looks_amp(x))
+    return out.withColumn(name, F.coalesce(F.get(own, F.lit(0)), F.get("_found", F.lit(0)), u)).drop("_found")

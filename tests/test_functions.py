@@ -1,5 +1,6 @@
 """Text and URL functions against plain Python, with odd strings."""
 
+import ipaddress
 import math
 import re
 import statistics
@@ -77,7 +78,7 @@ VECTORS = {
     "ide.kyoto.jp": None, "a.b.ide.kyoto.jp": "b.ide.kyoto.jp", "c.kobe.jp": None, "a.b.c.kobe.jp": "b.c.kobe.jp", "city.kobe.jp": "city.kobe.jp", "www.city.kobe.jp": "city.kobe.jp", "ck": None,
     "test.ck": None, "a.b.test.ck": "b.test.ck", "www.ck": "www.ck", "www.www.ck": "www.ck", "us": None, "test.ak.us": "test.ak.us", "k12.ak.us": None, "www.test.k12.ak.us": "test.k12.ak.us",
     "食狮.com.cn": "食狮.com.cn", "www.食狮.公司.cn": "食狮.公司.cn", "公司.cn": None, "shishi.中国": "shishi.中国", "中国": None, "xn--85x722f.xn--55qx5d.cn": "xn--85x722f.xn--55qx5d.cn",
-    "xn--55qx5d.cn": None, "www.xn--85x722f.xn--fiqs8s": "xn--85x722f.xn--fiqs8s", "xn--fiqs8s": None, "93.184.216.34": "93.184.216.34", "a..com": None, "": None,
+    "xn--55qx5d.cn": None, "www.xn--85x722f.xn--fiqs8s": "xn--85x722f.xn--fiqs8s", "xn--fiqs8s": None, "93.184.216.34": "93.184.216.34", "2606:4700::1111": "2606:4700::1111", "999.1.1.1": "1.1", "a..com": None, "": None,
 }
 
 
@@ -93,12 +94,37 @@ def test_registrable(spark):
 def test_urls(spark):
     urls = ["HTTPS://Ex.COM/a/?utm_source=x&b=2&c&ref=1#f", "http://u:p@www.ex.com:80", "not a url", None, "http://[::1]/x", "https://amp.ex.com/a", "https://ex.com/a/amp/"]
     assert column(spark, U.canonical, urls[:2]) == ["https://ex.com/a?b=2&c=", "http://u:p@www.ex.com:80/"]
+    spelt = ["https://e.com/a;p?q=a%20b&utm%5Fsource=x", "https://e.com/a?q=a+b", "https://e.com/a;x/b;y?z=%C3%A9~*%zz", "https://e.com/;p"]
+    assert column(spark, U.canonical, spelt) == ["https://e.com/a?q=a+b", "https://e.com/a?q=a+b", "https://e.com/a;x/b?z=%C3%A9~%2A%25zz", "https://e.com/"]
     assert column(spark, U.host, urls) == ["ex.com", "ex.com", "", "", "::1", "amp.ex.com", "ex.com"]
     assert column(spark, U.looks_amp, urls) == [False, False, False, False, False, True, True]
     bad = ["file:///x", "gopher://x", "http://", "http://localhost/", "http://10.0.0.1/", "http://8.8.8.8/", "http://[fe80::1]/", "http://x.localhost", "nonsense", "http://172.20.1.1", "http://0.0.0.0/"]
     assert column(spark, U.safety, bad) == ["blocked_scheme:file", "unsupported_scheme:gopher", "empty_host", "localhost", "private_ip:10.0.0.1", "", "private_ip:fe80::1", "localhost", "unsupported_scheme:none", "private_ip:172.20.1.1", "unspecified"]
 
 
+def test_addresses_of_networks(spark):
+    """Every literal address as the standard library judges it."""
+    v4 = ["8.8.8.8", "127.0.0.1", "10.0.0.1", "100.64.0.1", "172.15.0.1", "172.16.0.1", "192.0.0.8", "192.0.0.9", "192.0.2.1", "192.88.99.1", "198.17.0.1", "198.19.1.1", "198.51.100.1", "203.0.113.7", "223.1.1.1", "224.0.0.1", "240.0.0.1", "255.255.255.255", "0.1.2.3"]
+    v6 = ["::1", "::", "::ffff:8.8.8.8", "::ffff:127.0.0.1", "64:ff9b::1", "64:ff9b:1::1", "100::1", "100:1::1", "200::1", "1fff::1", "2000::1", "2001::1", "2001:1::1", "2001:1::3", "2001:3::1", "2001:4:112::1", "2001:4:113::1", "2001:20::1", "2001:1ff::1", "2001:200::1", "2001:db8::1", "2002::1", "2606:4700::1111", "3fff::1", "3fff:1000::1", "4000::1", "fc00::1", "fdff::1", "fe80::1", "fec0::1", "ff02::1", "1:2:3:4:5:6:7:8"]
+
+    def want(x):
+        a = ipaddress.ip_address(x)
+        bad = a.is_private or a.is_loopback or a.is_link_local or a.is_reserved or a.is_multicast or a.is_unspecified or getattr(a, "is_site_local", False)
+        return f"private_ip:{x}" if bad else ""
+
+    assert column(spark, U.safety, [f"http://{x}/a" for x in v4]) == [want(x) for x in v4]
+    assert column(spark, U.safety, [f"http://[{x}]:80/a" for x in v6]) == [want(x) for x in v6]
+    odd = ["1.2.3", "1.2.3.4.5", "256.1.1.1", "01.2.3.4", "1:2", "1:2:3:4:5:6:7:8:9", "1::2::3", "g::1", ":1", "1:2:3:4:5:6:7::8", *v4, *v6]
+
+    def is_ip(x):
+        try:
+            return bool(ipaddress.ip_address(x))
+        except ValueError:
+            return False
+
+    assert column(spark, lambda x: U.is_ipv4(x) | U.is_ipv6(x), odd) == [is_ip(x) for x in odd]
+
+
 def test_datetimes(spark):
     got = column(spark, lambda x: F.date_format(T.discovery_datetime(x), "yyyy-MM-dd HH:mm"), ["Tue, 02 Jan 2024 03:04:05 GMT", "2 Jan 2024 03:04:05 +0200", "2024-01-02T03:04:05Z", "soon", "", None])
     assert got == ["2024-01-02 03:04", "2024-01-02 01:04", "2024-01-02 03:04", None, None, None]

@@ -79,7 +79,14 @@ def test_tokens(spark):
     payload = b"\x08\x13\x22" + bytes([len(url)]) + url + b"\xd2\x01\x00"
     link = "https://news.google.com/rss/articles/" + base64.urlsafe_b64encode(payload).decode().rstrip("=") + "?oc=5"
     df = spark.createDataFrame([(link,), ("https://e.com/x",), ("https://news.google.com/articles/!!",), (None,)], "u string")
-    assert [r[0] for r in df.select(tokens.decoded(F.col("u"))).collect()] == [url.decode(), "https://e.com/x", "https://news.google.com/articles/!!", None]
+    assert [r["to"] for r in tokens.decoded(df, "u", "to").collect()] == [url.decode(), "https://e.com/x", "https://news.google.com/articles/!!", None]
+    inner = b"\x0a" + bytes([len(url)]) + url
+    nested = b"\x12" + bytes([len(inner)]) + inner
+    assert list(tokens.payloads(nested + b"\x08\x01")) == [inner, url]  # the outer field first
+    assert list(tokens.payloads(b"\x12\x7fshort")) == [] and list(tokens.payloads(b"")) == [] and list(tokens.payloads(b"\x80" * 12)) == []
+    packed = lambda data: base64.urlsafe_b64encode(data).decode().rstrip("=")
+    assert tokens.addresses(packed(b"\xff\xff https://open.example/a")) == ["https://open.example/a"]
+    assert tokens.addresses(packed(b"\x22\x1dhttps://news.google.com/rss/x")) == [] and tokens.addresses("a" * 64_001) == [] and tokens.addresses(None) == [] and tokens.addresses("é") == []
 
 
 def test_archives(spark, tmp_path):
@@ -93,8 +100,35 @@ def test_archives(spark, tmp_path):
                 z.writestr(n, "text of " + n)
         return b.getvalue()
 
-    assert registries.zip_member(packed("a/x.js", "b.txt"), "x.js") == "text of a/x.js"
+    assert registries.zip_member(packed("a/x.js", "b.txt"), "x.js") == "text of a/x.js" and registries.zip_member(packed("ax.js"), "x.js") is None
     assert registries.zip_member(packed("a/x.js", "b/x.js"), "x.js") is None and registries.zip_member(b"no zip", "x.js") is None
+    bomb = io.BytesIO()
+    with zipfile.ZipFile(bomb, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x.js", "0" * 1_000_000)
+    assert registries.zip_member(bomb.getvalue(), "x.js") is None and registries.zip_member(packed(*(f"{i}.txt" for i in range(1000)), "x.js"), "x.js") is None
+    for name, data in (("good.zip", packed("a/x.js")), ("bomb.zip", bomb.getvalue()), ("broken.zip", b"PK")):
+        (tmp_path / name).write_bytes(data)
+    read = registries.zip_texts(spark, spark.read.format("binaryFile").load(str(tmp_path)), "x.js").collect()
+    assert {r.path.rpartition("/")[2]: r.text for r in read} == {"good.zip": "text of a/x.js", "bomb.zip": None, "broken.zip": None}
+
+
+def test_sinks(spark, tmp_path):
+    from pagegrist.sources import sinks
+
+    df = spark.createDataFrame([("A  title", "https://e.com/1", "# A"), ("A  title", "https://e.com/2", "# B")], "title string, url string, md string")
+    sinks.markdown_files(df, "title", "url", "md", str(tmp_path / "md"))
+    back = spark.read.text(str(tmp_path / "md"))
+    assert back.count() == 2 and {r.slug[:8] for r in back.collect()} == {"a-title-"} and back.select("slug").distinct().count() == 2
+    assert [r.value for r in sinks.envelopes(df.selectExpr("title", "null as x").limit(1)).collect()] == ['{"title":"A  title","x":null}']
+    hashes = [d.agg(sinks.content_hash(d["url"], d["md"]).alias("h")).first().h for d in (df, df.orderBy("url", ascending=False).repartition(2))]
+    assert hashes[0] == hashes[1]
+
+
+def test_registry_file(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"policies": [{"domain": "b.example", "coverage": "x"}, {"domain": "a.example"}]}')
+    (tmp_path / "broken.json").write_text("{")
+    got = registries.read_registry(spark, str(tmp_path), registries.DISCOVERY, "policies").orderBy("seq").collect()
+    assert [(r.seq, r.domain) for r in got] == [(0, "b.example"), (1, "a.example")]
 
 
 def test_mirror(spark, tmp_path):
