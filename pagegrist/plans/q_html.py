@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as T
 from ..operators import gate, html
 from ..operators.article import markdown
-from .q_url import pages
+from . import duck as D
+from .q_text import CUT
+from .q_url import access_sql, pages
 from .registry import query
 
+_FLOATS = [k for k, t in html.METRICS.items() if t == "double"]
+
 
 def records(spark, sf, *keep):
     return html.page_records(spark, pages(spark, sf), "page_id", keep=keep)
 
 
-@query("page_html_metrics")
+@query("page_html_metrics", f"WITH {D.tree()} SELECT page_id, {', '.join(f'round({k}, 6) AS {k}' if k in _FLOATS else k for k in html.METRICS)} FROM tr")
 def page_html_metrics(spark, sf):
-    return records(spark, sf).drop("images", "article_text")
+    r = records(spark, sf)
+    return r.select("page_id", *[F.round(k, 6).alias(k) if k in _FLOATS else k for k in html.METRICS])
 
 
 @query("page_tag_counts", r"SELECT page_id, len(regexp_extract_all(html, '(?i)<script\b'))::INT AS script_count, len(regexp_extract_all(html, '(?i)<form\b'))::INT AS form_count, length(html)::INT AS html_chars FROM pages")
@@ -26,17 +32,37 @@ def page_tag_counts(spark, sf):
     return records(spark, sf).select("page_id", "script_count", "form_count", "html_chars")
 
 
-@query("page_images")
+#: Images that are put into an article: kept ones, one by its address from the root and one beside the page, and furniture.
+_PICTURES = "<img src='/pics/a.jpg?x=1' width=640><img src='b.png'><img src='/static/logo.png'><img src='c.gif' height=20><img src='/pics/a.jpg?x=1'><img alt=none>"
+_ORIGIN = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')"
+_FOLDER = r"regexp_replace(coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/'), '[^/]*$', '')"
+
+
+def _pictured(spark, sf):
+    """Every second page gets images, as pages have none."""
+    p = pages(spark, sf)
+    with_images = F.replace("html", F.lit("</article>"), F.concat(F.lit(_PICTURES), F.lit("</article>")))
+    return p.withColumn("html", F.when(F.col("page_id") % 2 == 0, with_images).otherwise(F.col("html")))
+
+
+@query("page_images", f"SELECT page_id, 0 AS place, {_ORIGIN} || '/pics/a.jpg?x=1' AS image FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 1, {_ORIGIN} || {_FOLDER} || 'b.png' FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, NULL, NULL FROM pages WHERE page_id % 2 = 1")
 def page_images(spark, sf):
-    return records(spark, sf).select("page_id", F.posexplode_outer("images").alias("place", "image"))
+    return html.page_records(spark, _pictured(spark, sf), "page_id").select("page_id", F.posexplode_outer("images").alias("place", "image"))
+
 
+_ARTICLE = f"{D.tree()}, c AS (SELECT *, article_text AS t, {D.fold('article_text')} AS f FROM tr), p AS (SELECT *, {CUT} AS place FROM c), a AS (SELECT *, CASE WHEN place IS NULL THEN t ELSE regexp_replace(left(t, place), '{D.WS}+$', '') END AS text FROM p)"
 
-@query("page_article")
+
+@query("page_article", f"WITH {_ARTICLE} SELECT page_id, raw_title AS title, text, '' AS images FROM a")
 def page_article(spark, sf):
-    return records(spark, sf).select("page_id", F.col("raw_title").alias("title"), T.clean_text(F.col("article_text")).alias("text"), "images")
+    return records(spark, sf).select("page_id", F.col("raw_title").alias("title"), T.clean_text(F.col("article_text")).alias("text"), F.array_join("images", ",").alias("images"))
+
+
+_MARKDOWN = "concat_ws(chr(10), '---', 'title: \"' || replace(replace(raw_title, '\"', '\\\"'), chr(10), ' ') || '\"', 'source: ' || url, '---', '', '# ' || raw_title, '', text)"
+_SLUG = r"left(regexp_replace(regexp_replace(regexp_replace(lower(raw_title), '[^\p{L}\p{N}_\s\p{Z}-]', '', 'g'), '[-\s\p{Z}]+', '-', 'g'), '^-+|-+$', '', 'g'), 80)"
 
 
-@query("page_markdown")
+@query("page_markdown", f"WITH {_ARTICLE}, m AS (SELECT *, {_MARKDOWN} AS md FROM a) SELECT page_id, left(coalesce(nullif({_SLUG}, ''), 'article'), 71) || '-' || left(sha256(url), 8) AS slug, left(md, {fixed.MAX_MARKDOWN_CHARS}) AS markdown, length(md) > {fixed.MAX_MARKDOWN_CHARS} AS truncated FROM m")
 def page_markdown(spark, sf):
     r = records(spark, sf, "url")
     out = markdown(F.col("raw_title"), F.lit(""), F.lit(""), T.clean_text(F.col("article_text")), F.col("images"), F.col("url"))
@@ -44,13 +70,16 @@ def page_markdown(spark, sf):
     return r.select("page_id", T.batch_slug(F.col("raw_title"), F.col("url")).alias("slug"), kept.alias("markdown"), cut.alias("truncated"))
 
 
-@query("page_gate")
+_GATE = f"""{D.tree()}, {access_sql("0")}, {D.page_gate("tr", "x")}"""
+
+
+@query("page_gate", f"WITH {_GATE} SELECT page_id, content_chars, round(score, 6) AS score, ok, paywall_suspected, reason, error_code FROM g")
 def page_gate(spark, sf):
     r = records(spark, sf, "html")
     g = gate.quality_gate(r, "article_text", "raw_title", "html")
     return g.select("page_id", "content_chars", F.round("score", 6).alias("score"), "ok", "paywall_suspected", "reason", "error_code")
 
 
-@query("page_gate_summary")
+@query("page_gate_summary", f"WITH {_GATE} SELECT ok, error_code, count(*)::BIGINT AS n, round(avg(round(score, 6)), 6) AS mean_score FROM g GROUP BY ALL")
 def page_gate_summary(spark, sf):
     return page_gate(spark, sf).groupBy("ok", "error_code").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import access, gate, html
 from ..sources import feeds
 
+from . import duck as D
 from .q_feeds import _HEALTH, _responses
 from .q_text import documents
 from .q_url import _STATUS, _status, access_sql, pages
@@ -66,7 +67,7 @@ def challenge_shells(spark, sf):
     return documents(spark, sf).select("doc_id", access.challenge_shell(title, made, F.lit(False)).alias("shell"))
 
 
-@query("structural_metrics_merged")
+@query("structural_metrics_merged", f"WITH {D.tree()} SELECT page_id, CASE WHEN form_count = 0 THEN 2 ELSE form_count END AS form_count, CASE WHEN link_density = 0 THEN 0.5::DOUBLE ELSE link_density END AS link_density, nullif(cta_count, 0) AS cta_count FROM tr")
 def structural_metrics_merged(spark, sf):
     """Metrics of the landed page, zeros filled from those that a live page reported."""
     r = html.page_records(spark, pages(spark, sf), "page_id").select("page_id", "form_count", "link_density", "cta_count")
@@ -74,7 +75,7 @@ def structural_metrics_merged(spark, sf):
     return gate.merge_dom_metrics(live, {"liveForms": "form_count", "liveDensity": "link_density", "liveCta": "cta_count"}).select("page_id", "form_count", "link_density", "cta_count")
 
 
-@query("pages_look_gated")
+@query("pages_look_gated", f"WITH {D.tree()}, {access_sql('0')}, {D.page_gate('tr', 'x')} SELECT tr.page_id, html_chars < 200 OR g.teaser <> '' AS gated FROM tr JOIN g USING (page_id)")
 def pages_look_gated(spark, sf):
     """Short pages and those whose structure is a teaser's."""
     r = html.page_records(spark, pages(spark, sf).withColumn("n", F.length("html")), "page_id", keep=("n",))
@@ -82,7 +83,7 @@ def pages_look_gated(spark, sf):
     return m.select("page_id", ((F.col("n") < 200) | (gate.teaser_reason(F.col("t"), F.col("raw_title")) != "")).alias("gated"))
 
 
-@query("page_content_prefilter")
+@query("page_content_prefilter", f"WITH {D.tree()}, {access_sql('0')}, l AS (SELECT *, {D.fold('html')} AS low FROM x) SELECT page_id, (length(l.html) >= 300 AND NOT detected AND (contains(low, '<article') OR contains(low, 'articlebody') OR contains(low, 'article-body') OR (ps >= 2 AND visible >= 100))) OR (length(l.html) >= 300 AND container_text_chars >= 250 AND link_density < 0.45::DOUBLE AND paragraph_count_dom < 2) AS has_content FROM l JOIN tr USING (page_id)")
 def page_content_prefilter(spark, sf):
     """Whole prefilter: the string tests, then the tree only of pages that they leave open."""
     from .q_url import html_prefilter

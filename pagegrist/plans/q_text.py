@@ -99,10 +99,10 @@ def secret_lines_dropped(spark, sf):
     return documents(spark, sf).select("doc_id", F.size(lines).alias("n_lines"), F.size(F.filter(lines, marked)).alias("n_dropped"))
 
 
-_CUT = "least(" + ", ".join(f"nullif(greatest(instr(f, {D.lit(m.lower())}) - 1, 0), 0)" for m in fixed.CLEAN_MARKERS) + ")"
+CUT = "least(" + ", ".join(f"nullif(greatest(instr(f, {D.lit(m.lower())}) - 1, 0), 0)" for m in fixed.CLEAN_MARKERS) + ")"
 
 
-@query("clean_text_cut", f"WITH n AS (SELECT doc_id, text || chr(10) || CASE WHEN doc_id % 3 = 0 THEN ' Already a subscriber? Sign in to continue' ELSE '' END AS t FROM documents), f AS (SELECT *, {D.fold('t')} AS f FROM n), c AS (SELECT *, {_CUT} AS place FROM f) SELECT doc_id, md5(CASE WHEN place IS NULL THEN t ELSE regexp_replace(left(t, place), '{D.WS}+$', '') END) AS digest FROM c")
+@query("clean_text_cut", f"WITH n AS (SELECT doc_id, text || chr(10) || CASE WHEN doc_id % 3 = 0 THEN ' Already a subscriber? Sign in to continue' ELSE '' END AS t FROM documents), f AS (SELECT *, {D.fold('t')} AS f FROM n), c AS (SELECT *, {CUT} AS place FROM f) SELECT doc_id, md5(CASE WHEN place IS NULL THEN t ELSE regexp_replace(left(t, place), '{D.WS}+$', '') END) AS digest FROM c")
 def clean_text_cut(spark, sf):
     """Every third text gets a prompt at its end, as the documents have none."""
     t = F.concat("text", F.lit("\n"), F.when(F.col("doc_id") % 3 == 0, " Already a subscriber? Sign in to continue").otherwise(""))
