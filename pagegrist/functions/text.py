@@ -175,9 +175,12 @@ def image_filename(position: Column, url: Column) -> Column:
     return F.concat(F.format_string("img_%03d_", position), F.left(F.md5(blank(url).cast("binary")), F.lit(8)), F.when(ext == "", F.lit(".jpg")).otherwise(ext))
 
 
-def title_of(html: Column) -> Column:
-    """The text of the title element, up to a bar or a spaced dash."""
+def title_of(html: Column, metadata: Column | None = None) -> Column:
+    """The text of the title element, that of the metadata where it has one, up to a bar or a spaced dash."""
     raw = normalize_space(F.regexp_extract(blank(html), r"(?i)<title[^>]*>([^<]+)</title>", 1))
+    if metadata is not None:
+        given = normalize_space(F.regexp_extract(blank(metadata), r"<title[^>]*>([^<]+)</title>", 1))
+        raw = F.when(blank(metadata).rlike(r"<title[^>]*>[^<]+</title>"), given).otherwise(raw)
     return strip(F.split_part(F.split_part(raw, F.lit("|"), F.lit(1)), F.lit(" - "), F.lit(1)))
 
 

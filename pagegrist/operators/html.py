@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..session import ship
+from ..session import ship, spread
 
 # Elements without content; elements that aren't shown; where an article's text is looked for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -313,4 +313,4 @@ def page_records(spark: SparkSession, df: DataFrame, key: str, html: str = "html
                 columns += [batch.column(f"kept{k}") for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(columns, names=[key, *METRICS, "images", "article_text", *keep])
 
-    return slim.mapInArrow(records, f"`{key}` {kind}, {_DDL}, images array<string>, article_text string{kept}")
+    return spread(slim).mapInArrow(records, f"`{key}` {kind}, {_DDL}, images array<string>, article_text string{kept}")

@@ -19,6 +19,28 @@ TTL, LEGACY_TTL, COOLDOWN = 7 * 86_400, 86_400, 300
 BLOCKING = ("BOT_CHALLENGE", "HTTP_BLOCKED")
 
 
+# What turns automatic renewal off; the least seconds of a setting.
+OFF = ("0", "off", "false", "no")
+
+
+def skip_reason(disabled: Column, switch: Column, pin: Column, explicit: Column) -> Column:
+    """Why rules aren't renewed; empty where they may be."""
+    given = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    return F.when(disabled, "disabled_cli").when(F.lower(given(switch)).isin(*OFF), "disabled_env").when(given(pin) != "", "pinned").when(explicit.isNotNull(), "explicit_sites_js").otherwise("")
+
+
+def clamped(setting: Column, default: int, least: int = 0) -> Column:
+    """A number of seconds from a text setting: absent or odd ones are the default, small ones the least."""
+    raw = F.trim(setting)
+    return F.when(raw.rlike(r"^[+-]?[0-9]{1,18}$"), F.greatest(raw.cast("long"), F.lit(least).cast("long"))).otherwise(F.lit(default).cast("long"))
+
+
+def manifests(raw: Column, fallback: Column, schema: str) -> Column:
+    """The manifest inside a snapshot's JSON; where that is absent or corrupt the one that stands alone; null where both are."""
+    own = F.from_json(F.get_json_object(raw, "$.manifest"), schema)
+    return F.coalesce(F.when(F.startswith(F.trim(F.get_json_object(raw, "$.manifest")), F.lit("{")), own), F.when(F.startswith(F.trim(F.get_json_object(fallback, "$")), F.lit("{")), F.from_json(fallback, schema)))
+
+
 def freshness(now: Column, fetched_at: Column, revalidate_after: Column, stale: Column, ttl: int = TTL) -> Column:
     """missing and corrupt are told apart by the caller's null record; else backoff, corrupt, expired or fresh."""
     age = F.unix_micros(now) - F.unix_micros(fetched_at)
@@ -37,7 +59,10 @@ def transition(ok: Column, now: Column, fetched_at: Column, version: Column, old
 
 
 def folded(spark: SparkSession, df: DataFrame, key: str, time_us: str, extra: list[str], step: Callable, start: Callable, name: str, kind: str = "boolean") -> DataFrame:
-    """key, time_us, extra and what step(state, time, *extra) -> (state, value) gives, in order of time within the key."""
+    """key, time_us, extra and what step(state, time, *extra) -> (state, value) gives, in order of time within the key.
+
+    A fold is sequential, so a key is one task, however hot; its state is constant in size and its rows are streamed.
+    """
     ship(spark)
     columns = [key, time_us, *extra]
 
@@ -79,6 +104,16 @@ def token_bucket(spark: SparkSession, df: DataFrame, key: str, time_us: str, seq
     return folded(spark, df, key, time_us, [seq], step, lambda: (burst, None), "allowed")
 
 
+def concurrent(spark: SparkSession, df: DataFrame, key: str, time_us: str, seq: str, end_us: str, most: int = 2) -> DataFrame:
+    """Adds allowed: whether fewer than so many of the key's allowed events were still running; an event runs up to its end."""
+
+    def step(running, t, s, end):
+        running = [x for x in running if x > t]
+        return (running + [end], True) if len(running) < most else (running, False)
+
+    return folded(spark, df, key, time_us, [seq, end_us], step, list, "allowed")
+
+
 def too_soon(df: DataFrame, key: str, time: str, seq: str, seconds: float = 2.0) -> DataFrame:
     """Adds too_soon: less than so many seconds after the key's event before."""
     from pyspark.sql import Window as W

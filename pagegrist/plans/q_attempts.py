@@ -157,6 +157,32 @@ def manifest_transition(spark, sf):
     return events(spark, sf).select("event_id", text(t["next_fetched_at"]).alias("next_fetched_at"), text(t["next_revalidate_after"]).alias("next_revalidate_after"), t["next_version"].alias("next_version"))
 
 
+@query("renewal_decisions", "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'disabled_cli' WHEN event_id % 7 = 0 THEN 'disabled_env' WHEN event_id % 5 = 0 THEN 'pinned' WHEN event_id % 3 = 0 THEN 'explicit_sites_js' ELSE '' END AS skip, CASE event_id % 4 WHEN 0 THEN 3600 WHEN 1 THEN event_id WHEN 2 THEN 30 ELSE 3600 END::BIGINT AS seconds, CASE event_id % 4 WHEN 0 THEN 'snap' WHEN 1 THEN 'alone' WHEN 2 THEN 'alone' END AS version FROM events")
+def renewal_decisions(spark, sf):
+    """Why a renewal is skipped, clamped settings, and manifests of whole, corrupt and absent snapshots."""
+    i = F.col("event_id")
+    skip = S.skip_reason(i % 11 == 0, F.when(i % 7 == 0, " OFF ").otherwise("on"), F.when(i % 5 == 0, "v1"), F.when(i % 3 == 0, "/rules.js"))
+    setting = F.when(i % 4 == 1, (i + 0).cast("string")).when(i % 4 == 2, "-5").when(i % 4 == 3, "1h")
+    seconds = F.when(i % 4 == 2, S.clamped(setting, 3600, 30)).otherwise(S.clamped(setting, 3600))
+    snap = F.when(i % 4 == 0, '{"manifest": {"version": "snap"}}').when(i % 4 == 1, '{"manifest": [1]}').when(i % 4 == 2, "{broken")
+    alone = F.when(i % 4 == 3, "[1, 2]").otherwise('{"version": "alone"}')
+    return events(spark, sf).select("event_id", skip.alias("skip"), seconds.alias("seconds"), S.manifests(snap, alone, "version string")["version"].alias("version"))
+
+
+_RUNNING = """WITH RECURSIVE n AS (SELECT user_id, event_id, epoch_us(ts) AS t, epoch_us(ts) + 36000000000 * (1 + event_id % 5) AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT user_id, event_id, k, true AS allowed, [e] AS running FROM n WHERE k = 1
+  UNION ALL SELECT user_id, event_id, k, len(r) < 2, CASE WHEN len(r) < 2 THEN list_append(r, e) ELSE r END FROM (SELECT n.user_id, n.event_id, n.k, n.e, list_filter(f.running, lambda x: x > n.t) AS r FROM f JOIN n ON n.user_id = f.user_id AND n.k = f.k + 1))
+SELECT event_id, allowed FROM f"""
+
+
+@query("concurrency_bound", _RUNNING)
+def concurrency_bound(spark, sf):
+    """Events that run for ten to fifty hours, two of a user at a time."""
+    e = events(spark, sf).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    e = e.withColumn("e", F.col("t") + F.lit(36_000_000_000) * (1 + F.col("event_id") % 5))
+    return S.concurrent(spark, e, "user_id", "t", "event_id", "e").select("event_id", "allowed")
+
+
 _COOL = f"""WITH RECURSIVE {_LOG}, n AS (SELECT request_id, seq, error_code, epoch_us(ts) AS t, row_number() OVER (PARTITION BY request_id ORDER BY ts, seq) AS k FROM log),
 f AS (SELECT request_id, seq, k, t, true AS allowed, CASE WHEN error_code IN ('BOT_CHALLENGE', 'HTTP_BLOCKED') THEN t + 86400000000 END AS until FROM n WHERE k = 1
   UNION ALL SELECT n.request_id, n.seq, n.k, n.t, f.until IS NULL OR n.t >= f.until, CASE WHEN f.until IS NOT NULL AND n.t < f.until THEN f.until WHEN n.error_code IN ('BOT_CHALLENGE', 'HTTP_BLOCKED') THEN n.t + 86400000000 END FROM f JOIN n ON n.request_id = f.request_id AND n.k = f.k + 1)

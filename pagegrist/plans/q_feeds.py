@@ -81,3 +81,30 @@ def sitemap_links(spark, sf):
     md = F.concat(F.lit("* [Title "), "page_id", F.lit("]("), "url", F.lit(") and text"))
     links = F.regexp_extract_all(md, F.lit(r"\[([^\]]+)\]\((https?://[^)]+)\)"), F.lit(2))
     return pages(spark, sf).select("page_id", F.explode(links).alias("l")).select("page_id", F.md5(F.col("l").cast("binary")).alias("link"))
+
+
+@query("publisher_articles", f"WITH {_PARTS}, e AS (SELECT *, page_id // 10 AS feed FROM u WHERE (page_id // 10) % 4 <> 3) SELECT 'T' || page_id AS title, {_CANON} AS url, 'official_feed' AS discovery_source, feed::VARCHAR AS feed_url, CASE feed % 5 WHEN 0 THEN 'ai' WHEN 1 THEN 'markets' ELSE 'general' END AS feed_scope FROM e WHERE host = 'example.com' OR suffix(host, '.example.com')")
+def publisher_articles(spark, sf):
+    """Entries on the publisher's hosts; two in five feeds have a scope."""
+    b = bodies(spark, sf).where("kind = 'feed'")
+    e = feeds.entries(spark, b).select(F.col("feed_id").cast("string").alias("feed_url"), "title", "url", "published")
+    ids = b.select(F.col("feed_id").cast("string").alias("feed_url"), F.col("feed_id"))
+    k = F.col("feed_id") % 5
+    scopes = ids.select("feed_url", F.when(k == 0, "ai").when(k == 1, "markets").alias("scope")).where("scope is not null")
+    return feeds.publisher_articles(e, ids.select("feed_url", F.lit("example.com").alias("domain")), scopes).select("title", "url", "discovery_source", "feed_url", "feed_scope")
+
+
+@query("sitemap_articles", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Story ' || page_id ELSE '' END AS title, 'https://www.wire.example/markets/story-' || page_id || '-2024-03-01' AS url, '2024-03-01' AS published FROM pages")
+def sitemap_articles(spark, sf):
+    """A daily page for each of the pages: a dated article linked twice, once of another spelling, one of another section and one of another host."""
+    n = F.col("page_id").cast("string")
+    at = F.concat(F.lit("https://www.wire.example/markets/story-"), n, F.lit("-2024-03-01"))
+    md = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("* [old]("), at, F.lit(")\n* [ Story "), n, F.lit(" ]("), at, F.lit(") and [x](https://other.example/y)"))).otherwise(F.lit("no links"))
+    links = F.array(F.concat(F.lit("https://www.wire.example/sports/game-"), n, F.lit("-2024-03-01")), at, F.concat(at, F.lit("?utm_source=feed")), F.lit("https://other.example/markets/a-2024-03-01"), at)
+    return feeds.sitemap_articles(pages(spark, sf).select("page_id", md.alias("markdown"), links.alias("links"), F.lit("2024-03-01").alias("published")), "wire.example")
+
+
+@query("health_report", f"WITH {_HEALTH} SELECT 'example.com' AS source_domain, count(*)::BIGINT AS feed_count, count(*) FILTER (kind = 'valid_feed')::BIGINT AS valid_feed_count, md5('[' || string_agg('{{\"feed_url\":\"' || feed_url || '\",\"kind\":\"' || kind || '\",\"reason\":\"' || reason || '\",\"entry_count\":' || entry_count || ',\"publisher_url_count\":' || publisher_url_count || ',\"dated_entry_count\":' || dated_entry_count || '}}', ',' ORDER BY feed_url) || ']') AS digest, 1::BIGINT AS source_count FROM h")
+def health_report(spark, sf):
+    r = feeds.health_report(feeds.feed_health(spark, _responses(spark, sf)))
+    return r.select("source_domain", "feed_count", "valid_feed_count", F.md5(F.col("feeds").cast("binary")).alias("digest"), "source_count")

@@ -9,6 +9,7 @@ from ..functions import fixed
 from ..functions import text as T
 from ..operators import gate
 from ..operators.article import markdown
+from ..session import spread
 from . import duck as D
 from .registry import query
 
@@ -19,44 +20,44 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("text_metrics_documents", f"WITH {D.text_metrics('documents', 'doc_id')} SELECT doc_id, content_chars, round(letter_number_ratio, 6) AS letter_number_ratio, terminal_count, terminal_ending, round(repeated_line_ratio, 6) AS repeated_line_ratio FROM b")
 def text_metrics_documents(spark, sf):
-    m = gate.text_metrics(documents(spark, sf).select("doc_id", T.strip(F.col("text")).alias("t")), "t")
+    m = gate.text_metrics(spread(documents(spark, sf).select("doc_id", "text")).select("doc_id", T.strip(F.col("text")).alias("t")), "t")
     return m.select("doc_id", "content_chars", F.round("letter_number_ratio", 6).alias("letter_number_ratio"), "terminal_count", "terminal_ending", F.round("repeated_line_ratio", 6).alias("repeated_line_ratio"))
 
 
 @query("paragraph_stats", f"WITH {D.text_metrics('documents', 'doc_id')} SELECT doc_id, paragraph_count, round(paragraph_mean, 6) AS paragraph_mean, round(paragraph_variance, 6) AS paragraph_variance, round(paragraph_cv, 6) AS paragraph_cv, long_paragraph_count, round(short_paragraph_ratio, 6) AS short_paragraph_ratio FROM b")
 def paragraph_stats(spark, sf):
-    m = gate.text_metrics(documents(spark, sf).select("doc_id", T.strip(F.col("text")).alias("t")), "t")
+    m = gate.text_metrics(spread(documents(spark, sf).select("doc_id", "text")).select("doc_id", T.strip(F.col("text")).alias("t")), "t")
     return m.select("doc_id", "paragraph_count", F.round("paragraph_mean", 6).alias("paragraph_mean"), F.round("paragraph_variance", 6).alias("paragraph_variance"), F.round("paragraph_cv", 6).alias("paragraph_cv"), "long_paragraph_count", F.round("short_paragraph_ratio", 6).alias("short_paragraph_ratio"))
 
 
 @query("paragraph_summary_by_lang", f"WITH {D.text_metrics('documents', 'doc_id, lang')}, u AS (SELECT lang, unnest(lens) AS n FROM b) SELECT lang, count(*)::BIGINT AS n_paragraphs, round(avg(n), 6) AS mean_chars, round(var_pop(n), 2) AS var_chars, count(*) FILTER (n >= 80)::BIGINT AS n_long, max(n)::INT AS longest FROM u GROUP BY lang")
 def paragraph_summary_by_lang(spark, sf):
-    u = documents(spark, sf).select("lang", F.explode(T.paragraph_lengths(T.strip(F.col("text")))).alias("n"))
+    u = spread(documents(spark, sf).select("lang", "text")).select("lang", F.explode(T.paragraph_lengths(T.strip(F.col("text")))).alias("n"))
     return u.groupBy("lang").agg(F.count("*").alias("n_paragraphs"), F.round(F.avg("n"), 6).alias("mean_chars"), F.round(F.var_pop("n"), 2).alias("var_chars"), F.count_if(F.col("n") >= 80).alias("n_long"), F.max("n").alias("longest"))
 
 
 @query("quality_gate_documents", f"WITH {D.gate('documents', 'doc_id')} SELECT doc_id, content_chars, round(score, 6) AS score, ok, reason, error_code FROM g")
 def quality_gate_documents(spark, sf):
-    g = gate.quality_gate(documents(spark, sf).select("doc_id", "text"), "text")
+    g = gate.quality_gate(spread(documents(spark, sf).select("doc_id", "text")), "text")
     return g.select("doc_id", "content_chars", F.round("score", 6).alias("score"), "ok", "reason", "error_code")
 
 
 @query("quality_gate_titled", f"WITH n AS (SELECT doc_id, text, substr(text, 1, 60) AS title FROM documents), {D.gate('n', 'doc_id, title', title='title')} SELECT doc_id, round(score, 6) AS score, ok, reason FROM g")
 def quality_gate_titled(spark, sf):
     """The first 60 characters stand in for a title, so that title points and newsflashes come up."""
-    d = documents(spark, sf).select("doc_id", "text", F.left("text", F.lit(60)).alias("title"))
+    d = spread(documents(spark, sf).select("doc_id", "text")).select("doc_id", "text", F.left("text", F.lit(60)).alias("title"))
     return gate.quality_gate(d, "text", "title").select("doc_id", F.round("score", 6).alias("score"), "ok", "reason")
 
 
 @query("gate_by_lang", f"WITH {D.gate('documents', 'doc_id, lang')} SELECT lang, ok, error_code, count(*)::BIGINT AS n, round(avg(score), 6) AS mean_score FROM g GROUP BY ALL")
 def gate_by_lang(spark, sf):
-    g = gate.quality_gate(documents(spark, sf).select("doc_id", "lang", "text"), "text")
+    g = gate.quality_gate(spread(documents(spark, sf).select("doc_id", "lang", "text")), "text")
     return g.groupBy("lang", "ok", "error_code").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
 @query("gate_vs_labels", f"WITH {D.gate('documents', 'doc_id')} SELECT ok, quality, count(*)::BIGINT AS n FROM g LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id) GROUP BY ALL")
 def gate_vs_labels(spark, sf):
-    g = gate.quality_gate(documents(spark, sf).select("doc_id", "text"), "text").select("doc_id", "ok")
+    g = gate.quality_gate(spread(documents(spark, sf).select("doc_id", "text")), "text").select("doc_id", "ok")
     labels = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     return g.join(labels, "doc_id", "left").groupBy("ok", "quality").agg(F.count("*").alias("n"))
 

@@ -9,7 +9,7 @@ from ..functions import fixed
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import access
-from ..session import ship
+from ..session import ship, spread
 from ..sources import feeds, tokens
 from . import duck as D
 from .registry import query
@@ -157,6 +157,14 @@ def page_title(spark, sf):
     return pages(spark, sf).select("page_id", T.title_of(F.col("html")).alias("title"))
 
 
+@query("page_title_metadata", f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Meta ' || page_id ELSE {D.strip('split_part(split_part(r, ' + D.lit('|') + ', 1), ' + D.lit(' - ') + ', 1)')} END AS title FROM (SELECT page_id, {D.norm('regexp_extract(html, ' + D.lit('(?i)<title[^>]*>([^<]+)</title>') + ', 1)')} AS r FROM pages)")
+def page_title_metadata(spark, sf):
+    """Every third page has metadata with a title of its own."""
+    n = F.col("page_id").cast("string")
+    metadata = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<doc><title type='x'> Meta "), n, F.lit(" | site</title></doc>"))).when(F.col("page_id") % 3 == 1, "<doc><title></title></doc>")
+    return pages(spark, sf).select("page_id", T.title_of(F.col("html"), metadata).alias("title"))
+
+
 _VISIBLE = D.norm("regexp_replace(left(html, 400000), '<[^>]+>', ' ', 'g')")
 
 
@@ -207,7 +215,7 @@ def _status():
 
 @query("access_control_class", f"WITH {access_sql(_STATUS)} SELECT page_id, detected, challenge, CASE WHEN detected THEN provider ELSE '' END AS provider, CASE WHEN NOT detected THEN '' ELSE coalesce(nullif(provider, ''), 'generic') || CASE WHEN challenge THEN '_challenge' ELSE '_http_block' END END AS reason, round(score, 6) AS score FROM x")
 def access_control_class(spark, sf):
-    p = pages(spark, sf).select("page_id", "html", _status().alias("status"), F.lit("").alias("title"))
+    p = spread(pages(spark, sf).select("page_id", "html")).select("page_id", "html", _status().alias("status"), F.lit("").alias("title"))
     a = access.access_columns(p, "html", "title", "status")
     return a.select("page_id", F.col("access_detected").alias("detected"), F.col("access_challenge").alias("challenge"), F.col("access_provider").alias("provider"), F.col("access_reason").alias("reason"), F.round("access_score", 6).alias("score"))
 

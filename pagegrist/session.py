@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _HERE = Path(__file__).resolve().parent
 
@@ -42,3 +42,13 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(path)
     sc._pagegrist_shipped = True
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where their scan has fewer partitions than there are cores.
+
+    For work that costs far more than a shuffle of its input. Only tables of a few files or row groups are dealt anew; a large table has
+    more partitions than cores and is read as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -210,3 +210,38 @@ def discovered(entries: DataFrame, priorities: dict[str, int]) -> DataFrame:
     first = ranked.groupBy("target").agg(F.min("_p").alias("_best"))
     one = ranked.join(first, "target").where("_p = _best").groupBy("target", "_key").agg(F.min_by(F.struct("kind", "seq", "url"), F.struct("seq", "url")).alias("e"))
     return one.select("target", "e.kind", "e.seq", "e.url")
+
+
+def publisher_articles(entries: DataFrame, domains: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Entries on their publisher's host or below it, their address in canonical form, with where they were found.
+
+    entries: feed_url, title, url, published; domains: feed_url, domain; scopes: feed_url, scope, general where a feed has none.
+    """
+    said = scopes.groupBy(F.col("feed_url").alias("_f")).agg(F.min("scope").alias("_scope"))
+    own = entries.join(domains, "feed_url").where(F.startswith("url", F.lit("http")) & U.under(U.host(F.col("url")), F.col("domain")))
+    out = own.join(said, F.col("feed_url") == F.col("_f"), "left")
+    return out.select("domain", "title", U.canonical(F.col("url")).alias("url"), "published", F.lit("official_feed").alias("discovery_source"), "feed_url", F.coalesce("_scope", F.lit("general")).alias("feed_scope"))
+
+
+def sitemap_articles(pages: DataFrame, domain: str) -> DataFrame:
+    """page_id, title, url, published: dated articles that a daily sitemap page links, the first of each key, with the title that Markdown gives.
+
+    pages: page_id, markdown, links, published. A title belongs to the address that it is linked with; of several the last counts.
+    """
+    # one pass over the Markdown: each match is a title and the address that it is linked with
+    found = F.transform(F.regexp_extract_all(blank(F.col("markdown")), F.lit(r"(\[[^\]]+\]\(https?://[^)]+\))"), F.lit(1)), lambda m: F.struct(F.regexp_extract(m, r"\]\(([^)]+)\)$", 1).alias("u"), F.trim(F.regexp_extract(m, r"^\[([^\]]+)\]", 1)).alias("t")))
+    each = pages.withColumn("_named", found).select("page_id", "published", "_named", F.posexplode(F.array_distinct("links")).alias("_place", "_link"))
+    good = each.where((U.host(F.col("_link")) == domain) & U.path(F.col("_link")).rlike(fixed.DATED_PATH))
+    title = F.coalesce(F.try_element_at(F.filter("_named", lambda x: x["u"] == F.col("_link")), F.lit(-1))["t"], F.lit(""))
+    one = good.withColumn("_title", title).groupBy("page_id", U.dedupe_key(F.col("_link")).alias("_key")).agg(F.min_by(F.struct("_title", "_link", "published"), "_place").alias("a"))
+    return one.select("page_id", F.col("a._title").alias("title"), U.canonical(F.col("a._link")).alias("url"), F.col("a.published").alias("published"))
+
+
+def health_report(healths: DataFrame) -> DataFrame:
+    """One row a source with its feeds as JSON, and the totals over all sources: what the report holds, without article texts."""
+    feeds = healths.groupBy("source_domain").agg(
+        F.count("*").alias("feed_count"), F.count_if(F.col("kind") == "valid_feed").alias("valid_feed_count"),
+        F.to_json(F.array_sort(F.collect_list(F.struct("feed_url", "kind", "reason", "entry_count", "publisher_url_count", "dated_entry_count")))).alias("feeds"),
+    )
+    totals = feeds.agg(F.count("*").alias("source_count"), F.sum("feed_count").alias("total_feed_count"), F.sum("valid_feed_count").alias("total_valid_feed_count"))
+    return feeds.crossJoin(totals)  # one row
