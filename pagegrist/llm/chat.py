@@ -2,7 +2,7 @@
 
 Chat logs often hold a conversation once per turn, each time whole. A rolling hash of its turns (exclusive-or of
 128 bits per turn, salted by its place) makes every prefix of every conversation a key. A conversation whose whole
-hash is a prefix of a longer one goes by an anti-join; of equal ones the smallest conv_id stays. What stays is rendered
+hash is a prefix of a longer one goes, by an anti-join; of equal ones the smallest conv_id stays. What stays is rendered
 in segments of bounded length, so that no task gathers a conversation of any length. Up to there a turn's text is carried as its
 MD5: texts themselves move only to be rendered, those of conversations that stay.
 
@@ -24,43 +24,50 @@ SEGMENT, BLOCK = 256, 4096
 
 
 def slim(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text and m, the MD5 of the text."""
+    """conv_id, turn, role, text, c (a name of the conversation that tells null apart), block, m (the MD5 of the text) and the 128 bits i1, i2 that stand for turn, role and text."""
     columns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return columns.withColumn("m", F.md5(F.col("text").cast("binary")))
+    named = columns.withColumns({"c": F.coalesce(F.concat(F.lit("s"), F.col("conv_id").cast("string")), F.lit("")), "m": F.unhex(F.md5(F.col("text").cast("binary"))), "block": F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(2**62)).cast("long")})
+    own = lambda salt: F.xxhash64(F.lit(salt), F.col("turn").isNull(), F.coalesce("turn", F.lit(0)), F.col("role").isNull(), F.coalesce("role", F.lit("")), F.coalesce("m", F.lit(b"")))
+    return named.withColumns({"i1": own(1), "i2": own(2)})
 
 
 def ranked(turns: DataFrame) -> DataFrame:
-    """conv_id, block, turn, role, m and k, the place of a turn in its conversation from 1: ranks within blocks of turn numbers, and what lies before the block."""
-    blocked = turns.select("conv_id", "turn", "role", "m").distinct().withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(2**62)).cast("long"))
-    sizes = blocked.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
-    before = sizes.selectExpr("conv_id as c", "block as b", "sum(n) over (partition by conv_id order by block rows unbounded preceding) - n as before")
-    inner = blocked.selectExpr("*", "row_number() over (partition by conv_id, block order by turn nulls last, role, m) as r")
-    joined = inner.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
-    return joined.selectExpr("conv_id", "block", "turn", "role", "m", "r + before as k")
-
-
-def prefixes(ranks: DataFrame) -> DataFrame:
-    """conv_id, k, h1, h2: the rolling hash of the first k turns of each conversation."""
-    part = lambda salt: F.xxhash64(F.lit(salt), "k", F.col("role").isNull(), F.coalesce("role", F.lit("")), F.coalesce("m", F.lit("")))
-    keys = ranks.select("conv_id", F.floor((F.col("k") - 1) / BLOCK).alias("block"), "k", part(1).alias("x1"), part(2).alias("x2"))
-    sums = keys.groupBy("conv_id", "block").agg(F.bit_xor("x1").alias("s1"), F.bit_xor("x2").alias("s2"))
-    upto = "over (partition by conv_id order by block rows between unbounded preceding and 1 preceding)"
-    before = sums.selectExpr("conv_id as c", "block as b", f"coalesce(bit_xor(s1) {upto}, 0) as b1", f"coalesce(bit_xor(s2) {upto}, 0) as b2")
-    roll = "over (partition by conv_id, block order by k rows unbounded preceding)"
-    inner = keys.selectExpr("conv_id", "block", "k", f"bit_xor(x1) {roll} as r1", f"bit_xor(x2) {roll} as r2")
-    joined = inner.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
-    return joined.selectExpr("conv_id", "k", "r1 ^ b1 as h1", "r2 ^ b2 as h2")
+    """c, conv_id, i1, i2, k (the place of a turn from 1), more (whether turns follow), h1, h2 (the rolling hash of the first k turns).
+
+    All within blocks of turn numbers, in one order; conversations of several blocks, which are few, get what lies before a block and whether
+    another follows by a join.
+    """
+    inner = turns.select("c", "conv_id", "block", "turn", "role", "m", "i1", "i2").distinct()
+    order = "partition by c, block order by turn nulls last, role, m"
+    inner = inner.selectExpr("*", f"row_number() over ({order}) as r", "count(*) over (partition by c, block) as n")
+    sizes = turns.select("c", "block", "i1", "i2").distinct().groupBy("c", "block").agg(F.count("*").alias("n"))
+    blocks = sizes.selectExpr("c", "block", "sum(n) over (partition by c order by block rows unbounded preceding) - n as before", "block < max(block) over (partition by c) as later")
+    inner = inner.join(blocks.where("before > 0 or later"), ["c", "block"], "left")
+    placed = inner.selectExpr("c", "conv_id", "block", "i1", "i2", "r + coalesce(before, 0) as k", "r < n or coalesce(later, false) as more")
+    part = lambda salt: F.xxhash64(F.lit(salt), "k", "i1", "i2")
+    return placed.withColumns({"x1": part(3), "x2": part(4)}).selectExpr(
+        "c", "conv_id", "block", "i1", "i2", "k", "more", *[f"bit_xor(x{i}) over (partition by c, block order by k rows unbounded preceding) as r{i}" for i in (1, 2)]
+    )
+
+
+def rolled(scratch: Scratch, placed: DataFrame) -> DataFrame:
+    """Those of ranked with h1, h2 over whole conversations: a block's own hash on top of those before it."""
+    placed = scratch.save(placed)
+    ends = placed.groupBy("c", "block").agg(F.max_by("r1", "k").alias("s1"), F.max_by("r2", "k").alias("s2"))
+    upto = "over (partition by c order by block rows between unbounded preceding and 1 preceding)"
+    before = ends.selectExpr("c", "block", f"bit_xor(s1) {upto} as b1", f"bit_xor(s2) {upto} as b2").where("b1 is not null")
+    return placed.join(before, ["c", "block"], "left").selectExpr("c", "conv_id", "i1", "i2", "k", "more", "r1 ^ coalesce(b1, 0) as h1", "r2 ^ coalesce(b2, 0) as h2")
 
 
 def maximal(ranks: DataFrame) -> DataFrame:
-    """conv_id, n_turns, n_equal of the conversations that prefix no longer one, one of each group of equals."""
-    every = prefixes(ranks)
-    sizes = ranks.groupBy("conv_id").agg(F.max("k").alias("n"))
-    keyed = every.join(sizes.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
-    longest = keyed.groupBy("k", "h1", "h2").agg(F.max("n").alias("longest"))
-    inside = longest.where("longest > k").select("k", "h1", "h2")
-    whole = keyed.where("k = n").groupBy("k", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_equal"))
-    return whole.join(inside, ["k", "h1", "h2"], "left_anti").select("conv_id", F.col("k").alias("n_turns"), "n_equal")
+    """c, conv_id, n_turns, n_equal of the conversations that prefix no longer one, one of each group of equals.
+
+    A prefix that goes on somewhere is inside a longer conversation; the anti-join of whole conversations with these is one
+    aggregate, as both have the same key.
+    """
+    whole = ~F.col("more")
+    by_hash = ranks.groupBy("k", "h1", "h2").agg(F.max("more").alias("inside"), F.count_if(whole).alias("n_equal"), F.min_by(F.struct("c", "conv_id"), F.when(whole, F.struct(F.col("conv_id").isNull(), "conv_id"))).alias("first"))
+    return by_hash.where("not inside").select("first.c", "first.conv_id", F.col("k").alias("n_turns"), "n_equal")
 
 
 def rendered(turns: DataFrame, ranks: DataFrame, kept: DataFrame, n: int) -> DataFrame:
@@ -71,10 +78,10 @@ def rendered(turns: DataFrame, ranks: DataFrame, kept: DataFrame, n: int) -> Dat
     """
     plain = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     line = F.concat(F.lit("<|"), plain(F.coalesce("role", F.lit("unknown"))), F.lit("|>\n"), plain(F.coalesce("text", F.lit(""))), F.lit("\n<|end|>\n"))
-    places = ranks.join(sized_broadcast(kept, n), ranks["conv_id"].eqNullSafe(kept["conv_id"])).select(ranks["conv_id"].alias("c"), F.col("turn").alias("t"), F.col("role").alias("r"), F.col("m").alias("d"), "k", "n_turns", "n_equal")
-    same = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")) & F.col("role").eqNullSafe(F.col("r")) & F.col("m").eqNullSafe(F.col("d"))
-    own = turns.join(places, same).select("conv_id", "n_turns", "n_equal", F.floor((F.col("k") - 1) / SEGMENT).cast("int").alias("segment"), F.struct("k", line.alias("line")).alias("part"))
-    parts = own.groupBy("conv_id", "n_turns", "n_equal", "segment").agg(F.array_sort(F.collect_set("part")).alias("lines"))
+    side = sized_broadcast(kept.select("c", "n_turns", "n_equal"), n)
+    own = turns.join(side, "c").join(ranks.join(sized_broadcast(kept.select("c"), n), "c", "left_semi").select("c", "i1", "i2", "k"), ["c", "i1", "i2"])
+    own = own.select("c", "conv_id", "n_turns", "n_equal", F.floor((F.col("k") - 1) / SEGMENT).cast("int").alias("segment"), F.struct("k", line.alias("line")).alias("part"))
+    parts = own.groupBy("c", "conv_id", "n_turns", "n_equal", "segment").agg(F.array_sort(F.collect_set("part")).alias("lines"))
     return parts.select("conv_id", "n_turns", "n_equal", "segment", F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("text"))
 
 
@@ -82,8 +89,9 @@ def format_chats(spark: SparkSession, turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_equal, segment, text: maximal conversations, rendered."""
     scratch = Scratch(spark, "chat")
     turns = slim(turns)
-    ranks = scratch.save(ranked(turns))
+    ranks = scratch.save(rolled(scratch, ranked(turns)))
     kept = scratch.save(maximal(ranks))
+    scratch.keep(ranks, kept)
     return rendered(turns, ranks, kept, kept.count())
 
 
