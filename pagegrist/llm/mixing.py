@@ -12,6 +12,8 @@ middle of its own share lies within the budget.
 Defined results: a null text has size 0; a null source is a source of its own, last in order; the empty string
 sorts first; equal doc_ids of a source share a number and are taken together; a source of size 0 has target 0 and
 takes nothing; an empty table gives no row; columns besides doc_id, source and text are ignored.
+
+What is windowed without a key is one row a source: sources are names of collections, not hosts, so these rows are few.
 """
 
 from __future__ import annotations
