@@ -5,6 +5,7 @@ Every job takes a streaming (or batch) DataFrame and returns one; the caller pic
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import urls as U
 from ..operators.state import BLOCKING, COOLDOWN
+from ..session import shared_dir
 
 ATTEMPTS = "seq long, request_id long, domain string, engine string, elapsed_ms long, error_code string, ts timestamp"
 
@@ -24,6 +26,20 @@ def read_landed(spark: SparkSession, path: str, schema: str, files_per_trigger:
     return (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).parquet(path)
 
 
+def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives once it has read all that has landed so far: written batch by batch to the shared folder, then read.
+
+    In complete mode each batch replaces the one before, so the last one's result stays.
+    """
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    if mode == "complete":
+        writer = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{root}/out"))
+    else:
+        writer = stream.writeStream.format("parquet").option("path", f"{root}/out")
+    writer.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
 def rates(attempts: DataFrame, width: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """By domain and window: attempts and failures; rows later than the watermark are left out."""
     w = attempts.withWatermark("ts", late).groupBy("domain", F.window("ts", width)).agg(F.count("*").alias("n"), F.count_if(F.coalesce("error_code", F.lit("")) != "").alias("n_failed"))
