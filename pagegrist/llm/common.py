@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import os
 import sys
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_dir, ship
 
 #: A word, where a contract says so: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,16 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only on a local master where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
 class Scratch:
     """Written tables that cut lineage: they outlive lost executors and are computed once.
 
