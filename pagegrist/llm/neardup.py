@@ -16,8 +16,10 @@ A source of ``Flush``es names each distinct item of a task by a 64-bit ``node``
    apart what chance has joined; what is still large is compared in random blocks of bounded size, and what is then outside
    the cluster's largest component with all blocks.
 
-What can be missed are pairs without a common bucket (``collisions``), and pairs whose bits agree on 4.5 standard
-deviations less than their similarity gives on average: 2 in 100,000 of those at exactly 0.75. Nothing is gathered on the driver.
+What can be missed are pairs without a common bucket (``collisions``); pairs whose bits agree on 4.5 standard
+deviations less than their similarity gives on average, 2 in 100,000 of those at exactly 0.75, and of those that share one band only pairs
+below 1.5 deviations; and pairs that large buckets alone have in common, where neither a slice nor a center brings them together. Nothing is
+gathered on the driver.
 """
 
 from __future__ import annotations
