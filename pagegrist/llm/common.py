@@ -37,10 +37,10 @@ class Scratch:
         self.spark, self.root, self.paths = ship(spark), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
         Scratch._roots.append(self.root)
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, **options) -> DataFrame:
         path = f"{self.root}/t{len(self.paths) + 1}"
         self.paths.append(path)
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

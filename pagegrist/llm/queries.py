@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprint, language_id, licenses, line_dedup, minhash_dedup, mixing, packing, quality_classifier, quality_rules
+from . import alignment, bpe, chat, fingerprint, language_id, lexical_search, licenses, line_dedup, minhash_dedup, mixing, packing, quality_classifier, quality_rules
 from .common import table
 
 
@@ -62,9 +62,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(spark, table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=20)
+
+
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")} | {"quality_rule_ablations": quality_rule_ablations}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.SQL, "quality_rule_ablations": quality_rules.ABLATIONS_SQL, "op3_chat_formatting": chat.SQL, "op4_source_mixing": mixing.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "quality_rule_ablations": quality_rules.ABLATIONS_SQL, "op3_chat_formatting": chat.SQL, "op4_source_mixing": mixing.SQL, "op12_lexical_search": lexical_search.SQL}
