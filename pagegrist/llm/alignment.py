@@ -1,9 +1,9 @@
 """Alignment of two tokenizers' tokens over the same bytes, and a corpus-wide table of which ids stand for each other.
 
 Python only tokenises: per text the ids of both tokenizers and the byte offsets where their tokens end. Everything after that is Spark's
-array functions. The offsets that both have (array_intersect) cut the text into groups; where a cut stands among a tokenizer's
-ends is read off the sorted union of ends and cuts, in which it is the only value that comes twice. Links are the tokens at
-cuts. Links are counted by pair of ids, and each document's links look their counts up.
+array functions. The offsets that both have (array_intersect) cut the text into groups: sorted among a tokenizer's tokens, the cuts part
+its ids into groups. Tokens that end at one cut are linked: the last ones of its two groups. Links are counted by pair of ids, and
+each document's links look their counts up.
 
 The table of counts is broadcast. Its size is bounded by the vocabularies, whatever the corpus: linked tokens end together, so the
 shorter one's bytes are the end of the other's, and a vocabulary offers at most as many ends as it has bytes (both together
@@ -28,7 +28,7 @@ from . import bpe
 from .common import Scratch, release
 
 #: Units with their ids that a task keeps at most before it begins anew.
-KEPT = 400_000
+KEPT = 200_000
 #: Units encoded in one call.
 TOGETHER = 20_000
 #: What no piece of a vocabulary with word starts reaches across: a line end, or a word with the spaces before it.
@@ -109,20 +109,28 @@ def ends(ids: np.ndarray, n: np.ndarray, token_bytes: list[bytes]) -> np.ndarray
     return (total[1:] - np.repeat(total[first], n)).astype(np.int32)
 
 
-TOKENS = "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
+#: A token is one number: the byte offset where it ends, and its id in the last ID_BITS; MARK is no id and stands for a cut.
+ID_BITS = 20
+MARK = (1 << ID_BITS) - 1
+TOKENS = "doc_id long, a array<bigint>, a_ends array<int>, b array<bigint>, b_ends array<int>"
+#: Bytes of text tokenised at a time.
+BYTES = 2 << 20
 
 
 def _tokenised(a_path: str, b_path: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = bpe.loaded(a_path, special=False), pieces(b_path)
+        if max(len(a.token_bytes), len(b.token_bytes)) > MARK:
+            raise ValueError("a vocabulary of too many ids")
         for batch in it:
-            for part, found in bpe.slices(batch, 1):
+            for part, found in bpe.slices(batch, 1, BYTES):
                 of_b = b.encode(found)
                 of_a = a.encode([" " + x if n else "" for x, n in zip(found, of_b[1])])
                 columns = [part.column(0)]
                 for (ids, n), known in ((of_a, a.token_bytes), (of_b, b.token_bytes)):
-                    columns += [bpe.lists(ids, n), bpe.lists(ends(ids, n, known), n)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+                    at = ends(ids, n, known)
+                    columns += [bpe.lists(at.astype(np.int64) << ID_BITS | ids, n), bpe.lists(at, n)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "a_ends", "b", "b_ends"])
         a.memo, b.memo, b.odd = bpe.Memo(), bpe.Memo(), set()
         release()
 
@@ -130,35 +138,35 @@ def _tokenised(a_path: str, b_path: str):
 
 
 def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """doc_id, and for the byte-level BPE vocabulary a and the sentencepiece vocabulary b the ids of a space and the text and their byte ends."""
+    """doc_id, and of the byte-level BPE vocabulary a and the sentencepiece vocabulary b the tokens of a space and the text, and where they end."""
     ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_tokenised(a_path, b_path), TOKENS)
 
 
 def grouped(tokens: DataFrame) -> DataFrame:
-    """The token columns, and: cuts, the offsets where tokens of both end; a_at and b_at, which tokens end there; a_groups and b_groups, the ids up to each."""
-    out = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
+    """The token columns, and: cuts, the offsets where tokens of both end; a_groups and b_groups, the ids up to each cut, 'a1,a2'.
+
+    Sorted together, each cut's mark follows the tokens that end at it; without their offsets, tokens and marks joined are the groups.
+    """
+    out = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends")).withColumn("marks", F.expr(f"transform(cuts, c -> shiftleft(cast(c as bigint), {ID_BITS}) | {MARK}L)"))
     for x in "ab":
-        out = out.withColumn("merged", F.expr(f"sort_array(concat({x}_ends, cuts))")).withColumn("ids_text", F.expr(f"cast({x}_ids as array<string>)"))
-        twice = "filter(sequence(1, size(merged) - 1), j -> merged[j] = merged[j - 1])"
-        out = out.withColumn(f"{x}_at", F.expr(f"if(size(cuts) = 0, cast(array() as array<int>), transform({twice}, (j, k) -> j - 1 - k))"))
-        before = f"if(k = 0, -1, {x}_at[k - 1])"
-        part = f"if(p - {before} = 1, ids_text[p], array_join(slice(ids_text, 2 + {before}, p - {before}), ','))"
-        out = out.withColumn(f"{x}_groups", F.expr(f"transform({x}_at, (p, k) -> {part})")).drop("merged", "ids_text")
-    return out
+        joined = f"concat(array_join(cast(transform(sort_array(concat({x}, marks)), t -> t & {MARK}L) as array<string>), ','), ',')"
+        out = out.withColumn(f"{x}_groups", F.expr(f"slice(split({joined}, ',{MARK},'), 1, size(cuts))"))  # a mark ends each group
+    return out.drop("marks")
 
 
 def linked(tokens: DataFrame) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, groups ('a1,a2|b1;...'), and the links' ids a_link and b_link in order."""
+    """doc_id, n_a, n_b, n_groups, n_links, groups ('a1,a2|b1;...'), and the links' ids a_link and b_link in order: the last of each group."""
+    last = "transform({0}_groups, g -> cast(substring_index(g, ',', -1) as int))"
     return grouped(tokens).select(
         "doc_id",
-        F.size("a_ids").cast("long").alias("n_a"),
-        F.size("b_ids").cast("long").alias("n_b"),
+        F.size("a").cast("long").alias("n_a"),
+        F.size("b").cast("long").alias("n_b"),
         F.size("cuts").cast("long").alias("n_groups"),
-        F.size("a_at").cast("long").alias("n_links"),
+        F.size("a_groups").cast("long").alias("n_links"),
         F.expr("array_join(zip_with(a_groups, b_groups, (x, y) -> concat(x, '|', y)), ';')").alias("groups"),
-        F.expr("transform(a_at, p -> a_ids[p])").alias("a_link"),
-        F.expr("transform(b_at, p -> b_ids[p])").alias("b_link"),
+        F.expr(last.format("a")).alias("a_link"),
+        F.expr(last.format("b")).alias("b_link"),
     )
 
 

@@ -28,7 +28,7 @@ from ..session import ship
 from .common import fresh, release, texts
 
 #: Rows and bytes of text of a slice; words with their ids that a task keeps at most before it begins anew.
-ROWS, BYTES, KEPT = 2048, 4 << 20, 400_000
+ROWS, BYTES, KEPT = 2048, 4 << 20, 250_000
 #: Characters below it are of the same class in all versions of Unicode; texts with others are split by the tokenizer's own splitter.
 SETTLED = 0x250
 _UNSETTLED = re.compile(f"[^\x00-{chr(SETTLED - 1)}]")
@@ -226,13 +226,13 @@ def loaded(path: str, special: bool = True) -> Bpe:
     return _LOADED[path, special]
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def slices(batch: pa.RecordBatch, column: int, most: int = BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """The batch in runs of bounded rows and bytes of text (a longer text alone), each with its texts."""
     found = texts(batch.column(column))
     i = 0
     while i < len(found):
         j, size = i, 0
-        while j < len(found) and j - i < ROWS and (j == i or size + len(found[j]) <= BYTES):
+        while j < len(found) and j - i < ROWS and (j == i or size + len(found[j]) <= most):
             size += len(found[j])
             j += 1
         yield batch.slice(i, j - i), found[i:j]
