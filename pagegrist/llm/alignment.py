@@ -28,7 +28,7 @@ from . import bpe
 from .common import Scratch, release
 
 #: Units with their ids that a task keeps at most before it begins anew.
-KEPT = 200_000
+KEPT = 150_000
 #: Units encoded in one call.
 TOGETHER = 20_000
 #: What no piece of a vocabulary with word starts reaches across: a line end, or a word with the spaces before it.
@@ -114,7 +114,7 @@ ID_BITS = 20
 MARK = (1 << ID_BITS) - 1
 TOKENS = "doc_id long, a array<bigint>, a_ends array<int>, b array<bigint>, b_ends array<int>"
 #: Bytes of text tokenised at a time.
-BYTES = 2 << 20
+BYTES = 1 << 20
 
 
 def _tokenised(a_path: str, b_path: str):
@@ -131,6 +131,7 @@ def _tokenised(a_path: str, b_path: str):
                     at = ends(ids, n, known)
                     columns += [bpe.lists(at.astype(np.int64) << ID_BITS | ids, n), bpe.lists(at, n)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "a_ends", "b", "b_ends"])
+            release()
         a.memo, b.memo, b.odd = bpe.Memo(), bpe.Memo(), set()
         release()
 
