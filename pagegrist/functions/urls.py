@@ -89,9 +89,14 @@ def is_ipv4(h: Column) -> Column:
     return h.rlike(r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.|$)){4}(?<!\.)$")
 
 
+def _unzoned(h: Column) -> Column:
+    """Without the zone of an IPv6 address: one percent sign and what follows, encoded or not."""
+    return F.regexp_replace(h, r"%[^%]+$", "")
+
+
 def is_ipv6(h: Column) -> Column:
-    """Eight groups, or fewer around one gap; an IPv4 address can stand for the last two."""
-    groups = F.regexp_replace(h, r"(?<=:)[0-9]{1,3}(?:\.[0-9]{1,3}){3}$", "0:0")
+    """Eight groups, or fewer around one gap; an IPv4 address can stand for the last two, and a zone can follow."""
+    groups = F.regexp_replace(_unzoned(h), r"(?<=:)[0-9]{1,3}(?:\.[0-9]{1,3}){3}$", "0:0")
     n = F.regexp_count(groups, F.lit(r"[0-9a-f]+"))
     shape = groups.rlike(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::)?(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?$")
     return shape & F.when(F.contains(groups, F.lit("::")), n <= 7).otherwise((n == 8) & F.contains(groups, F.lit(":")))
@@ -99,6 +104,7 @@ def is_ipv6(h: Column) -> Column:
 
 def _private_v6(h: Column) -> Column:
     """What lies outside the globally assigned 2000::/3 (site-local addresses too), and the special blocks inside it."""
+    h = _unzoned(h)
     group = lambda i: F.conv(F.coalesce(F.nullif(F.get(F.split(h, ":"), F.lit(i)), F.lit("")), F.lit("0")), 16, 10).cast("int")
     a, b, c = group(0), group(1), group(2)
     assigned = (b == 0x3) | b.between(0x20, 0x3F) | ((b == 0x4) & (c == 0x112)) | h.isin("2001:1::1", "2001:1::2")

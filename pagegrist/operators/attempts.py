@@ -93,11 +93,42 @@ def by_domain(items: DataFrame, domain: str = "domain") -> DataFrame:
     return counts.withColumn("rate", rate(F.col("n_ok"), F.col("total")))
 
 
+#: Ranges that a pass of the selection counts.
+RANGES = 1024
+
+
+def exact_median(df: DataFrame, column: str) -> float | None:
+    """The median of a column's finite values by selection; null values don't count, and without any there is none.
+
+    Values are counted by range, then the range that holds the middle is cut into ranges again, until it is one value: a few passes over
+    the column, each combined before its shuffle, and at most RANGES rows for the driver. No task ever holds the values.
+    """
+    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    low, high, n = x.agg(F.min("x"), F.max("x"), F.count("*")).first()
+    if not n:
+        return None
+    rank, below = (n - 1) // 2, 0
+    while low < high:
+        width = (high - low) / RANGES
+        place = F.least(F.floor((F.col("x") - low) / width), F.lit(RANGES - 1)) if width > 0 else (F.col("x") > low).cast("long")
+        counts = x.where(F.col("x").between(low, high)).groupBy(place.alias("k")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("k").collect()
+        for r in counts:
+            low, high = r["low"], r["high"]
+            if below + r["n"] > rank:
+                break
+            below += r["n"]
+    if n % 2:
+        return low
+    upto, above = x.agg(F.count_if(F.col("x") <= low), F.min(F.when(F.col("x") > low, F.col("x")))).first()
+    return low if upto > n // 2 else (low + above) / 2
+
+
 def run_meta(items: DataFrame) -> DataFrame:
     """Totals, rates, the longest time and the median of the easy tier; one row."""
+    middle = exact_median(items.where("tier = 'easy'"), "elapsed_sec")
     m = items.agg(
         F.count("*").alias("total"), F.count_if("raw_ok").alias("raw_ok_count"), F.count_if("ok").alias("ok_count"), F.coalesce(F.max("elapsed_sec"), F.lit(0.0)).alias("max_elapsed_sec"),
-        F.round(F.median(F.when(F.col("tier") == "easy", F.col("elapsed_sec"))), 3).alias("easy_p50_sec"),
+        F.round(F.lit(middle).cast("double"), 3).alias("easy_p50_sec"),
     )
     return m.withColumns({"raw_success_rate": rate(F.col("raw_ok_count"), F.col("total")), "success_rate": rate(F.col("ok_count"), F.col("total"))})
 
@@ -116,17 +147,33 @@ def set_changes(baseline: DataFrame, current: DataFrame, column: str) -> DataFra
 
 def syndicated(originals: DataFrame, candidates: DataFrame, host: str, attribution: str, days: int = 2, one_table: bool = False) -> DataFrame:
     """Candidates of an original: on the host or below it, attributed within the first 4000 folded characters, equal normal
-    title, published within days of it; the first by seq.
+    title, published within days of it; the first by seq, and how many there are.
 
-    Hashing the title makes it an equality join; the time bound filters within it. originals: orig_id, url, title_key,
-    published; candidates: cand_id, url, title_key, published, attribution_text, seq. one_table: both have the same ids, and
-    none is its own candidate.
+    An interval join without its pairs: time is cut into slots as wide as the interval, so what lies within it is the end of the slot before, the own
+    slot, and the beginning of the next. An original asks each of them by one probe, and running minima and counts over a title's slot, in
+    either order of time, answer all probes of a slot in one pass. A title with any number of articles costs as many rows, dealt by
+    title and slot. originals: orig_id, url, title_key, published; candidates: cand_id, url, title_key, published,
+    attribution_text, seq. one_table: both have the same ids, each once, and none is its own candidate.
     """
     at = F.regexp_replace(U.hostname(F.col("url")), r"\.+$", "")
     credited = F.contains(F.left(fold(F.col("attribution_text")), F.lit(4000)), fold(F.lit(attribution)))
-    allowed = candidates.where(U.under(at, F.lit(host.lower())) & credited)
-    c = allowed.select("cand_id", "title_key", F.col("published").alias("c_published"), "seq")
-    near = F.abs(F.unix_micros("published") - F.unix_micros("c_published")) <= days * 86_400_000_000
-    hits = originals.where((blank(F.col("url")) != "") & (F.col("title_key") != "") & F.col("published").isNotNull()).join(c, "title_key").where(near)
-    hits = hits.where("orig_id <> cand_id") if one_table else hits
-    return hits.groupBy("orig_id").agg(F.min_by("cand_id", F.struct("seq", "cand_id")).alias("cand_id"), F.count("*").alias("n_candidates"))
+    width, us = days * 86_400_000_000, F.unix_micros("published")
+    slot = ((us - F.pmod(us, F.lit(width))) / width).cast("long")
+    kind = candidates.schema["cand_id"].dataType
+    wanted = candidates.where(U.under(at, F.lit(host.lower())) & credited & (F.col("title_key") != ""))
+    found = wanted.select("title_key", slot.alias("slot"), us.alias("us"), F.lit(0).alias("side"), F.col("cand_id").alias("id"), F.lit(0).alias("turn"), F.struct("seq", "cand_id").alias("hit"), F.lit(None).cast(originals.schema["orig_id"].dataType).alias("orig_id"))
+    asked = originals.where((blank(F.col("url")) != "") & (F.col("title_key") != "") & F.col("published").isNotNull())
+
+    def probes(step, shift, side, turn):
+        own = F.col("orig_id").cast(kind) if turn else F.lit(None).cast(kind)
+        return asked.select("title_key", (slot + step).alias("slot"), (us + shift).alias("us"), F.lit(side).alias("side"), own.alias("id"), F.lit(turn).alias("turn"), F.lit(None).cast(found.schema["hit"].dataType).alias("hit"), "orig_id")
+
+    def answered(each, *order):
+        w = Window.partitionBy("title_key", "slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = found.unionByName(each).withColumns({"best": F.min("hit").over(w), "n": F.count("hit").over(w)})
+        return rows.where("orig_id is not null and n > 0").select("orig_id", "best", "n")
+
+    order = ("us", "side", "id", "turn")
+    upto, after = (probes(0, 0, 0, -1), probes(0, 0, 0, 1)) if one_table else (probes(0, 0, 1, 0), probes(0, 0, 1, 0))
+    hits = answered(upto.unionByName(probes(1, width, 1, 0)), *order).unionByName(answered(after.unionByName(probes(-1, -width, -1, 0)), *map(F.desc, order)))
+    return hits.groupBy("orig_id").agg(F.min("best").alias("b"), F.sum("n").alias("n_candidates")).select("orig_id", F.col("b.cand_id").alias("cand_id"), "n_candidates")

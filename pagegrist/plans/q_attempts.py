@@ -223,14 +223,27 @@ def hourly_windows(spark, sf):
 
 
 def _wired():
-    """The orders have neither address nor attribution; every one gets those that pass."""
-    return F.lit("https://news.wire.example/a").alias("url"), F.lit("By a reporter (Agency)").alias("attribution_text")
+    """The orders have neither address nor attribution: every third one is of another host, and of four one names no agency and one names it too late."""
+    k = F.col("o_orderkey")
+    url = F.when(k % 3 == 0, "https://notwire.example/a").otherwise(F.concat(F.lit("https://news.wire.example/"), k.cast("string")))
+    late = F.concat(F.repeat(F.lit("x"), 4000), F.lit("(Agency)"))
+    return url.alias("url"), F.when(k % 4 == 1, "By a reporter").when(k % 4 == 2, late).otherwise("By a reporter (Agency)").alias("attribution_text")
 
 
-@query("syndication_match", "SELECT o.o_orderkey AS orig_id, min(c.o_orderkey) AS cand_id, count(*)::BIGINT AS n_candidates FROM orders o JOIN orders c ON o.o_custkey = c.o_custkey AND o.o_orderkey <> c.o_orderkey WHERE abs(epoch_us(o.o_orderdate::TIMESTAMP) - epoch_us(c.o_orderdate::TIMESTAMP)) <= 172800000000 GROUP BY 1")
+@query("syndication_match", "SELECT o.o_orderkey AS orig_id, min(c.o_orderkey) AS cand_id, count(*)::BIGINT AS n_candidates FROM orders o JOIN orders c ON o.o_custkey = c.o_custkey AND o.o_orderkey <> c.o_orderkey WHERE abs(epoch_us(o.o_orderdate::TIMESTAMP) - epoch_us(c.o_orderdate::TIMESTAMP)) <= 172800000000 AND c.o_orderkey % 3 <> 0 AND c.o_orderkey % 4 IN (0, 3) GROUP BY 1")
 def syndication_match(spark, sf):
     """All orders against all others, a title for each customer."""
-    title = T.normalize_title(F.concat(F.lit("Title: No. "), F.col("o_custkey").cast("string"), F.lit("!")))
+    return _syndicated(spark, sf, F.col("o_custkey").cast("string"))
+
+
+@query("syndication_hot_title", "SELECT o.o_orderkey AS orig_id, min(c.o_orderkey) AS cand_id, count(*)::BIGINT AS n_candidates FROM orders o JOIN orders c ON o.o_orderkey <> c.o_orderkey AND o.o_custkey % 2 = c.o_custkey % 2 WHERE abs(epoch_us(o.o_orderdate::TIMESTAMP) - epoch_us(c.o_orderdate::TIMESTAMP)) <= 172800000000 AND c.o_orderkey % 3 <> 0 AND c.o_orderkey % 4 IN (0, 3) GROUP BY 1")
+def syndication_hot_title(spark, sf):
+    """Two titles for all orders: each holds half of the rows."""
+    return _syndicated(spark, sf, (F.col("o_custkey") % 2).cast("string"))
+
+
+def _syndicated(spark, sf, name):
+    title = T.normalize_title(F.concat(F.lit("Title: No. "), name, F.lit("!")))
     o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", title.alias("title_key"), F.col("o_orderdate").cast("timestamp").alias("published"), *_wired())
     originals = o.select(F.col("o_orderkey").alias("orig_id"), "url", "title_key", "published")
     candidates = o.select(F.col("o_orderkey").alias("cand_id"), "url", "title_key", "published", "attribution_text", F.col("o_orderkey").alias("seq"))

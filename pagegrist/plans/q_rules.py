@@ -1,66 +1,129 @@
-"""Queries of rule tables, policies and registries: inline tables, joined with pages."""
+"""Queries of rule tables, policies and registries, whose texts are made of pages and nations."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..sources import registries as R
 from ..sources import rules
+from . import duck as D
 from .q_url import _PARTS, pages
 from .registry import query
 
-#: A rule literal with every feature of the syntax.
-LITERAL = r"""var defaultSites = {
-  // comment
-  "Example": {domain: "example.com", block_regex: /ads\/[a-z/]+\.js/i, cs_dompurify: 1},
-  "Group": {domain: "###_group", group: ["example.org", 'sub.example.net'], useragent: "reader", block_regex_general: /^https:\/\/{domain}\/pay/, excluded_domains: ["example.net"]},
-  "Net": {domain: "example.net", referer: "https://a.example/", exception: [{domain: "m.example.net", useragent: "other", allow_cookies: 1}, {domain: ["x.example.net", "y.example.net"], referer: ""}]},
-  "Note": "no entry",
-  "Custom": {domain: "www.example.edu", useragent_custom: "Reader/1.0", new_field: [1, 2, "a,b"]},
-};"""
-UPDATED = {"Net": {"domain": "example.net", "useragent": "fresh"}, "New": {"domain": "new.example", "referer_custom": "https://b.example/"}}
 
+def _hosted(spark, sf):
+    return pages(spark, sf).select("page_id", U.host(F.col("url")).alias("h"))
+
+
+#: The rule text of a page: kinds of entries by page_id, every feature of the syntax; {p} is the page, {h} its host, {c} a seventh of pages.
+_TEXT = (
+    ("true", "var defaultSites = {\n  // page {p}: \"no\": {entry}\n"),
+    ("page_id % 3 = 0", '  "Page {p}": {domain: "{h}", block_regex: /ads\\/[a-z/]+\\.js/i, cs_dompurify: 1},\n'),
+    ("page_id % 3 = 1", "  \"Page {p}\": {domain: '{h}', useragent: \"reader\"},\n"),
+    ("page_id % 3 = 2", '  "Page {p}": {domain: "{h}", referer: "https://a.example/", allow_cookies: 1},\n'),
+    ("page_id % 4 = 0", '  "Group {p}": {domain: "###_group", group: ["g{p}.example", \'sub.{h}\'], useragent: "reader", block_regex_general: /^https:\\/\\/{domain}\\/pay/, excluded_domains: ["{h}"]},\n'),
+    ("page_id % 5 = 0", '  "Net {p}": {domain: "n{p}.example", referer: "https://{h}/", exception: [{domain: "m.{h}", useragent: "other", allow_cookies: 1}, {domain: ["x.n{p}.example", "y.n{p}.example"], referer: ""}]},\n'),
+    ("true", '  "Note": "no entry",\n'),
+    ("true", '  "Custom {p}": {domain: "www.c{c}.example", useragent_custom: "Reader/1.0", new_field: [1, 2, "a,b"]},\n};'),
+)
+#: Of ten texts one has no entry, and one only an entry without domain.
+_BARREN = (("page_id % 10 = 9", "var defaultSites = {};"), ("page_id % 10 = 8", 'var defaultSites = {"A {p}": {useragent: "x"}};'))
+
+
+def _filled(text):
+    out = F.lit(text)
+    for name, value in (("{p}", F.col("page_id").cast("string")), ("{h}", F.col("h")), ("{c}", (F.col("page_id") % 7).cast("string"))):
+        out = F.replace(out, F.lit(name), value)
+    return out
+
+
+def rule_texts(spark, sf):
+    """page_id and the rule text that lands with each page."""
+    whole = F.concat(*[F.when(F.expr(cond), _filled(text)).otherwise("") for cond, text in _TEXT])
+    return _hosted(spark, sf).select("page_id", F.when(F.expr(_BARREN[0][0]), _filled(_BARREN[0][1])).when(F.expr(_BARREN[1][0]), _filled(_BARREN[1][1])).otherwise(whole).alias("value"))
+
+
+def entries(spark, sf):
+    """One table of all texts' entries, in order of pages."""
+    return rules.read_rules(spark, rule_texts(spark, sf)).withColumn("entry_seq", F.col("page_id") * 8 + F.col("entry_seq"))
 
-def entries(spark):
-    return rules.read_rules(spark, spark.createDataFrame([(LITERAL,)], "value string"))
 
+#: What the texts hold, entry by entry: page, place among the page's entries, name, number of props.
+_ENTRIES = rf"""{_PARTS}, f AS (SELECT page_id, host AS h, page_id % 10 < 8 AS whole, (page_id % 4 = 0)::INT AS g, (page_id % 5 = 0)::INT AS n FROM u),
+e AS (SELECT page_id, h, 0 AS seq, 'Page ' || page_id AS name, CASE page_id % 3 WHEN 1 THEN 2 ELSE 3 END AS n_props FROM f WHERE whole
+  UNION ALL SELECT page_id, h, 1, 'Group ' || page_id, 5 FROM f WHERE whole AND g = 1 UNION ALL SELECT page_id, h, 1 + g, 'Net ' || page_id, 3 FROM f WHERE whole AND n = 1
+  UNION ALL SELECT page_id, h, 1 + g + n, 'Custom ' || page_id, 3 FROM f WHERE whole UNION ALL SELECT page_id, h, 0, 'A ' || page_id, 1 FROM f WHERE page_id % 10 = 8)"""
+_DOMAINS = rf"""{_ENTRIES}, d0 AS (SELECT page_id, seq, 0 AS step, 0 AS pos, name, h AS domain, CASE page_id % 3 WHEN 0 THEN 'block_js' WHEN 1 THEN 'ua:reader' ELSE 'referer:https://a.example/' END AS kind FROM e WHERE starts_with(name, 'Page ')
+  UNION ALL SELECT page_id, seq, 0, 0, name, 'g' || page_id || '.example', 'ua:reader' FROM e WHERE starts_with(name, 'Group ') UNION ALL SELECT page_id, seq, 0, 1, name, 'sub.' || h, 'ua:reader' FROM e WHERE starts_with(name, 'Group ')
+  UNION ALL SELECT page_id, seq, 0, 0, name, 'n' || page_id || '.example', 'referer:https://' || h || '/' FROM e WHERE starts_with(name, 'Net ') UNION ALL SELECT page_id, seq, 1, 0, name, 'm.' || h, 'ua:other' FROM e WHERE starts_with(name, 'Net ')
+  UNION ALL SELECT page_id, seq, 1, 1, name, unnest(['x.n' || page_id || '.example', 'y.n' || page_id || '.example']), 'cookies' FROM e WHERE starts_with(name, 'Net ')
+  UNION ALL SELECT page_id, seq, 0, 0, name, 'www.c' || page_id % 7 || '.example', 'ua:custom' FROM e WHERE starts_with(name, 'Custom ')),
+d AS (SELECT domain, arg_max(name, ((page_id * 8 + seq) * 2 + step) * 2 + pos) AS name, arg_max(kind, ((page_id * 8 + seq) * 2 + step) * 2 + pos) AS kind FROM d0 GROUP BY domain)"""
 
-@query("rule_entries", "SELECT * FROM (VALUES (0, 'Example', 3), (1, 'Group', 5), (2, 'Net', 3), (3, 'Custom', 3)) AS t(entry_seq, name, n_props)")
+
+@query("rule_entries", f"WITH {_ENTRIES} SELECT page_id, seq::INT AS entry_seq, name, n_props FROM e")
 def rule_entries(spark, sf):
-    return entries(spark).select("entry_seq", "name", F.size(F.json_object_keys("props")).alias("n_props"))
+    return rules.read_rules(spark, rule_texts(spark, sf)).select("page_id", "entry_seq", "name", F.size(F.json_object_keys("props")).alias("n_props"))
+
+
+def _kinds(spark, sf):
+    return rules.expand(entries(spark, sf)).withColumn("p", F.from_json("props", rules.PROPS)).select("domain", "name", rules.kind(F.col("p")).alias("kind"))
 
 
-@query("rule_domains", "SELECT * FROM (VALUES ('example.com', 'Example', 'block_js'), ('example.org', 'Group', 'ua:reader'), ('sub.example.net', 'Group', 'ua:reader'), ('example.net', 'Net', 'referer:https://a.example/'), ('m.example.net', 'Net', 'ua:other'), ('x.example.net', 'Net', 'cookies'), ('y.example.net', 'Net', 'cookies'), ('www.example.edu', 'Custom', 'ua:custom')) AS t(domain, name, kind)")
+@query("rule_domains", f"WITH {_DOMAINS} SELECT domain, name, kind FROM d")
 def rule_domains(spark, sf):
-    d = rules.expand(entries(spark)).withColumn("p", F.from_json("props", rules.PROPS))
-    return d.select("domain", "name", rules.kind(F.col("p")).alias("kind"))
+    return _kinds(spark, sf)
 
 
-@query("rule_list_filtered", "SELECT * FROM (VALUES ('sub.example.net', 'ua:reader'), ('m.example.net', 'ua:other')) AS t(domain, kind)")
+@query("rule_list_filtered", f"WITH {_DOMAINS} SELECT domain, kind FROM d WHERE contains(domain, 'example.net') AND contains(kind, 'ua:') ORDER BY domain LIMIT 50")
 def rule_list_filtered(spark, sf):
-    d = rules.expand(entries(spark)).withColumn("p", F.from_json("props", rules.PROPS)).select("domain", rules.kind(F.col("p")).alias("kind"))
-    return d.where(F.contains("domain", F.lit("example.net")) & F.contains("kind", F.lit("ua:"))).orderBy("domain").limit(50)
+    """The first 50 rules that a user asks for; the limit is the feature."""
+    return _kinds(spark, sf).drop("name").where(F.contains("domain", F.lit("example.net")) & F.contains("kind", F.lit("ua:"))).orderBy("domain").limit(50)
+
+
+#: The domains that a nation's global pattern spares, by its key.
+_SPARED = ("example.com", "www.example.org", "ththan.example.net", "tionsh.example.net", "nobody.example")
+_SPARED_SQL = f"[{', '.join(D.lit(x) for x in _SPARED)}]"
 
 
-@query("cross_exclusion", r"SELECT * FROM (VALUES ('example.com', '^https:\/\/example\.org\/pay|^https:\/\/sub\.example\.net\/pay'), ('example.org', '^https:\/\/example\.org\/pay|^https:\/\/sub\.example\.net\/pay'), ('sub.example.net', ''), ('example.net', ''), ('m.example.net', ''), ('x.example.net', ''), ('y.example.net', ''), ('www.example.edu', '^https:\/\/example\.org\/pay|^https:\/\/sub\.example\.net\/pay')) AS t(domain, patterns)")
+def global_entries(spark, sf):
+    """A rule text for each nation: a group of two domains with a global pattern, and what is spared from it."""
+    n = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))).alias("n"))
+    k = F.col("n_nationkey")
+    spared = F.concat_ws('", "', F.element_at(F.array(*map(F.lit, _SPARED)), (k % 5 + 1).cast("int")), F.element_at(F.array(*map(F.lit, _SPARED)), (k % 3 + 1).cast("int")))
+    text = F.concat(F.lit('var defaultSites = {"'), "n", F.lit('": {domain: "###_g", group: ["'), "n", F.lit('.example", "pay.'), "n", F.lit('.example"], block_regex_general: /^https:\\/\\/{domain}\\/pay/, excluded_domains: ["'), spared, F.lit('"]}};'))
+    return rules.read_rules(spark, n.select("n_nationkey", text.alias("value"))).withColumn("entry_seq", F.col("n_nationkey") * 8 + F.col("entry_seq"))
+
+
+@query("cross_exclusion", rf"""WITH {_PARTS}, n AS (SELECT n_nationkey AS k, replace(lower(n_name), ' ', '-') AS n FROM nation), g AS (SELECT k, i, '^https:\/\/' || regexp_replace(CASE i WHEN 0 THEN '' ELSE 'pay.' END || n || '.example', '([^\p{{L}}\p{{N}}_])', '\\\1', 'g') || '\/pay' AS pattern, regexp_replace({_SPARED_SQL}[(k % 5 + 1)::INT], '^www\.', '') AS a, regexp_replace({_SPARED_SQL}[(k % 3 + 1)::INT], '^www\.', '') AS b FROM n, (VALUES (0), (1)) AS i(i)),
+h AS (SELECT DISTINCT host AS domain, regexp_replace(host, '^www\.', '') AS h FROM u), p AS (SELECT domain, pattern, k, i FROM h, g WHERE NOT (h = a OR suffix(h, '.' || a) OR h = b OR suffix(h, '.' || b)))
+SELECT domain, count(pattern)::BIGINT AS n_patterns, coalesce(md5(string_agg(pattern, '|' ORDER BY k, i)), md5('')) AS digest FROM h LEFT JOIN p USING (domain) GROUP BY domain""")
 def cross_exclusion(spark, sf):
-    e = entries(spark)
-    p = rules.effective_patterns(rules.expand(e), rules.global_patterns(e))
-    return p.select("domain", F.array_join("patterns", "|").alias("patterns"))
+    """The nations' patterns for every host of pages that doesn't exclude them."""
+    hosts = _hosted(spark, sf).select(F.col("h").alias("domain")).distinct()
+    p = rules.effective_patterns(hosts, rules.global_patterns(global_entries(spark, sf)))
+    return p.select("domain", F.size("patterns").cast("long").alias("n_patterns"), F.md5(F.array_join("patterns", "|").cast("binary")).alias("digest"))
 
 
-@query("override_merge", "SELECT * FROM (VALUES ('Example', 'base', 0), ('Group', 'base', 1), ('Net', 'replaced', 2), ('Custom', 'base', 3), ('New', 'new', 1)) AS t(name, origin, seq)")
+@query("override_merge", f"WITH {_ENTRIES}, n AS (SELECT page_id * 8 AS seq, 'Page ' || page_id AS name FROM f WHERE page_id % 6 = 0 UNION ALL SELECT page_id * 8 + 1, 'New ' || page_id FROM f WHERE page_id % 6 = 0) SELECT coalesce(e.name, n.name) AS name, CASE WHEN n.name IS NULL THEN 'base' WHEN e.name IS NULL THEN 'new' ELSE 'replaced' END AS origin, coalesce(e.page_id * 8 + e.seq, n.seq) AS seq FROM e FULL JOIN n ON e.name = n.name")
 def override_merge(spark, sf):
-    updated = spark.createDataFrame([(i, n, json.dumps(p)) for i, (n, p) in enumerate(UPDATED.items())], "entry_seq int, name string, props string")
-    return rules.merge(entries(spark), updated).select("name", "origin", "place.seq")
+    """Updates land for every sixth page: one entry that a text may have, and a new one."""
+    text = _filled('{"Page {p}": {domain: "{h}", useragent: "fresh"}, "New {p}": {domain: "new{p}.example", referer_custom: "https://b.example/"}}')
+    updated = rules.read_rules(spark, _hosted(spark, sf).where("page_id % 6 = 0").select("page_id", text.alias("value"))).withColumn("entry_seq", F.col("page_id") * 8 + F.col("entry_seq"))
+    return rules.merge(entries(spark, sf), updated).select("name", "origin", "place.seq")
+
+
+_USED = {
+    "domain": "whole::INT * (2 + g + 3 * n)", "block_regex_str": "(whole AND page_id % 3 = 0)::INT", "cs_dompurify": "(whole AND page_id % 3 = 0)::INT", "useragent": "(whole AND page_id % 3 = 1)::INT + whole::INT * (g + n) + (page_id % 10 = 8)::INT",
+    "referer": "(whole AND page_id % 3 = 2)::INT + whole::INT * 2 * n", "allow_cookies": "(whole AND page_id % 3 = 2)::INT + whole::INT * n", "group": "whole::INT * g", "block_regex_general": "whole::INT * g", "excluded_domains": "whole::INT * g", "exception": "whole::INT * n",
+    "useragent_custom": "whole::INT", "new_field": "whole::INT",
+}
 
 
-@query("rule_field_usage", "SELECT field, n::BIGINT AS n, status FROM (VALUES ('domain', 6, 'structural'), ('block_regex_general', 1, 'modeled'), ('block_regex_str', 1, 'modeled'), ('cs_dompurify', 1, 'modeled'), ('exception', 1, 'structural'), ('excluded_domains', 1, 'modeled'), ('group', 1, 'structural'), ('new_field', 1, 'unmodeled'), ('referer', 2, 'modeled'), ('useragent', 2, 'modeled'), ('useragent_custom', 1, 'modeled'), ('allow_cookies', 1, 'modeled')) AS t(field, n, status)")
+@query("rule_field_usage", f"WITH {_ENTRIES}, c AS ({' UNION ALL '.join(f'SELECT {D.lit(k)} AS field, sum({x})::BIGINT AS n FROM f' for k, x in _USED.items())}) SELECT field, n, CASE WHEN field IN ({', '.join(D.lit(x) for x in rules.STRUCTURAL)}) THEN 'structural' WHEN field IN ({', '.join(D.lit(x) for x in rules.MODELED)}) THEN 'modeled' ELSE 'unmodeled' END AS status FROM c WHERE n > 0")
 def rule_field_usage(spark, sf):
-    return rules.field_usage(entries(spark))
+    return rules.field_usage(entries(spark, sf))
 
 
 # net is above hosts that have rules of their own; the last ones lie below hosts of pages, in an order that isn't theirs by length.
@@ -84,36 +147,44 @@ def policy_join(spark, sf):
     return R.with_policy(p, "tld", policies, "mode").select("page_id", F.coalesce("mode", F.lit("none")).alias("mode"))
 
 
-_SOURCES = {"sources": [
-    {"domain": "example.com", "name": "Com", "focus": ["ai"], "feeds": [{"url": "https://example.com/a", "scope": "general", "status": "verified"}, {"url": "https://example.com/b", "scope": "Artificial-Intelligence", "status": "verified"}]},
-    {"domain": "example.org", "name": "Org", "focus": [], "feeds": [{"url": "https://example.org/a", "scope": "markets", "status": "disabled"}, {"url": "https://example.org/b", "scope": "stock markets", "status": "verified"}]},
-]}
+def _sources(spark, sf):
+    """A registry text for each page: two feeds of its host; every eleventh text is broken."""
+    good = _filled('{"sources": [{"domain": "{h}", "name": "Site {p}", "focus": ["ai"], "feeds": [{"url": "https://{h}/{p}/a", "scope": "SCOPE", "status": "STATUS"}, {"url": "https://{h}/{p}/b", "status": "verified"}]}]}')
+    scope = F.element_at(F.array(*map(F.lit, _SCOPES)), (F.col("page_id") % len(_SCOPES) + 1).cast("int"))
+    good = F.replace(F.replace(good, F.lit("SCOPE"), scope), F.lit("STATUS"), F.when(F.col("page_id") % 3 == 0, "disabled").otherwise("verified"))
+    texts = _hosted(spark, sf).select("page_id", F.when(F.col("page_id") % 11 == 0, "{broken").otherwise(good).alias("value"))
+    return R.from_text(texts, "value", R.SOURCES, "sources")
 
 
-def _sources(spark):
-    return R.from_text(spark.createDataFrame([(json.dumps(_SOURCES),), ("{broken",)], "value string"), "value", R.SOURCES, "sources")
+_SCOPES = ("general", "Artificial-Intelligence", "markets", "chips", "stock-markets")
+_FEEDS = f"{_PARTS}, w AS (SELECT page_id, host AS domain, 0 AS seq, 'https://' || host || '/' || page_id || '/a' AS url, [{', '.join(D.lit(x) for x in _SCOPES)}][(page_id % {len(_SCOPES)} + 1)::INT] AS scope FROM u WHERE page_id % 11 <> 0 AND page_id % 3 <> 0 UNION ALL SELECT page_id, host, 1, 'https://' || host || '/' || page_id || '/b', 'general' FROM u WHERE page_id % 11 <> 0)"
 
 
-@query("verified_feeds", "SELECT * FROM (VALUES ('example.com', 0, 'https://example.com/a'), ('example.com', 1, 'https://example.com/b'), ('example.org', 1, 'https://example.org/b')) AS t(domain, seq, url)")
+@query("verified_feeds", f"WITH {_FEEDS} SELECT domain, seq, url FROM w")
 def verified_feeds(spark, sf):
-    return R.feeds(_sources(spark)).select("domain", "seq", "url")
+    return R.feeds(_sources(spark, sf)).select("domain", "seq", "url")
 
 
-@query("feed_scopes", "SELECT * FROM (VALUES ('https://example.com/a', false), ('https://example.com/b', true), ('https://example.org/b', false)) AS t(url, matches)")
+@query("feed_scopes", f"WITH {_FEEDS} SELECT url, scope IN ('Artificial-Intelligence', 'chips') AS matches FROM w")
 def feed_scopes(spark, sf):
-    return R.feeds(_sources(spark)).select("url", R.scope_matches(F.col("scope"), F.lit("new machine learning chips")).alias("matches"))
+    """Which feeds serve a wish for new machine learning chips."""
+    return R.feeds(_sources(spark, sf)).select("url", R.scope_matches(F.col("scope"), F.lit("new machine learning chips")).alias("matches"))
 
 
-@query("retrieval_rules", "SELECT * FROM (VALUES ('a.example', 'NETWORK', false), ('a.example', 'HTTP_BLOCKED', true), ('b.example', 'NETWORK', false), ('b.example', 'HTTP_BLOCKED', false)) AS t(domain, code, allowed)")
+@query("retrieval_rules", f"WITH {_PARTS}, p AS (SELECT host AS domain, arg_min(page_id, page_id) AS k FROM u GROUP BY host) SELECT domain, code, k % 3 <> 0 AND (code = 'HTTP_BLOCKED' OR (code = 'NETWORK' AND k % 2 = 0)) AS allowed FROM p, (VALUES ('NETWORK'), ('HTTP_BLOCKED'), ('BOT_CHALLENGE')) AS c(code)")
 def retrieval_rules(spark, sf):
-    policies = spark.createDataFrame([(0, "a.example", "on_failure", ["HTTP_BLOCKED"]), (1, "b.example", "never", ["HTTP_BLOCKED"])], "seq int, domain string, mode string, codes array<string>")
-    codes = policies.select("domain").withColumn("code", F.explode(F.array(F.lit("NETWORK"), F.lit("HTTP_BLOCKED"))))
+    """Each page lays down a policy for its host; the first holds."""
+    policies = _hosted(spark, sf).select(F.col("page_id").alias("seq"), F.col("h").alias("domain"), F.when(F.col("page_id") % 3 == 0, "never").otherwise("on_failure").alias("mode"), F.when(F.col("page_id") % 2 == 0, F.array(F.lit("HTTP_BLOCKED"), F.lit("NETWORK"))).otherwise(F.array(F.lit("HTTP_BLOCKED"))).alias("codes"))
+    codes = policies.select("domain").distinct().withColumn("code", F.explode(F.array(F.lit("NETWORK"), F.lit("HTTP_BLOCKED"), F.lit("BOT_CHALLENGE"))))
     return R.with_policy(codes, "domain", policies, "mode", "codes").select("domain", "code", R.may_use(F.col("mode"), F.col("codes"), F.col("code")).alias("allowed"))
 
 
-@query("url_list", "SELECT url FROM (VALUES ('https://example.com/a'), ('https://example.org/b')) AS t(url)")
+@query("url_list", "SELECT url FROM pages WHERE page_id % 4 < 2")
 def url_list(spark, sf):
-    return R.url_list(spark.createDataFrame([("https://example.com/a",), ("",), ("# comment",), ("  https://example.org/b ",)], "value string"))
+    """A list with an address of every second page, some with blanks around; else comments and blank lines."""
+    k = F.col("page_id") % 4
+    line = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("  "), "url", F.lit(" "))).when(k == 2, F.concat(F.lit(" # "), "url")).otherwise("  ")
+    return R.url_list(pages(spark, sf).select(line.alias("value")))
 
 
 @query("mirror_changes", "SELECT page_id::VARCHAR AS path, md5(html || CASE WHEN page_id % 9 = 0 THEN 'x' ELSE '' END) AS hash FROM pages WHERE page_id % 9 = 0 OR page_id % 10 = 0")
@@ -147,26 +218,33 @@ def derived_policies(spark, sf):
     return d.withColumn("service_failure_codes", F.array_join("service_failure_codes", ","))
 
 
-_SITES = [
-    {"domain": " FT.com ", "name": "FT", "rss_urls": ["https://www.ft.com/markets?format=rss", " https://www.ft.com/markets?format=rss "], "rss_url": "https://www.ft.com/world"},
-    {"domain": "example.com", "name": None, "rss_urls": ["https://example.com/tag/AI/feed", "https://example.com/fintech-security", "", "https://example.com/tech"], "rss_url": "https://example.com/all"},
-    {"domain": "", "name": "none", "rss_urls": ["https://x.example/a"], "rss_url": None},
-]
+_IMPORTED = f"""{_PARTS}, f AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'ft.com' ELSE 's' || page_id || '.' || host END AS d, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'Site ' || page_id END AS n, page_id % 7 > 0 AS has FROM u WHERE page_id % 13 <> 0),
+l AS (SELECT page_id, d, n, [x for x in ['https://' || d || '/' || page_id || '/tag/AI/feed', 'https://' || d || '/fintech-security', CASE WHEN has THEN 'https://' || d || '/tech' END, 'https://' || d || '/all', CASE WHEN d = 'ft.com' THEN 'https://www.ft.com/artificial-intelligence?format=rss' END] if x IS NOT NULL] AS urls FROM f),
+i AS (SELECT page_id, d, n, unnest(urls) AS url, generate_subscripts(urls, 1) - 1 AS place FROM l)"""
 
 
-@query("imported_registry", "SELECT * FROM (VALUES ('ft.com', 'FT', 0, 'https://www.ft.com/markets?format=rss', 'finance', 'verified'), ('ft.com', 'FT', 1, 'https://www.ft.com/world', 'world', 'disabled'), ('ft.com', 'FT', 2, 'https://www.ft.com/artificial-intelligence?format=rss', 'artificial-intelligence', 'verified'), ('example.com', 'example.com', 0, 'https://example.com/tag/AI/feed', 'artificial-intelligence', 'candidate'), ('example.com', 'example.com', 1, 'https://example.com/fintech-security', 'fintech', 'candidate'), ('example.com', 'example.com', 2, 'https://example.com/tech', 'technology', 'candidate'), ('example.com', 'example.com', 3, 'https://example.com/all', 'general', 'candidate')) AS t(domain, name, place, url, scope, status)")
+@query("imported_registry", f"WITH {_IMPORTED} SELECT d AS domain, coalesce(n, d) AS name, place::INT AS place, url, CASE WHEN contains(lower(url), '/tag/ai') OR contains(url, 'artificial-intelligence') THEN 'artificial-intelligence' WHEN contains(url, 'fintech') THEN 'fintech' WHEN contains(url, '/tech') THEN 'technology' ELSE 'general' END AS scope, CASE WHEN contains(url, '/tag/AI') AND page_id % 2 = 0 THEN CASE WHEN page_id % 4 = 0 THEN 'verified' ELSE 'disabled' END WHEN contains(url, 'www.ft.com') THEN 'verified' ELSE 'candidate' END AS status FROM i")
 def imported_registry(spark, sf):
-    sites = spark.createDataFrame([(json.dumps(x),) for x in _SITES], "value string").select(F.from_json("value", R.SITES).alias("s")).select("s.*")
-    health = spark.createDataFrame([("https://www.ft.com/markets?format=rss", True), ("https://www.ft.com/world", False)], "feed_url string, valid boolean")
+    """A site for each page, every fifth one the outlet that has further feeds of its own; a health report of every second page's first feed."""
+    p = _hosted(spark, sf)
+    k = F.col("page_id")
+    domain = F.when(k % 5 == 0, "ft.com").otherwise(F.concat(F.lit("s"), k.cast("string"), F.lit("."), "h"))
+    first = F.concat(F.lit("https://"), "d", F.lit("/"), k.cast("string"), F.lit("/tag/AI/feed"))
+    text = F.to_json(F.struct(
+        F.when(k % 13 == 0, "").otherwise(F.concat(F.lit(" "), F.upper("d"), F.lit(" "))).alias("domain"), F.when(k % 3 != 0, F.concat(F.lit("Site "), k.cast("string"))).alias("name"),
+        F.array(first, F.concat(F.lit("https://"), "d", F.lit("/fintech-security")), F.lit(""), F.concat(F.lit(" "), first, F.lit(" ")), F.when(k % 7 > 0, F.concat(F.lit("https://"), "d", F.lit("/tech")))).alias("rss_urls"),
+        F.concat(F.lit("https://"), "d", F.lit("/all")).alias("rss_url"),
+    ))
+    sites = p.withColumn("d", domain).select(text.alias("value")).select(F.from_json("value", R.SITES).alias("s")).select("s.*")
+    health = p.withColumn("d", domain).where("page_id % 2 = 0").select(first.alias("feed_url"), (k % 4 == 0).alias("valid"))
     return R.imported(sites, health)
 
 
-@query("rule_texts_usable", "SELECT * FROM (VALUES (0, 4, 8, true), (1, 0, 0, false), (2, 1, 0, false)) AS t(text_id, n_entries, n_domains, valid)")
+@query("rule_texts_usable", f"WITH {_DOMAINS}, b AS (SELECT page_id, count(*) AS n FROM e GROUP BY 1), c AS (SELECT page_id, count(DISTINCT domain) AS m FROM d0 GROUP BY 1) SELECT page_id, coalesce(b.n, 0)::BIGINT AS n_entries, coalesce(m, 0)::BIGINT AS n_domains, coalesce(b.n, 0) > 0 AND coalesce(m, 0) > 0 AS valid FROM f LEFT JOIN b USING (page_id) LEFT JOIN c USING (page_id)")
 def rule_texts_usable(spark, sf):
-    """A rule text, one without entries, and one whose only entry names no domain."""
-    texts = (LITERAL, "var defaultSites = {};", 'var defaultSites = {"A": {useragent: "x"}};')
-    each = [rules.usable(rules.read_rules(spark, spark.createDataFrame([(t,)], "value string"))).select(F.lit(i).alias("text_id"), F.col("n_entries").cast("int"), F.col("n_domains").cast("int"), "valid") for i, t in enumerate(texts)]
-    return each[0].unionByName(each[1]).unionByName(each[2])
+    """Whole texts, those without entries, and those whose only entry names no domain."""
+    texts = rule_texts(spark, sf)
+    return rules.usable(rules.read_rules(spark, texts), texts, "page_id")
 
 
 @query("archive_snapshots", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'http://archive.example/' || url WHEN 1 THEN 'http://archive.example/' || url ELSE '' END AS snapshot FROM pages")

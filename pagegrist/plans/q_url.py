@@ -117,6 +117,7 @@ _HOSTS_MADE = (
     ("172.16.0.1", "private_ip:172.16.0.1"), ("172.32.0.1", ""), ("169.254.1.1", "private_ip:169.254.1.1"), ("224.0.0.1", "private_ip:224.0.0.1"), ("198.18.0.1", "private_ip:198.18.0.1"), ("192.0.0.9", ""), ("999.1.1.1", ""),
     ("[::1]", "private_ip:::1"), ("[::]:80", "private_ip:::"), ("[::ffff:127.0.0.1]", "private_ip:::ffff:127.0.0.1"), ("[64:ff9b::1]", "private_ip:64:ff9b::1"), ("[100::1]", "private_ip:100::1"), ("[fe80::1]", "private_ip:fe80::1"),
     ("[fd00:1::2]", "private_ip:fd00:1::2"), ("[ff02::1]", "private_ip:ff02::1"), ("[2001:db8::1]", "private_ip:2001:db8::1"), ("[2002:a00:1::1]", "private_ip:2002:a00:1::1"), ("[2001:0:1::1]", "private_ip:2001:0:1::1"), ("[2606:2800:220:1::1]", ""), ("u:p@[2a00:1450::5]:443", ""),
+    ("[fe80::1%25eth0]", "private_ip:fe80::1%25eth0"), ("[fe80::2%eth0]:80", "private_ip:fe80::2%eth0"), ("[::1%25]", "private_ip:::1%25"), ("[2606:2800:220:1::1%25a]", ""),
 )
 _SAFE = "CASE WHEN s IN ('file', 'ftp', 'data', 'javascript') THEN 'blocked_scheme:' || s WHEN s NOT IN ('http', 'https') THEN 'unsupported_scheme:' || coalesce(nullif(s, ''), 'none') WHEN hostname = '' THEN 'empty_host' ELSE {} END"
 _MADE_SAFE = f"[{', '.join(D.lit(x) for _, x in _HOSTS_MADE)}][(page_id % {len(_HOSTS_MADE)} + 1)::INT]"

@@ -1,4 +1,4 @@
-"""Structured Streaming over landed pages and attempts: windows, sessions, de-duplication, stateful gates.
+"""Structured Streaming over landed pages and attempts: windows, sessions, de-duplication. Gates with state are in gates.py.
 
 Every job takes a streaming (or batch) DataFrame and returns one; the caller picks source, sink and trigger.
 """
@@ -6,15 +6,11 @@ Every job takes a streaming (or batch) DataFrame and returns one; the caller pic
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import urls as U
-from ..operators.state import BLOCKING, COOLDOWN
 from ..session import shared_dir
 
 ATTEMPTS = "seq long, request_id long, domain string, engine string, elapsed_ms long, error_code string, ts timestamp"
@@ -55,28 +51,3 @@ def sessions(attempts: DataFrame, gap: str = "5 minutes", late: str = "30 minute
 def first_seen(pages: DataFrame, late: str = "1 hour") -> DataFrame:
     """The first page of each canonical address within the watermark."""
     return pages.withColumn("canonical", U.canonical(F.col("url"))).withWatermark("ts", late).dropDuplicatesWithinWatermark(["canonical"])
-
-
-GATED = "domain string, seq long, ts timestamp, allowed boolean"
-
-
-def gated(attempts: DataFrame, seconds: int = COOLDOWN) -> DataFrame:
-    """Whether an attempt falls into its domain's cool-down after a blocking failure; state is one timestamp a domain."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        allowed = []
-        for t, code in zip(rows["ts"], rows["error_code"]):
-            now = t.value // 1000
-            ok = until is None or now >= until
-            if ok:
-                until = now + seconds * 1_000_000 if code in BLOCKING else None
-            allowed.append(ok)
-        if until is None:
-            state.remove()
-        else:
-            state.update((until,))
-        yield pd.DataFrame({"domain": key[0], "seq": rows["seq"], "ts": rows["ts"], "allowed": allowed})
-
-    return attempts.groupBy("domain").applyInPandasWithState(step, GATED, "until long", "append", GroupStateTimeout.NoTimeout)
