@@ -3,7 +3,7 @@
 Each depends on what was let through before, so a key's attempts must be judged in order of time, whatever order they land in.
 Attempts wait in a map of time slots; the timer of a slot fires once the watermark has passed it, and only then are its attempts
 sorted and judged. What a key holds is its verdict state, a few numbers, and the slots that the watermark hasn't reached: never its
-history. Timers also end a state without a new attempt: a cool-down that runs out gives a row of its own, and a state that says no more than
+history. Timers also end a state without a new attempt: a cool-down that runs out gives a row of its own (once its slot is over), and a state that says no more than
 a fresh one would is dropped. Attempts later than the watermark are left out.
 """
 
@@ -101,7 +101,7 @@ class Gate(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        now = timerValues.getCurrentWatermarkInMs() * 1000 // self.slot * self.slot  # all attempts before it have landed
         state = json.loads(self.state.get()[0]) if self.state.exists() else None
         out = []
 
@@ -113,7 +113,7 @@ class Gate(StatefulProcessor):
                 return None
             return state
 
-        for slot in sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * self.slot <= now):
+        for slot in sorted(k[0] for k in self.waiting.keys() if k[0] * self.slot < now):
             for t, seq, code, end in sorted(json.loads(self.waiting.getValue((slot,))[0]), key=lambda x: (x[0], x[1])):
                 state = lapse(t)
                 state, allowed = self.rule.step(state, t, code, end)
@@ -124,7 +124,7 @@ class Gate(StatefulProcessor):
             self.state.clear()
         else:
             self.state.update((json.dumps(state),))
-            self.handle.registerTimer(-(-self.rule.over(state) // 1000))
+            self.handle.registerTimer((self.rule.over(state) // self.slot + 1) * self.slot // 1000)
         if out:
             domain, seq, t, event = zip(*out)
             yield pd.DataFrame({"domain": domain, "seq": pd.array(seq, "Int64"), "t": t, "event": event})

@@ -2,7 +2,6 @@
 
 import pytest
 
-from pagegrist.operators import state
 from pagegrist.streaming import jobs
 
 
@@ -32,15 +31,6 @@ def test_sessions(spark, landed):
     assert sorted((r.domain, r.n) for r in got) == [("d0.example", 14), ("d1.example", 13), ("d2.example", 13)]
 
 
-def test_gate(spark, landed):
-    from pyspark.sql import functions as F
-
-    path, df = landed
-    got = {r.seq: r.allowed for r in drained(spark, jobs.gated(jobs.read_landed(spark, path, jobs.ATTEMPTS), 600), "gated")}
-    batch = state.cooldown(spark, df.withColumn("t", F.unix_micros("ts")), "domain", "t", "error_code", "seq", 600)
-    assert got == {r.seq: r.allowed for r in batch.collect()} and not all(got.values())
-
-
 def test_first_seen(spark, tmp_path):
     spark.createDataFrame([(1, "https://e.com/a?utm_source=x"), (2, "https://e.com/a"), (3, "https://e.com/b")], "page_id long, url string").selectExpr("*", "timestamp'2024-01-01' as ts").coalesce(1).write.parquet(str(tmp_path / "p"))
     got = drained(spark, jobs.first_seen(jobs.read_landed(spark, str(tmp_path / "p"), "page_id long, url string, ts timestamp")), "firsts")
