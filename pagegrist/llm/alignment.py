@@ -114,7 +114,7 @@ ID_BITS = 20
 MARK = (1 << ID_BITS) - 1
 TOKENS = "doc_id long, a array<bigint>, a_ends array<int>, b array<bigint>, b_ends array<int>"
 #: Bytes of text tokenised at a time.
-BYTES = 1 << 20
+BYTES = 2 << 20
 
 
 def _tokenised(a_path: str, b_path: str):
