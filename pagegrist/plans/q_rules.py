@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..session import shared_dir, ship
 from ..sources import registries as R
-from ..sources import rules
+from ..sources import rules, sinks
 from . import duck as D
 from .q_url import _PARTS, pages
 from .registry import query
@@ -256,3 +260,52 @@ def archive_snapshots(spark, sf):
     yes, no = F.lit(True), F.lit(False)
     answer = F.when(k == 0, closest(yes, F.lit("200"))).when(k == 1, closest(F.lit(None).cast("boolean"), F.lit("200"))).when(k == 2, closest(no, F.lit("200"))).when(k == 3, closest(yes, F.lit("404"))).when(k == 4, '{"archived_snapshots": {"closest": {"available": true, "status": "200"}}}').otherwise("<html>")
     return pages(spark, sf).select("page_id", R.snapshot_url(answer).alias("snapshot"))
+
+
+#: A line that each document gets, how many lines go for it, and why its text is rejected.
+_TOKENS = (
+    ("", 0, ""), ('  cs_param: {url: "https://x/x-access-token?a=1", b: [1, (2)]}, // note', 1, ""), (r"cs_param : {a: 'it\'s } x-access-token'};", 1, ""), ('cs_param: {a: [1}, b: "x-access-token"}', 0, "ambiguous"),
+    ('other: {a: "x-access-token"}', 0, "ambiguous"), ('cs_param: {a: "x-access-token"} + 1', 0, "ambiguous"), ('cs_param: "x-access-token"', 0, "ambiguous"), ('CS_PARAM: {`X-Access-Token`: ")"}', 1, ""),
+    ('cs_param: {a: "x-access-token ghp_abcdefghij12"}', 0, "token"), ('cs_param: {a: "x-access-token}', 0, "ambiguous"), ('cs_param: {a: {b: "x-access-token"}}}', 0, "ambiguous"), ('cs_param: {a: "é\U0001f511 x-access-token"} ;', 1, ""),
+)
+_TOKEN = f"[{', '.join(D.lit(x) for x, _, _ in _TOKENS)}][(doc_id % {len(_TOKENS)} + 1)::INT]"
+
+
+@query("rule_text_sanitised", f"WITH k AS (SELECT doc_id, coalesce(text, '') || chr(13) || chr(10) AS head, {_TOKEN} AS line, [{', '.join(str(n) for _, n, _ in _TOKENS)}][(doc_id % {len(_TOKENS)} + 1)::INT] AS removed, [{', '.join(D.lit(x) for _, _, x in _TOKENS)}][(doc_id % {len(_TOKENS)} + 1)::INT] AS rejected FROM documents) SELECT doc_id, removed::INT AS removed, rejected, CASE WHEN rejected = '' THEN md5(replace(replace(head || CASE WHEN removed = 1 THEN '' ELSE line || chr(13) END || 'tail', chr(13) || chr(10), chr(10)), chr(13), chr(10))) END AS digest FROM k")
+def rule_text_sanitised(spark, sf):
+    """Whole documents as rule texts, each with a line that goes, stays, or spoils it."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    line = F.element_at(F.array(*(F.lit(x) for x, _, _ in _TOKENS)), (F.col("doc_id") % len(_TOKENS) + 1).cast("int"))
+    made = d.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\r\n"), line, F.lit("\r"), F.lit("tail")).alias("value"))
+    return rules.sanitized(made, "value").select("doc_id", "removed", "rejected", F.md5(F.col("clean").cast("binary")).alias("digest"))
+
+
+def _archive(doc: int, text: str) -> bytes:
+    """An archive of each kind by doc: one good member, two, none, broken bytes, a member that isn't text, too many members, a bomb."""
+    import io
+    import zipfile
+
+    k = doc % 7
+    members = [("rules/sites.js", text.encode())] if k in (0, 3) else [("a/sites.js", text.encode()), ("b/sites.js", b"")] if k == 1 else [("sites.js.txt", text.encode())] if k == 2 else [("sites.js", b"\xff\xfe" + text.encode())] if k == 4 else [("sites.js", text.encode()), *((f"m{i}", b"") for i in range(1000))] if k == 5 else [("sites.js", b"0" * 2_000_000)]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED if k == 6 else zipfile.ZIP_STORED) as z:
+        for name, data in members:
+            z.writestr(name, data)
+    return out.getvalue()[20:] if k == 3 else out.getvalue()
+
+
+@query("archive_members", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 AND octet_length(encode(coalesce(text, ''))) <= 5000000 THEN md5(coalesce(text, '')) END AS digest FROM documents")
+def archive_members(spark, sf):
+    """Every document lands in an archive of its own; archives are read back as binary files, and one member of a name is taken out of each safe one."""
+    ship(spark)
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def packed(it):
+        for b in it:
+            ids = b.column("doc_id").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([f"{i}.zip" for i in ids]), pa.array([_archive(i, t) for i, t in zip(ids, b.column("text").to_pylist())], pa.binary())], names=["name", "content"])
+
+    folder = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    sinks.write_files(spark, d.mapInArrow(packed, "name string, content binary"), folder)
+    found = R.zip_texts(spark, spark.read.format("binaryFile").load(folder), "sites.js")
+    return found.select(F.regexp_extract("path", r"([0-9]+)\.zip$", 1).cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest"))

@@ -267,3 +267,18 @@ def wrapped_links(spark, sf):
 def first_pages_per_domain(spark, sf):
     d = with_domain(spark, sf).select("page_id", F.coalesce("registrable", "hostname").alias("domain"))
     return d.withColumn("place", F.row_number().over(W.partitionBy("domain").orderBy("page_id")).cast("long")).where("place <= 3")
+
+
+#: Labels set before the pages' hosts, with their IDNA forms.
+_LABELS = (("bücher", "xn--bcher-kva"), ("straße", "strasse"), ("例え", "xn--r8jz45g"), ("ｗｗｗ", "www"), ("plain", "plain"), ("ÖL", "xn--l-0ga"))
+_LABEL = f"[{', '.join(D.lit(a) for _, a in _LABELS)}][(page_id % {len(_LABELS)} + 1)::INT]"
+
+
+@query("registrable_domain_idna", f"WITH {_PSL} SELECT page_id, {_LABEL} || '.' || hostname AS ascii, registrable FROM u JOIN d ON u.hostname = d.h")
+def registrable_domain_idna(spark, sf):
+    """Hosts in scripts of their own, with ideographic dots: their ASCII forms and registrable domains."""
+    ship(spark)
+    label = F.element_at(F.array(*(F.lit(a) for a, _ in _LABELS)), (F.col("page_id") % len(_LABELS) + 1).cast("int"))
+    dot = F.element_at(F.array(*map(F.lit, "。．｡.")), (F.col("page_id") % 4 + 1).cast("int"))
+    p = pages(spark, sf).select("page_id", F.concat(label, dot, U.hostname(F.col("url")), dot).alias("host"))
+    return U.registrable(p, "host", U.suffix_rules(spark), idna=True).select("page_id", U.ascii_host(U.presentation(F.col("host"))).alias("ascii"), "registrable")
