@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 from . import bpe
@@ -106,13 +107,14 @@ def ends(ids: np.ndarray, n: np.ndarray, token_bytes: list[bytes]) -> np.ndarray
         raise ValueError("a token without bytes")
     total = np.append(0, np.cumsum(each))
     first = np.append(0, np.cumsum(n))[:-1]
-    return (total[1:] - np.repeat(total[first], n)).astype(np.int32)
+    return total[1:] - np.repeat(total[first], n)
 
 
-#: A token is one number: the byte offset where it ends, and its id in the last ID_BITS; MARK is no id and stands for a cut.
+#: A token is one number: the byte offset where it ends, and its id in the last ID_BITS; an end has MARK there, which is no id.
 ID_BITS = 20
 MARK = (1 << ID_BITS) - 1
-TOKENS = "doc_id long, a array<bigint>, a_ends array<int>, b array<bigint>, b_ends array<int>"
+#: Without nulls, so that Spark sorts and intersects plain numbers.
+TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.ArrayType(T.LongType(), False)) for c in ("a", "a_ends", "b", "b_ends"))])
 #: Bytes of text tokenised at a time.
 BYTES = 2 << 20
 
@@ -128,8 +130,8 @@ def _tokenised(a_path: str, b_path: str):
                 of_a = a.encode([" " + x if n else "" for x, n in zip(found, of_b[1])])
                 columns = [part.column(0)]
                 for (ids, n), known in ((of_a, a.token_bytes), (of_b, b.token_bytes)):
-                    at = ends(ids, n, known)
-                    columns += [bpe.lists(at.astype(np.int64) << ID_BITS | ids, n), bpe.lists(at, n)]
+                    at = ends(ids, n, known) << ID_BITS
+                    columns += [bpe.lists(at | ids, n), bpe.lists(at | MARK, n)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "a_ends", "b", "b_ends"])
             release()
         a.memo, b.memo, b.odd = bpe.Memo(), bpe.Memo(), set()
@@ -145,15 +147,17 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 
 def grouped(tokens: DataFrame) -> DataFrame:
-    """The token columns, and: cuts, the offsets where tokens of both end; a_groups and b_groups, the ids up to each cut, 'a1,a2'.
+    """The token columns, and: cuts, the ends that tokens of both have; a_groups and b_groups, the ids up to each cut, 'a1,a2'.
 
-    Sorted together, each cut's mark follows the tokens that end at it; without their offsets, tokens and marks joined are the groups.
+    Sorted together, each cut follows the tokens that end at it; without their offsets, tokens and cuts joined are the groups. What is
+    sorted is a column of its own, and used twice, so that it is compiled apart from the lambda, which isn't.
     """
-    out = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends")).withColumn("marks", F.expr(f"transform(cuts, c -> shiftleft(cast(c as bigint), {ID_BITS}) | {MARK}L)"))
+    out = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
+    out = out.withColumns({f"{x}_sorted": F.sort_array(F.concat(x, "cuts")) for x in "ab"})
     for x in "ab":
-        joined = f"concat(array_join(cast(transform(sort_array(concat({x}, marks)), t -> t & {MARK}L) as array<string>), ','), ',')"
-        out = out.withColumn(f"{x}_groups", F.expr(f"slice(split({joined}, ',{MARK},'), 1, size(cuts))"))  # a mark ends each group
-    return out.drop("marks")
+        joined = f"concat(array_join(cast(transform({x}_sorted, t -> t & {MARK}L) as array<string>), ','), ',')"
+        out = out.withColumn(f"{x}_groups", F.expr(f"slice(split({joined}, ',{MARK},'), 1, size({x}_sorted) - size({x}))"))  # a mark ends each group
+    return out.drop("a_sorted", "b_sorted")
 
 
 def linked(tokens: DataFrame) -> DataFrame:

@@ -162,7 +162,10 @@ def test_pieces_of_units_are_those_of_whole_texts():
 
 def test_a_group_that_no_end_cuts(spark):
     """One group as long as the text: no end inside is common."""
-    rows = spark.createDataFrame([(1, [(e << 20) + i for e, i in zip((2, 4, 6), (1, 2, 3))], [2, 4, 6], [(e << 20) + i for e, i in zip((1, 3, 6), (7, 8, 9))], [1, 3, 6])], alignment.TOKENS)
+    def packed(ends, ids):
+        return [(e << alignment.ID_BITS) + i for e, i in zip(ends, ids)], [(e << alignment.ID_BITS) + alignment.MARK for e in ends]
+
+    rows = spark.createDataFrame([(1, *packed((2, 4, 6), (1, 2, 3)), *packed((1, 3, 6), (7, 8, 9)))], alignment.TOKENS)
     r = alignment.linked(rows).first()
     assert (r["n_groups"], r["groups"], r["a_link"], r["b_link"]) == (1, "1,2,3|7,8,9", [3], [9])
 
