@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
-from ..operators import gate, html
+from ..operators import gate, html, jsonld
 from ..operators.article import markdown
 from . import duck as D
 from .q_text import CUT
@@ -83,3 +83,22 @@ def page_gate(spark, sf):
 @query("page_gate_summary", f"WITH {_GATE} SELECT ok, error_code, count(*)::BIGINT AS n, round(avg(round(score, 6)), 6) AS mean_score FROM g GROUP BY ALL")
 def page_gate_summary(spark, sf):
     return page_gate(spark, sf).groupBy("ok", "error_code").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+#: JSON-LD that pages get, as they have none; {b} is a body of some words. At the top, deep inside, beside broken JSON, without a type, under a field that holds no string.
+_LINKED = (
+    '<script type="application/ld+json">{"@type": "NewsArticle", "articleBody": "{b}"}</script>',
+    "<SCRIPT TYPE='application/LD+JSON'>{\"@graph\": [{\"x\": {\"y\": [[{\"ARTICLEBODY\": \"{b}\"}]]}}, {\"articleBody\": \"ab\"}, 1, null]}</SCRIPT>",
+    '<script type=application/ld+json>{"articleBody": broken</script><script type="application/ld+json">[{"articleBody": "{b}"}]</script>',
+    '<script>{"articleBody": "{b}"}</script>',
+    '<script type="application/ld+json">{"articleBody": {"articlebody": "{b}", "n": 5}, "body": "longer than any other body there is"}</script>',
+)
+
+
+@query("jsonld_article_bodies", "SELECT page_id, (4 * (page_id % 90 + 1))::INT AS chars FROM pages WHERE page_id % 5 <> 3")
+def jsonld_article_bodies(spark, sf):
+    """Every page's longest body in the JSON-LD that it got."""
+    script = F.element_at(F.array(*map(F.lit, _LINKED)), (F.col("page_id") % len(_LINKED) + 1).cast("int"))
+    body = F.repeat(F.lit(r"wörd "), (F.col("page_id") % 90 + 1).cast("int"))
+    made = pages(spark, sf).select("page_id", F.concat("html", F.replace(script, F.lit("{b}"), body)).alias("html"))
+    return jsonld.article_body_chars(spark, made, "page_id", "html")
