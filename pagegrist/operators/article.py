@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def markdown(title: Column, author: Column, date: Column, text: Column, images: Column, url: Column, folder: str = "images") -> Column:
-    """Front matter, heading, the first image, the text, the other images."""
-    quoted = lambda name, v: F.concat(F.lit(f'{name}: "'), T.escape_yaml(v), F.lit('"'))
+def markdown(title: Column, author: Column, date: Column, text: Column, images: Column, url: Column, folder: str = "images", escape=T.escape_yaml) -> Column:
+    """Front matter, heading, the first image, the text, the other images. escape: what makes a value fit for quotes."""
+    quoted = lambda name, v: F.concat(F.lit(f'{name}: "'), escape(v), F.lit('"'))
     given = lambda v, line: F.when(T.blank(v) != "", line)
     picture = lambda u, i: F.concat(F.lit(f"![image]({folder}/"), T.image_filename(i, u), F.lit(")"))
     hero = F.when(F.size(images) > 0, F.array(picture(images[0], F.lit(0)), F.lit(""))).otherwise(F.array().cast("array<string>"))
