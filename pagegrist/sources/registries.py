@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import tarfile
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -99,6 +100,20 @@ def zip_texts(spark: SparkSession, archives: DataFrame, name: str) -> DataFrame:
     return archives.select("path", "content").mapInArrow(read, "path string, text string")
 
 
+def unbundled(spark: SparkSession, bundles: DataFrame) -> DataFrame:
+    """path, content of the files within tar files read with the binaryFile source; a path goes on with the name within."""
+    ship(spark)
+
+    def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for path, bundle in zip(b.column("path").to_pylist(), b.column("content")):
+                with tarfile.open(fileobj=io.BytesIO(bundle.as_buffer())) as t:
+                    found = [(f"{path}/{m.name}", t.extractfile(m).read()) for m in t if m.isfile()]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([c for _, c in found], pa.binary())], names=["path", "content"])
+
+    return bundles.select("path", "content").mapInArrow(read, "path string, content binary")
+
+
 #: Sites of a registry that is to be imported.
 SITES = "domain string, name string, rss_urls array<string>, rss_url string"
 
