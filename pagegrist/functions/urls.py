@@ -124,7 +124,8 @@ def safety(u: Column) -> Column:
     return (
         F.when(s.isin("file", "ftp", "data", "javascript"), F.concat(F.lit("blocked_scheme:"), s)).when(~s.isin("http", "https"), F.concat(F.lit("unsupported_scheme:"), F.when(s == "", "none").otherwise(s)))
         .when(h == "", "empty_host").when(h.isin("localhost", "localhost.localdomain") | F.endswith(h, F.lit(".localhost")), "localhost").when(h == "0.0.0.0", "unspecified")
-        .when((is_ipv4(h) & private) | (is_ipv6(h) & _private_v6(h)), F.concat(F.lit("private_ip:"), h)).otherwise("")
+        .when((is_ipv4(h) & private) | (is_ipv6(h) & _private_v6(h)), F.concat(F.lit("private_ip:"), h))
+        .when(F.contains(h, F.lit(":")) & ~is_ipv6(h), F.concat(F.lit("invalid_ip:"), h)).otherwise("")
     )
 
 
