@@ -1,9 +1,12 @@
 """Alignment of two tokenizers' tokens over the same bytes, and a corpus-wide table of which ids stand for each other.
 
-Python only tokenises: per text the ids of both tokenizers and the byte offsets where their tokens end. Everything after that is Spark's
-array functions. The offsets that both have (array_intersect) cut the text into groups: sorted among a tokenizer's tokens, the cuts part
-its ids into groups. Tokens that end at one cut are linked: the last ones of its two groups. Links are counted by pair of ids, and
-each document's links look their counts up.
+Texts are parted into chunks, words with the white space before them, which no token of either tokenizer reaches across. A task tokenises
+each chunk once; the new chunks of a slice of texts lie end to end in rows: the ids of both tokenizers and the byte offsets where their
+tokens end. Spark's array functions align them. The offsets that both have (array_intersect) cut a row into groups: sorted among a
+tokenizer's tokens, the cuts part its ids into groups. Tokens that end at one cut are linked: the last ones of its two groups. A document
+is a row of chunk numbers that follows its chunks' rows within the partition, and takes groups and links from them: a chunk's end
+is a cut, so a document's groups are those of its chunks in order. Links are counted by pair of ids, and each document's links look
+their counts up.
 
 The table of counts is broadcast. Its size is bounded by the vocabularies, whatever the corpus: linked tokens end together, so the
 shorter one's bytes are the end of the other's, and a vocabulary offers at most as many ends as it has bytes (both together
@@ -15,8 +18,10 @@ rows are aligned each for itself and count each; a null doc_id is kept; other co
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +33,15 @@ from ..session import ship
 from . import bpe
 from .common import Scratch, release
 
-#: Units with their ids that a task keeps at most before it begins anew.
-KEPT = 150_000
-#: Units encoded in one call.
-TOGETHER = 20_000
-#: What no piece of a vocabulary with word starts reaches across: a line end, or a word with the spaces before it.
-UNIT = re.compile(r"\n| *[^ \n]+| +")
+#: Chunks that a task keeps at most before it begins anew, and their bytes.
+KEPT, KEPT_BYTES = 200_000, 32 << 20
+#: New chunks of a row that is aligned.
+TOGETHER = 4_096
+#: Documents put together at a time; chunks encoded in one call.
+ROWS, CALL = 512, 20_000
+#: What no token reaches across. A chunk begins at a space or line end after a character that isn't white space: words of the byte-level
+#: vocabulary's pattern don't go on there, and pieces of a vocabulary with word starts neither.
+CHUNK = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 _LOADED: dict = {}
 
 
@@ -49,7 +57,6 @@ class Pieces:
         self.token_bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces)]
         self.line = self.model.encode("\n")  # a space and the token of a line end
         self.apart = not any(re.search("[^▁]▁|\n", p) for p in pieces) and len(self.line) == 2 and self._joined(self.line) == b" \n"
-        self.memo, self.odd = bpe.Memo(), set()  # odd: numbers of units whose tokens aren't their bytes
 
     def _joined(self, ids: list[int]) -> bytes:
         return b"".join([self.token_bytes[i] for i in ids])
@@ -58,39 +65,39 @@ class Pieces:
         ids = self.model.encode(text) if text else []
         return np.array(ids if self._joined(ids) == b" " + text.encode() else [], np.int32)
 
-    def _learn(self) -> None:
-        """Encodes new units, each on a line of its own: what follows a line end isn't at the text's start."""
-        first, new = len(self.memo) - len(self.memo.new), self.memo.new
-        found, n = [], []
-        for i in range(0, len(new), TOGETHER):
-            part = new[i : i + TOGETHER]
-            lines = "\n".join(["", *(u if u != "\n" else "" for u in part)])
-            ids = self.model.encode(lines)
-            flat = np.array(ids, np.int32)
-            cuts = np.append(np.flatnonzero(flat == self.line[1]), len(flat))
-            if self._joined(ids) != b" " + lines.encode():
-                self.odd |= {first + i + k for k, (u, a, b) in enumerate(zip(part, cuts, cuts[1:])) if u != "\n" and self._joined(ids[a + 1 : b]) != u.encode()}
-            keep = np.ones(len(flat), bool)
-            keep[: len(self.line) - 1] = keep[cuts[:-1]] = False
-            keep[cuts[:-1][[u == "\n" for u in part]]] = True  # a line end is a unit, too
-            found.append(flat[keep])
-            n.append(np.diff(np.append(0, np.cumsum(keep))[cuts]))
-        self.memo.enter(np.concatenate([np.zeros(0, np.int32), *found]), np.append(0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *n]))))
+    def chunks(self, text: str) -> list[str]:
+        """A space and the text, in chunks; as one, where pieces may reach across."""
+        return CHUNK.findall(" " + text) if self.apart else [" " + text]
+
+    def of_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all chunks end to end, how many each has, and whether they aren't its bytes. A chunk begins with a space or a line end.
+
+        The space that is set before a text is the chunk's own, or a piece of its own before a line end.
+        """
+        out = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool))]
+        for at in range(0, len(chunks), CALL):
+            part = chunks[at : at + CALL]
+            found = self.model.encode([c[1:] if c[0] == " " else c for c in part], num_threads=1)
+            for i, c in enumerate(part):
+                if c[0] != " ":
+                    del found[i][0]
+                elif len(c) == 1:
+                    found[i] = self.line[:1]
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter(chain.from_iterable(found), np.int32, int(n.sum()))
+            odd = np.zeros(len(found), bool)
+            if self._joined(ids.tolist()) != "".join(part).encode():
+                odd[:] = [self._joined(x) != c.encode() for c, x in zip(part, found)]
+            out.append((ids, n, odd))
+        return tuple(map(np.concatenate, zip(*out)))
 
     def encode(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and how many each has; none where their bytes aren't a space and the text."""
-        if len(self.memo) > KEPT:
-            self.memo, self.odd = bpe.Memo(), set()
-        rows = [self.memo.numbers(UNIT.findall(" " + x) if x and self.apart else []) for x in found]
-        self._learn()
-        ids, n = self.memo.gathered(rows)
-        whole = [i for i, x in enumerate(found) if x and (not self.apart or not self.odd.isdisjoint(rows[i].tolist()))] if self.odd or not self.apart else []
-        if whole:
-            parts = np.split(ids, np.cumsum(n)[:-1])
-            for i in whole:
-                parts[i] = self._whole(found[i])
-            ids, n = np.concatenate(parts), np.array([len(x) for x in parts])
-        return ids, n
+        parts = []
+        for x in found:
+            ids, _, odd = self.of_chunks(self.chunks(x) if x else [])
+            parts.append(self._whole(x) if odd.any() else ids)
+        return np.concatenate([np.zeros(0, np.int32), *parts]), np.array([len(x) for x in parts], np.int64)
 
 
 def pieces(path: str) -> Pieces:
@@ -115,35 +122,85 @@ ID_BITS = 20
 MARK = (1 << ID_BITS) - 1
 #: Without nulls, so that Spark sorts and intersects plain numbers.
 TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.ArrayType(T.LongType(), False)) for c in ("a", "a_ends", "b", "b_ends"))])
+#: Besides, of new chunks: the number of the first one (null: a document), and where each ends; of a document: how many tokens it has, its chunks' numbers.
+CHUNKED = T.StructType([*TOKENS, T.StructField("first", T.IntegerType()), T.StructField("chunk_ends", T.ArrayType(T.LongType(), False)), T.StructField("of_a", T.LongType()), T.StructField("of_b", T.LongType()), T.StructField("chunks", T.ArrayType(T.IntegerType(), False))])
 #: Bytes of text tokenised at a time.
 BYTES = 2 << 20
 
 
+class Chunks:
+    """Numbers the chunks that a task meets; how many tokens of each vocabulary each has, and whether its pieces aren't its bytes."""
+
+    def __init__(self):
+        self.memo, self.size = bpe.Memo(), 0
+        self.n_a, self.n_b, self.odd = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def learn(self, a: bpe.Bpe, b: Pieces) -> Iterator[pa.RecordBatch]:
+        """Rows of the new chunks, each tokenised alone. Odd ones have no tokens."""
+        new, first, self.memo.new = self.memo.new, len(self.n_a), []
+        if not new:
+            return
+        ids_b, n_b, odd = b.of_chunks(new)
+        ids_a, n_a = a.encode(new)
+        size = np.array([len(c.encode()) for c in new], np.int64)
+        self.size += int(size.sum())
+        if odd.any():
+            ids_a, ids_b = ids_a[np.repeat(~odd, n_a)], ids_b[np.repeat(~odd, n_b)]
+            n_a[odd] = n_b[odd] = size[odd] = 0
+        starts = np.arange(0, len(new), TOGETHER)
+        tokens = []
+        for ids, each, known in ((ids_a, n_a, a.token_bytes), (ids_b, n_b, b.token_bytes)):
+            n = np.add.reduceat(each, starts)
+            at = ends(ids, n, known) << ID_BITS
+            tokens += [bpe.lists(at | ids, n), bpe.lists(at | MARK, n)]
+        self.n_a, self.n_b, self.odd = np.append(self.n_a, n_a), np.append(self.n_b, n_b), np.append(self.odd, odd)
+        chunk_ends = pa.array([np.cumsum(size[i : i + TOGETHER]) for i in starts], pa.list_(pa.int64()))
+        zeros = np.zeros(len(starts), np.int64)
+        columns = [pa.nulls(len(starts), pa.int64()), *tokens, pa.array(first + starts, pa.int32()), chunk_ends]
+        columns += [pa.array(zeros)] * 2 + [bpe.lists(np.zeros(0, np.int32), zeros)]
+        yield pa.RecordBatch.from_arrays(columns, names=CHUNKED.names)
+
+    def documents(self, doc_id: pa.Array, rows: list[np.ndarray]) -> pa.RecordBatch:
+        """Rows of documents, from their chunks' numbers."""
+        flat, n = np.concatenate([np.zeros(0, np.int64), *rows]), np.array([len(r) for r in rows], np.int64)
+        bounds = np.append(0, np.cumsum(n))
+        sums = [pa.array(np.diff(np.append(0, np.cumsum(x[flat]))[bounds])) for x in (self.n_a, self.n_b)]
+        empty, none = bpe.lists(np.zeros(0, np.int64), np.zeros(len(rows), np.int64)), pa.nulls(len(rows), pa.int32())
+        return pa.RecordBatch.from_arrays([doc_id, *[empty] * 4, none, empty, *sums, bpe.lists(flat.astype(np.int32), n)], names=CHUNKED.names)
+
+
 def _tokenised(a_path: str, b_path: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = bpe.loaded(a_path, special=False), pieces(b_path)
         if max(len(a.token_bytes), len(b.token_bytes)) > MARK:
             raise ValueError("a vocabulary of too many ids")
+        known = Chunks()
         for batch in it:
             for part, found in bpe.slices(batch, 1, BYTES):
-                of_b = b.encode(found)
-                of_a = a.encode([" " + x if n else "" for x, n in zip(found, of_b[1])])
-                columns = [part.column(0)]
-                for (ids, n), known in ((of_a, a.token_bytes), (of_b, b.token_bytes)):
-                    at = ends(ids, n, known) << ID_BITS
-                    columns += [bpe.lists(at | ids, n), bpe.lists(at | MARK, n)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "a_ends", "b", "b_ends"])
+                if len(known.memo) > KEPT or known.size > KEPT_BYTES:
+                    known = Chunks()
+                rows = [known.memo.numbers(b.chunks(x) if x else []) for x in found]
+                yield from known.learn(a, b)
+                if known.odd.any():  # such a text is a chunk by itself, or has no tokens
+                    strange = [i for i, r in enumerate(rows) if known.odd[r].any()]
+                    for i in strange:
+                        rows[i] = known.memo.numbers([" " + found[i]])
+                    yield from known.learn(a, b)
+                    for i in strange:
+                        rows[i] = rows[i][~known.odd[rows[i]]]
+                yield known.documents(part.column(0), rows)
             release()
-        a.memo, b.memo, b.odd = bpe.Memo(), bpe.Memo(), set()
+        a.memo, known = bpe.Memo(), None
         release()
 
     return run
 
 
 def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """doc_id, and of the byte-level BPE vocabulary a and the sentencepiece vocabulary b the tokens of a space and the text, and where they end."""
+    """Rows of distinct chunks with their tokens of the byte-level BPE vocabulary a and the sentencepiece vocabulary b and where they end, end to end;
+    after them, in the same partition, rows of documents that have them: doc_id, the numbers of tokens, and its chunks."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_tokenised(a_path, b_path), TOKENS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_tokenised(a_path, b_path), CHUNKED)
 
 
 def grouped(tokens: DataFrame) -> DataFrame:
@@ -160,8 +217,8 @@ def grouped(tokens: DataFrame) -> DataFrame:
     return out.drop("a_sorted", "b_sorted")
 
 
-def linked(tokens: DataFrame) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, groups ('a1,a2|b1;...'), and the links' ids a_link and b_link in order: the last of each group."""
+def linked(tokens: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, groups ('a1,a2|b1;...'), and the links' ids a_link and b_link in order: the last of each group; more columns."""
     last = "transform({0}_groups, g -> cast(substring_index(g, ',', -1) as int))"
     return grouped(tokens).select(
         "doc_id",
@@ -172,9 +229,58 @@ def linked(tokens: DataFrame) -> DataFrame:
         F.expr("array_join(zip_with(a_groups, b_groups, (x, y) -> concat(x, '|', y)), ';')").alias("groups"),
         F.expr(last.format("a")).alias("a_link"),
         F.expr(last.format("b")).alias("b_link"),
+        *more,
     )
 
 
+DOCUMENTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, a_link array<int>, b_link array<int>, groups_sha256 string"
+
+
+class Aligned:
+    """The groups and links of the chunks of a task, by number."""
+
+    def __init__(self):
+        self.groups: list[str] = []
+        self.links = bpe.Memo()  # a << 32 | b
+
+    def enter(self, first: int, chunk_ends: np.ndarray, cuts: np.ndarray, groups: str, a: np.ndarray, b: np.ndarray) -> None:
+        if first != len(self.groups):
+            raise ValueError("chunks out of order")
+        at = np.append(0, np.searchsorted(cuts, chunk_ends << ID_BITS | MARK, side="right"))
+        each, bounds = groups.split(";"), at.tolist()
+        self.groups += [each[i] if j == i + 1 else ";".join(each[i:j]) for i, j in zip(bounds, bounds[1:])]
+        self.links.enter(a.astype(np.int64) << 32 | b, at)
+
+    def documents(self, part: pa.RecordBatch) -> pa.RecordBatch:
+        chunks = part.column("chunks")
+        rows = np.split(chunks.flatten().to_numpy(), np.cumsum(chunks.value_lengths().to_numpy())[:-1])
+        links, n = self.links.gathered(rows)
+        digests = [hashlib.sha256(";".join(map(self.groups.__getitem__, r.tolist())).encode()).hexdigest() if len(r) else "" for r in rows]
+        ab = [bpe.lists(x.astype(np.int32), n) for x in (links >> 32, links & 0xFFFFFFFF)]
+        columns = [part.column(c) for c in ("doc_id", "of_a", "of_b")] + [pa.array(n, pa.int64())] * 2 + [*ab, pa.array(digests, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "a_link", "b_link", "groups_sha256"])
+
+
+def _assembled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come as ``tokenised`` gave them, aligned; the documents come out."""
+    known = Aligned()
+    for batch in it:
+        firsts, i = batch.column("first").to_pylist(), 0
+        while i < len(firsts):
+            if firsts[i] is not None:
+                known = known if firsts[i] else Aligned()
+                of_chunks, cuts, a, b = (batch.column(c)[i].values.to_numpy() for c in ("chunk_ends", "cuts", "a_link", "b_link"))
+                known.enter(firsts[i], of_chunks, cuts, batch.column("groups")[i].as_py(), a, b)
+                i += 1
+                continue
+            j = i
+            while j < len(firsts) and j - i < ROWS and firsts[j] is None:
+                j += 1
+            yield known.documents(batch.slice(i, j - i))
+            i = j
+        release()
+
+
 def pair_counts(links: DataFrame) -> DataFrame:
     """a, b, n, best of each pair of linked ids: how many links hold it, and whether no other pair of its b has more."""
     counts = links.selectExpr("inline(arrays_zip(a_link, b_link))").groupBy(F.col("a_link").alias("a"), F.col("b_link").alias("b")).agg(F.count("*").alias("n"))
@@ -184,8 +290,8 @@ def pair_counts(links: DataFrame) -> DataFrame:
 def align(spark: SparkSession, docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """Per document doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     scratch = Scratch(spark, "alignment")
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    rows = scratch.save(linked(tokenised(docs, a_path, b_path)).withColumn("groups_sha256", digest).drop("groups").withColumn("row", F.monotonically_increasing_id()))
+    chunks = linked(tokenised(docs, a_path, b_path), "first", "chunk_ends", "cuts", "of_a", "of_b", "chunks").drop("n_a", "n_b", "n_groups", "n_links")
+    rows = scratch.save(chunks.mapInArrow(_assembled, DOCUMENTS).withColumn("row", F.monotonically_increasing_id()))
     pairs = scratch.save(pair_counts(rows))
     each = rows.selectExpr("row", "inline(arrays_zip(a_link, b_link))").withColumnsRenamed({"a_link": "a", "b_link": "b"})
     sums = each.join(F.broadcast(pairs), ["a", "b"]).groupBy("row").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("n").alias("count_sum"))

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagegrist.llm import alignment, bpe, lexical_search
@@ -160,6 +161,38 @@ def test_pieces_of_units_are_those_of_whole_texts():
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [p._whole(t).tolist() for t in found]
 
 
+def test_words_of_chunks_are_those_of_whole_texts(library):
+    """No token of either vocabulary reaches across chunks."""
+    a, p = bpe.Bpe(A, special=False), alignment.Pieces(B)
+    white = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    found = [t for t in TEXTS if t] + [f"a{x}{y}b{x}.{y}{x}1{y}\n{x} {y}" for x in white for y in white]
+    for t in found:
+        chunks = p.chunks(t)
+        assert "".join(chunks) == " " + t and all(c[0] in " \n" for c in chunks)
+        assert [w for c in chunks for w in a.words(c)] == [(" " + t)[i:j] for _, (i, j) in library.pre_tokenizer.pre_tokenize_str(" " + t)], t
+
+
+def test_a_chunk_is_aligned_once(spark):
+    """Whatever stands often in a task's texts goes through the array functions once."""
+    text = "The cat's   whiskers weren't  there.\n\n  Indented\tline so the cat"
+    one, many = (spark.createDataFrame([(i, text + " the cat" * (n > 1)) for i in range(n)], "doc_id long, text string").coalesce(1) for n in (1, 300))
+    size = lambda d: alignment.tokenised(d, A, B).selectExpr("sum(size(a) + size(b))").first()[0]
+    assert 0 < size(many) <= size(one) + 10
+
+
+def test_chunks_begin_anew(docs, monkeypatch):
+    """A task that forgets its chunks numbers them from 0 again, and its documents have as many tokens."""
+    found = [pa.RecordBatch.from_pylist([{"doc_id": i, "text": t}]) for i, t in enumerate(TEXTS[1:15])]
+    out = []
+    for kept in (10**6, 3):
+        monkeypatch.setattr(alignment, "KEPT", kept)
+        out.append(pa.Table.from_batches(alignment._tokenised(A, B)(iter(found))).to_pylist())
+    begun = [sum(r["first"] == 0 for r in rows) for rows in out]
+    assert begun[0] == 1 < begun[1]
+    own = [[(r["doc_id"], r["of_a"], r["of_b"]) for r in rows if r["first"] is None] for rows in out]
+    assert own[0] == own[1] and len(own[0]) == 14
+
+
 def test_a_group_that_no_end_cuts(spark):
     """One group as long as the text: no end inside is common."""
     def packed(ends, ids):
