@@ -242,3 +242,21 @@ def test_packing_of_entries_and_places():
         assert (k == key.astype(np.uint32)).all() and (n == np.repeat(node, sizes)).all() and (b == np.repeat(bit, sizes)).all()
     places = np.array([(1, 5, 7, 0), (1, 5, 8, 1), (1, 6, 7, 0), (-3, 6, -9, -1), (1, 5, 7, 3)], np.int64)
     assert (np.array(neardup.unpacked_places(neardup.packed_places(places))).T == places).all()
+
+
+def test_rare_shingles_are_paired_one_by_one(monkeypatch):
+    """Large clusters of texts that have little in common: pairs are told as by plain sets, and only common shingles are multiplied."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[:8], rng.choice(np.arange(3000, dtype=np.uint64), 60)])) for _ in range(300)]
+    sets[::10] = [np.unique(np.append(sets[0][:-k], np.uint64(5000 + k))) for k in range(1, 31)]
+    want = lambda x, y: 100 * len({*x} & {*y}) >= 60 * len({*x} | {*y})
+    lists = [x.tolist() for x in sets]
+    zeros, made = np.zeros, []
+    monkeypatch.setattr(neardup.np, "zeros", lambda shape, *a, **k: made.append(shape) or zeros(shape, *a, **k))
+    i, j = neardup.linked(sets, 60)
+    grids = [x[1] for x in made if isinstance(x, tuple)]
+    assert {*zip(i.tolist(), j.tolist())} == {(x, y) for x in range(300) for y in range(x + 1, 300) if want(lists[x], lists[y])}
+    i, j = neardup.linked(sets[:80], 60, sets[50:])
+    assert {*zip(i.tolist(), j.tolist())} == {(x, y) for x in range(80) for y in range(250) if want(lists[x], lists[50 + y])}
+    assert sum(grids) < 1000 < len({x for t in lists for x in t})
