@@ -11,6 +11,12 @@ from . import fixed
 SPACE = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
 
 
+def rounded(x: Column | str, places: int) -> Column:
+    """Half away from zero of the scaled double, as SQL engines round one; Spark's own goes by the decimal that is printed (0.5203125)."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.round(x * F.lit(10.0**places)) / F.lit(10.0**places)
+
+
 def blank(x: Column) -> Column:
     return F.coalesce(x, F.lit(""))
 
